@@ -8,14 +8,20 @@ from pyspark.sql import functions as F
 from peerlens import domains as D
 
 
-def first_keyword(text, table):
-    """Name of the first table row with a word inside `text`, case-insensitively."""
+def first_hit(text, table, value):
+    """`value(name)` of the first table row with a word inside `text`, else NULL."""
     lowered = F.lower(text)
-    hits = [
-        F.when(reduce(or_, [lowered.contains(word) for word in words]), F.lit(name))
-        for name, words in table
-    ]
-    return F.coalesce(*hits, F.lit(D.UNKNOWN))
+    return F.coalesce(
+        *[
+            F.when(reduce(or_, [lowered.contains(word) for word in words]), value(name))
+            for name, words in table
+        ]
+    )
+
+
+def first_keyword(text, table):
+    """Name of the first row with a word inside `text`, case-insensitively."""
+    return F.coalesce(first_hit(text, table, F.lit), F.lit(D.UNKNOWN))
 
 
 def per_network(network, build, otherwise):
@@ -47,17 +53,23 @@ def ua_version_lotus(user_agent):
 
 
 def ua_client_version(user_agent, network):
-    name = ua_client_name(user_agent, network)
-    place = F.lit(2)
-    for client, number in D.VERSION_SEGMENT.items():
-        place = F.when(name == client, F.lit(number)).otherwise(place)
-    raw = F.coalesce(F.try_element_at(F.split(user_agent, "/"), place), F.lit(D.UNKNOWN))
-    return (
-        F.when(name == "", F.lit(""))
-        .when(name.isin(D.UNKNOWN, *D.UNVERSIONED_CLIENTS), F.lit(D.UNKNOWN))
-        .when(network == D.FILECOIN, ua_version_lotus(user_agent))
-        .otherwise(trim_version(raw))
-    )
+    """Version of a recognised client; the client says where its version stands."""
+    head = F.split_part(user_agent, F.lit("/"), F.lit(1))
+
+    def place(name):
+        if name in D.UNVERSIONED_CLIENTS:
+            return F.lit(D.UNKNOWN)
+        found = segment(user_agent, D.VERSION_SEGMENT.get(name, 2))
+        return trim_version(F.coalesce(found, F.lit(D.UNKNOWN)))
+
+    def build(name):
+        if name == D.FILECOIN:
+            version = first_hit(head, D.CLIENT_WORDS[name], lambda _: ua_version_lotus(user_agent))
+        else:
+            version = first_hit(head, D.CLIENT_WORDS[name], place)
+        return F.coalesce(version, F.lit(D.UNKNOWN))
+
+    return per_network(network, build, F.lit(""))
 
 
 def ua_client_os(user_agent):

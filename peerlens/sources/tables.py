@@ -15,9 +15,14 @@ LAYOUT = {
 }
 
 
-def load(spark, directory, table):
-    """One table; no schema inference, so no pass over the files."""
-    return spark.read.schema(TABLES[table]).parquet(os.path.join(directory, table))
+def load(spark, directory, table, dates=False):
+    """One table; no schema inference, so no pass over the files.
+
+    `dates=True` keeps the date column that big tables are partitioned by, for
+    callers that prune by date.
+    """
+    rows = spark.read.schema(TABLES[table]).parquet(os.path.join(directory, table))
+    return rows if dates else rows.select(TABLES[table].fieldNames())
 
 
 def conform(df, table):
