@@ -15,8 +15,8 @@ def classify_dial_error(message):
 
 def delay_class(code, classes=D.DELAY_CLASS_ERRORS, default=D.HOPE):
     """Delay class of an error code (case-sensitive)."""
-    hits = [F.when(code.isin(errors), F.lit(name)) for name, errors in classes]
-    return F.coalesce(*hits, F.lit(default))
+    pairs = [F.lit(part) for name, errors in classes for e in errors for part in (e, name)]
+    return F.coalesce(F.try_element_at(F.create_map(*pairs), code), F.lit(default))
 
 
 def direction_name(direction):

@@ -1,7 +1,5 @@
 """Data-quality queries."""
 
-from functools import reduce
-
 from pyspark.sql import functions as F
 
 from peerlens import domains as D
@@ -26,11 +24,9 @@ def networks_all_counts(peers):
 
 def client_home(client_name):
     """Network whose client list has the name."""
-    hits = [
-        F.when(client_name.isin([name for name, _ in words]), F.lit(network))
-        for network, words in D.CLIENT_WORDS.items()
-    ]
-    return F.coalesce(*hits)
+    home = {name: network for network, words in D.CLIENT_WORDS.items() for name, _ in words}
+    pairs = [F.lit(part) for item in home.items() for part in item]
+    return F.try_element_at(F.create_map(*pairs), client_name)
 
 
 def contamination(peers):

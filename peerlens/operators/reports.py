@@ -7,7 +7,6 @@ only then joined and grouped.
 
 from pyspark.sql import functions as F
 
-from peerlens.operators.distributions import peers_per_ip
 from peerlens.operators.predicates import listed_peers
 
 LOCATION_COLUMNS = [
@@ -43,8 +42,10 @@ def all_ips(peers, ips, network=None, since=None, until=None, ordered=True):
     return rows.orderBy("country", "city") if ordered else rows
 
 
-def _counted(peers, ips, network, since, until):
-    return peers_per_ip(listed_peers(peers, network, since, until)).join(_geo(ips), "ip")
+def counted_addresses(peers, ips, network=None, since=None, until=None, by=()):
+    """Located addresses with their number of listed peers `n`, also per `by` columns."""
+    listed = listed_peers(peers, network, since, until)
+    return listed.groupBy(*by, "ip").agg(F.count(F.lit(1)).alias("n")).join(_geo(ips), "ip")
 
 
 def _mean(column):
@@ -57,70 +58,89 @@ def _hosted():
     return F.sum(F.when(F.col("hosting"), F.col("n")).otherwise(0)).alias("hosted_nodes")
 
 
-def country_stats(peers, ips, network=None, since=None, until=None):
-    return (
-        _counted(peers, ips, network, since, until)
-        .groupBy("country", "country_code")
-        .agg(
-            F.sum("n").alias("peer_count"),
-            F.count_distinct("asname").alias("unique_asns"),
-            _hosted(),
-            _mean("lat").alias("avg_lat"),
-            _mean("lon").alias("avg_lon"),
-        )
-        .orderBy(F.desc("peer_count"))
+def _largest_first(df, by):
+    return df.orderBy(*by, F.desc("peer_count"))
+
+
+def countries_of(counted, by=()):
+    rows = counted.groupBy(*by, "country", "country_code").agg(
+        F.sum("n").alias("peer_count"),
+        F.count_distinct("asname").alias("unique_asns"),
+        _hosted(),
+        _mean("lat").alias("avg_lat"),
+        _mean("lon").alias("avg_lon"),
     )
+    return _largest_first(rows, by)
 
 
-def city_stats(peers, ips, network=None, since=None, until=None):
-    return (
-        _counted(peers, ips, network, since, until)
-        .filter(F.col("city") != "")
-        .groupBy("city", "country", "country_code", "lat", "lon")
+def cities_of(counted, by=()):
+    rows = (
+        counted.filter(F.col("city") != "")
+        .groupBy(*by, "city", "country", "country_code", "lat", "lon")
         .agg(F.sum("n").alias("peer_count"))
         .filter(F.col("peer_count") >= 2)
-        .select("city", "country", "country_code", "peer_count", "lat", "lon")
-        .orderBy(F.desc("peer_count"))
+        .select(*by, "city", "country", "country_code", "peer_count", "lat", "lon")
     )
+    return _largest_first(rows, by)
 
 
-def hosting_stats(peers, ips, network=None, since=None, until=None):
-    return (
-        _counted(peers, ips, network, since, until)
-        .filter(F.col("org") != "")
-        .groupBy("org", "hosting")
+def providers_of(counted, by=()):
+    rows = (
+        counted.filter(F.col("org") != "")
+        .groupBy(*by, "org", "hosting")
         .agg(F.sum("n").alias("peer_count"), F.count_distinct("country").alias("countries"))
         .filter(F.col("peer_count") >= 2)
-        .select(F.col("org").alias("provider"), "peer_count", "countries", "hosting")
-        .orderBy(F.desc("peer_count"))
+        .select(*by, F.col("org").alias("provider"), "peer_count", "countries", "hosting")
     )
+    return _largest_first(rows, by)
 
 
-def as_stats(peers, ips, network=None, since=None, until=None):
-    return (
-        _counted(peers, ips, network, since, until)
-        .filter(F.col("asname") != "")
-        .groupBy("asname", "as_raw", "org")
+def systems_of(counted, by=()):
+    rows = (
+        counted.filter(F.col("asname") != "")
+        .groupBy(*by, "asname", "as_raw", "org")
         .agg(
             F.sum("n").alias("peer_count"),
             F.count_distinct("country").alias("countries"),
             _hosted(),
         )
-        .orderBy(F.desc("peer_count"))
     )
+    return _largest_first(rows, by)
+
+
+def country_stats(peers, ips, network=None, since=None, until=None):
+    return countries_of(counted_addresses(peers, ips, network, since, until))
+
+
+def city_stats(peers, ips, network=None, since=None, until=None):
+    return cities_of(counted_addresses(peers, ips, network, since, until))
+
+
+def hosting_stats(peers, ips, network=None, since=None, until=None):
+    return providers_of(counted_addresses(peers, ips, network, since, until))
+
+
+def as_stats(peers, ips, network=None, since=None, until=None):
+    return systems_of(counted_addresses(peers, ips, network, since, until))
 
 
-def client_stats(peers, network=None, since=None, until=None):
-    """Client configurations with their share; NULL groups are kept."""
+def client_stats(peers, network=None, since=None, until=None, by=()):
+    """Client configurations with their share (of each `by` group); NULL groups are kept."""
     counted = (
         listed_peers(peers, network, since, until)
-        .groupBy("client_name", "client_version", "client_os", "client_arch")
+        .groupBy(*by, "client_name", "client_version", "client_os", "client_arch")
         .agg(F.count(F.lit(1)).alias("peer_count"))
     )
-    # The total is a scalar subquery over the grouped rows, not a global window.
-    total = counted.select(F.sum("peer_count")).scalar()
+    if by:
+        totals = counted.groupBy(*by).agg(F.sum("peer_count").alias("total"))
+        counted = counted.join(totals, list(by))
+        total = F.col("total")
+    else:
+        # A scalar subquery over the grouped rows, not a global window.
+        total = counted.select(F.sum("peer_count")).scalar()
     share = F.round((100 * F.col("peer_count")).cast("decimal(24,0)") / total, 2)
-    return counted.withColumn("percentage", share.cast("double")).orderBy(F.desc("peer_count"))
+    rows = counted.withColumn("percentage", share.cast("double"))
+    return _largest_first(rows.drop("total"), by)
 
 
 # ------------------------------------------------------------ top-k documents
@@ -135,7 +155,7 @@ def country_top(peers, ips, k=None, network=None):
 
 def city_top50(peers, ips, k=50, network=None):
     return (
-        _counted(peers, ips, network, None, None)
+        counted_addresses(peers, ips, network)
         .groupBy("country", "city")
         .agg(F.sum("n").alias("peer_count"))
         .orderBy(F.desc("peer_count"), "country", "city")
@@ -145,7 +165,7 @@ def city_top50(peers, ips, k=50, network=None):
 
 def hosting_top20(peers, ips, k=20, network=None):
     return (
-        _counted(peers, ips, network, None, None)
+        counted_addresses(peers, ips, network)
         .filter("hosting")
         .groupBy("org", "hosting")
         .agg(F.sum("n").alias("peer_count"))

@@ -51,34 +51,38 @@ def peer_lives(attempts, hosts, policy=DEFAULT_POLICY, as_of=None):
     so the number of rounds is bounded by the covered time, not by the data.
     """
     attempts, hosts = _until(attempts, as_of), _until(hosts, as_of)
-    stale = cut(stale_failures(attempts, policy))
+    limit = policy.deprecate_after * 1_000_000
     found = hosts.select("peer_id", "ts", "seq")
     begin = found.groupBy("peer_id").agg(F.min(_ord()).alias("start"))
+    overdue = (_ord() > F.col("start")) & (
+        F.unix_micros("ts") - F.unix_micros("start.ts") >= limit
+    )
+    # No life ends before the first one could; usually that leaves next to nothing.
+    stale = cut(
+        stale_failures(attempts, policy).join(begin, "peer_id").filter(overdue).drop("start"),
+        "stale",
+    )
+    if stale.isEmpty():
+        ends = F.lit(None).cast("struct<ts:timestamp,seq:bigint>")
+        return begin.select("peer_id", F.lit(1).alias("life"), "start", ends.alias("end"))
     lives, number = [], 1
     while True:
-        limit = policy.deprecate_after * 1_000_000
         ends = (
             stale.join(begin, "peer_id")
-            .filter(
-                (_ord() > F.col("start"))
-                & (F.unix_micros("ts") - F.unix_micros("start.ts") >= limit)
-            )
+            .filter(overdue)
             .groupBy("peer_id")
             .agg(F.min(_ord()).alias("end"))
         )
         life = begin.join(ends, "peer_id", "left").withColumn("life", F.lit(number))
-        life = cut(life.select("peer_id", "life", "start", "end"))
+        life = cut(life.select("peer_id", "life", "start", "end"), "life")
         lives.append(life)
-        ended = life.filter(F.col("end").isNotNull())
-        begin = (
-            found.join(ended.select("peer_id", "end"), "peer_id")
+        begin = cut(
+            found.join(life.filter(F.col("end").isNotNull()).select("peer_id", "end"), "peer_id")
             .filter(_ord() > F.col("end"))
             .groupBy("peer_id")
-            .agg(F.min(_ord()).alias("start"))
+            .agg(F.min(_ord()).alias("start")),
+            "begin",
         )
-        if ended.isEmpty():
-            break
-        begin = cut(begin)
         if begin.isEmpty():
             break
         number += 1

@@ -228,6 +228,11 @@ EXPORT_ROWS = {
     "clients": """SELECT network, count(*) AS n FROM (SELECT DISTINCT network, client_name, client_version,
                client_os, client_arch FROM b_listed) GROUP BY 1""",
 }
+EXPORT_NAMES = {
+    "peers": "peer_locations", "ips": "all_ips", "country": "peer_count_by_country",
+    "city": "peer_count_by_city", "hosting": "hosting_provider_distribution",
+    "as": "peer_count_by_as", "clients": "client_distribution",
+}
 SMALL10 = "peer_id, ip, port, country, city, lat, lon, isp, org, hosting"
 
 SQL = {
@@ -432,8 +437,7 @@ SQL = {
     "peer_locations_small_10": f"SELECT {SMALL10} FROM b_located",
     "peer_locations_small_7": "SELECT peer_id, ip, port, country, city, lat, lon FROM b_located",
     "export_all": " UNION ALL ".join(
-        f"SELECT w.network, {q(key)} AS export, coalesce(n, 0)::BIGINT AS n FROM (SELECT unnest({array(D.NETWORKS)}) AS network) w "
-        f"LEFT JOIN ({sql}) x ON w.network = x.network"
+        f"SELECT replace(lower(network), ' ', '_') || '_{EXPORT_NAMES[key]}.csv' AS file, n FROM ({sql}) WHERE n > 0"
         for key, sql in EXPORT_ROWS.items()
     ),
     # audit

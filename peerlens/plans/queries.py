@@ -593,14 +593,14 @@ simple("peer_locations_small_7", lambda b: reports.peer_locations_small(b.peers_
 
 @query("export_all")
 def _export_all(b):
-    """All exports, each network on its own; counts the lines of every file set."""
+    """All exports of every network; counts the lines of every file."""
     folder = run_dir(b.spark, "exports")
-    paths = sinks.export_all(b.peers_listed, b.ips, folder, networks=D.NETWORKS)
     lines = None
-    for (network, key), path in paths.items():
-        n = b.spark.read.option("header", True).csv(path).agg(F.count(F.lit(1)).alias("n"))
-        row = n.select(F.lit(network).alias("network"), F.lit(key).alias("export"), "n")
-        lines = row if lines is None else lines.unionByName(row)
+    for key, path in sinks.export_networks(b.peers_listed, b.ips, folder).items():
+        n = b.spark.read.option("header", True).csv(path).groupBy("file").agg(
+            F.count(F.lit(1)).alias("n")
+        )
+        lines = n if lines is None else lines.unionByName(n)
     return lines
 
 

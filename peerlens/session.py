@@ -43,7 +43,12 @@ def run_dir(spark, name):
     return os.path.join(shared_dir(spark), f"peerlens-{name}-{uuid.uuid4().hex}")
 
 
-def cut(df):
-    """Write `df` to the shared folder once and continue from the copy."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def cut(df, name="cut"):
+    """Write `df` once as a table in the shared folder and continue from the copy.
+
+    The copy has no lineage, is read column-wise and has known sizes, so later
+    joins can choose a strategy by what was really written.
+    """
+    path = run_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from peerlens import domains as D
 from peerlens.operators import reports
+from peerlens.session import cut
 
 # File names of the exports.
 EXPORTS = {
@@ -60,14 +61,35 @@ def export_all(peers, ips, directory, networks=None, exports="all", single_file=
     return paths
 
 
-def export_partitioned(peers, ips, directory):
-    """Location export of all networks in one job, one folder per network."""
-    rows = reports.peer_locations(peers, ips, ordered=False)
-    path = os.path.join(directory, "peer_locations_by_network")
-    rows.hint("rebalance", "network").write.mode("overwrite").option("header", True).partitionBy(
-        "network"
-    ).csv(path)
-    return path
+def export_networks(peers, ips, directory):
+    """All exports of all networks at once: one job per export, not per network.
+
+    The network is one more group key, and rows go to one folder per file name
+    (`file=<network prefix><export>.csv`).  The peers are counted per network
+    and address once; four of the reports start from that count.
+    """
+    by = ["network"]
+    counted = cut(reports.counted_addresses(peers, ips, by=by), "counted")
+    addresses = counted.select(*by, *reports.IP_COLUMNS).orderBy(*by, "country", "city")
+    results = {
+        "peers": reports.peer_locations(peers, ips),
+        "ips": addresses,
+        "country": reports.countries_of(counted, by),
+        "city": reports.cities_of(counted, by),
+        "hosting": reports.providers_of(counted, by),
+        "as": reports.systems_of(counted, by),
+        "clients": reports.client_stats(peers, by=by),
+    }
+    paths = {}
+    for key, df in results.items():
+        name = EXPORTS[key][0]
+        file = F.concat(network_file_prefix(F.col("network")), F.lit(f"{name}.csv"))
+        paths[key] = os.path.join(directory, name)
+        out = df.withColumn("file", file)
+        if key != "peers":  # that export shows the network as a column
+            out = out.drop("network")
+        out.write.mode("overwrite").option("header", True).partitionBy("file").csv(paths[key])
+    return paths
 
 
 # ------------------------------------------------------------ JSON
