@@ -1,106 +1,119 @@
-"""Client identity out of user-agent strings (native Column expressions)."""
+"""Client identity out of user-agent strings.
 
-from functools import reduce
-from operator import or_
+Arguments are SQL expressions (usually column names) and results are Columns:
+the long keyword conditions are then parsed once inside Spark instead of being
+put together call by call.
+"""
 
 from pyspark.sql import functions as F
 
 from peerlens import domains as D
 
 
-def first_hit(text, table, value):
-    """`value(name)` of the first table row with a word inside `text`, else NULL."""
-    lowered = F.lower(text)
-    return F.coalesce(
-        *[
-            F.when(reduce(or_, [lowered.contains(word) for word in words]), value(name))
-            for name, words in table
-        ]
-    )
+def _quote(text):
+    return "'" + text.replace("'", "\\'") + "'"
+
+
+def keyword_case(text, table):
+    """SQL: name of the first table row with a word inside `text`, any case."""
+    arms = [
+        "WHEN " + " OR ".join(f"contains(lower({text}), {_quote(w)})" for w in words)
+        + f" THEN {_quote(name)}"
+        for name, words in table
+    ]
+    return f"CASE {' '.join(arms)} ELSE {_quote(D.UNKNOWN)} END"
+
+
+def _name_sql(user_agent, network):
+    head = f"split_part({user_agent}, '/', 1)"
+    arms = [
+        f"WHEN {_quote(n)} THEN {keyword_case(head, D.CLIENT_WORDS[n])}" for n in D.NETWORKS
+    ]
+    return f"CASE {network} {' '.join(arms)} ELSE '' END"
 
 
-def first_keyword(text, table):
-    """Name of the first row with a word inside `text`, case-insensitively."""
-    return F.coalesce(first_hit(text, table, F.lit), F.lit(D.UNKNOWN))
+def _trim_sql(version):
+    """Drop build metadata and pre-release suffix."""
+    return f"split_part(split_part({version}, '+', 1), '-', 1)"
 
 
-def per_network(network, build, otherwise):
-    """Choose one expression by network name."""
-    choice = F
-    for name in D.NETWORKS:
-        choice = choice.when(network == name, build(name))
-    return choice.otherwise(otherwise)
+def _lotus_sql(user_agent):
+    head = f"split_part(split_part({user_agent}, '/', 1), '+', 1)"
+    return f"coalesce(try_element_at(split({head}, '-'), 2), {_quote(D.UNKNOWN)})"
 
 
-def segment(user_agent, number):
-    return F.try_element_at(F.split(user_agent, "/"), F.lit(number))
+def _version_sql(user_agent, network, name):
+    places = " ".join(f"WHEN {_quote(c)} THEN {n}" for c, n in D.VERSION_SEGMENT.items())
+    piece = f"try_element_at(split({user_agent}, '/'), CASE {name} {places} ELSE 2 END)"
+    silent = ", ".join(_quote(c) for c in [D.UNKNOWN, *D.UNVERSIONED_CLIENTS])
+    return (
+        f"CASE WHEN {name} = '' THEN '' WHEN {name} IN ({silent}) THEN {_quote(D.UNKNOWN)} "
+        f"WHEN {network} = {_quote(D.FILECOIN)} THEN {_lotus_sql(user_agent)} "
+        f"ELSE {_trim_sql(f'coalesce({piece}, {_quote(D.UNKNOWN)})')} END"
+    )
 
 
 def ua_client_name(user_agent, network):
-    head = F.split_part(user_agent, F.lit("/"), F.lit(1))
-    return per_network(network, lambda n: first_keyword(head, D.CLIENT_WORDS[n]), F.lit(""))
+    return F.expr(_name_sql(user_agent, network))
 
 
-def trim_version(version):
-    """Drop build metadata and pre-release suffix."""
-    return F.split_part(F.split_part(version, F.lit("+"), F.lit(1)), F.lit("-"), F.lit(1))
+def ua_client_version(user_agent, network, client_name=None):
+    """Version of a recognised client; pass `client_name` if a column has it already."""
+    return F.expr(_version_sql(user_agent, network, client_name or _name_sql(user_agent, network)))
 
 
 def ua_version_lotus(user_agent):
     """Version inside the first segment: `lotus-1.13.0+mainnet` gives `1.13.0`."""
-    head = F.split_part(F.split_part(user_agent, F.lit("/"), F.lit(1)), F.lit("+"), F.lit(1))
-    return F.coalesce(F.try_element_at(F.split(head, "-"), F.lit(2)), F.lit(D.UNKNOWN))
+    return F.expr(_lotus_sql(user_agent))
 
 
-def ua_client_version(user_agent, network):
-    """Version of a recognised client; the client says where its version stands."""
-    head = F.split_part(user_agent, F.lit("/"), F.lit(1))
+def ua_client_os(user_agent):
+    return F.expr(keyword_case(user_agent, D.OS_WORDS))
 
-    def place(name):
-        if name in D.UNVERSIONED_CLIENTS:
-            return F.lit(D.UNKNOWN)
-        found = segment(user_agent, D.VERSION_SEGMENT.get(name, 2))
-        return trim_version(F.coalesce(found, F.lit(D.UNKNOWN)))
 
-    def build(name):
-        if name == D.FILECOIN:
-            version = first_hit(head, D.CLIENT_WORDS[name], lambda _: ua_version_lotus(user_agent))
-        else:
-            version = first_hit(head, D.CLIENT_WORDS[name], place)
-        return F.coalesce(version, F.lit(D.UNKNOWN))
+def ua_client_arch(user_agent):
+    return F.expr(keyword_case(user_agent, D.ARCH_WORDS))
 
-    return per_network(network, build, F.lit(""))
 
+def _if_present(user_agent, sql, name):
+    return F.expr(f"CASE WHEN {user_agent} IS NOT NULL THEN {sql} END").alias(name)
 
-def ua_client_os(user_agent):
-    return first_keyword(user_agent, D.OS_WORDS)
 
+def with_client(df, user_agent="user_agent", network="network"):
+    """Add client_name, client_version, client_os, client_arch; NULL without an agent.
 
-def ua_client_arch(user_agent):
-    return first_keyword(user_agent, D.ARCH_WORDS)
+    The version refers to the name's column, so keywords are searched once.
+    """
+    named = df.withColumn(
+        "client_name", _if_present(user_agent, _name_sql(user_agent, network), "client_name")
+    )
+    return named.select(
+        "*",
+        _if_present(user_agent, _version_sql(user_agent, network, "client_name"), "client_version"),
+        _if_present(user_agent, keyword_case(user_agent, D.OS_WORDS), "client_os"),
+        _if_present(user_agent, keyword_case(user_agent, D.ARCH_WORDS), "client_arch"),
+    )
 
 
 def parse_client(user_agent, network):
     """struct(client_name, client_version, client_os, client_arch); NULL agent, NULL struct."""
-    return F.when(
-        user_agent.isNotNull(),
-        F.struct(
-            ua_client_name(user_agent, network).alias("client_name"),
-            ua_client_version(user_agent, network).alias("client_version"),
-            ua_client_os(user_agent).alias("client_os"),
-            ua_client_arch(user_agent).alias("client_arch"),
-        ),
-    )
-
-
-def is_identified(user_agent, protocol_version, protocols):
-    return (
-        (F.coalesce(user_agent, F.lit("")) != "")
-        | (F.coalesce(protocol_version, F.lit("")) != "")
-        | (F.coalesce(F.size(protocols), F.lit(0)) > 0)
+    parts = {
+        "client_name": _name_sql(user_agent, network),
+        "client_version": _version_sql(user_agent, network, _name_sql(user_agent, network)),
+        "client_os": keyword_case(user_agent, D.OS_WORDS),
+        "client_arch": keyword_case(user_agent, D.ARCH_WORDS),
+    }
+    fields = ", ".join(f"{_quote(n)}, {sql}" for n, sql in parts.items())
+    return F.expr(f"CASE WHEN {user_agent} IS NOT NULL THEN named_struct({fields}) END")
+
+
+def is_identified(user_agent="user_agent", protocol_version="protocol_version", protocols="protocols"):
+    return F.expr(
+        f"coalesce({user_agent}, '') <> '' OR coalesce({protocol_version}, '') <> '' "
+        f"OR coalesce(size({protocols}), 0) > 0"
     )
 
 
 def latency_ms(nanoseconds):
     """Whole milliseconds, truncated."""
-    return (nanoseconds / F.lit(1_000_000)).cast("int")
+    return F.expr(f"cast({nanoseconds} / 1000000 AS int)")

@@ -18,7 +18,7 @@ def pair_conn_events(halves, slice_seconds=SLICE_SECONDS):
         "peer_id",
         direction_name(F.col("direction")).alias("direction"),
         F.unix_timestamp("ts").alias("conn_time"),
-        latency_ms(F.col("latency_ns")).cast("long").alias("latency"),
+        latency_ms("latency_ns").cast("long").alias("latency"),
         F.unix_timestamp("following.ts").alias("disconn_time"),
         "identified",
         "error",

@@ -23,22 +23,18 @@ def normalise_peers(raw):
 
 def identify_rows(raw):
     """Identify answers to peer events; rows without any identity are left out."""
-    known = user_agent.is_identified(
-        F.col("user_agent"), F.col("protocol_version"), F.col("protocols")
-    )
-    return (
-        raw.filter(known)
-        .withColumn("client", user_agent.parse_client(F.col("user_agent"), F.col("network")))
-        .select(
-            "peer_id",
-            "ts",
-            "seq",
-            "user_agent",
-            "client.*",
-            "protocol_version",
-            F.col("protocols").alias("sup_protocols"),
-            user_agent.latency_ms(F.col("latency_ns")).alias("latency"),
-        )
+    return user_agent.with_client(raw.filter(user_agent.is_identified())).select(
+        "peer_id",
+        "ts",
+        "seq",
+        "user_agent",
+        "client_name",
+        "client_version",
+        "client_os",
+        "client_arch",
+        "protocol_version",
+        F.col("protocols").alias("sup_protocols"),
+        user_agent.latency_ms("latency_ns").alias("latency"),
     )
 
 

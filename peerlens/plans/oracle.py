@@ -275,7 +275,9 @@ SQL = {
     "ua_version_lotus": AGENT_BASE.format(lotus_version("user_agent"), "client_version"),
     "ua_client_os": AGENT_BASE.format(keywords("user_agent", D.OS_WORDS), "client_os"),
     "ua_client_arch": AGENT_BASE.format(keywords("user_agent", D.ARCH_WORDS), "client_arch"),
-    "parse_client": "SELECT peer_id, client_name, client_version, client_os, client_arch FROM b_peers",
+    "parse_client": f"""SELECT seq, n AS client_name, {client_version('user_agent', 'network', 'n')} AS client_version,
+        {keywords('user_agent', D.OS_WORDS)} AS client_os, {keywords('user_agent', D.ARCH_WORDS)} AS client_arch
+        FROM (SELECT *, {NAMED} AS n FROM b_connections)""",
     "is_identified": AGENT_BASE.format("user_agent <> '' OR protocol_version <> '' OR len(protocols) > 0", "identified"),
     "latency_ms": "SELECT seq, (latency_ns // 1000000)::INT AS ms FROM b_connections",
     "classify_dial_error": f"SELECT seq, {error_code('message')} AS error FROM b_dials",

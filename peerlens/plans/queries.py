@@ -252,38 +252,25 @@ def _metrics_all(b):
 
 # ------------------------------------------------------------ scalar functions
 
-ua, nw = F.col("user_agent"), F.col("network")
+def _agents(build):
+    """A user-agent function over every connection."""
+    return lambda b: b.connections.select("seq", "network", "user_agent", build())
 
 
-def _agents(*columns):
-    def build(b):
-        return b.connections.select("seq", "network", "user_agent", *columns)
-
-    return build
-
-
-simple("ua_client_name", _agents(user_agent.ua_client_name(ua, nw).alias("client_name")))
-simple("ua_client_version", _agents(user_agent.ua_client_version(ua, nw).alias("client_version")))
-simple("ua_version_lotus", _agents(user_agent.ua_version_lotus(ua).alias("client_version")))
-simple("ua_client_os", _agents(user_agent.ua_client_os(ua).alias("client_os")))
-simple("ua_client_arch", _agents(user_agent.ua_client_arch(ua).alias("client_arch")))
+UA = ("user_agent", "network")
+simple("ua_client_name", _agents(lambda: user_agent.ua_client_name(*UA).alias("client_name")))
+simple("ua_client_version", _agents(lambda: user_agent.ua_client_version(*UA).alias("client_version")))
+simple("ua_version_lotus", _agents(lambda: user_agent.ua_version_lotus(UA[0]).alias("client_version")))
+simple("ua_client_os", _agents(lambda: user_agent.ua_client_os(UA[0]).alias("client_os")))
+simple("ua_client_arch", _agents(lambda: user_agent.ua_client_arch(UA[0]).alias("client_arch")))
 simple(
     "parse_client",
-    lambda b: b.peers_listed.select(
-        "peer_id", "client_name", "client_version", "client_os", "client_arch"
-    ),
-)
-simple(
-    "is_identified",
-    _agents(
-        user_agent.is_identified(ua, F.col("protocol_version"), F.col("protocols")).alias(
-            "identified"
-        )
-    ),
+    lambda b: b.connections.select("seq", user_agent.parse_client(*UA).alias("c")).select("seq", "c.*"),
 )
+simple("is_identified", _agents(lambda: user_agent.is_identified().alias("identified")))
 simple(
     "latency_ms",
-    lambda b: b.connections.select("seq", user_agent.latency_ms(F.col("latency_ns")).alias("ms")),
+    lambda b: b.connections.select("seq", user_agent.latency_ms("latency_ns").alias("ms")),
 )
 simple(
     "classify_dial_error",
@@ -295,19 +282,15 @@ simple(
         "peer_id", "last_error", errors.delay_class(F.col("last_error")).alias("delay_class")
     ),
 )
-_address = F.explode("multi_addrs").alias("address")
-simple(
-    "maddr_ip",
-    lambda b: b.discoveries.select("seq", _address).select(
-        "seq", "address", address.maddr_ip(F.col("address")).alias("ip")
-    ),
-)
-simple(
-    "maddr_port",
-    lambda b: b.discoveries.select("seq", _address).select(
-        "seq", "address", address.maddr_port(F.col("address")).alias("port")
-    ),
-)
+
+
+def _each_address(b, build):
+    rows = b.discoveries.select("seq", F.explode("multi_addrs").alias("address"))
+    return rows.select("seq", "address", build(F.col("address")))
+
+
+simple("maddr_ip", lambda b: _each_address(b, lambda a: address.maddr_ip(a).alias("ip")))
+simple("maddr_port", lambda b: _each_address(b, lambda a: address.maddr_port(a).alias("port")))
 simple("first_public_addr", lambda b: b.hosts.select("seq", "ip", "port"))
 simple(
     "direction_name",
@@ -315,28 +298,18 @@ simple(
         "seq", errors.direction_name(F.col("direction")).alias("direction")
     ),
 )
-_anyip = F.concat_ws(
-    ".", F.element_at(F.array(*[F.lit(x) for x in
-                                ("10", "52", "172.16", "172.32", "192.168", "127", "0.0", "169.254")]),
-                      (F.col("e") % 8 + 1).cast("int")),
-    F.lit("0"), (F.col("e") % 300).cast("string"),
-)
+
+PREFIXES = ["10.0", "52.7", "172.16", "172.32", "192.168", "127.0", "0.0", "169.254"]
+SIX = ["::1", "2001:db8::1", "::", "fe80::", "::ffff:10.0.0.1", "1::2::3"]
 
 
 def _addresses(b):
     """Address texts of all classes, partly malformed, one per event."""
-    part = F.concat_ws(".", (F.col("e") % 200).cast("string"), (F.col("u") % 250).cast("string"))
-    two = F.element_at(
-        F.array(*[F.lit(x) for x in
-                  ("10.0", "52.7", "172.16", "172.32", "192.168", "127.0", "0.0", "169.254")]),
-        (F.col("e") % 8 + 1).cast("int"),
-    )
-    six = F.element_at(
-        F.array(*[F.lit(x) for x in ("::1", "2001:db8::1", "::", "fe80::", "::ffff:10.0.0.1", "1::2::3")]),
-        (F.col("e") % 6 + 1).cast("int"),
+    return b.events.selectExpr(
+        "seq",
+        f"""IF(e % 5 = 0, {bridge.pick(SIX, 'e % 6')},
+               concat({bridge.pick(PREFIXES, 'e % 8')}, '.', e % 200, '.', u % 250)) AS ip""",
     )
-    text = F.when(F.col("e") % 5 == 0, six).otherwise(F.concat_ws(".", two, part))
-    return b.events.select("seq", text.alias("ip"))
 
 
 simple(
@@ -355,42 +328,42 @@ simple(
 )
 
 
-def _digest_of(column):
-    return bridge._pick([d for _, d in D.FORK_DIGESTS], column % len(D.FORK_DIGESTS))
+def _digests(b):
+    """Every event with one of the fork digests."""
+    digests = [d for _, d in D.FORK_DIGESTS]
+    return b.events.selectExpr("seq", "e", f"{bridge.pick(digests, f'e % {len(digests)}')} AS digest")
 
 
 simple(
     "compose_topic",
-    lambda b: b.events.select(
-        "seq", gossip.compose_topic(_digest_of(F.col("e")), F.lit(D.BLOCK_TOPIC)).alias("topic")
+    lambda b: _digests(b).select(
+        "seq", gossip.compose_topic(F.col("digest"), F.lit(D.BLOCK_TOPIC)).alias("topic")
     ),
 )
 simple(
     "compose_attnets_topic",
-    lambda b: b.events.select(
-        "seq",
-        gossip.compose_attnets_topic(_digest_of(F.col("e")), F.col("e") % 70).alias("topic"),
+    lambda b: _digests(b).select(
+        "seq", gossip.compose_attnets_topic(F.col("digest"), F.col("e") % 70).alias("topic")
     ),
 )
 simple("topic_pretty", lambda b: b.messages.select("seq", gossip.topic_pretty(F.col("topic")).alias("pretty")))
 simple("topic_subnet", lambda b: b.messages.select("seq", gossip.topic_subnet(F.col("topic")).alias("subnet")))
 
 
-def _fork_text():
-    names = [n.lower() for n, _ in D.FORK_DIGESTS]
-    texts = names + [d for _, d in D.FORK_DIGESTS] + ["b5303f2a", "0xdeadbeef", "zz", "DEADBEEF"]
-    return bridge._pick(texts, F.col("e") % len(texts))
+def _fork_texts(b):
+    """Every event with a fork name, digest or something invalid."""
+    texts = [n.lower() for n, _ in D.FORK_DIGESTS] + [d for _, d in D.FORK_DIGESTS]
+    texts += ["b5303f2a", "0xdeadbeef", "zz", "DEADBEEF"]
+    return b.events.selectExpr("seq", f"{bridge.pick(texts, f'e % {len(texts)}')} AS text")
 
 
 simple(
     "valid_fork_digest",
-    lambda b: b.events.select("seq", _fork_text().alias("text")).withColumn(
-        "digest", forks.valid_fork_digest(F.col("text"))
-    ),
+    lambda b: _fork_texts(b).withColumn("digest", forks.valid_fork_digest(F.col("text"))),
 )
 simple(
     "genesis_for_digest",
-    lambda b: b.events.select("seq", _digest_of(F.col("e")).alias("digest")).select(
+    lambda b: _digests(b).select(
         "seq",
         "digest",
         forks.genesis_for_digest(F.col("digest")).alias("genesis"),

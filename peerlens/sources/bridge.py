@@ -10,7 +10,7 @@ import os
 from pyspark.sql import functions as F
 
 from peerlens import domains as D
-from peerlens.functions.user_agent import parse_client, per_network
+from peerlens.functions.user_agent import with_client
 
 # Moments at which the bridged data is looked at, and inputs.
 AS_OF = "2001-08-02 00:00:00"
@@ -57,14 +57,20 @@ def table(spark, directory, name):
     return spark.read.parquet(os.path.join(directory, f"{name}.parquet"))
 
 
-def _pick(values, index):
-    return F.element_at(F.array(*[F.lit(v) for v in values]), (index + 1).cast("int"))
+def _list(values):
+    return "array(" + ", ".join("'" + v + "'" for v in values) + ")"
 
 
-def _agent(network, index):
-    return per_network(
-        network, lambda n: _pick(AGENTS[n], index % len(AGENTS[n])), F.lit(None).cast("string")
-    )
+def pick(values, index):
+    """SQL: element of a fixed list by a 0-based index."""
+    return f"element_at({_list(values)}, cast({index} AS int) + 1)"
+
+
+def _agent(network_index, index):
+    """SQL: user agent of a network, numbered within the network's list."""
+    lists = ", ".join(_list(AGENTS[n]) for n in D.NETWORKS)
+    agents = f"element_at(array({lists}), cast({network_index} AS int) + 1)"
+    return f"element_at({agents}, cast(({index}) % size({agents}) AS int) + 1)"
 
 
 def peer_info(spark, directory, activity=True):
@@ -74,98 +80,87 @@ def peer_info(spark, directory, activity=True):
     join, for the many queries that do not look at them.
     """
     rows = table(spark, directory, "customer")
-    k = F.col("c_custkey")
     if activity:
         last = (
             table(spark, directory, "orders")
             .groupBy("o_custkey")
-            .agg(F.unix_timestamp(F.max("o_orderdate").cast("timestamp")).alias("last_order"))
+            .agg(F.expr("unix_timestamp(cast(max(o_orderdate) AS timestamp))").alias("last_order"))
         )
         rows = rows.join(last, rows.c_custkey == last.o_custkey, "left")
     else:
         rows = rows.withColumn("last_order", F.lit(None).cast("long"))
     # A few peers are relabelled after their client was read: contamination.
-    parsed_network = _pick(D.NETWORKS, k % 5)
-    network = _pick(D.NETWORKS, (k + (k % 29 == 7).cast("int")) % 5)
-    rows = (
-        rows.withColumn("network", network)
-        .withColumn(
-            "ip",
-            F.concat(
-                F.lit("52."), F.col("c_nationkey").cast("string"), F.lit(".0."), (k % 37).cast("string")
-            ),
-        )
-        .withColumn("port", (9000 + k % 7).cast("int"))
-        .withColumn("user_agent", F.when(k % 13 != 0, _agent(parsed_network, k % 12)))
-        .withColumn("client", parse_client(F.col("user_agent"), parsed_network))
-        .withColumn("last_activity", F.when(k % 11 != 0, F.col("last_order")))
+    rows = rows.selectExpr(
+        "c_custkey AS k",
+        "c_name AS peer_id",
+        "c_acctbal",
+        f"{pick(D.NETWORKS, 'c_custkey % 5')} AS read_as",
+        f"{pick(D.NETWORKS, '(c_custkey + cast(c_custkey % 29 = 7 AS int)) % 5')} AS network",
+        "concat('52.', c_nationkey, '.0.', c_custkey % 37) AS ip",
+        "cast(9000 + c_custkey % 7 AS int) AS port",
+        f"CASE WHEN c_custkey % 13 <> 0 THEN {_agent('c_custkey % 5', 'c_custkey % 12')} END AS user_agent",
+        "CASE WHEN c_custkey % 11 <> 0 THEN last_order END AS last_activity",
     )
-    return rows.select(
-        k.cast("int").alias("id"),
-        F.col("c_name").alias("peer_id"),
+    return with_client(rows, "user_agent", "read_as").selectExpr(
+        "cast(k AS int) AS id",
+        "peer_id",
         "network",
-        F.array(
-            F.lit("/ip4/10.0.0.1/tcp/1"),
-            F.concat(F.lit("/ip4/"), "ip", F.lit("/tcp/"), F.col("port").cast("string")),
-        ).alias("multi_addrs"),
+        "array('/ip4/10.0.0.1/tcp/1', concat('/ip4/', ip, '/tcp/', port)) AS multi_addrs",
         "ip",
         "port",
         "user_agent",
-        "client.client_name",
-        "client.client_version",
-        "client.client_os",
-        "client.client_arch",
-        F.when(F.col("user_agent").isNotNull(), F.lit("eth2/1.0.0")).alias("protocol_version"),
-        F.slice(F.array(*[F.lit(p) for p in PROTOCOLS]), 1, (1 + k % 4).cast("int")).alias(
-            "sup_protocols"
-        ),
-        F.when(k % 23 != 0, (F.floor(F.abs("c_acctbal")) % 1200).cast("int")).alias("latency"),
-        (F.col("c_acctbal") < 0).alias("deprecated"),
-        F.when(k % 9 != 0, F.lit(True)).alias("attempted"),
+        "client_name",
+        "client_version",
+        "client_os",
+        "client_arch",
+        "CASE WHEN user_agent IS NOT NULL THEN 'eth2/1.0.0' END AS protocol_version",
+        f"slice({_list(PROTOCOLS)}, 1, cast(1 + k % 4 AS int)) AS sup_protocols",
+        "CASE WHEN k % 23 <> 0 THEN cast(floor(abs(c_acctbal)) % 1200 AS int) END AS latency",
+        "c_acctbal < 0 AS deprecated",
+        "CASE WHEN k % 9 <> 0 THEN true END AS attempted",
         "last_activity",
-        (F.col("last_activity") + 60).alias("last_conn_attempt"),
-        _pick(D.ERROR_CODES, k % 29).alias("last_error"),
+        "last_activity + 60 AS last_conn_attempt",
+        f"{pick(D.ERROR_CODES, 'k % 29')} AS last_error",
     )
 
 
 def geo_answers(spark, directory):
-    """One geolocation answer per address in use; some lookups fail."""
+    """One geolocation answer per address in use; some lookups fail.
+
+    Host 32 is answered, but without a place.
+    """
     nation = table(spark, directory, "nation")
     region = table(spark, directory, "region")
     addresses = (
         table(spark, directory, "customer")
-        .select(F.col("c_nationkey").alias("nk"), (F.col("c_custkey") % 37).alias("host"))
+        .selectExpr("c_nationkey AS nk", "c_custkey % 37 AS host")
         .distinct()
     )
     located = addresses.join(nation, addresses.nk == nation.n_nationkey).join(
         region, nation.n_regionkey == region.r_regionkey
     )
-    nk, host = F.col("nk"), F.col("host")
-    empty = host == 32  # answered, but without a place
-    return located.select(
-        (nk * 37 + host).cast("int").alias("id"),
-        F.concat(F.lit("52."), nk.cast("string"), F.lit(".0."), host.cast("string")).alias("ip"),
-        F.when(host < 33, "success").otherwise("fail").alias("status"),
-        (F.lit(AS_OF).cast("timestamp") + F.make_dt_interval((nk - 12).cast("int"))).alias(
-            "expiration_time"
-        ),
-        F.col("r_name").alias("continent"),
-        F.concat(F.lit("R"), F.col("r_regionkey").cast("string")).alias("continent_code"),
-        F.when(empty, "").otherwise(F.col("n_name")).alias("country"),
-        F.concat(F.lit("C"), nk.cast("string")).alias("country_code"),
-        (nk % 4).cast("string").alias("region"),
-        F.concat("n_name", F.lit(" area")).alias("region_name"),
-        F.when(empty | (nk % 6 == 0), "").otherwise(F.col("n_name")).alias("city"),
-        F.lit("").alias("zip"),
-        (nk - 12.25).cast("float").alias("lat"),
-        (nk * 2 + 0.5).cast("float").alias("lon"),
-        F.concat(F.lit("ISP"), (nk % 8).cast("string")).alias("isp"),
-        F.when(nk % 8 == 0, "").otherwise(F.concat(F.lit("AS"), (nk % 8).cast("string"))).alias("org"),
-        F.concat(F.lit("AS6450"), (nk % 8).cast("string"), F.lit(" raw")).alias("as_raw"),
-        F.when(nk % 8 == 0, "").otherwise(F.concat(F.lit("AS"), (nk % 8).cast("string"))).alias("asname"),
-        (nk % 7 == 0).alias("mobile"),
-        (nk % 5 == 0).alias("proxy"),
-        (nk % 3 == 0).alias("hosting"),
+    return located.selectExpr(
+        "cast(nk * 37 + host AS int) AS id",
+        "concat('52.', nk, '.0.', host) AS ip",
+        "CASE WHEN host < 33 THEN 'success' ELSE 'fail' END AS status",
+        f"timestamp'{AS_OF}' + make_dt_interval(cast(nk - 12 AS int)) AS expiration_time",
+        "r_name AS continent",
+        "concat('R', r_regionkey) AS continent_code",
+        "CASE WHEN host = 32 THEN '' ELSE n_name END AS country",
+        "concat('C', nk) AS country_code",
+        "cast(nk % 4 AS string) AS region",
+        "concat(n_name, ' area') AS region_name",
+        "CASE WHEN host = 32 OR nk % 6 = 0 THEN '' ELSE n_name END AS city",
+        "'' AS zip",
+        "cast(nk - 12.25 AS float) AS lat",
+        "cast(nk * 2 + 0.5 AS float) AS lon",
+        "concat('ISP', nk % 8) AS isp",
+        "CASE WHEN nk % 8 = 0 THEN '' ELSE concat('AS', nk % 8) END AS org",
+        "concat('AS6450', nk % 8, ' raw') AS as_raw",
+        "CASE WHEN nk % 8 = 0 THEN '' ELSE concat('AS', nk % 8) END AS asname",
+        "nk % 7 = 0 AS mobile",
+        "nk % 5 = 0 AS proxy",
+        "nk % 3 = 0 AS hosting",
     )
 
 
@@ -195,12 +190,12 @@ def geo_answer_json(spark, directory):
 
 def events(source):
     """Common columns of every event log; works on a batch or a streaming read."""
-    return source.select(
-        F.concat(F.lit("Customer#"), F.lpad(F.col("user_id").cast("string"), 9, "0")).alias("peer_id"),
-        F.col("ts").cast("timestamp").alias("ts"),
-        F.col("event_id").alias("seq"),
-        F.col("user_id").alias("u"),
-        F.col("event_id").alias("e"),
+    return source.selectExpr(
+        "concat('Customer#', lpad(cast(user_id AS string), 9, '0')) AS peer_id",
+        "cast(ts AS timestamp) AS ts",
+        "event_id AS seq",
+        "user_id AS u",
+        "event_id AS e",
         "event_type",
         "value",
         "props",
@@ -211,154 +206,123 @@ def read_events(spark, directory):
     return events(table(spark, directory, "events"))
 
 
-def _event_address():
-    return F.concat(
-        F.lit("/ip4/52."), (F.col("u") % 25).cast("string"), F.lit(".0."), (F.col("e") % 37).cast("string"),
-        F.lit("/tcp/"), (9000 + F.col("e") % 7).cast("string"),
-    )
-
-
-def _latency_ns():
-    return F.round(F.col("value") * 1_000_000).cast("long")
+_ADDRESS = "concat('/ip4/52.', u % 25, '.0.', e % 37, '/tcp/', 9000 + e % 7)"
+_LATENCY = "cast(round(value * 1000000) AS bigint)"
+_SLOT = f"floor((unix_timestamp(ts) - {D.MAINNET_GENESIS}) / {D.SECONDS_PER_SLOT})"
 
 
 def conn_halves(ev):
     """Open and close notifications."""
-    opened = F.col("event_type") == "view"
-    identified = F.col("e") % 6 != 0
-    return ev.filter(F.col("event_type").isin("view", "click")).select(
+    return ev.filter("event_type IN ('view', 'click')").selectExpr(
         "peer_id",
-        F.when(opened, "open").otherwise("close").alias("kind"),
+        "CASE event_type WHEN 'view' THEN 'open' ELSE 'close' END AS kind",
         "ts",
         "seq",
-        F.when(opened, (F.col("e") % 3).cast("int")).alias("direction"),
-        F.when(opened, _latency_ns()).alias("latency_ns"),
-        F.when(opened, identified).alias("identified"),
-        F.when(
-            opened, F.when(identified, "None").otherwise("error requesting metadata")
-        ).alias("error"),
+        "CASE event_type WHEN 'view' THEN cast(e % 3 AS int) END AS direction",
+        f"CASE event_type WHEN 'view' THEN {_LATENCY} END AS latency_ns",
+        "CASE event_type WHEN 'view' THEN e % 6 <> 0 END AS identified",
+        "CASE event_type WHEN 'view' THEN IF(e % 6 <> 0, 'None', 'error requesting metadata') END AS error",
     )
 
 
 def raw_dials(ev):
     """Outcome of every dial: no message on success."""
     fragments = [f for _, f in D.ERROR_FRAGMENTS] + ["something else"]
-    message = F.concat(F.lit("dial failed: "), _pick(fragments, F.col("e") % len(fragments)))
-    return ev.filter(F.col("event_type").isin("purchase", "error")).select(
-        "peer_id",
-        "ts",
-        "seq",
-        F.when(F.col("event_type") == "error", message).alias("message"),
+    message = f"concat('dial failed: ', {pick(fragments, f'e % {len(fragments)}')})"
+    return ev.filter("event_type IN ('purchase', 'error')").selectExpr(
+        "peer_id", "ts", "seq", f"CASE event_type WHEN 'error' THEN {message} END AS message"
     )
 
 
 def discoveries(ev):
     """Peers announced by discovery, known ones included."""
-    e, u = F.col("e"), F.col("u")
-    private = F.lit("/ip4/10.0.0.1/tcp/1")
-    return ev.filter(F.col("event_type") == "signup").select(
+    return ev.filter("event_type = 'signup'").selectExpr(
         "peer_id",
         "ts",
         "seq",
-        _pick(D.NETWORKS, (u + (e % 11 == 0).cast("int")) % 5).alias("network"),
-        F.when(e % 19 == 0, F.array(private)).otherwise(F.array(private, _event_address())).alias(
-            "multi_addrs"
-        ),
-        F.when(e % 31 != 0, F.concat(F.lit("52.0.0."), (e % 37).cast("string"))).alias("node_ip"),
-        F.when(e % 17 == 0, 0).otherwise(9000 + e % 7).cast("int").alias("node_tcp"),
+        f"{pick(D.NETWORKS, '(u + cast(e % 11 = 0 AS int)) % 5')} AS network",
+        f"""IF(e % 19 = 0, array('/ip4/10.0.0.1/tcp/1'),
+               array('/ip4/10.0.0.1/tcp/1', {_ADDRESS})) AS multi_addrs""",
+        "CASE WHEN e % 31 <> 0 THEN concat('52.0.0.', e % 37) END AS node_ip",
+        "cast(IF(e % 17 = 0, 0, 9000 + e % 7) AS int) AS node_tcp",
     )
 
 
-def _slot_now():
-    return F.floor((F.unix_timestamp("ts") - D.MAINNET_GENESIS) / D.SECONDS_PER_SLOT)
-
-
 def raw_connections(ev):
     """Opened connections with everything the peer answered."""
-    e, u = F.col("e"), F.col("u")
-    network = _pick(D.NETWORKS, u % 5)
-    status_ok = e % 4 != 0
-    metadata_ok = e % 3 != 0
-    digest = F.md5(e.cast("string"))
-    return ev.filter(F.col("event_type") == "view").select(
+    return ev.filter("event_type = 'view'").withColumn("h", F.expr("md5(cast(e AS string))")).selectExpr(
         "peer_id",
         "ts",
         "seq",
-        network.alias("network"),
-        F.array(_event_address()).alias("multi_addrs"),
-        F.when(e % 6 == 0, "context deadline exceeded").alias("identify_error"),
-        F.when(e % 13 == 0, "").otherwise(_agent(network, e % 12)).alias("user_agent"),
-        F.when(e % 13 == 0, "").otherwise("eth2/1.0.0").alias("protocol_version"),
-        F.when(e % 13 != 0, F.slice(F.array(*[F.lit(p) for p in PROTOCOLS]), 1, (1 + e % 4).cast("int")))
-        .otherwise(F.array().cast("array<string>"))
-        .alias("protocols"),
-        _latency_ns().alias("latency_ns"),
-        F.when(~status_ok, "stream reset").alias("status_error"),
-        F.when(status_ok, _pick(DIGESTS, u % 4)).alias("fork_digest"),
-        F.when(status_ok, digest).alias("finalized_root"),
-        F.when(status_ok, F.floor(_slot_now() / 32) - 2).alias("finalized_epoch"),
-        F.when(status_ok, F.md5(digest)).alias("head_root"),
-        F.when(status_ok, _slot_now() - e % 3).alias("head_slot"),
-        F.when(~metadata_ok, "stream reset").alias("metadata_error"),
-        F.when(metadata_ok, e % 100).alias("seq_number"),
-        F.when(metadata_ok, F.substring(digest, 1, 16)).alias("attnets"),
-        F.when(metadata_ok, F.substring(digest, 17, 2)).alias("syncnets"),
+        f"{pick(D.NETWORKS, 'u % 5')} AS network",
+        f"array({_ADDRESS}) AS multi_addrs",
+        "CASE WHEN e % 6 = 0 THEN 'context deadline exceeded' END AS identify_error",
+        f"CASE WHEN e % 13 = 0 THEN '' ELSE {_agent('u % 5', 'e % 12')} END AS user_agent",
+        "CASE WHEN e % 13 = 0 THEN '' ELSE 'eth2/1.0.0' END AS protocol_version",
+        f"""IF(e % 13 = 0, cast(array() AS array<string>),
+               slice({_list(PROTOCOLS)}, 1, cast(1 + e % 4 AS int))) AS protocols""",
+        f"{_LATENCY} AS latency_ns",
+        "CASE WHEN e % 4 = 0 THEN 'stream reset' END AS status_error",
+        f"CASE WHEN e % 4 <> 0 THEN {pick(DIGESTS, 'u % 4')} END AS fork_digest",
+        "CASE WHEN e % 4 <> 0 THEN h END AS finalized_root",
+        f"CASE WHEN e % 4 <> 0 THEN floor({_SLOT} / 32) - 2 END AS finalized_epoch",
+        "CASE WHEN e % 4 <> 0 THEN md5(h) END AS head_root",
+        f"CASE WHEN e % 4 <> 0 THEN {_SLOT} - e % 3 END AS head_slot",
+        "CASE WHEN e % 3 = 0 THEN 'stream reset' END AS metadata_error",
+        "CASE WHEN e % 3 <> 0 THEN e % 100 END AS seq_number",
+        "CASE WHEN e % 3 <> 0 THEN substring(h, 1, 16) END AS attnets",
+        "CASE WHEN e % 3 <> 0 THEN substring(h, 17, 2) END AS syncnets",
     )
 
 
 def messages(ev):
     """Gossip messages with decoded slot and proposer."""
-    e = F.col("e")
-    bare = DIGEST[2:]
-    subnet = F.when(e % 7 == 0, F.lit("x")).otherwise((1 + F.floor(e / 3) % 64).cast("string"))
-    kind = (
-        F.when(e % 3 == 0, F.concat(F.lit(D.ATTESTATION_PREFIX), subnet))
-        .when(e % 3 == 1, D.BLOCK_TOPIC)
-        .otherwise("voluntary_exit")
-    )
-    return ev.filter(F.col("event_type").isin("purchase", "signup")).select(
-        F.col("peer_id").alias("sender"),
-        F.concat(F.lit(f"/eth2/{bare}/"), kind, F.lit("/" + D.TOPIC_ENCODING)).alias("topic"),
-        F.col("props").alias("payload"),
-        F.when(e % 50 == 0, F.lit(0)).otherwise(_slot_now() - e % 2).cast("long").alias("slot"),
-        (e % 1000).alias("proposer"),
-        F.col("ts").alias("arrival_time"),
+    return ev.filter("event_type IN ('purchase', 'signup')").selectExpr(
+        "peer_id AS sender",
+        f"""concat('/eth2/{DIGEST[2:]}/',
+               CASE e % 3 WHEN 0 THEN concat('{D.ATTESTATION_PREFIX}', IF(e % 7 = 0, 'x', cast(1 + e div 3 % 64 AS string)))
+                          WHEN 1 THEN '{D.BLOCK_TOPIC}' ELSE 'voluntary_exit' END,
+               '/{D.TOPIC_ENCODING}') AS topic""",
+        "props AS payload",
+        f"cast(IF(e % 50 = 0, 0, {_SLOT} - e % 2) AS bigint) AS slot",
+        "e % 1000 AS proposer",
+        "ts AS arrival_time",
         "seq",
     )
 
 
 def raw_records(spark, directory):
     """Node records as announced: several per node, fields still in hex."""
-    p = F.col("p_partkey")
-    node = F.floor(p / 4)
-    digest = F.substring(_pick(DIGESTS, (node + p) % 4), 3, 8)
-    epoch = F.when(p % 2 == 0, "ffffffffffffffff").otherwise("2c01000000000000")
-    eth2 = (
-        F.when(p % 17 == 0, F.lit(None).cast("string"))
-        .when(p % 19 == 0, "0x1234")
-        .when(p % 23 == 0, F.concat(F.lit("0x0000000001000000"), epoch))
-        .otherwise(F.concat(F.lit("0x"), digest, F.lit("01000000"), epoch))
+    rows = table(spark, directory, "part").selectExpr(
+        "p_partkey AS p",
+        "p_partkey div 4 AS node",
+        "p_size",
+        "p_name",
+        "IF(p_partkey % 2 = 0, 'ffffffffffffffff', '2c01000000000000') AS epoch",
     )
-    return table(spark, directory, "part").select(
-        (F.unix_timestamp(F.lit(AS_OF).cast("timestamp")) - (p % 48) * 3600).alias("timestamp"),
-        p.alias("ord"),
-        F.concat(F.lit("P"), F.floor(node / 2).cast("string")).alias("peer_id"),
-        F.md5(node.cast("string")).alias("node_id"),
-        F.col("p_size").cast("long").alias("seq"),
-        F.concat(F.lit("53.0.0."), (p % 200).cast("string")).alias("ip"),
-        (9000 + p % 7).cast("int").alias("tcp"),
-        (9000 + p % 5).cast("int").alias("udp"),
-        F.md5(F.concat(F.lit("k"), F.floor(node / 3).cast("string"))).alias("pubkey"),
-        eth2.alias("eth2"),
-        F.when(p % 10 != 0, F.substring(F.md5("p_name"), 1, 16)).alias("attnets"),
+    return rows.selectExpr(
+        f"unix_timestamp(timestamp'{AS_OF}') - (p % 48) * 3600 AS timestamp",
+        "p AS ord",
+        "concat('P', node div 2) AS peer_id",
+        "md5(cast(node AS string)) AS node_id",
+        "cast(p_size AS bigint) AS seq",
+        "concat('53.0.0.', p % 200) AS ip",
+        "cast(9000 + p % 7 AS int) AS tcp",
+        "cast(9000 + p % 5 AS int) AS udp",
+        "md5(concat('k', node div 3)) AS pubkey",
+        f"""CASE WHEN p % 17 = 0 THEN NULL
+                WHEN p % 19 = 0 THEN '0x1234'
+                WHEN p % 23 = 0 THEN concat('0x0000000001000000', epoch)
+                ELSE concat({pick(DIGESTS, '(node + p) % 4')}, '01000000', epoch) END AS eth2""",
+        "CASE WHEN p % 10 <> 0 THEN substring(md5(p_name), 1, 16) END AS attnets",
     )
 
 
 def probes(spark, directory):
     """Routing-table probes: one neighbour per row, or a failed probe."""
-    return table(spark, directory, "lineitem").select(
-        F.col("l_suppkey").alias("peer"),
-        F.col("l_linenumber").alias("cpl"),
-        F.col("l_partkey").alias("neighbour"),
-        (F.col("l_returnflag") == "R").alias("failed"),
+    return table(spark, directory, "lineitem").selectExpr(
+        "l_suppkey AS peer",
+        "l_linenumber AS cpl",
+        "l_partkey AS neighbour",
+        "l_returnflag = 'R' AS failed",
     )

@@ -9,9 +9,9 @@ from peerlens.schemas import TABLES
 # Physical layout: the column each table is partitioned by on write.
 LAYOUT = {
     "peer_info": ("network", None),
-    "conn_events": ("conn_date", F.to_date(F.timestamp_seconds("conn_time"))),
-    "eth_attestations": ("arrival_date", F.to_date("arrival_time")),
-    "eth_blocks": ("arrival_date", F.to_date("arrival_time")),
+    "conn_events": ("conn_date", "to_date(timestamp_seconds(conn_time))"),
+    "eth_attestations": ("arrival_date", "to_date(arrival_time)"),
+    "eth_blocks": ("arrival_date", "to_date(arrival_time)"),
 }
 
 
@@ -45,7 +45,7 @@ def save(df, directory, table, mode="overwrite"):
         out.write.mode(mode).parquet(path)
         return path
     if expression is not None:
-        out = out.withColumn(column, expression)
+        out = out.withColumn(column, F.expr(expression))
     # `rebalance` splits large partition values and merges small ones.
     out.hint("rebalance", column).write.mode(mode).partitionBy(column).parquet(path)
     return path
