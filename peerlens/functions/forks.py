@@ -35,23 +35,35 @@ def genesis_defaulted(digest):
     return ~F.coalesce(digest.isin(listed), F.lit(False))
 
 
-def hex_normalise(text, kind):
-    """struct(value, error): strip 0x, check alphabet, check length."""
-    bare = F.regexp_replace(text, "^0x", "")
-    error = (
+def _bare(text):
+    return F.regexp_replace(text, "^0x", "")
+
+
+def hex_error(bare, kind):
+    """Why a hex text without prefix is not acceptable, or NULL."""
+    return (
         F.when(bare.isNull(), F.lit("missing"))
-        .when(~bare.rlike("^([0-9a-fA-F]{2})*$"), F.lit("invalid hex"))
+        .when(~bare.rlike("^[0-9a-fA-F]*$") | (F.length(bare) % 2 == 1), F.lit("invalid hex"))
         .when(F.length(bare) != HEX_LENGTH[kind], F.lit("invalid size"))
     )
+
+
+def hex_normalise(text, kind):
+    """struct(value, error): strip 0x, check alphabet, check length."""
+    bare = _bare(text)
+    error = hex_error(bare, kind)
     return F.struct(F.when(error.isNull(), F.lower(bare)).alias("value"), error.alias("error"))
 
 
 def attnets_count(bitmask):
-    """Set bits of a hex bitmask by nibble classes; -1 without a bitmask."""
-    h = F.lower(F.regexp_replace(bitmask, "^0x", ""))
-    classes = [(1, "[^1248]"), (2, "[^3569ac]"), (3, "[^7bde]"), (4, "[^f]")]
-    bits = reduce(add, [F.length(F.regexp_replace(h, others, "")) * n for n, others in classes])
-    return F.coalesce(bits, F.lit(-1)).cast("int")
+    """Set bits of a hex bitmask by nibble classes; -1 without a bitmask.
+
+    Works for any length: the digits with n bits are counted by removing them.
+    """
+    h = F.lower(_bare(bitmask))
+    classes = [(1, "1248"), (2, "3569ac"), (3, "7bde"), (4, "f")]
+    bits = [(F.length(h) - F.length(F.translate(h, digits, ""))) * n for n, digits in classes]
+    return F.coalesce(reduce(add, bits), F.lit(-1)).cast("int")
 
 
 def eth2_data_fields(text):
@@ -59,21 +71,19 @@ def eth2_data_fields(text):
 
     The epoch is a little-endian unsigned 64-bit number, kept as text.
     """
-    checked = hex_normalise(text, "eth2")
-    value = checked["value"]
-    digest = F.concat(F.lit("0x"), F.substring(value, 1, 8))
-    flipped = F.concat(*[F.substring(value, 31 - 2 * i, 2) for i in range(8)])
+    bare = F.lower(_bare(text))
     error = F.when(
         text.isNotNull(),
         F.coalesce(
-            checked["error"],
-            F.when(digest == "0x00000000", F.lit("fork digest is empty")),
+            hex_error(bare, "eth2"),
+            F.when(F.substring(bare, 1, 8) == "00000000", F.lit("fork digest is empty")),
         ),
     )
+    flipped = F.concat(*[F.substring(bare, 31 - 2 * i, 2) for i in range(8)])
     good = text.isNotNull() & error.isNull()
     return F.struct(
-        F.when(good, digest).alias("fork_digest"),
-        F.when(good, F.concat(F.lit("0x"), F.substring(value, 9, 8))).alias("next_fork_version"),
+        F.when(good, F.concat(F.lit("0x"), F.substring(bare, 1, 8))).alias("fork_digest"),
+        F.when(good, F.concat(F.lit("0x"), F.substring(bare, 9, 8))).alias("next_fork_version"),
         F.when(good, F.conv(flipped, 16, 10)).alias("next_fork_epoch"),
         text.isNotNull().alias("exists"),
         error.alias("error"),

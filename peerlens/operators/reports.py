@@ -33,13 +33,14 @@ def _located(peers, ips, network, since, until):
 
 def peer_locations(peers, ips, network=None, since=None, until=None, ordered=True):
     rows = _located(peers, ips, network, since, until).select(LOCATION_COLUMNS)
-    return rows.orderBy("network", "country", "city") if ordered else rows
+    # The peer breaks ties, so that one city's rows can be sorted by many tasks.
+    return rows.orderBy("network", "country", "city", "peer_id") if ordered else rows
 
 
 def all_ips(peers, ips, network=None, since=None, until=None, ordered=True):
     used = listed_peers(peers, network, since, until).select("ip").distinct()
     rows = _geo(ips).join(used, "ip", "left_semi").select(IP_COLUMNS)
-    return rows.orderBy("country", "city") if ordered else rows
+    return rows.orderBy("country", "city", "ip") if ordered else rows
 
 
 def counted_addresses(peers, ips, network=None, since=None, until=None, by=()):
@@ -184,7 +185,7 @@ def network_locations_outer(peers, ips, network):
         "country_code", "city", "lat", "lon", "isp", "org", "asname", "hosting",
     ]
     rows = listed_peers(peers, network).join(_geo(ips), "ip", "left")
-    return rows.orderBy(F.col("last_activity").desc_nulls_first()).select(columns)
+    return rows.orderBy(F.col("last_activity").desc_nulls_first(), "peer_id").select(columns)
 
 
 def peer_locations_small(peers, ips, network=None, columns=10):
@@ -194,7 +195,7 @@ def peer_locations_small(peers, ips, network=None, columns=10):
         10: ["peer_id", "ip", "port", "country", "city", "lat", "lon", "isp", "org", "hosting"],
     }[columns]
     rows = peer_locations(peers, ips, network, ordered=False).select(chosen)
-    return rows.orderBy("country", "city") if columns == 10 else rows
+    return rows.orderBy("country", "city", "peer_id") if columns == 10 else rows
 
 
 def networks(peers):

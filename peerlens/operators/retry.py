@@ -4,9 +4,9 @@ A peer's *life* starts at a discovery and ends at the failed attempt that comes
 too long after the last success (or after the start).  Attempts outside a life
 concern peers that are not in the queue and are ignored.
 
-No step gathers a peer's history: lives come from minima, the state from
-mergeable aggregates, so a peer with a third of all attempts is split by partial
-aggregation and by the skew join.
+No step gathers a peer's history: lives come from minima and the state from
+mergeable aggregates, which combine on the map side, and joins back to the
+attempts are salted.  A peer with a third of all attempts stays spread.
 """
 
 from functools import reduce
@@ -14,13 +14,17 @@ from functools import reduce
 from pyspark.sql import functions as F
 
 from peerlens import domains as D
+from peerlens.operators.skew import salted_join
 from peerlens.operators.timeline import with_latest_before
 from peerlens.plans.policy import DEFAULT_POLICY
 from peerlens.session import cut
 
 
-def _ord(prefix=""):
-    return F.struct(F.col(prefix + "ts"), F.col(prefix + "seq"))
+POSITION = ("ts", "seq")
+
+
+def _ord():
+    return F.struct(*POSITION)
 
 
 def _until(df, as_of):
@@ -59,7 +63,9 @@ def peer_lives(attempts, hosts, policy=DEFAULT_POLICY, as_of=None):
     )
     # No life ends before the first one could; usually that leaves next to nothing.
     stale = cut(
-        stale_failures(attempts, policy).join(begin, "peer_id").filter(overdue).drop("start"),
+        salted_join(stale_failures(attempts, policy), begin, "peer_id", POSITION)
+        .filter(overdue)
+        .drop("start"),
         "stale",
     )
     if stale.isEmpty():
@@ -68,20 +74,22 @@ def peer_lives(attempts, hosts, policy=DEFAULT_POLICY, as_of=None):
     lives, number = [], 1
     while True:
         ends = (
-            stale.join(begin, "peer_id")
+            salted_join(stale, begin, "peer_id", POSITION)
             .filter(overdue)
             .groupBy("peer_id")
             .agg(F.min(_ord()).alias("end"))
         )
-        life = begin.join(ends, "peer_id", "left").withColumn("life", F.lit(number))
-        life = cut(life.select("peer_id", "life", "start", "end"), "life")
-        lives.append(life)
-        begin = cut(
-            found.join(life.filter(F.col("end").isNotNull()).select("peer_id", "end"), "peer_id")
+        again = (
+            salted_join(found, ends, "peer_id", POSITION)
             .filter(_ord() > F.col("end"))
             .groupBy("peer_id")
-            .agg(F.min(_ord()).alias("start")),
-            "begin",
+            .agg(F.min(_ord()).alias("again"))
+        )
+        step = begin.join(ends, "peer_id", "left").join(again, "peer_id", "left")
+        step = cut(step.select("peer_id", F.lit(number).alias("life"), "start", "end", "again"), "life")
+        lives.append(step.drop("again"))
+        begin = step.filter(F.col("again").isNotNull()).select(
+            "peer_id", F.col("again").alias("start")
         )
         if begin.isEmpty():
             break
@@ -93,7 +101,7 @@ def live_attempts(attempts, lives):
     """Attempts inside a life, with its number and whether they end it."""
     inside = (_ord() > F.col("start")) & (F.col("end").isNull() | (_ord() <= F.col("end")))
     return (
-        attempts.join(lives, "peer_id")
+        salted_join(attempts, lives, "peer_id", POSITION)
         .filter(inside)
         .withColumn("deprecable", F.coalesce(_ord() == F.col("end"), F.lit(False)))
         .drop("start", "end")
@@ -123,8 +131,12 @@ def retry_history(attempts, hosts, policy=DEFAULT_POLICY, as_of=None):
     )
     latest = latest.select("peer_id", "life", "last", other.alias("other"))
     runs = (
-        live.select("peer_id", "life", "ts", "seq")
-        .join(latest.select("peer_id", "life", "other"), ["peer_id", "life"])
+        salted_join(
+            live.select("peer_id", "life", "ts", "seq"),
+            latest.select("peer_id", "life", "other"),
+            ["peer_id", "life"],
+            POSITION,
+        )
         .filter(F.col("other").isNull() | (_ord() > F.col("other")))
         .groupBy("peer_id", "life")
         .agg(F.count(F.lit(1)).alias("degree"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from peerlens import domains as D
 from peerlens.operators import reports
+from peerlens.operators.skew import salted_join
 from peerlens.session import cut
 
 # File names of the exports.
@@ -70,7 +71,7 @@ def export_networks(peers, ips, directory):
     """
     by = ["network"]
     counted = cut(reports.counted_addresses(peers, ips, by=by), "counted")
-    addresses = counted.select(*by, *reports.IP_COLUMNS).orderBy(*by, "country", "city")
+    addresses = counted.select(*by, *reports.IP_COLUMNS).orderBy(*by, "country", "city", "ip")
     results = {
         "peers": reports.peer_locations(peers, ips),
         "ips": addresses,
@@ -168,13 +169,16 @@ def _empty(column, kind="string"):
 
 
 def timed_attestations(attestations, peers):
-    """Attestations with what is known of their sender; unknown senders get empty fields."""
+    """Attestations with what is known of their sender; unknown senders get empty fields.
+
+    Also the streaming form (stream-static join); a busy sender is salted.
+    """
     known = peers.select(
         F.col("peer_id").alias("sender"), "ip", "port", "user_agent",
         (F.col("latency").cast("long") * 1_000_000).alias("latency"),
         "sup_protocols", "protocol_version",
     )
-    joined = attestations.join(known, "sender", "left")
+    joined = salted_join(attestations, known, "sender", ["seq"], "left")
     return joined.select(
         "msg_id",
         "seq",
