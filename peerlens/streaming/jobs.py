@@ -100,6 +100,16 @@ def message_rates(messages, tick=D.METRIC_TICK, late="1 minute"):
     return distributions.messages_per_topic(messages.withWatermark("arrival_time", late), tick)
 
 
+def topic_senders(messages, every="1 minute", late="1 minute", error=0.02):
+    """Senders per topic and closed window, estimated: a stream cannot count them exactly."""
+    return (
+        messages.withWatermark("arrival_time", late)
+        .groupBy(F.window("arrival_time", every).alias("w"), "topic")
+        .agg(F.approx_count_distinct("sender", error).alias("peers"))
+        .select(F.unix_timestamp("w.start").alias("window_start"), "topic", "peers")
+    )
+
+
 # ------------------------------------------------------------ versioned state
 
 
@@ -147,26 +157,27 @@ def pair_conn_stream(halves, path, late_seconds=0, trigger=None):
 
     A half is settled once it is older than the newest one by `late_seconds`.
     Pairs are emitted when the following half has settled; the state keeps the
-    unsettled halves and each peer's last settled one.
+    unsettled halves and the settled opens that still wait for one.
     """
     state = VersionedState(halves.sparkSession, path)
 
     def handle(batch, batch_id):
         pending = state.read(batch_id - 1, HALF_SCHEMA)
-        known = pending.unionByName(batch.select(*HALF_SCHEMA.fieldNames()))
+        known = pending.unionByName(batch.select(*HALF_SCHEMA.fieldNames())).persist()
         border = known.select(
             F.timestamp_micros(F.max(F.unix_micros("ts")) - late_seconds * 1_000_000)
         ).scalar()
         settled = F.col("ts") <= border
-        done = connections.pair_conn_events(known.filter(settled))
-        state.write(done, batch_id, "out")
-        last = (
+        state.write(connections.pair_conn_events(known.filter(settled)), batch_id, "out")
+        waiting = (
             known.filter(settled)
             .groupBy("peer_id")
             .agg(F.max_by(F.struct(*HALF_SCHEMA.fieldNames()[1:]), folds.position()).alias("h"))
+            .filter(F.col("h.kind") == "open")
             .select("peer_id", "h.*")
         )
-        state.write(known.filter(~settled).unionByName(last), batch_id)
+        state.write(known.filter(~settled).unionByName(waiting), batch_id)
+        known.unpersist()
 
     query = run_batches(halves, path, handle, trigger)
     return state, query

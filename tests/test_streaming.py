@@ -90,6 +90,15 @@ def test_message_rates_on_closed_windows(spark, stream, batch, tmp_path):
     assert rows(got) == rows(wanted.filter(F.col("window_start") <= border).select(got.columns))
 
 
+def test_topic_senders_are_close(spark, stream, batch, tmp_path):
+    jobs.run_to_end(jobs.topic_senders(bridge.messages(stream), "1 day"), str(tmp_path / "t"))
+    exact = batch.messages.groupBy(
+        F.unix_timestamp(F.window("arrival_time", "1 day")["start"]).alias("window_start"), "topic"
+    ).agg(F.count_distinct("sender").alias("n"))
+    both = spark.read.parquet(str(tmp_path / "t")).join(exact, ["window_start", "topic"])
+    assert both.count() > 100 and both.filter(F.abs(F.col("peers") - F.col("n")) > 1).count() == 0
+
+
 def test_published_events(spark, stream, batch, tmp_path):
     out = jobs.attestation_event_stream(jobs.gossip_stream(stream, "attestation", bridge.SELF_ID), batch.peers_listed)
     jobs.run_to_end(out, str(tmp_path / "p"))
