@@ -66,27 +66,41 @@ def attnets_count(bitmask):
     return F.coalesce(reduce(add, bits), F.lit(-1)).cast("int")
 
 
-def eth2_data_fields(text):
-    """struct(fork_digest, next_fork_version, next_fork_epoch, exists, error).
+def _eth2_error(text, bare):
+    empty = F.when(F.substring(bare, 1, 8) == "00000000", F.lit("fork digest is empty"))
+    return F.when(text.isNotNull(), F.coalesce(hex_error(bare, "eth2"), empty))
+
+
+def _eth2_parts(text, bare, error):
+    """Named columns out of a checked record field.
 
     The epoch is a little-endian unsigned 64-bit number, kept as text.
     """
-    bare = F.lower(_bare(text))
-    error = F.when(
-        text.isNotNull(),
-        F.coalesce(
-            hex_error(bare, "eth2"),
-            F.when(F.substring(bare, 1, 8) == "00000000", F.lit("fork digest is empty")),
-        ),
-    )
     flipped = F.concat(*[F.substring(bare, 31 - 2 * i, 2) for i in range(8)])
     good = text.isNotNull() & error.isNull()
-    return F.struct(
+    return [
         F.when(good, F.concat(F.lit("0x"), F.substring(bare, 1, 8))).alias("fork_digest"),
         F.when(good, F.concat(F.lit("0x"), F.substring(bare, 9, 8))).alias("next_fork_version"),
         F.when(good, F.conv(flipped, 16, 10)).alias("next_fork_epoch"),
         text.isNotNull().alias("exists"),
         error.alias("error"),
+    ]
+
+
+def eth2_data_fields(text):
+    """struct(fork_digest, next_fork_version, next_fork_epoch, exists, error)."""
+    bare = F.lower(_bare(text))
+    return F.struct(*_eth2_parts(text, bare, _eth2_error(text, bare)))
+
+
+def with_eth2_data(df, column="eth2"):
+    """Add the same fields as columns, one step per projection to keep each small."""
+    text = F.col(column)
+    checked = df.withColumn("_bare", F.lower(_bare(text))).withColumn(
+        "_error", _eth2_error(text, F.col("_bare"))
+    )
+    return checked.select("*", *_eth2_parts(text, F.col("_bare"), F.col("_error"))).drop(
+        "_bare", "_error"
     )
 
 

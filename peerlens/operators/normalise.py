@@ -40,14 +40,14 @@ def identify_rows(raw):
 
 def normalise_attempts(raw):
     """Raw dials to attempt events: positive iff there was no error message."""
-    code = errors.classify_dial_error(F.col("message"))
-    return raw.select(
+    coded = raw.withColumn("error", errors.classify_dial_error(F.col("message")))
+    return coded.select(
         "peer_id",
         "ts",
         "seq",
         F.when(F.col("message").isNull(), "positive").otherwise("negative").alias("status"),
-        code.alias("error"),
-        errors.delay_class(code).alias("delay_class"),
+        "error",
+        errors.delay_class(F.col("error")).alias("delay_class"),
     )
 
 
@@ -106,13 +106,11 @@ def normalise_gossip(messages, self_id, genesis=D.MAINNET_GENESIS):
 def normalise_records(raw):
     """Announced node records to `eth_nodes` events."""
     return (
-        raw.withColumn("fork", forks.eth2_data_fields(F.col("eth2")))
+        forks.with_eth2_data(raw, "eth2")
         .withColumn("attnets_number", forks.attnets_count(F.col("attnets")))
         .withColumn("attnets", F.lower(F.regexp_replace("attnets", "^0x", "")))
-        .withColumn("fork_digest", F.col("fork.fork_digest"))
-        .withColumn("next_fork_version", F.col("fork.next_fork_version"))
-        .withColumn("eth2_error", F.col("fork.error"))
-        .drop("fork", "eth2")
+        .withColumnRenamed("error", "eth2_error")
+        .drop("eth2", "exists", "next_fork_epoch")
     )
 
 

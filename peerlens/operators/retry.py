@@ -57,21 +57,29 @@ def peer_lives(attempts, hosts, policy=DEFAULT_POLICY, as_of=None):
     attempts, hosts = _until(attempts, as_of), _until(hosts, as_of)
     limit = policy.deprecate_after * 1_000_000
     found = hosts.select("peer_id", "ts", "seq")
-    begin = found.groupBy("peer_id").agg(F.min(_ord()).alias("start"))
+    first = found.groupBy("peer_id").agg(F.min(_ord()).alias("start"))
     overdue = (_ord() > F.col("start")) & (
         F.unix_micros("ts") - F.unix_micros("start.ts") >= limit
     )
     # No life ends before the first one could; usually that leaves next to nothing.
     stale = cut(
-        salted_join(stale_failures(attempts, policy), begin, "peer_id", POSITION)
-        .filter(overdue)
-        .drop("start"),
+        salted_join(stale_failures(attempts, policy), first, "peer_id", POSITION).filter(overdue),
         "stale",
     )
+    no_end = F.lit(None).cast("struct<ts:timestamp,seq:bigint>").alias("end")
     if stale.isEmpty():
-        ends = F.lit(None).cast("struct<ts:timestamp,seq:bigint>")
-        return begin.select("peer_id", F.lit(1).alias("life"), "start", ends.alias("end"))
-    lives, number = [], 1
+        return first.select("peer_id", F.lit(1).alias("life"), "start", no_end)
+    # Only peers whose first life ends go through the rounds.
+    begin = stale.groupBy("peer_id").agg(F.min("start").alias("start"))
+    ending = begin.select("peer_id")
+    lives = [
+        first.join(ending, "peer_id", "left_anti").select(
+            "peer_id", F.lit(1).alias("life"), "start", no_end
+        )
+    ]
+    stale = stale.drop("start")
+    found = cut(salted_join(found, ending, "peer_id", POSITION), "found")
+    number = 1
     while True:
         ends = (
             salted_join(stale, begin, "peer_id", POSITION)
