@@ -180,9 +180,14 @@ def fold_peer_state(hosts, peer_events, live_attempts, conn_events, prior=None):
 PEER_STATE_COLUMNS = [f.name for f in PEER_INFO.fields if f.name != "id"]
 
 
-def fold_ips(events, key="ip"):
-    """The last whole row per address."""
+def fold_ips(events, prior=None, key="ip"):
+    """The last whole row per address; `prior` rows are older than every event."""
     columns = [c for c in events.columns if c not in ("ts", "seq", key)]
+    if prior is not None:
+        old = prior.select(
+            key, *columns, F.lit(EPOCH_START).cast("timestamp").alias("ts"), F.lit(-1).alias("seq")
+        )
+        events = events.unionByName(old)
     return (
         events.groupBy(key)
         .agg(F.max_by(F.struct(*columns), position()).alias("r"))
@@ -196,7 +201,11 @@ NODE_FIELDS = [
 ]
 
 
-def _nodes(events, by):
+def _nodes(events, by, prior=None):
+    if prior is not None:
+        columns = ["node_id", "peer_id", "pubkey", *NODE_FIELDS]
+        old = prior.select(*columns, F.lit(-1).alias("ord"))
+        events = events.select(*columns, "ord").unionByName(old)
     rank = F.struct("ord") if by == "arrival" else F.struct("seq", "ord")
     return (
         events.groupBy("node_id")
@@ -209,14 +218,15 @@ def _nodes(events, by):
     )
 
 
-def fold_eth_nodes(events, by="arrival"):
+def fold_eth_nodes(events, by="arrival", prior=None):
     """Current node records.
 
     `by='arrival'` takes the last announcement, `by='seq'` the highest record
     sequence.  peer_id and pubkey keep their first value, and a pair of them
-    belongs to the node that announced it first.
+    belongs to the node that announced it first.  `prior` rows precede all
+    events (arrival numbers `ord` start at 0).
     """
-    rows = _nodes(events, by)
+    rows = _nodes(events, by, prior)
     columns = [c for c in rows.columns if c not in ("peer_id", "pubkey")]
     return (
         rows.groupBy("peer_id", "pubkey")

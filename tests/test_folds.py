@@ -141,6 +141,20 @@ def test_node_records(spark):
     assert [tuple(r) for r in folds.dq_eth_node_conflicts(df).collect()] == [("n2", "p", "k", "n1")]
 
 
+def test_prior_tables_continue(spark, data):
+    b = Inputs(spark, data)
+    whole = folds.fold_eth_nodes(b.records)
+    early, late = b.records.filter("ord < 90"), b.records.filter("ord >= 90")
+    for by in ("arrival", "seq"):
+        step = folds.fold_eth_nodes(late, by, folds.fold_eth_nodes(early, by))
+        assert sorted(step.collect(), key=str) == sorted(folds.fold_eth_nodes(b.records, by).collect(), key=str)
+    assert whole.count() > 0
+    log = spark.createDataFrame([("a", 1, at(1), 1), ("a", 2, at(2), 2), ("b", 3, at(3), 3)],
+                                "ip string, v int, ts timestamp, seq int")
+    prior = spark.createDataFrame([("a", 9), ("c", 9)], "ip string, v int")
+    assert {tuple(r) for r in folds.fold_ips(log, prior).collect()} == {("a", 2), ("b", 3), ("c", 9)}
+
+
 def test_snapshot_is_skipped_when_empty_and_chunked(spark):
     rows = [(i, False, True, "c", epoch(0)) for i in range(25)]
     schema = "id int, deprecated boolean, attempted boolean, client_name string, last_activity bigint"
