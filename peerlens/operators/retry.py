@@ -140,18 +140,14 @@ def retry_history(attempts, hosts, policy=DEFAULT_POLICY, as_of=None):
     latest = latest.select("peer_id", "life", "last", other.alias("other"))
     runs = (
         salted_join(
-            live.select("peer_id", "life", "ts", "seq"),
-            latest.select("peer_id", "life", "other"),
-            ["peer_id", "life"],
-            POSITION,
+            live.select("peer_id", "life", "ts", "seq"), latest, ["peer_id", "life"], POSITION
         )
         .filter(F.col("other").isNull() | (_ord() > F.col("other")))
-        .groupBy("peer_id", "life")
+        .groupBy("peer_id", "life", "last")
         .agg(F.count(F.lit(1)).alias("degree"))
     )
     state = (
-        lives.join(latest.select("peer_id", "life", "last"), ["peer_id", "life"], "left")
-        .join(runs, ["peer_id", "life"], "left")
+        lives.join(runs, ["peer_id", "life"], "left")
         .withColumn("delay_class", F.coalesce("last.cls", F.lit(D.FRESH)))
         .withColumn("degree", F.coalesce("degree", F.lit(0)))
     )

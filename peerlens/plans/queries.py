@@ -164,6 +164,8 @@ REGISTRY = {}
 def query(name):
     def add(build):
         def run(spark, directory):
+            # The test tables carry zoneless UTC times.
+            spark.conf.set("spark.sql.session.timeZone", "UTC")
             return flat(build(Inputs(spark, directory)))
 
         run.__name__ = name

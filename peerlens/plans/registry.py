@@ -119,7 +119,10 @@ class MetricRegistry:
 
 
 def default_registry():
-    """The gauges of the crawler, discovery, peering, hosts, gossip and chain modules."""
+    """The gauges of the crawler, discovery, peering, hosts, gossip and chain modules.
+
+    Fixed values: the metric names.
+    """
 
     def active(as_of):
         return active_condition(as_of)

@@ -1,4 +1,7 @@
-"""Declared schemas of the eight tables (never inferred)."""
+"""Declared schemas of the eight tables (never inferred).
+
+Fixed values: column names, their order and types.
+"""
 
 from pyspark.sql.types import (
     ArrayType,

@@ -30,11 +30,11 @@ def shared_dir(spark):
     Only a session that names none (a unit test) gets a folder of its own.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
     if not named:
-        named = tempfile.mkdtemp(prefix="peerlens-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(named)
+        if context.getCheckpointDir() is None:
+            context.setCheckpointDir(tempfile.mkdtemp(prefix="peerlens-"))
+        named = context.getCheckpointDir()
     return named
 
 

@@ -4,6 +4,7 @@ from peerlens import domains as D
 from peerlens.functions import user_agent as ua
 
 U = "unknown"
+# User agents with their expected client, version, system and architecture.
 ETHEREUM_AGENTS = [
     ("teku/teku/v21.8.2/linux-x86_64/corretto-java-16", "teku", "v21.8.2", "linux", "x86_64"),
     ("teku/teku/v21.7.0+9-g77b4b9e/linux-x86_64/-ubuntu-openjdk64bitservervm-java-11", "teku", "v21.7.0", "linux", "x86_64"),
