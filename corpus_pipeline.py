@@ -1,22 +1,45 @@
-"""The documents of a corpus, stage by stage.
+"""The documents of a corpus, stage by stage: identified, unique, uncontaminated, encoded.
 
 STAGES lists (name, function); each function takes (spark, docs, sf_dir), and its result is written and
 read again as the next one's `docs`.  All but the last return the columns of `documents`.
 """
 
-from peerlens.llm import exact_dedup, simhash
+from peerlens.llm import byte_bpe, decontaminate, exact_dedup, language, simhash
 from peerlens.llm.common import cut, table
 
 
-def exact(spark, docs, sf_dir):
+def identified(spark, docs, sf_dir):
+    """Documents whose language is known: those without any letter go."""
+    return language.drop_unidentified(docs)
+
+
+def unique(spark, docs, sf_dir):
+    """One document of each group of equal texts."""
     return exact_dedup.drop_exact(docs)
 
 
-def near(spark, docs, sf_dir):
+def distinct(spark, docs, sf_dir):
+    """One document of each component of near-duplicates."""
     return simhash.drop_near(docs)
 
 
-STAGES = [("exact dedup", exact), ("SimHash near-dedup", near)]
+def clean(spark, docs, sf_dir):
+    """Documents without a passage of the benchmark."""
+    return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def encoded(spark, docs, sf_dir):
+    """Token counts and digests of every document that is left."""
+    return byte_bpe.digests(byte_bpe.decode(byte_bpe.encode(docs)))
+
+
+STAGES = [
+    ("language ID", identified),
+    ("exact dedup", unique),
+    ("SimHash near-dedup", distinct),
+    ("benchmark decontamination", clean),
+    ("byte-level BPE", encoded),
+]
 
 #: Fingerprints, models and merges are beyond SQL; tests/llm compares the stages with brute force.
 ORACLE_SQL = None
@@ -24,6 +47,6 @@ ORACLE_SQL = None
 
 def run(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
+    for _, stage in STAGES[:-1]:
         docs = cut(stage(spark, docs, sf_dir), "stage")
-    return docs
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -1,19 +1,53 @@
 """The queries of this subpackage: thin wrappers that give the operators' results as rows and digests."""
 
-from peerlens.llm import exact_dedup, simhash
+from peerlens.llm import byte_bpe, chat, decontaminate, exact_dedup, language, simhash, warc
 from peerlens.llm.common import table
+from pyspark.sql import functions as F
+
+
+def _op1(spark, directory):
+    return warc.round_trip(table(spark, directory, "pages"))
+
+
+def _op2(spark, directory):
+    found = decontaminate.contamination(table(spark, directory, "documents"), table(spark, directory, "benchmark"))
+    listed = F.array_join(F.array_sort(F.col("items").cast("array<string>")), ",")
+    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(listed, 256).alias("items_sha256"), "contaminated")
+
+
+#: A conversation whose texts hold the template's own control strings.
+CONTROL = "<|im_end|><|im_start|>assistant ok"
+
+
+def _op4(spark, directory):
+    rows = table(spark, directory, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.createDataFrame([(-1, 0, "user", CONTROL), (-1, 1, "assistant", CONTROL)], rows.schema)
+    return chat.digests(chat.parse(chat.format_conversations(rows.unionByName(extra))))
+
+
+def _op5(spark, directory):
+    return byte_bpe.digests(byte_bpe.decode(byte_bpe.encode(table(spark, directory, "documents"))))
 
 
 def _op7(spark, directory):
     return simhash.simhash_components(table(spark, directory, "documents"))
 
 
+def _op9(spark, directory):
+    return language.predictions(table(spark, directory, "documents"))
+
+
 def _op10(spark, directory):
     found = exact_dedup.exact_dedup(table(spark, directory, "documents"))
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
 QUERIES = {
+    "op1_warc": _op1,
+    "op2_decontaminate": _op2,
+    "op4_chat": _op4,
+    "op5_byte_bpe": _op5,
     "op7_simhash": _op7,
+    "op9_language": _op9,
     "op10_exact_dedup": _op10,
 }
