@@ -1,6 +1,6 @@
 """The queries of this subpackage: thin wrappers that give the operators' results as rows and digests."""
 
-from peerlens.llm import byte_bpe, chat, decontaminate, exact_dedup, language, simhash, warc
+from peerlens.llm import byte_bpe, chat, decontaminate, exact_dedup, language, pii, simhash, warc
 from peerlens.llm.common import table
 from pyspark.sql import functions as F
 
@@ -29,6 +29,10 @@ def _op5(spark, directory):
     return byte_bpe.digests(byte_bpe.decode(byte_bpe.encode(table(spark, directory, "documents"))))
 
 
+def _op6(spark, directory):
+    return pii.personal_data(table(spark, directory, "documents"))
+
+
 def _op7(spark, directory):
     return simhash.simhash_components(table(spark, directory, "documents"))
 
@@ -47,6 +51,7 @@ QUERIES = {
     "op2_decontaminate": _op2,
     "op4_chat": _op4,
     "op5_byte_bpe": _op5,
+    "op6_pii": _op6,
     "op7_simhash": _op7,
     "op9_language": _op9,
     "op10_exact_dedup": _op10,
