@@ -1,9 +1,10 @@
 """The queries of this subpackage: thin wrappers that give the operators' results as rows and digests."""
 
-from peerlens.llm import byte_bpe, chat, decontaminate, exact_dedup, language, pii, simhash, warc
-from peerlens.llm.common import table
 from pyspark.sql import functions as F
 
+from peerlens.llm import byte_bpe, chat, decontaminate, exact_dedup, html_text, language, pii, simhash, warc
+from peerlens.llm.common import table
+
 
 def _op1(spark, directory):
     return warc.round_trip(table(spark, directory, "pages"))
@@ -37,6 +38,10 @@ def _op7(spark, directory):
     return simhash.simhash_components(table(spark, directory, "documents"))
 
 
+def _op8(spark, directory):
+    return html_text.main_text(table(spark, directory, "pages"))
+
+
 def _op9(spark, directory):
     return language.predictions(table(spark, directory, "documents"))
 
@@ -53,6 +58,7 @@ QUERIES = {
     "op5_byte_bpe": _op5,
     "op6_pii": _op6,
     "op7_simhash": _op7,
+    "op8_html": _op8,
     "op9_language": _op9,
     "op10_exact_dedup": _op10,
 }
