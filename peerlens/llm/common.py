@@ -1,11 +1,13 @@
 """Helpers shared by the operators of this subpackage."""
 
+import numpy as np
+import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import functions as F
 
 from peerlens.session import cut, shared_dir
 
-__all__ = ["byte_slices", "cut", "keep_rows", "shared_dir", "table", "text_pairs"]
+__all__ = ["byte_slices", "cut", "let_through", "shared_dir", "table", "text_pairs"]
 
 SLICE_BYTES = 2 << 20
 #: The six characters that count as white space in the contracts of these operators.
@@ -41,7 +43,37 @@ def text_pairs(docs):
     )
 
 
-def keep_rows(docs, verdict):
-    """Rows of `docs` whose `doc_id` is in `verdict`, with all columns of `docs`."""
-    ids = verdict.select(F.col("doc_id").alias("_keep")).distinct()
-    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["_keep"]), "left_semi")
+class _Bits:
+    """A bitmap over hashed keys of a fixed size."""
+
+    def __init__(self, shared, bits):
+        self.shared, self.bits = shared, bits
+
+    def holds(self, key):
+        slot = (key * 0x9E3779B97F4A7C15 & (1 << 64) - 1) >> 64 - self.bits
+        return self.shared.value[slot >> 3] >> (slot & 7) & 1
+
+
+def let_through(keys, column, bits=23):
+    """A bitmap of 2^bits bits (1 MB) that holds every key of `keys[column]` (64-bit hashes).
+
+    It spares a join most rows that have no partner.  Its size is fixed: with very many keys it lets everything
+    through, and the join itself, which decides, gets all rows.
+    """
+    spark = keys.sparkSession
+
+    def slots(batches):
+        for batch in batches:
+            k = batch.column(0).to_numpy().view(np.uint64)
+            slot = (k * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)
+            word = np.unique(slot)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array((word >> np.uint64(5)).astype(np.int64)), pa.array(np.left_shift(1, (word & np.uint64(31)).astype(np.int64)))],
+                ["word", "mask"],
+            )
+
+    words = keys.select(F.col(column).cast("long")).mapInArrow(slots, "word long, mask long")
+    table = np.zeros(1 << bits - 5, np.uint32)
+    for word, mask in words.groupBy("word").agg(F.bit_or("mask")).collect():  # at most 2^(bits - 5) rows
+        table[word] = mask
+    return _Bits(spark.sparkContext.broadcast(table.tobytes()), bits)

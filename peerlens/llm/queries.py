@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from peerlens.llm import byte_bpe, chat, decontaminate, exact_dedup, html_text, language, pii, simhash, warc
+from peerlens.llm import byte_bpe, chat, decontaminate, exact_dedup, html_text, language, pii, repeated_bytes, simhash, warc
 from peerlens.llm.common import table
 
 
@@ -16,6 +16,11 @@ def _op2(spark, directory):
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(listed, 256).alias("items_sha256"), "contaminated")
 
 
+def _op3(spark, directory):
+    found = repeated_bytes.remove_repeated(table(spark, directory, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 #: A conversation whose texts hold the template's own control strings.
 CONTROL = "<|im_end|><|im_start|>assistant ok"
 
@@ -54,6 +59,7 @@ def _op10(spark, directory):
 QUERIES = {
     "op1_warc": _op1,
     "op2_decontaminate": _op2,
+    "op3_repeated_bytes": _op3,
     "op4_chat": _op4,
     "op5_byte_bpe": _op5,
     "op6_pii": _op6,
