@@ -8,10 +8,15 @@ table is recomputed until it agrees with the old one over the length of the long
 
 import base64
 import functools
-from itertools import chain, islice
+import re
+from array import array
+from itertools import islice
 
+import ahocorasick
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import tiktoken
 from pyspark.sql import functions as F
@@ -19,11 +24,25 @@ from pyspark.sql import functions as F
 from peerlens.llm.common import byte_slices, text_pairs
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-_CACHE, _MEMO = 200_000, 400_000
+_CACHE, _MEMO = 400_000, 600_000
 _PIECE = 1 << 20
 _SPLIT = regex.compile(public_tokenizers.PATTERN)
 
 
+def _latin_pattern():
+    """The same split for texts within Latin-1, with the classes spelled out for the faster `re`."""
+    every = [chr(i) for i in range(256)]
+    classes = {name: "".join(re.escape(c) for c in every if regex.match(name, c)) for name in (r"\p{L}", r"\p{N}", r"\s")}
+    letter, number, space = classes.values()
+    # Every alternative begins with characters of its own, so letters may be tried first.
+    return re.compile(
+        f" ?[{letter}]+|'(?:s|t|re|ve|m|ll|d)| ?[{number}]+| ?[^{space}{letter}{number}]+|[{space}]+(?![^{space}])|[{space}]+"
+    )
+
+
+_LATIN = _latin_pattern()
+
+
 class Vocabulary:
     """Ranks of a tiktoken file; the path must exist on every worker, as the libraries do."""
 
@@ -33,14 +52,24 @@ class Vocabulary:
         self.tokens = [b""] * (max(self.ranks.values()) + 1)
         for token, rank in self.ranks.items():
             self.tokens[rank] = token
-        self.names = [str(i) for i in range(len(self.tokens))]
-        self.longest = max(map(len, self.ranks))
-        self._pairs, self._alone = {}, {}
-
-    def merge(self, data):
-        """Reference merging of a short string: the lowest rank first, the leftmost of equals."""
+        self.sizes = [len(t) for t in self.tokens]
+        self.longest = max(self.sizes)
+        # The two halves of a token's last merge; a token that its own bytes do not give has none and is left out.
+        self.halves, self.finder = {}, ahocorasick.Automaton()
+        for token, rank in sorted(self.ranks.items(), key=lambda x: x[1]):
+            if len(token) > 1:
+                parts = self.merge(token, 2)
+                if len(parts) != 2 or self.tokens[parts[0]] + self.tokens[parts[1]] not in self.ranks or self.merge(token) != [rank]:
+                    continue
+                self.halves[rank] = tuple(parts)
+            self.finder.add_word(token.decode("latin-1"), rank)
+        self.finder.make_automaton()
+        self._pairs = {}
+
+    def merge(self, data, least=1):
+        """Reference merging of a short string down to `least` parts: the lowest rank first, the leftmost of equals."""
         parts = [data[i:i + 1] for i in range(len(data))]
-        while len(parts) > 1:
+        while len(parts) > least:
             ranked = [(self.ranks.get(a + b, 1 << 40), i) for i, (a, b) in enumerate(zip(parts, parts[1:]))]
             rank, i = min(ranked)
             if rank == 1 << 40:
@@ -48,13 +77,6 @@ class Vocabulary:
             parts[i:i + 2] = [parts[i] + parts[i + 1]]
         return [self.ranks[p] for p in parts]
 
-    def alone(self, token):
-        """Whether a token can arise from its own bytes."""
-        found = self._alone.get(token)
-        if found is None:
-            found = self._alone[token] = self.merge(self.tokens[token]) == [token]
-        return found
-
     def pair(self, a, b):
         """Whether two adjacent tokens stay as they are."""
         key = a << 20 | b
@@ -62,62 +84,113 @@ class Vocabulary:
         if found is None:
             if len(self._pairs) >= _MEMO:
                 self._pairs.clear()
-            found = self._pairs[key] = self.merge(self.tokens[a] + self.tokens[b]) == [a, b]
+            found = self._pairs[key] = self._stays(a, b)
         return found
 
+    def _stays(self, a, b):
+        """Undo the merges of both sides from the last to the first, looking for one across the border that came sooner.
+
+        `before` is the rank that a merge across must be below: that of the merge just undone, or equal to
+        it where the border's merge would stand further left.
+        """
+        before, ranks, tokens, halves = 1 << 40, self.ranks, self.tokens, self.halves
+        while True:
+            across = ranks.get(tokens[a] + tokens[b])
+            if across is not None and across < before:
+                return False
+            if a in halves and (a > b or b not in halves):
+                before, a = a, halves[a][1]
+            elif b in halves:
+                before, b = b + 1, halves[b][0]
+            else:
+                return True
+
+
+def last_tokens(v, data):
+    """The last token of every prefix of `data`."""
+    last, done, sizes, known, pair = [None], 0, v.sizes, v._pairs.get, v.pair
+    add = last.append
+    for at, token in v.finder.iter(data.decode("latin-1")):
+        if at < done:
+            continue
+        begin = at + 1 - sizes[token]
+        if begin:
+            before = last[begin]
+            stays = known(before << 20 | token)
+            if not stays and (stays is False or not pair(before, token)):
+                continue
+        add(token)
+        done += 1
+    return last
+
 
 class PrefixEncoder:
     """The encoding of every prefix of a byte string: `last[i]` is the last token of the first i bytes."""
 
     def __init__(self, vocabulary, data=b""):
-        self.vocabulary, self.data, self.last = vocabulary, bytearray(), [None]
-        self.append(data)
-
-    def _step(self, end):
-        v, data = self.vocabulary, self.data
-        for size in range(min(end, v.longest), 0, -1):
-            token = v.ranks.get(bytes(data[end - size:end]))
-            if token is None or not v.alone(token):
+        self.vocabulary, self.data, self.last = vocabulary, data, last_tokens(vocabulary, data)
+
+    def _extend(self, begin, until=None):
+        """Fill the table from prefix `begin` on; `until(end)` may end it early."""
+        v, last = self.vocabulary, self.last
+        sizes, pairs, pair = v.sizes, v._pairs, v.pair
+        # A token that ends beyond `begin` starts at most `longest` bytes before.
+        low = max(0, begin - v.longest)
+        text = self.data[low:].decode("latin-1")
+        done = begin
+        for at, token in v.finder.iter(text):
+            end = low + at + 1
+            if end <= done:
+                continue
+            if end > done + 1:
+                raise ValueError("the vocabulary lacks a byte")
+            before = last[end - sizes[token]]
+            if before is not None:
+                stays = pairs.get(before << 20 | token)
+                if not (pair(before, token) if stays is None else stays):
+                    continue
+            elif end > sizes[token]:
                 continue
-            before = self.last[end - size]
-            if before is None or v.pair(before, token):
-                return token
-        raise ValueError("the vocabulary lacks a byte")
+            last.append(token)
+            done = end
+            if until and until(end):
+                return
 
     def append(self, data):
         start = len(self.data)
         self.data += data
-        for end in range(start + 1, len(self.data) + 1):
-            self.last.append(self._step(end))
+        self._extend(start)
 
     def edit(self, at, removed, inserted):
         """Replace `removed` bytes at `at`; gives how many table entries had to be computed."""
         old, tail = self.last, at + removed
         shift = len(inserted) - removed
-        self.data[at:tail] = inserted
+        self.data = self.data[:at] + inserted + self.data[tail:]
         self.last = old[: at + 1]
-        same, computed = 0, 0
-        for end in range(at + 1, len(self.data) + 1):
-            self.last.append(self._step(end))
-            computed += 1
+        same = 0
+
+        def agrees(end):
+            nonlocal same
             before = end - shift
             same = same + 1 if before > tail and old[before] == self.last[end] else 0
-            if same >= self.vocabulary.longest:
-                self.last += old[before + 1:]
-                break
+            return same >= self.vocabulary.longest
+
+        self._extend(at, agrees)
+        computed = len(self.last) - at - 1
+        self.last += old[len(self.last) - shift:]
         return computed
 
     def tokens(self, end=None):
         """Token ids of the first `end` bytes (all by default)."""
-        end, out = len(self.data) if end is None else end, []
+        end, out, sizes = len(self.data) if end is None else end, [], self.vocabulary.sizes
         while end:
             out.append(self.last[end])
-            end -= len(self.vocabulary.tokens[out[-1]])
+            end -= sizes[out[-1]]
         return out[::-1]
 
 
 class _Words(dict):
-    """Ids per piece of text; a bounded memo, since pieces repeat."""
+    """Ids (as 32-bit numbers in a row) per piece of text; a bounded memo, since pieces repeat."""
 
     def __init__(self, vocabulary):
         super().__init__()
@@ -128,10 +201,11 @@ class _Words(dict):
             self.clear()
         data = word.encode()
         whole = self.vocabulary.ranks.get(data)
-        ids = (whole,) if whole is not None else tuple(PrefixEncoder(self.vocabulary, data).tokens())
+        ids = [whole] if whole is not None else PrefixEncoder(self.vocabulary, data).tokens()
+        packed = array("i", ids).tobytes()
         if len(word) <= 64:
-            self[word] = ids
-        return ids
+            self[word] = packed
+        return packed
 
 
 _LOADED = {}
@@ -140,7 +214,7 @@ _LOADED = {}
 def _loaded(path):
     if path not in _LOADED:
         vocabulary = Vocabulary(path)
-        _LOADED[path] = vocabulary, _Words(vocabulary)
+        _LOADED[path] = vocabulary, _Words(vocabulary), pa.array(vocabulary.tokens, pa.binary())
     return _LOADED[path]
 
 
@@ -165,13 +239,14 @@ def _other_classes():
 
 def _matches(text):
     """The pieces of a text that are encoded separately, in order."""
+    split = _LATIN
     try:
         text.encode("latin-1")
     except UnicodeEncodeError:
-        pattern, mapping = _other_classes()
+        split, (pattern, mapping) = _SPLIT, _other_classes()
         if pattern and pattern.search(text):
             return (text[m.start():m.end()] for m in _SPLIT.finditer(text.translate(mapping)))
-    return _SPLIT.findall(text) if len(text) <= _PIECE else (m.group() for m in _SPLIT.finditer(text))
+    return split.findall(text) if len(text) <= _PIECE else (m.group() for m in split.finditer(text))
 
 
 def _split(text):
@@ -185,18 +260,16 @@ def _split(text):
 
 def encode_text(text, path=VOCABULARY):
     """Token ids of a text without special tokens."""
-    _, words = _loaded(path)
-    return list(chain.from_iterable(chain.from_iterable(map(words.__getitem__, w)) for w in _split(text)))
+    words = _loaded(path)[1]
+    return np.frombuffer(b"".join(b"".join(map(words.__getitem__, w)) for w in _split(text)), np.int32)
 
 
 def _encode(path):
     def run(batches):
         for batch in byte_slices(batches, "text", 1 << 20):
-            ids = [pa.array(encode_text(t.as_py().decode("utf-8", "replace"), path), pa.int32()) for t in batch.column("text")]
-            offsets = [0]
-            for x in ids:
-                offsets.append(offsets[-1] + len(x))
-            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.concat_arrays(ids))
+            ids = [encode_text(t.as_py().decode("utf-8", "replace"), path) for t in batch.column("text")]
+            offsets = np.cumsum([0] + [len(x) for x in ids])
+            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(ids)))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists], ["doc_id", "ids"])
 
     return run
@@ -204,12 +277,20 @@ def _encode(path):
 
 def _decode(path):
     def run(batches):
+        tokens = _loaded(path)[2]
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                tokens = _loaded(path)[0].tokens.__getitem__
-                texts = [b"".join(map(tokens, ids.values.to_pylist())) if ids.is_valid else None for ids in part.column("ids")]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.binary())], [*part.schema.names, "decoded"])
+                # The tokens of all rows in a row: each text is a stretch of their bytes.
+                lists = part.column("ids")
+                flat = tokens.take(lists.flatten())
+                stops = np.cumsum([0] + lists.value_lengths().fill_null(0).to_pylist())
+                ends = np.frombuffer(flat.buffers()[1], np.int32)[: len(flat) + 1] if len(flat) else np.zeros(1, np.int32)
+                whole = pa.Array.from_buffers(
+                    pa.binary(), len(lists), [None, pa.py_buffer(ends[stops].astype(np.int32).tobytes()), flat.buffers()[2] or pa.py_buffer(b"")]
+                )
+                texts = pc.if_else(lists.is_valid(), whole, pa.scalar(None, pa.binary()))
+                yield pa.RecordBatch.from_arrays([*part.columns, texts], [*part.schema.names, "decoded"])
 
     return run
 

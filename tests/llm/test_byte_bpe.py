@@ -38,7 +38,7 @@ def test_all_code_points(reference):
     for at in range(0, len(points), 20000):
         part = points[at:at + 20000]
         text = "".join(x + ("a" if i % 3 else " ") for i, x in enumerate(part))
-        assert byte_bpe.encode_text(text) == reference.encode_ordinary(text)
+        assert byte_bpe.encode_text(text).tolist() == reference.encode_ordinary(text)
 
 
 def test_long_and_odd(reference):
@@ -46,7 +46,28 @@ def test_long_and_odd(reference):
     odd = ["", " ", "\n" * 999, "a" * 3000, " " * 5000 + "x", "é" * 2000, "<|endoftext|>", "1234567890" * 50, "\x00\x01"]
     odd += ["".join(rng.choice("ab \n'stéß漢1.") for _ in range(400)) for _ in range(60)]
     for text in odd:
-        assert byte_bpe.encode_text(text) == reference.encode_ordinary(text)
+        assert byte_bpe.encode_text(text).tolist() == reference.encode_ordinary(text)
+
+
+def test_latin_texts_are_split_alike():
+    rng = random.Random(4)
+    every = [chr(i) for i in range(256)] + list("'' \n  tsdmrevl") * 8
+    for _ in range(2000):
+        text = "".join(rng.choice(every) for _ in range(60))
+        assert byte_bpe._LATIN.findall(text) == byte_bpe._SPLIT.findall(text)
+
+
+def test_pairs_against_merging(vocabulary):
+    rng = random.Random(6)
+    ids = sorted(vocabulary.halves)
+    wrong = 0
+    for _ in range(4000):
+        a, b = rng.choice(ids), rng.choice(ids)
+        if len(vocabulary.tokens[a]) + len(vocabulary.tokens[b]) < 40:
+            stays = vocabulary.merge(vocabulary.tokens[a] + vocabulary.tokens[b]) == [a, b]
+            assert vocabulary.pair(a, b) == stays
+            wrong += not stays
+    assert wrong
 
 
 def test_prefixes_appends_and_edits(vocabulary, reference):
