@@ -221,7 +221,6 @@ EVENT_TIMED_ATTESTATION = "timed_ethereum_attestation"
 ACTIVE_DAYS = 180
 FORK_WINDOW_DAYS = 1
 IP_TTL_DAYS = 30
-LOCATE_BATCH = 8192
 METRIC_TICK = "15 seconds"
 SNAPSHOT_TICK = "12 hours"
 

@@ -56,14 +56,24 @@ def hex_normalise(text, kind):
 
 
 def attnets_count(bitmask):
-    """Set bits of a hex bitmask by nibble classes; -1 without a bitmask.
+    """Set bits of a hex bitmask by nibble classes; -1 without a bitmask or with an empty one, NULL if it is no hex.
 
     Works for any length: the digits with n bits are counted by removing them.
     """
     h = F.lower(_bare(bitmask))
     classes = [(1, "1248"), (2, "3569ac"), (3, "7bde"), (4, "f")]
     bits = [(F.length(h) - F.length(F.translate(h, digits, ""))) * n for n, digits in classes]
-    return F.coalesce(reduce(add, bits), F.lit(-1)).cast("int")
+    wrong = attnets_error(bitmask)
+    count = F.when(h.isNull() | (wrong == "empty"), F.lit(-1)).when(wrong.isNull(), reduce(add, bits))
+    return count.cast("int")
+
+
+def attnets_error(bitmask):
+    """Why a present bitmask cannot be counted ("empty" or "invalid hex"), or NULL."""
+    h = _bare(bitmask)
+    return F.when(h == "", F.lit("empty")).when(
+        ~h.rlike("^[0-9a-fA-F]*$") | (F.length(h) % 2 == 1), F.lit("invalid hex")
+    )
 
 
 def _eth2_error(text, bare):

@@ -22,17 +22,20 @@ def networks_all_counts(peers):
     return peers.groupBy("network").agg(F.count(F.lit(1)).alias("peers"))
 
 
-def client_home(client_name):
-    """Network whose client list has the name."""
-    home = {name: network for network, words in D.CLIENT_WORDS.items() for name, _ in words}
-    pairs = [F.lit(part) for item in home.items() for part in item]
+def client_homes(client_name):
+    """Networks whose client lists have the name (a name may be in several), NULL for an unlisted name."""
+    homes = {}
+    for network, words in D.CLIENT_WORDS.items():
+        for name, _ in words:
+            homes.setdefault(name, []).append(network)
+    pairs = [x for name, found in homes.items() for x in (F.lit(name), F.array(*map(F.lit, found)))]
     return F.try_element_at(F.create_map(*pairs), client_name)
 
 
 def contamination(peers):
     """Peers whose client belongs to another network, deprecated ones included."""
     return (
-        peers.filter(client_home(F.col("client_name")) != F.col("network"))
+        peers.filter(~F.array_contains(client_homes(F.col("client_name")), F.col("network")))
         .groupBy("network", "client_name")
         .agg(F.count(F.lit(1)).alias("cnt"))
     )

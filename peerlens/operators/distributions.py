@@ -172,7 +172,7 @@ def messages_per_topic(messages, tick=D.METRIC_TICK):
 
     Also the streaming form: give `messages` a watermark first.
     """
-    per_minute = 60.0 / int(tick.split()[0])
+    minutes = F.timestamp_diff("SECOND", F.col("w.start"), F.col("w.end")) / F.lit(60.0)
     return (
         messages.groupBy(F.window("arrival_time", tick).alias("w"), "topic")
         .agg(F.count(F.lit(1)).alias("cnt"))
@@ -180,7 +180,7 @@ def messages_per_topic(messages, tick=D.METRIC_TICK):
             F.unix_timestamp("w.start").alias("window_start"),
             "topic",
             "cnt",
-            (F.col("cnt") * F.lit(per_minute)).alias("per_minute"),
+            (F.col("cnt") / minutes).alias("per_minute"),
         )
     )
 

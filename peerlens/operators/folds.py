@@ -10,7 +10,10 @@ from functools import reduce
 from pyspark.sql import functions as F
 
 from peerlens.schemas import PEER_INFO
+from peerlens.session import cut
 
+#: Parts that a pair of keys claimed by many nodes is split into.
+CONFLICT_SALTS = 32
 EPOCH_START = "0001-01-01 00:00:00"
 
 
@@ -218,18 +221,23 @@ def _nodes(events, by, prior=None):
     )
 
 
+def _own_key():
+    """A pair with a NULL is never the same as another: such a node is a group of its own."""
+    return F.when(F.col("peer_id").isNull() | F.col("pubkey").isNull(), F.col("node_id")).alias("own")
+
+
 def fold_eth_nodes(events, by="arrival", prior=None):
     """Current node records.
 
     `by='arrival'` takes the last announcement, `by='seq'` the highest record
     sequence.  peer_id and pubkey keep their first value, and a pair of them
-    belongs to the node that announced it first.  `prior` rows precede all
+    belongs to the node that announced it first (a NULL in it keeps every node).  `prior` rows precede all
     events (arrival numbers `ord` start at 0).
     """
     rows = _nodes(events, by, prior)
     columns = [c for c in rows.columns if c not in ("peer_id", "pubkey")]
     return (
-        rows.groupBy("peer_id", "pubkey")
+        rows.groupBy("peer_id", "pubkey", _own_key())
         .agg(F.min_by(F.struct(*columns), F.struct("first_ord", "node_id")).alias("n"))
         .select("peer_id", "pubkey", "n.*")
         .drop("first_ord")
@@ -237,13 +245,19 @@ def fold_eth_nodes(events, by="arrival", prior=None):
 
 
 def dq_eth_node_conflicts(events, by="arrival"):
-    """Nodes turned away because another node owns their (peer_id, pubkey)."""
-    rows = _nodes(events, by)
-    owner = rows.groupBy("peer_id", "pubkey").agg(
-        F.min_by("node_id", F.struct("first_ord", "node_id")).alias("owner")
-    )
+    """Nodes turned away because another node owns their (peer_id, pubkey), from one pass over the fold.
+
+    A window by the pair would gather a pair that many nodes claim in one task: the owner is found per
+    salt of the node first, then among the salts' owners, and met again by (pair, salt).
+    """
+    salt = F.pmod(F.xxhash64("node_id"), F.lit(CONFLICT_SALTS)).alias("salt")
+    rows = cut(_nodes(events, by).filter("peer_id IS NOT NULL AND pubkey IS NOT NULL").select("node_id", "peer_id", "pubkey", "first_ord", salt), "nodes")
+    first = F.min(F.struct("first_ord", "node_id")).alias("first")
+    parts = rows.groupBy("peer_id", "pubkey", "salt").agg(first)
+    owners = parts.groupBy("peer_id", "pubkey").agg(F.min("first").alias("first"), F.collect_list("salt").alias("salts"))
+    owners = owners.select("peer_id", "pubkey", F.col("first.node_id").alias("owner"), F.explode("salts").alias("salt"))
     return (
-        rows.join(owner, ["peer_id", "pubkey"])
+        rows.join(owners, ["peer_id", "pubkey", "salt"])
         .filter(F.col("node_id") != F.col("owner"))
         .select("node_id", "peer_id", "pubkey", "owner")
     )

@@ -14,7 +14,7 @@ def neighbour_edges(probes):
 
 def neighbour_errors(probes):
     """Per peer, the bitmask of prefix lengths whose probe failed."""
-    bit = F.when(F.col("failed"), F.pow(F.lit(2), F.col("cpl")).cast("int")).otherwise(0)
+    bit = F.when(F.col("failed"), F.expr("shiftleft(1, CAST(cpl AS INT))")).otherwise(0)
     return probes.groupBy("peer").agg(F.bit_or(bit).alias("error_bits"))
 
 

@@ -2,7 +2,6 @@
 
 from pyspark.sql import functions as F
 
-from peerlens import domains as D
 from peerlens.functions import address
 
 
@@ -58,11 +57,8 @@ def ip_record_status(keys, ips, as_of):
     )
 
 
-def ips_to_locate(peers, ips, as_of, batch=D.LOCATE_BATCH):
-    """Public addresses without a live cache row, one request batch of them.
-
-    `batch=None` gives all; the batch takes the first in address order.
-    """
+def ips_to_locate(peers, ips, as_of, batch=None):
+    """All public addresses without a live cache row; `batch` asks for that many, the first in address order."""
     wanted = peers.filter(address.is_public_ip(F.col("ip"))).select("ip").distinct()
     live = ips.filter(F.col("expiration_time") >= F.lit(as_of).cast("timestamp")).select("ip")
     missing = wanted.join(live, "ip", "left_anti")

@@ -108,6 +108,7 @@ def normalise_records(raw):
     return (
         forks.with_eth2_data(raw, "eth2")
         .withColumn("attnets_number", forks.attnets_count(F.col("attnets")))
+        .withColumn("attnets_error", forks.attnets_error(F.col("attnets")))
         .withColumn("attnets", F.lower(F.regexp_replace("attnets", "^0x", "")))
         .withColumnRenamed("error", "eth2_error")
         .drop("eth2", "exists", "next_fork_epoch")

@@ -59,8 +59,9 @@ def _hosted():
     return F.sum(F.when(F.col("hosting"), F.col("n")).otherwise(0)).alias("hosted_nodes")
 
 
-def _largest_first(df, by):
-    return df.orderBy(*by, F.desc("peer_count"))
+def _largest_first(df, by, keys):
+    """By count; the group's keys settle ties, so every run gives the same order."""
+    return df.orderBy(*by, F.desc("peer_count"), *keys)
 
 
 def countries_of(counted, by=()):
@@ -71,7 +72,7 @@ def countries_of(counted, by=()):
         _mean("lat").alias("avg_lat"),
         _mean("lon").alias("avg_lon"),
     )
-    return _largest_first(rows, by)
+    return _largest_first(rows, by, ("country", "country_code"))
 
 
 def cities_of(counted, by=()):
@@ -82,7 +83,7 @@ def cities_of(counted, by=()):
         .filter(F.col("peer_count") >= 2)
         .select(*by, "city", "country", "country_code", "peer_count", "lat", "lon")
     )
-    return _largest_first(rows, by)
+    return _largest_first(rows, by, ("city", "country", "country_code", "lat", "lon"))
 
 
 def providers_of(counted, by=()):
@@ -93,7 +94,7 @@ def providers_of(counted, by=()):
         .filter(F.col("peer_count") >= 2)
         .select(*by, F.col("org").alias("provider"), "peer_count", "countries", "hosting")
     )
-    return _largest_first(rows, by)
+    return _largest_first(rows, by, ("provider", "hosting"))
 
 
 def systems_of(counted, by=()):
@@ -106,7 +107,7 @@ def systems_of(counted, by=()):
             _hosted(),
         )
     )
-    return _largest_first(rows, by)
+    return _largest_first(rows, by, ("asname", "as_raw", "org"))
 
 
 def country_stats(peers, ips, network=None, since=None, until=None):
@@ -141,7 +142,9 @@ def client_stats(peers, network=None, since=None, until=None, by=()):
         total = counted.select(F.sum("peer_count")).scalar()
     share = F.round((100 * F.col("peer_count")).cast("decimal(24,0)") / total, 2)
     rows = counted.withColumn("percentage", share.cast("double"))
-    return _largest_first(rows.drop("total"), by)
+    return _largest_first(
+        rows.drop("total"), by, ("client_name", "client_version", "client_os", "client_arch")
+    )
 
 
 # ------------------------------------------------------------ top-k documents

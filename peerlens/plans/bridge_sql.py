@@ -5,7 +5,6 @@ only fixed values (word lists, codes, agents) are shared.
 """
 
 from peerlens import domains as D
-from peerlens.functions import address
 from peerlens.sources import bridge
 
 
@@ -73,19 +72,51 @@ def delay_class(code, classes=D.DELAY_CLASS_ERRORS):
     return f"CASE {arms} ELSE 'NegativeWithHope' END"
 
 
-def valid_ip(ip):
-    return f"regexp_full_match({ip}, {q(address.VALID_IP)})"
+def _octets(text):
+    """The four numbers of a dotted text, or NULL: plain decimal arithmetic, no pattern for the ranges."""
+    parts = f"string_split({text}, '.')"
+    good = f"list_bool_and(list_transform({parts}, lambda x: coalesce(try_cast(x AS INT)::VARCHAR = x AND try_cast(x AS INT) BETWEEN 0 AND 255, false)))"
+    return f"CASE WHEN len({parts}) = 4 AND {good} THEN list_transform({parts}, lambda x: x::INT) END"
 
 
-def public_ip(ip):
-    plain = f"regexp_replace({ip}, {q(address.MAPPED_IPV4)}, '')"
-    return f"coalesce({valid_ip(ip)} AND NOT regexp_matches({plain}, {q(address.NOT_PUBLIC)}), false)"
+def _private(o):
+    return (
+        f"({o}[1] IN (10, 127) OR ({o}[1] = 192 AND {o}[2] = 168) OR ({o}[1] = 172 AND {o}[2] BETWEEN 16 AND 31) "
+        f"OR list_sum({o}) = 0)"
+    )
+
+
+def ip_checked(source):
+    """`source` (with a column ip) with columns valid and is_public, worked out from numbers in a few steps."""
+    return f"""(
+        SELECT * EXCLUDE (colon, tail, o4, swapped, pieces, holes, g, ok, gap, n6), coalesce(o4 IS NOT NULL OR n6 IS NOT NULL, false) AS valid_,
+               coalesce(CASE WHEN o4 IS NOT NULL THEN NOT {_private('o4')}
+                   WHEN n6 IS NOT NULL THEN NOT (list_sum(n6[1:7]) = 0 AND n6[8] <= 1)
+                        AND NOT (list_sum(n6[1:5]) = 0 AND n6[6] = 65535 AND {_private('[n6[7] // 256, n6[7] % 256, n6[8] // 256, n6[8] % 256]')})
+                   END, false) AS public_
+        FROM (SELECT *, CASE WHEN ok AND gap THEN list_concat(g[1:holes], list_concat(list_transform(range(8 - len(g)), lambda z: 0::BIGINT), g[holes + 1:]))
+                             WHEN ok AND NOT gap AND len(g) = 8 THEN g END AS n6
+        FROM (SELECT *, contains(swapped, '::') AS gap,
+                     len(list_filter(string_split(split_part(swapped, '::', 1), ':'), lambda x: x <> '')) AS holes,
+                     list_transform(list_filter(pieces, lambda x: x <> ''), lambda x: try_cast('0x' || CASE WHEN length(x) <= 4 AND NOT contains(lower(x), 'x') THEN x END AS BIGINT)) AS g,
+                     colon AND len(string_split(swapped, '::')) <= 2 AND NOT contains(swapped, ':::')
+                     AND (starts_with(swapped, '::') OR NOT starts_with(swapped, ':')) AND (ends_with(swapped, '::') OR NOT ends_with(swapped, ':'))
+                     AND NOT list_contains(list_transform(list_filter(pieces, lambda x: x <> ''), lambda x: try_cast('0x' || CASE WHEN length(x) <= 4 AND NOT contains(lower(x), 'x') THEN x END AS BIGINT) IS NULL), true)
+                     AND len(list_filter(pieces, lambda x: x <> '')) <= CASE WHEN contains(swapped, '::') THEN 7 ELSE 8 END AS ok
+        FROM (SELECT *, string_split(swapped, ':') AS pieces
+        FROM (SELECT *, CASE WHEN colon AND {_octets('tail')} IS NOT NULL THEN substr(ip, 1, length(ip) - length(tail))
+                        || printf('%x:%x', ({_octets('tail')})[1] * 256 + ({_octets('tail')})[2], ({_octets('tail')})[3] * 256 + ({_octets('tail')})[4]) ELSE ip END AS swapped,
+                     CASE WHEN NOT colon THEN {_octets('ip')} END AS o4
+        FROM (SELECT *, contains(ip, ':') AS colon, string_split(ip, ':')[-1] AS tail FROM ({source}))))))
+    )"""
 
 
 def attnets_bits(column):
-    h = f"lower(regexp_replace({column}, '^0x', ''))"
-    bits = f"bit_count(('0x' || {h})::UBIGINT)::INTEGER"
-    return f"CASE WHEN {column} IS NULL THEN -1 ELSE {bits} END"
+    """Bits of the bytes that the text decodes to; texts that decode to none give -1, undecodable ones NULL."""
+    h = f"regexp_replace({column}, '^0x', '')"
+    decoded = f"list_sum(list_transform(range(1, length({h}) + 1, 2), lambda i: bit_count(('0x' || substr({h}, i::INT, 2))::INT)))::INTEGER"
+    good = f"regexp_full_match({h}, '([0-9a-fA-F]{{2}})+')"
+    return f"CASE WHEN {column} IS NULL OR {h} = '' THEN -1 WHEN {good} THEN {decoded} END"
 
 
 MSG_ID = (
@@ -240,18 +271,29 @@ VIEWS = {
     # ------------------------------------------------------------ node records
     "b_raw_records": f"""
         SELECT epoch(TIMESTAMP '2001-08-02 00:00:00')::BIGINT - (p % 48) * 3600 AS timestamp, p AS ord,
-               'P' || (node // 2) AS peer_id, md5(node::VARCHAR) AS node_id, p_size::BIGINT AS seq,
-               '53.0.0.' || (p % 200) AS ip, (9000 + p % 7)::INT AS tcp, (9000 + p % 5)::INT AS udp,
-               md5('k' || (node // 3)) AS pubkey,
+               CASE WHEN node % 41 <> 3 THEN 'P' || (node // 2) END AS peer_id, md5(node::VARCHAR) AS node_id, p_size::BIGINT AS seq,
+               CASE p % 31 WHEN 0 THEN '0::1' WHEN 1 THEN '::0' WHEN 2 THEN '::0001' WHEN 3 THEN '::ffff:a00:1'
+                    WHEN 4 THEN '0:0:0:0:0:ffff:10.0.0.1' WHEN 5 THEN '2001:db8::' || (p % 10000)
+                    WHEN 6 THEN 'fe80::' || (p % 10000) WHEN 7 THEN '1:2:3:4:5::1:2:3:4:1.2.3.4'
+                    WHEN 8 THEN '10.' || (p % 256) || '.0.1' WHEN 9 THEN '172.' || (p % 40) || '.1.1'
+                    WHEN 10 THEN '192.168.' || (p % 300) || '.1' WHEN 11 THEN '127.0.0.' || (p % 256)
+                    WHEN 12 THEN '256.1.1.1' WHEN 13 THEN '::FFFF:8.8.' || (p % 256) || '.1' WHEN 14 THEN '01.2.3.4'
+                    WHEN 15 THEN '::' WHEN 16 THEN '1::2::3' WHEN 17 THEN '0.0.0.0' WHEN 18 THEN ''
+                    WHEN 19 THEN '::ffff:172.' || (p % 40) || '.0.1' ELSE '53.0.0.' || (p % 200) END AS ip,
+               (9000 + p % 7)::INT AS tcp, (9000 + p % 5)::INT AS udp,
+               CASE WHEN node % 43 <> 5 THEN md5('k' || (node // 3)) END AS pubkey,
                CASE WHEN p % 17 = 0 THEN NULL WHEN p % 19 = 0 THEN '0x1234'
                     WHEN p % 23 = 0 THEN '0x0000000001000000' || ep
                     ELSE ({DIGESTS})[(node + p) % 4 + 1] || '01000000' || ep END AS eth2,
-               CASE WHEN p % 10 <> 0 THEN substr(md5(p_name), 1, 16) END AS attnets, p
+               CASE WHEN p % 10 = 0 THEN NULL WHEN p % 37 = 1 THEN '' WHEN p % 37 = 2 THEN '0x' WHEN p % 37 = 3 THEN 'zz'
+                    WHEN p % 37 = 4 THEN '0x' || substr(md5(p_name), 1, 16) ELSE substr(md5(p_name), 1, 16) END AS attnets, p
         FROM (SELECT *, p_partkey AS p, p_partkey // 4 AS node,
                      CASE WHEN p_partkey % 2 = 0 THEN 'ffffffffffffffff' ELSE '2c01000000000000' END AS ep
               FROM part)""",
     "b_records": f"""
-        SELECT *, CASE WHEN bad IS NULL AND eth2 IS NOT NULL THEN substr(eth2, 1, 10) END AS fork_digest,
+        SELECT * REPLACE (lower(replace(attnets, '0x', '')) AS attnets),
+               CASE WHEN replace(attnets, '0x', '') = '' THEN 'empty' WHEN attnets = 'zz' THEN 'invalid hex' END AS attnets_error,
+               CASE WHEN bad IS NULL AND eth2 IS NOT NULL THEN substr(eth2, 1, 10) END AS fork_digest,
                CASE WHEN bad IS NULL AND eth2 IS NOT NULL THEN '0x' || substr(eth2, 11, 8) END AS next_fork_version,
                CASE WHEN bad IS NULL AND eth2 IS NOT NULL THEN
                     CASE WHEN p % 2 = 0 THEN '18446744073709551615' ELSE '300' END END AS next_fork_epoch,
@@ -266,9 +308,9 @@ VIEWS = {
                        attnets := attnets, attnets_number := attnets_number), ord) AS r,
                min(ord) AS first_ord FROM b_records GROUP BY node_id""",
     "b_node_rank": """
-        SELECT *, row_number() OVER (PARTITION BY k.peer_id, k.pubkey ORDER BY first_ord, node_id) AS rn,
-               first_value(node_id) OVER (PARTITION BY k.peer_id, k.pubkey ORDER BY first_ord, node_id) AS owner
-        FROM b_node_last""",
+        SELECT *, row_number() OVER (PARTITION BY k.peer_id, k.pubkey, own ORDER BY first_ord, node_id) AS rn,
+               first_value(node_id) OVER (PARTITION BY k.peer_id, k.pubkey, own ORDER BY first_ord, node_id) AS owner
+        FROM (SELECT *, CASE WHEN k.peer_id IS NULL OR k.pubkey IS NULL THEN node_id END AS own FROM b_node_last)""",
     "b_nodes": """
         SELECT k.peer_id AS peer_id, k.pubkey AS pubkey, node_id, r.timestamp AS timestamp, r.seq AS seq,
                r.ip AS ip, r.tcp AS tcp, r.udp AS udp, r.fork_digest AS fork_digest,

@@ -5,7 +5,7 @@ import re
 from peerlens import domains as D
 from peerlens.plans.bridge_sql import (
     DIGESTS, MSG_ID, VIEWS, array, by_network, client_name, client_version, delay_class,
-    error_code, keywords, lotus_version, public_ip, q, stamp, valid_ip,
+    error_code, ip_checked, keywords, lotus_version, q, stamp,
 )
 from peerlens.plans.queries import SHOWN_IP, SHOWN_PEER
 from peerlens.sources import bridge
@@ -163,17 +163,8 @@ def late_metrics():
     ]
 
 
-DIGEST_TEXT = array([d for _, d in D.FORK_DIGESTS])
-FORK_TEXTS = (
-    [n.lower() for n, _ in D.FORK_DIGESTS] + [d for _, d in D.FORK_DIGESTS]
-    + ["b5303f2a", "0xdeadbeef", "zz", "DEADBEEF"]
-)
 NAME_TO_DIGEST = " ".join(f"WHEN {q(n.lower())} THEN {q(d)}" for n, d in D.FORK_DIGESTS)
-N_FORKS = len(D.FORK_DIGESTS)
-ANY_IP = """SELECT e AS seq, CASE WHEN e % 5 = 0
-      THEN (['::1', '2001:db8::1', '::', 'fe80::', '::ffff:10.0.0.1', '1::2::3'])[e % 6 + 1]
-      ELSE (['10.0', '52.7', '172.16', '172.32', '192.168', '127.0', '0.0', '169.254'])[e % 8 + 1]
-           || '.' || (e % 200) || '.' || (u % 250) END AS ip FROM b_events"""
+FORKS = "FROM b_records WHERE fork_digest IS NOT NULL"
 HOSTED = "sum(CASE WHEN hosting THEN 1 ELSE 0 END)::BIGINT AS hosted_nodes"
 OVERLAP = """SELECT a.network AS network_a, b.network AS network_b, count(*) AS shared_ips
     FROM b_pairs_ip a JOIN b_pairs_ip b ON a.ip = b.ip AND a.network < b.network GROUP BY 1, 2"""
@@ -257,12 +248,21 @@ SQL = {
     "export_geojson": """SELECT peer_id, json_object('type', 'Feature', 'geometry',
         json_object('type', 'Point', 'coordinates', [lon, lat]), 'properties', json_object('peer_id', peer_id,
         'ip', ip, 'country', country, 'city', city, 'isp', isp, 'hosting', hosting))::VARCHAR AS feature FROM b_located""",
+    "geojson_document": """SELECT * FROM (WITH f AS (SELECT peer_id, json_object('type', 'Feature', 'geometry',
+        json_object('type', 'Point', 'coordinates', [lon, lat]), 'properties', json_object('peer_id', peer_id,
+        'ip', ip, 'country', country, 'city', city, 'isp', isp, 'hosting', hosting))::VARCHAR AS feature FROM b_located)
+        SELECT feature || CASE WHEN peer_id = (SELECT max(peer_id) FROM f) THEN '' ELSE ',' END AS value FROM f
+        UNION ALL SELECT '{"type":"FeatureCollection","features":[' UNION ALL SELECT ']}')""",
+    "json_array_document": """SELECT * FROM (WITH f AS (SELECT peer_id, json_object('peer_id', peer_id, 'ip', ip, 'port', port, 'country', country,
+        'city', city, 'lat', lat, 'lon', lon, 'isp', isp, 'org', org, 'hosting', hosting)::VARCHAR AS j FROM b_located)
+        SELECT j || CASE WHEN peer_id = (SELECT max(peer_id) FROM f) THEN '' ELSE ',' END AS value FROM f
+        UNION ALL SELECT '[' UNION ALL SELECT ']')""",
     "attestation_event_json": PUBLISHED,
     "metrics_snapshot": " UNION ALL ".join(
         crawler_metrics(NET)
         + [
             metric("discovery", "node_per_fork_distribution", "fork_digest", "count(*)", "b_recent_nodes GROUP BY fork_digest"),
-            metric("discovery", "attnets_distribution", "attnets_number::VARCHAR", "count(*)", "b_recent_nodes GROUP BY attnets_number"),
+            metric("discovery", "attnets_distribution", "coalesce(attnets_number::VARCHAR, '')", "count(attnets_number)", "b_recent_nodes GROUP BY attnets_number"),
             metric("hosts", "connected_peers", "''", "count(*)", CONNECTED.format("2001-08-02 00:00:00")),
             metric("gossip", "peers_per_topic", "topic", "count(DISTINCT sender)", "b_messages GROUP BY topic"),
         ]
@@ -289,23 +289,22 @@ SQL = {
     "first_public_addr": "SELECT seq, ip, port FROM b_discoveries",
     "direction_name": """SELECT seq, CASE direction WHEN 1 THEN 'inbound' WHEN 2 THEN 'outbound' ELSE 'unset' END AS direction
         FROM b_halves WHERE kind = 'open'""",
-    "is_public_ip": f"SELECT seq, ip, {public_ip('ip')} AS is_public FROM ({ANY_IP})",
-    "is_valid_ip": f"SELECT seq, ip, {valid_ip('ip')} AS valid FROM ({ANY_IP})",
+    "is_public_ip": f"SELECT ord, ip, public_ AS is_public FROM {ip_checked('SELECT ord, ip FROM b_raw_records')}",
+    "is_valid_ip": f"SELECT ord, ip, valid_ AS valid FROM {ip_checked('SELECT ord, ip FROM b_raw_records')}",
     "compose_maddr": "SELECT peer_id, '/ip4/' || ip || '/tcp/' || port AS address FROM b_peers",
-    "compose_topic": f"""SELECT seq, '/eth2/' || replace(({DIGEST_TEXT})[e % {N_FORKS} + 1], '0x', '') || '/beacon_block/ssz_snappy' AS topic
-        FROM b_events""",
-    "compose_attnets_topic": f"""SELECT seq, CASE WHEN e % 70 BETWEEN 1 AND 64 THEN '/eth2/' ||
-        replace(({DIGEST_TEXT})[e % {N_FORKS} + 1], '0x', '') || '/beacon_attestation_' || (e % 70) || '/ssz_snappy' ELSE '' END AS topic
-        FROM b_events""",
+    "compose_topic": f"SELECT ord, '/eth2/' || substr(fork_digest, 3) || '/beacon_block/ssz_snappy' AS topic {FORKS}",
+    "compose_attnets_topic": f"""SELECT ord, CASE WHEN attnets_number BETWEEN 1 AND 64 THEN '/eth2/' ||
+        substr(fork_digest, 3) || '/beacon_attestation_' || attnets_number || '/ssz_snappy' ELSE '' END AS topic {FORKS}""",
     "topic_pretty": "SELECT seq, split_part(topic, '/', 4) AS pretty FROM b_messages",
     "topic_subnet": "SELECT seq, try_cast(regexp_extract(topic, 'attestation_([0-9]+)', 1) AS INT) AS subnet FROM b_messages",
     "valid_fork_digest": f"""SELECT seq, text, CASE text {NAME_TO_DIGEST} ELSE
         CASE WHEN text IN ({', '.join(q(d) for _, d in D.FORK_DIGESTS)}) OR regexp_full_match(text, '[0-9a-fA-F]{{8}}') THEN text END END AS digest
-        FROM (SELECT seq, ({array(FORK_TEXTS)})[e % {len(FORK_TEXTS)} + 1] AS text FROM b_events)""",
-    "genesis_for_digest": f"""SELECT seq, digest, CASE WHEN digest IN ('0x79df0428', '0xc2ce3aa8') THEN 1616508000
-        WHEN digest IN ('0xf925ddc5', '0x56fdb5e0') THEN 1638968400 ELSE 1606824023 END::BIGINT AS genesis,
-        digest NOT IN ('0xb5303f2a', '0xafcaaba0', '0x4a26c58b', '0x79df0428', '0xc2ce3aa8', '0xf925ddc5', '0x56fdb5e0') AS genesis_defaulted
-        FROM (SELECT seq, ({DIGEST_TEXT})[e % {N_FORKS} + 1] AS digest FROM b_events)""",
+        FROM (SELECT ord AS seq, unnest([eth2, substr(eth2, 1, 10)]) AS text FROM b_raw_records
+              UNION ALL SELECT seq, split_part(topic, '/', 3) FROM b_messages)""",
+    "genesis_for_digest": f"""SELECT ord, fork_digest, CASE WHEN fork_digest IN ('0x79df0428', '0xc2ce3aa8') THEN 1616508000
+        WHEN fork_digest IN ('0xf925ddc5', '0x56fdb5e0') THEN 1638968400 ELSE 1606824023 END::BIGINT AS genesis,
+        fork_digest NOT IN ('0xb5303f2a', '0xafcaaba0', '0x4a26c58b', '0x79df0428', '0xc2ce3aa8', '0xf925ddc5', '0x56fdb5e0') AS genesis_defaulted
+        {FORKS}""",
     "time_in_slot": "SELECT seq, time_in_slot FROM b_timed",
     "message_id": f"SELECT seq, {MSG_ID} AS msg_id FROM b_messages",
     "attnets_count": "SELECT ord, attnets_number FROM b_records",
@@ -322,7 +321,7 @@ SQL = {
         UNION ALL SELECT {MSG_OUT}, seq, NULL, NULL, val_idx FROM b_blocks""",
     "gossip_to_rows": f"SELECT {MSG_OUT}, seq, subnet, '' AS val_pubkey FROM b_attestations",
     "normalise_records": """SELECT timestamp, ord, peer_id, node_id, seq, ip, tcp, udp, pubkey, attnets, attnets_number,
-        fork_digest, next_fork_version, bad AS eth2_error FROM b_records""",
+        fork_digest, next_fork_version, bad AS eth2_error, attnets_error FROM b_records""",
     "topic_handlers": "SELECT seq, topic, reason FROM b_timed WHERE reason IS NOT NULL",
     "identify_events": """
         SELECT 'host' AS "table", peer_id, seq, ip AS detail FROM b_answered
@@ -376,7 +375,7 @@ SQL = {
         coalesce(i.expiration_time < TIMESTAMP '2001-08-02', false) AS record_expired
         FROM (SELECT DISTINCT ip FROM b_peers) p LEFT JOIN b_ips i ON p.ip = i.ip""",
     "ips_to_locate": """SELECT ip FROM (SELECT DISTINCT ip FROM b_peers)
-        WHERE ip NOT IN (SELECT ip FROM b_ips WHERE expiration_time >= TIMESTAMP '2001-08-02') ORDER BY ip LIMIT 8192""",
+        WHERE ip NOT IN (SELECT ip FROM b_ips WHERE expiration_time >= TIMESTAMP '2001-08-02')""",
     "networks": "SELECT DISTINCT network FROM b_listed ORDER BY 1",
     "discovered_valid_nodes": "SELECT peer_id, seq, node_ip, node_tcp FROM b_discoveries WHERE node_tcp <> 0 AND node_ip IS NOT NULL",
     "discovered_dedup": """SELECT peer_id, min(seq) AS seq, array_to_string(arg_min(multi_addrs, ts), '|') AS multi_addrs
@@ -397,7 +396,7 @@ SQL = {
     "ip_distribution": f"""SELECT n AS nodes_per_ip, count(*) AS number_of_ips
         FROM (SELECT ip, count(*) AS n FROM b_seen WHERE {NET} GROUP BY 1) GROUP BY 1""",
     "fork_distribution": "SELECT fork_digest, count(*) AS cnt FROM b_recent_nodes GROUP BY 1",
-    "attnets_distribution": "SELECT attnets_number, count(*) AS cnt FROM b_recent_nodes GROUP BY 1",
+    "attnets_distribution": "SELECT attnets_number, count(attnets_number) AS cnt FROM b_recent_nodes GROUP BY 1",
     "deprecated_count": f"SELECT count(*) AS cnt FROM b_peers WHERE deprecated AND {NET}",
     "node_distribution": f"SELECT count(*) AS cnt FROM b_listed WHERE {NET}",
     "delay_distribution": "SELECT delay_class, count(*) AS cnt FROM r_state WHERE NOT deprecable GROUP BY 1",
@@ -483,7 +482,7 @@ SQL = {
     "message_rates": """SELECT * FROM b_rates WHERE (window_start + 15) * 1000 <=
         (SELECT epoch_ms(max(arrival_time)) - 60000 FROM b_messages)""",
     "pair_conn_stream": "SELECT seq, peer_id, direction, conn_time, latency, disconn_time, identified, error FROM b_pairs",
-    "fold_stream": peer_state("", with_connections=False),
+    "fold_stream": peer_state("s"),
     "metrics_tick": " UNION ALL ".join(crawler_metrics(NET)),
     "snapshot_tick": """SELECT '2001-08-02 00:00:00.000000' AS timestamp, (id // 65536)::INT AS chunk,
         string_agg(id::VARCHAR, '|' ORDER BY id) AS peers FROM b_active_all GROUP BY 2""",

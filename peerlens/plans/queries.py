@@ -226,6 +226,16 @@ simple(
     lambda b: sinks.export_json(reports.peer_locations_small(b.peers_listed, b.ips, columns=10)),
 )
 simple("export_geojson", lambda b: sinks.export_geojson(b.peers_listed, b.ips))
+simple(
+    "geojson_document",
+    lambda b: sinks.geojson_document(sinks.export_geojson(b.peers_listed, b.ips)),
+)
+simple(
+    "json_array_document",
+    lambda b: sinks.json_array_document(
+        reports.peer_locations_small(b.peers_listed, b.ips, columns=10), "peer_id"
+    ),
+)
 simple(
     "attestation_event_json",
     lambda b: sinks.attestation_event_json(
@@ -301,27 +311,13 @@ simple(
     ),
 )
 
-PREFIXES = ["10.0", "52.7", "172.16", "172.32", "192.168", "127.0", "0.0", "169.254"]
-SIX = ["::1", "2001:db8::1", "::", "fe80::", "::ffff:10.0.0.1", "1::2::3"]
+def _announced(b, *columns):
+    """Columns worked out from the addresses of node records, of all classes and partly malformed."""
+    return b.raw_records.select("ord", "ip", *columns)
 
 
-def _addresses(b):
-    """Address texts of all classes, partly malformed, one per event."""
-    return b.events.selectExpr(
-        "seq",
-        f"""IF(e % 5 = 0, {bridge.pick(SIX, 'e % 6')},
-               concat({bridge.pick(PREFIXES, 'e % 8')}, '.', e % 200, '.', u % 250)) AS ip""",
-    )
-
-
-simple(
-    "is_public_ip",
-    lambda b: _addresses(b).withColumn("is_public", address.is_public_ip(F.col("ip"))),
-)
-simple(
-    "is_valid_ip",
-    lambda b: _addresses(b).withColumn("valid", address.is_valid_ip(F.col("ip"))),
-)
+simple("is_public_ip", lambda b: _announced(b, address.is_public_ip(F.col("ip")).alias("is_public")))
+simple("is_valid_ip", lambda b: _announced(b, address.is_valid_ip(F.col("ip")).alias("valid")))
 simple(
     "compose_maddr",
     lambda b: b.peers_listed.select(
@@ -330,33 +326,27 @@ simple(
 )
 
 
-def _digests(b):
-    """Every event with one of the fork digests."""
-    digests = [d for _, d in D.FORK_DIGESTS]
-    return b.events.selectExpr("seq", "e", f"{bridge.pick(digests, f'e % {len(digests)}')} AS digest")
+def _forks(b, *columns):
+    """Columns worked out from the fork digests of node records."""
+    return b.records.filter("fork_digest IS NOT NULL").select("ord", *columns)
 
 
 simple(
     "compose_topic",
-    lambda b: _digests(b).select(
-        "seq", gossip.compose_topic(F.col("digest"), F.lit(D.BLOCK_TOPIC)).alias("topic")
-    ),
+    lambda b: _forks(b, gossip.compose_topic(F.col("fork_digest"), F.lit(D.BLOCK_TOPIC)).alias("topic")),
 )
 simple(
     "compose_attnets_topic",
-    lambda b: _digests(b).select(
-        "seq", gossip.compose_attnets_topic(F.col("digest"), F.col("e") % 70).alias("topic")
-    ),
+    lambda b: _forks(b, gossip.compose_attnets_topic(F.col("fork_digest"), F.col("attnets_number")).alias("topic")),
 )
 simple("topic_pretty", lambda b: b.messages.select("seq", gossip.topic_pretty(F.col("topic")).alias("pretty")))
 simple("topic_subnet", lambda b: b.messages.select("seq", gossip.topic_subnet(F.col("topic")).alias("subnet")))
 
 
 def _fork_texts(b):
-    """Every event with a fork name, digest or something invalid."""
-    texts = [n.lower() for n, _ in D.FORK_DIGESTS] + [d for _, d in D.FORK_DIGESTS]
-    texts += ["b5303f2a", "0xdeadbeef", "zz", "DEADBEEF"]
-    return b.events.selectExpr("seq", f"{bridge.pick(texts, f'e % {len(texts)}')} AS text")
+    """Fork texts as they arrive: in node records (whole or wrong fields too) and in topics."""
+    records = b.raw_records.select(F.col("ord").alias("seq"), F.explode(F.array("eth2", F.substring("eth2", 1, 10))).alias("text"))
+    return records.unionByName(b.messages.select("seq", F.element_at(F.split("topic", "/"), 3).alias("text")))
 
 
 simple(
@@ -365,11 +355,11 @@ simple(
 )
 simple(
     "genesis_for_digest",
-    lambda b: _digests(b).select(
-        "seq",
-        "digest",
-        forks.genesis_for_digest(F.col("digest")).alias("genesis"),
-        forks.genesis_defaulted(F.col("digest")).alias("genesis_defaulted"),
+    lambda b: _forks(
+        b,
+        "fork_digest",
+        forks.genesis_for_digest(F.col("fork_digest")).alias("genesis"),
+        forks.genesis_defaulted(F.col("fork_digest")).alias("genesis_defaulted"),
     ),
 )
 simple(
@@ -665,34 +655,60 @@ _stream("message_rates", lambda ev, b: jobs.message_rates(bridge.messages(ev)))
 def _pair_stream(b):
     path = jobs.stream_path(b.spark, "pairs")
     halves = bridge.conn_halves(jobs.event_stream(b.spark, b.dir))
-    state, _ = jobs.pair_conn_stream(halves, path)
-    return state.output().select("seq", *connections.CONN_EVENT_COLUMNS)
+    state, _ = jobs.pair_conn_stream(halves, path, late_seconds=3600)
+    return jobs.paired_so_far(state).select("seq", *connections.CONN_EVENT_COLUMNS)
 
 
-PEER_STATE_SCHEMA = T.StructType([f for f in PEER_INFO.fields if f.name != "id"])
+PEER_STATE_COLUMNS = [f for f in PEER_INFO.fields if f.name != "id"]
+_POSITION = T.StructType([T.StructField("ts", T.TimestampType()), T.StructField("seq", T.LongType())])
+_HALF = T.StructType([f for f in jobs.HALF_SCHEMA.fields if f.name != "peer_id"])
+#: The peer row, and what later events need: the life it is in, the last success, a connection still open.
+FOLDED_PEER = T.StructType(
+    [*PEER_STATE_COLUMNS, T.StructField("life_start", _POSITION), T.StructField("success", _POSITION), T.StructField("open_half", _HALF)]
+)
+
 
+def fold_peer_batch(batch, prior, policy=DEFAULT_POLICY):
+    """One micro-batch of raw events into the peer table; batches come in the order of time.
 
-def fold_peer_batch(batch, prior):
-    """One micro-batch of raw events into the peer table."""
+    The life of a peer goes on from its stored start and last success, which stand for all earlier events.
+    """
     hosts = normalise.normalise_peers(bridge.discoveries(batch))
     _, answers, _, _ = normalise.identify_events(bridge.raw_connections(batch))
-    attempts = normalise.normalise_attempts(bridge.raw_dials(batch)).withColumn(
-        "deprecable", F.lit(False)
+    attempts = normalise.normalise_attempts(bridge.raw_dials(batch))
+    stored_starts = prior.filter("life_start IS NOT NULL").select("peer_id", "life_start.*")
+    stored_success = prior.filter("success IS NOT NULL").select("peer_id", "success.*", F.lit("none").alias("error"))
+    seen = hosts.select("peer_id", "ts", "seq").unionByName(stored_starts)
+    tried = attempts.select("peer_id", "ts", "seq", "error").unionByName(stored_success)
+    lives = retry.peer_lives(tried, seen, policy)
+    live = retry.live_attempts(attempts, lives)
+    halves = bridge.conn_halves(batch).unionByName(
+        prior.filter("open_half IS NOT NULL").select("peer_id", "open_half.*")
     )
-    none = batch.select(
-        "peer_id", "ts", "seq", F.lit(None).cast("long").alias("disconn_time")
-    ).filter(F.lit(False))
-    out = folds.fold_peer_state(hosts, answers, attempts, none, prior)
-    return out.select([F.col(f.name).cast(f.dataType) for f in PEER_STATE_SCHEMA.fields])
+    events = connections.pair_conn_events(halves)
+    rows = folds.fold_peer_state(hosts, answers, live, events, prior.filter("network IS NOT NULL"))
+    positive = policy.class_of(F.col("error")) == policy.positive_class
+    position = F.struct("ts", "seq")
+    last_life = lives.groupBy("peer_id").agg(F.max_by(F.struct("start", "end"), "life").alias("l"))
+    open_life = last_life.filter(F.col("l.end").isNull()).select("peer_id", F.col("l.start").alias("life_start"))
+    success = tried.groupBy("peer_id").agg(F.max(F.when(positive, position)).alias("success"))
+    half = F.max_by(F.struct(*_HALF.fieldNames()), position)
+    waiting = halves.groupBy("peer_id").agg(half.alias("open_half")).filter("open_half.kind = 'open'")
+    whole = rows
+    for part in (open_life, success, waiting):
+        whole = whole.join(part, "peer_id", "full")
+    return whole.select([F.col(f.name).cast(f.dataType) for f in FOLDED_PEER.fields])
 
 
 @query("fold_stream")
 def _fold_stream(b):
     path = jobs.stream_path(b.spark, "fold")
-    state, last, _ = jobs.fold_stream(
-        jobs.event_stream(b.spark, b.dir), path, fold_peer_batch, PEER_STATE_SCHEMA
-    )
-    return state.read(last["batch"], PEER_STATE_SCHEMA)
+
+    def fold(batch, prior):
+        return fold_peer_batch(batch, prior, STRICT)
+
+    state, _ = jobs.fold_stream(jobs.event_stream(b.spark, b.dir), path, fold, FOLDED_PEER)
+    return state.read().filter("network IS NOT NULL").select([f.name for f in PEER_STATE_COLUMNS])
 
 
 @query("metrics_tick")

@@ -1,6 +1,7 @@
 """Session defaults and the shared folder used to cut lineage."""
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -25,14 +26,16 @@ def build_session(app="peerlens", master=None, **conf):
 
 
 def shared_dir(spark):
-    """Folder every executor can reach: the one the cluster names.
+    """Folder every executor can reach: the one the cluster names in `spark.checkpoint.dir`.
 
-    Only a session that names none (a unit test) gets a folder of its own.
+    Only a local master, whose executors are this process, may go without and gets a folder of its own.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     if not named:
         if context.getCheckpointDir() is None:
+            if not re.fullmatch(r"local(\[.*\])?", context.master):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
             context.setCheckpointDir(tempfile.mkdtemp(prefix="peerlens-"))
         named = context.getCheckpointDir()
     return named

@@ -62,6 +62,22 @@ def export_all(peers, ips, directory, networks=None, exports="all", single_file=
     return paths
 
 
+#: Row order of each export within a file; `-` is descending.
+ORDERS = {
+    "peers": "country city peer_id",
+    "ips": "country city ip",
+    "country": "-peer_count country country_code",
+    "city": "-peer_count city country country_code lat lon",
+    "hosting": "-peer_count provider hosting",
+    "as": "-peer_count asname as_raw org",
+    "clients": "-peer_count client_name client_version client_os client_arch",
+}
+
+
+def _order(key):
+    return [F.desc(c[1:]) if c[0] == "-" else F.col(c) for c in ORDERS[key].split()]
+
+
 def export_networks(peers, ips, directory):
     """All exports of all networks at once: one job per export, not per network.
 
@@ -71,7 +87,7 @@ def export_networks(peers, ips, directory):
     """
     by = ["network"]
     counted = cut(reports.counted_addresses(peers, ips, by=by), "counted")
-    addresses = counted.select(*by, *reports.IP_COLUMNS).orderBy(*by, "country", "city", "ip")
+    addresses = counted.select(*by, *reports.IP_COLUMNS)
     results = {
         "peers": reports.peer_locations(peers, ips),
         "ips": addresses,
@@ -86,7 +102,8 @@ def export_networks(peers, ips, directory):
         name = EXPORTS[key][0]
         file = F.concat(network_file_prefix(F.col("network")), F.lit(f"{name}.csv"))
         paths[key] = os.path.join(directory, name)
-        out = df.withColumn("file", file)
+        # Ordered by file first: the writer then needs no sort of its own, and rows keep the report's order.
+        out = df.withColumn("file", file).orderBy("file", *_order(key))
         if key != "peers":  # that export shows the network as a column
             out = out.drop("network")
         out.write.mode("overwrite").option("header", True).partitionBy("file").csv(paths[key])

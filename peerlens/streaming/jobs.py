@@ -114,28 +114,95 @@ def topic_senders(messages, every="1 minute", late="1 minute", error=0.02):
 
 
 class VersionedState:
-    """A table with one version per micro-batch below a shared folder."""
+    """Tables with one version per micro-batch below a shared folder.
+
+    A version counts once Spark has committed its folder.  A batch reads the version before its own and writes
+    its own, so a repeated batch writes the same again; older versions are removed.
+    """
 
     def __init__(self, spark, path):
         self.spark, self.path = spark, path
+        jvm = spark._jvm.org.apache.hadoop.fs
+        self._path = jvm.Path
+        self._store = jvm.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
 
     def _folder(self, batch_id, part="state"):
         return os.path.join(self.path, f"{part}-{batch_id:012d}")
 
-    def read(self, batch_id, schema):
+    def versions(self, part="state"):
+        """Numbers of the committed versions, oldest first."""
+        found = self._store.globStatus(self._path(os.path.join(self.path, f"{part}-*", "_SUCCESS"))) or []
+        return sorted(int(f.getPath().getParent().getName().rpartition("-")[2]) for f in found)
+
+    def newest(self, part="state"):
+        """Number of the newest committed version, -1 if there is none."""
+        return max(self.versions(part), default=-1)
+
+    def read(self, batch_id, schema, part="state"):
         """State after `batch_id`; empty before the first batch."""
         if batch_id < 0:
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(self._folder(batch_id))
+        return self.spark.read.schema(schema).parquet(self._folder(batch_id, part))
 
     def write(self, df, batch_id, part="state"):
         df.write.mode("overwrite").parquet(self._folder(batch_id, part))
 
-    def output(self, part="out"):
+    def forget(self, keep, part="state"):
+        """Remove the versions that are not in `keep`."""
+        for number in set(self.versions(part)) - set(keep):
+            self._store.delete(self._path(self._folder(number, part)), True)
+
+    def output(self, part="out", schema=None):
         """All batches' output rows."""
-        return self.spark.read.option("recursiveFileLookup", True).parquet(
-            os.path.join(self.path, f"{part}-*")
-        )
+        reader = self.spark.read.option("recursiveFileLookup", True)
+        reader = reader if schema is None else reader.schema(schema)
+        return reader.parquet(os.path.join(self.path, f"{part}-*"))
+
+
+BUCKETS = 64
+_MAP = "bucket int, version long"
+
+
+class BucketedState:
+    """A keyed table in buckets by the key's hash; a batch rewrites the buckets that it touches.
+
+    A version holds the rewritten buckets; its map names, for every bucket, the version that holds it.  The map
+    is written last and is the commit.
+    """
+
+    def __init__(self, spark, path, schema, key="peer_id", buckets=BUCKETS):
+        self.state, self.schema, self.key, self.buckets = VersionedState(spark, path), schema, key, buckets
+        self.spark = spark
+
+    def bucket(self):
+        return F.pmod(F.xxhash64(self.key), F.lit(self.buckets)).cast("int").alias("bucket")
+
+    def _map(self, batch_id):
+        return {r.bucket: r.version for r in self.state.read(batch_id, _MAP, "map").collect()}  # at most `buckets` rows
+
+    def _rows(self, places):
+        folders = [os.path.join(self.state._folder(v, "rows"), f"bucket={b}") for b, v in sorted(places.items())]
+        return self.spark.read.schema(self.schema).parquet(*folders) if folders else self.spark.createDataFrame([], self.schema)
+
+    def read(self):
+        """The newest committed table."""
+        return self._rows(self._map(self.state.newest("map")))
+
+    def update(self, batch_id, batch, fold):
+        """Write version `batch_id`: `fold(rows of the touched buckets)` replaces those buckets."""
+        before = max((v for v in self.state.versions("map") if v < batch_id), default=-1)
+        places = self._map(before)
+        touched = {r.bucket for r in batch.select(self.bucket()).distinct().collect()}  # at most `buckets` rows
+        prior = self._rows({b: v for b, v in places.items() if b in touched})
+        out = fold(prior).withColumn("bucket", self.bucket())
+        folder = self.state._folder(batch_id, "rows")
+        out.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(folder)
+        found = self.spark.read.parquet(folder).select("bucket").distinct().collect() if touched else []
+        places |= {r.bucket: batch_id for r in found}
+        self.state.write(self.spark.createDataFrame(sorted(places.items()), _MAP), batch_id, "map")
+        self.state.forget({before, batch_id}, "map")
+        older = set(self._map(before).values()) if before >= 0 else set()
+        self.state.forget(older | set(places.values()), "rows")
 
 
 HALF_SCHEMA = T.StructType(
@@ -152,48 +219,69 @@ HALF_SCHEMA = T.StructType(
 )
 
 
-def pair_conn_stream(halves, path, late_seconds=0, trigger=None):
+CONN_SCHEMA = (
+    "peer_id string, direction string, conn_time long, latency long, disconn_time long, identified boolean, "
+    "error string, ts timestamp, seq long"
+)
+
+
+def pair_conn_stream(halves, path, late_seconds, trigger=None):
     """Connection events from a stream of halves, in any order within `late_seconds`.
 
-    A half is settled once it is older than the newest one by `late_seconds`.
-    Pairs are emitted when the following half has settled; the state keeps the
-    unsettled halves and the settled opens that still wait for one.
+    A half is settled once it is older than the newest one by `late_seconds`.  Pairs are emitted ("out") when the
+    following half has settled; the state keeps the unsettled halves and the settled opens that still wait for one.
+    A half that comes after its place has settled goes to "late": it can no longer change what was emitted.
     """
     state = VersionedState(halves.sparkSession, path)
+    border_schema = "border timestamp"
 
     def handle(batch, batch_id):
         pending = state.read(batch_id - 1, HALF_SCHEMA)
-        known = pending.unionByName(batch.select(*HALF_SCHEMA.fieldNames())).persist()
-        border = known.select(
-            F.timestamp_micros(F.max(F.unix_micros("ts")) - late_seconds * 1_000_000)
-        ).scalar()
-        settled = F.col("ts") <= border
+        settled_before = state.read(batch_id - 1, border_schema, "border").select(F.max("border")).scalar()
+        columns = HALF_SCHEMA.fieldNames()
+        arrived = batch.select(columns).persist()
+        late = F.coalesce(F.col("ts") <= settled_before, F.lit(False))
+        known = pending.unionByName(arrived.filter(~late)).persist()
+        newest = known.select(F.timestamp_micros(F.max(F.unix_micros("ts")) - late_seconds * 1_000_000)).scalar()
+        border = F.greatest(newest, settled_before)
+        settled = F.coalesce(F.col("ts") <= border, F.lit(False))
+        state.write(arrived.filter(late), batch_id, "late")
         state.write(connections.pair_conn_events(known.filter(settled)), batch_id, "out")
+        state.write(halves.sparkSession.range(1).select(border.cast("timestamp").alias("border")), batch_id, "border")
         waiting = (
             known.filter(settled)
             .groupBy("peer_id")
-            .agg(F.max_by(F.struct(*HALF_SCHEMA.fieldNames()[1:]), folds.position()).alias("h"))
+            .agg(F.max_by(F.struct(*columns[1:]), folds.position()).alias("h"))
             .filter(F.col("h.kind") == "open")
             .select("peer_id", "h.*")
         )
         state.write(known.filter(~settled).unionByName(waiting), batch_id)
+        for part in ("state", "border"):
+            state.forget({batch_id - 1, batch_id}, part)
         known.unpersist()
+        arrived.unpersist()
 
     query = run_batches(halves, path, handle, trigger)
     return state, query
 
 
-def fold_stream(events, path, fold, schema, trigger=None):
-    """Keep a table folded: state after a batch is `fold(batch, state before)`."""
-    state = VersionedState(events.sparkSession, path)
-    last = {"batch": -1}
+def paired_so_far(state):
+    """All emitted pairs, and those that the pending halves give if nothing more comes."""
+    rest = connections.pair_conn_events(state.read(state.newest(), HALF_SCHEMA))
+    return state.output("out", CONN_SCHEMA).unionByName(rest)
+
+
+def fold_stream(events, path, fold, schema, key="peer_id", trigger=None):
+    """Keep a table folded: rows of the touched buckets become `fold(batch, those rows)`."""
+    state = BucketedState(events.sparkSession, path, schema, key)
 
     def handle(batch, batch_id):
-        state.write(fold(batch, state.read(batch_id - 1, schema)), batch_id)
-        last["batch"] = batch_id
+        batch = batch.persist()
+        state.update(batch_id, batch, lambda prior: fold(batch, prior))
+        batch.unpersist()
 
     query = run_batches(events, path, handle, trigger)
-    return state, last, query
+    return state, query
 
 
 # ------------------------------------------------------------ ticks
@@ -215,7 +303,10 @@ def live_trigger(interval=D.METRIC_TICK):
 
 
 def snapshot_tick(clock, path, peers, as_of, trigger=None):
-    """Append an active-peers snapshot per trigger, stamped `as_of(batch_id)`."""
+    """Append an active-peers snapshot per trigger, the first at the start, stamped `as_of(batch_id)`.
+
+    `snapshot_trigger()` is the trigger of a job that runs on.
+    """
 
     def handle(batch, batch_id):
         rows = folds.active_peers_snapshot(peers(), as_of(batch_id))
@@ -224,5 +315,9 @@ def snapshot_tick(clock, path, peers, as_of, trigger=None):
     return run_batches(clock, path, handle, trigger)
 
 
+def snapshot_trigger():
+    return live_trigger(D.SNAPSHOT_TICK)
+
+
 def stream_path(spark, name):
     return run_dir(spark, name)

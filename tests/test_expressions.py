@@ -14,6 +14,9 @@ IPS = [
     "100.64.0.1", "256.1.1.1", "1.1.1", "01.1.1.1", "", "abc", "::", "::1", "2001:db8::1", "fe80::1",
     "1::2::3", "1:2:3:4:5:6:7:8", "1:2:3:4:5:6:7", "::ffff:10.0.0.1", "::ffff:8.8.8.8", "::1.2.3.4",
     "1:2:3:4:5:6:1.2.3.4", "12345::", ":::", "1:2:3:4:5:6:7::", "::2:3:4:5:6:7:8", "0:0:0:0:0:0:0:1",
+    "0::1", "::0", "::0001", "::ffff:a00:1", "0:0:0:0:0:ffff:10.0.0.1", "::ffff:7f00:1", "::ffff:0:0", "0000::0000", "::FFFF:c0a8:101",
+    "1:2:3:4:5::1:2:3:4:1.2.3.4", "1:2:3:4:5:6:7:1.2.3.4", "::1.2.3.400", "1::", ":1", "1:", "::ffff:172.20.1.1", "::ffff:172.32.1.1",
+    "g::1", "1:2:3:4::5:6:7:8", "1:2:3::5:6:7:8",
 ]
 
 
@@ -120,7 +123,7 @@ def test_fork_digests(spark):
     assert evaluate(spark, digests, forks.genesis_defaulted) == [False, False, False, True, True]
 
 
-@pytest.mark.parametrize("text", ["ffffffffffffffff", "0x0100000000000080", "0f", "", "123456789abcdef0" * 3])
+@pytest.mark.parametrize("text", ["ffffffffffffffff", "0x0100000000000080", "0f", "123456789abcdef0" * 3])
 def test_attnets_bits(spark, text):
     bits = bin(int(text.removeprefix("0x") or "0", 16)).count("1")
     assert evaluate(spark, [text], forks.attnets_count) == [bits]
@@ -144,3 +147,35 @@ def test_record_fields(spark):
     df = column(spark, ["0xaa", None])
     assert df.filter(forks.enr_fork_match(F.col("v"), "0xaa")).count() == 1
     assert df.filter(forks.enr_fork_match(F.col("v"), "all")).count() == 2
+
+
+def test_undecodable_bitmasks(spark):
+    texts = ["", "0x", "zz", "0xabc", "0xff", None]
+    assert evaluate(spark, texts, forks.attnets_count) == [-1, -1, None, None, 8, -1]
+    assert evaluate(spark, texts, forks.attnets_error) == ["empty", "empty", "invalid hex", "invalid hex", None, None]
+
+
+@pytest.mark.parametrize("tick, rate", [("15 seconds", 8.0), ("1 minute", 2.0), ("2 hours", 2 / 120)])
+def test_rate_follows_the_window(spark, tick, rate):
+    from peerlens.operators import distributions
+
+    rows = spark.sql("SELECT 't' AS topic, timestamp'2024-01-01 00:00:01' AS arrival_time FROM range(2)")
+    assert [r.per_minute for r in distributions.messages_per_topic(rows, tick).collect()] == [pytest.approx(rate)]
+
+
+def test_every_missing_address_is_located(spark):
+    from peerlens.operators import lookups
+
+    peers = spark.range(9000).selectExpr("concat('52.', id div 200, '.0.', id % 200) AS ip")
+    ips = peers.limit(0).selectExpr("ip", "timestamp'2024-01-01 00:00:00' AS expiration_time")
+    assert lookups.ips_to_locate(peers, ips, "2024-01-01 00:00:00").count() == 9000
+    assert lookups.ips_to_locate(peers, ips, "2024-01-01 00:00:00", batch=5).count() == 5
+
+
+def test_a_client_of_two_networks_is_at_home_in_both(spark, monkeypatch):
+    from peerlens.operators import audit
+
+    words = {"A": [("both", ["both"]), ("one", ["one"])], "B": [("both", ["both"])]}
+    monkeypatch.setattr(D, "CLIENT_WORDS", words)
+    rows = spark.createDataFrame([("A", "both"), ("B", "both"), ("B", "one"), ("C", "both"), ("A", "none"), ("A", None)], "network string, client_name string")
+    assert sorted(map(tuple, audit.contamination(rows).collect())) == [("B", "one", 1), ("C", "both", 1)]

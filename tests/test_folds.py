@@ -5,7 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from peerlens.operators import folds, lookups
-from peerlens.plans.queries import PEER_STATE_SCHEMA, Inputs, fold_peer_batch
+from peerlens.plans.queries import FOLDED_PEER, Inputs, fold_peer_batch
+from peerlens.session import cut
 
 T0 = dt.datetime(2024, 1, 1)
 HOST = "peer_id string, ts timestamp, seq bigint, network string, multi_addrs array<string>, ip string, port int"
@@ -101,11 +102,11 @@ def test_any_partitioning_gives_the_same_state(spark, data, seed):
 
 def test_batches_equal_one_pass(spark, data):
     events = Inputs(spark, data).events
-    empty = spark.createDataFrame([], PEER_STATE_SCHEMA)
+    empty = spark.createDataFrame([], FOLDED_PEER)
     whole = sorted(fold_peer_batch(events, empty).collect())
     kept = empty
     for low, high in ((0, 300), (300, 310), (310, 10**9)):
-        kept = fold_peer_batch(events.filter((F.col("seq") >= low) & (F.col("seq") < high)), kept)
+        kept = cut(fold_peer_batch(events.filter((F.col("seq") >= low) & (F.col("seq") < high)), kept))
     assert sorted(kept.collect()) == whole
 
 
@@ -208,3 +209,18 @@ def test_addresses_are_cleaned_not_peers(spark):
     assert [tuple(r) for r in lookups.connectable_peers(df, "N").collect()] == [("p", "N", ["/ip4/1.1.1.1/tcp/1"])]
     known = lookups.peer_exists(spark.createDataFrame([("p",), ("x",)], "peer_id string"), df)
     assert {r.peer_id: r.peer_exists for r in known.collect()} == {"p": True, "x": False}
+
+
+def test_nodes_with_null_keys_are_all_kept(spark):
+    rows = [(i, f"n{i}", None if i % 2 else "p", None if i % 3 == 0 else "k") for i in range(12)]
+    fields = "timestamp bigint, seq bigint, ip string, tcp int, udp int, fork_digest string, next_fork_version string, attnets string, attnets_number int"
+    events = spark.createDataFrame(rows, "ord bigint, node_id string, peer_id string, pubkey string")
+    for field in fields.split(", "):
+        name, kind = field.split()
+        events = events.withColumn(name, F.lit(1).cast(kind))
+    whole = [r for r in rows if r[2] and r[3]]
+    kept = folds.fold_eth_nodes(events)
+    assert kept.count() == len(rows) - len(whole) + 1
+    turned = folds.dq_eth_node_conflicts(events)
+    assert sorted(r.node_id for r in turned.collect()) == sorted(r[1] for r in whole[1:])
+    assert {r.owner for r in turned.collect()} == {whole[0][1]}

@@ -8,8 +8,9 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from peerlens.plans import queries as catalogue
 
-NAMES = sorted(entry.queries())
+NAMES = sorted(catalogue.queries())
 TYPES = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "double": "DOUBLE", "boolean": "BOOLEAN"}
 
 

@@ -1,3 +1,5 @@
+import pytest
+
 from peerlens import session
 
 
@@ -6,8 +8,8 @@ class Conf(dict):
 
 
 class Context:
-    def __init__(self):
-        self.dir = None
+    def __init__(self, master="local[2]"):
+        self.dir, self.master = None, master
 
     def getCheckpointDir(self):
         return self.dir
@@ -35,6 +37,14 @@ def test_own_folder_only_without_one():
     assert folder and session.shared_dir(spark) == folder == spark.sparkContext.dir
 
 
+def test_a_cluster_must_name_a_shared_folder():
+    for master in ("yarn", "spark://host:7077", "k8s://host", "local-cluster[2,1,1024]"):
+        spark = Named()
+        spark.sparkContext.master = master
+        with pytest.raises(RuntimeError):
+            session.run_dir(spark, "x")
+
+
 def test_cut_keeps_rows_and_schema(spark):
     df = spark.range(10).selectExpr("id", "IF(id > 4, id, NULL) AS n", "struct(id AS a, cast(id AS string) AS b) AS s")
     copy = session.cut(df)

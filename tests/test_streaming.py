@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from peerlens.operators import connections, distributions, folds, normalise
-from peerlens.plans.queries import AS_OF, PEER_STATE_SCHEMA, Inputs, fold_peer_batch
+from peerlens.plans.queries import AS_OF, FOLDED_PEER, PEER_STATE_COLUMNS, STRICT, Inputs, fold_peer_batch
 from peerlens.plans.registry import Tables, metrics_snapshot
 from peerlens.sources import bridge, sinks
 from peerlens.streaming import jobs
@@ -35,33 +35,73 @@ def rows(df):
 
 
 def test_connection_pairs(stream, batch, tmp_path):
-    state, _ = jobs.pair_conn_stream(bridge.conn_halves(stream), str(tmp_path / "s"))
+    state, _ = jobs.pair_conn_stream(bridge.conn_halves(stream), str(tmp_path / "s"), late_seconds=0)
     columns = ["seq", *connections.CONN_EVENT_COLUMNS]
-    assert rows(state.output().select(columns)) == rows(batch.conn_events().select(columns))
+    assert rows(jobs.paired_so_far(state).select(columns)) == rows(batch.conn_events().select(columns))
+    assert state.output("late", jobs.HALF_SCHEMA).count() == 0
 
 
-def test_connection_pairs_late_halves(spark, data, batch, tmp_path):
-    """Files overlap in time; with enough delay only the unsettled end is missing."""
+@pytest.fixture
+def overlapping(spark, data, tmp_path):
+    """The event log in three files that overlap in time."""
     folder = str(tmp_path / "mixed")
     log = bridge.table(spark, data, "events")
     for i in range(3):
         mixed = F.floor((F.col("event_id") + F.col("event_id") % 3 * 20) / 400) == i
         log.filter(mixed).coalesce(1).write.mode("append").parquet(folder)
-    source = jobs.event_stream(spark, folder, files_per_batch=1, pattern="*.parquet")
-    late = 4 * 86400
-    state, _ = jobs.pair_conn_stream(bridge.conn_halves(source), str(tmp_path / "s"), late_seconds=late)
-    border = batch.halves.agg((F.max(F.unix_micros("ts")) / 1e6 - late).alias("b")).first().b
-    wanted = batch.conn_events().filter(F.col("disconn_time") <= F.lit(border))
-    got = state.output()
-    assert abs(got.count() - wanted.count()) <= 1 and got.count() > 0
-    assert got.select("seq").subtract(batch.conn_events().select("seq")).count() == 0
-
-
-def test_peer_table(spark, stream, batch, tmp_path):
-    state, last, _ = jobs.fold_stream(stream, str(tmp_path / "s"), fold_peer_batch, PEER_STATE_SCHEMA)
-    assert last["batch"] == 3
-    whole = fold_peer_batch(batch.events, spark.createDataFrame([], PEER_STATE_SCHEMA))
-    assert rows(state.read(3, PEER_STATE_SCHEMA)) == rows(whole)
+    return jobs.event_stream(spark, folder, files_per_batch=1, pattern="*.parquet")
+
+
+def test_connection_pairs_late_halves(overlapping, batch, tmp_path):
+    state, _ = jobs.pair_conn_stream(bridge.conn_halves(overlapping), str(tmp_path / "s"), late_seconds=4 * 86400)
+    columns = ["seq", *connections.CONN_EVENT_COLUMNS]
+    assert rows(jobs.paired_so_far(state).select(columns)) == rows(batch.conn_events().select(columns))
+    assert state.output("late", jobs.HALF_SCHEMA).count() == 0
+
+
+def test_halves_too_late_are_put_aside(overlapping, batch, tmp_path):
+    """Without enough delay nothing is lost: late halves are listed, the rest is paired as if they had not come."""
+    state, _ = jobs.pair_conn_stream(bridge.conn_halves(overlapping), str(tmp_path / "s"), late_seconds=0)
+    late = state.output("late", jobs.HALF_SCHEMA)
+    assert late.count() > 0
+    rest = batch.halves.join(late.select("seq"), "seq", "left_anti").select(*jobs.HALF_SCHEMA.fieldNames())
+    wanted = connections.pair_conn_events(rest)
+    columns = ["seq", *connections.CONN_EVENT_COLUMNS]
+    assert rows(jobs.paired_so_far(state).select(columns)) == rows(wanted.select(columns))
+
+
+def fold_strict(batch, prior):
+    return fold_peer_batch(batch, prior, STRICT)
+
+
+def test_peer_table(spark, stream, batch, files, tmp_path):
+    """Over four files the table is that of the whole log: lives, connections and all."""
+    path = str(tmp_path / "s")
+    state, _ = jobs.fold_stream(stream, path, fold_strict, FOLDED_PEER)
+    names = [f.name for f in PEER_STATE_COLUMNS]
+    wanted = batch.peer_state(STRICT).select(names)
+    assert rows(state.read().filter("network IS NOT NULL").select(names)) == rows(wanted)
+    assert wanted.filter("deprecated").count() > 0
+    assert len(state.state.versions("map")) == 2
+    # A restart without new files reads what was committed.
+    again, _ = jobs.fold_stream(jobs.event_stream(spark, files, files_per_batch=1, pattern="*.parquet"), path, fold_strict, FOLDED_PEER)
+    assert rows(again.read().filter("network IS NOT NULL").select(names)) == rows(wanted)
+
+
+def test_only_touched_buckets_are_written(spark, tmp_path):
+    schema = "peer_id string, n long"
+    state = jobs.BucketedState(spark, str(tmp_path / "b"), schema, buckets=8)
+
+    def add(batch):
+        return lambda prior: prior.unionByName(batch).groupBy("peer_id").agg(F.sum("n").alias("n"))
+
+    whole = spark.range(100).select(F.concat(F.lit("p"), "id").alias("peer_id"), F.lit(1).cast("long").alias("n"))
+    state.update(0, whole, add(whole))
+    one = whole.filter("peer_id = 'p7'")
+    for number in (1, 2, 2):  # a repeated batch counts once
+        state.update(number, one, add(one))
+    assert {r.peer_id: r.n for r in state.read().collect()} == {f"p{i}": 3 if i == 7 else 1 for i in range(100)}
+    assert sorted(set(state._map(2).values())) == [0, 2]
 
 
 def test_gossip_dedup_and_rows(spark, stream, batch, tmp_path):
