@@ -30,7 +30,7 @@ def clean(spark, docs, sf_dir):
 
 def encoded(spark, docs, sf_dir):
     """Token counts and digests of every document that is left."""
-    return byte_bpe.digests(byte_bpe.decode(byte_bpe.encode(docs)))
+    return byte_bpe.digests(byte_bpe.encode_and_decode(docs))
 
 
 STAGES = [

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from peerlens.llm.common import byte_slices, text_pairs
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-_CACHE, _MEMO = 400_000, 600_000
+_CACHE, _MEMO = 250_000, 400_000
 _PIECE = 1 << 20
 _SPLIT = regex.compile(public_tokenizers.PATTERN)
 
@@ -305,6 +305,14 @@ def decode(encoded, path=VOCABULARY):
     return encoded.select("doc_id", "ids").mapInArrow(_decode(path), "doc_id long, ids array<int>, decoded binary")
 
 
+def encode_and_decode(docs, path=VOCABULARY):
+    """`decode(encode(docs))` in one pass, so that ids need not travel between two workers."""
+    def run(batches):
+        return _decode(path)(_encode(path)(batches))
+
+    return text_pairs(docs).mapInArrow(run, "doc_id long, ids array<int>, decoded binary")
+
+
 def digests(decoded):
     """doc_id, n_tokens, ids_sha256, decoded_sha256."""
     joined = F.array_join(F.col("ids").cast("array<string>"), ",")

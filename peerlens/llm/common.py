@@ -14,7 +14,12 @@ SLICE_BYTES = 2 << 20
 SPACE = b" \t\n\x0b\x0c\r"
 
 
+#: Bytes of an Arrow batch that a task holds at once; one longer row is a batch of its own.
+BATCH_BYTES = 8 << 20
+
+
 def table(spark, directory, name):
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return spark.read.parquet(f"{directory}/{name}.parquet")
 
 

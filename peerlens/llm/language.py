@@ -19,10 +19,9 @@ PER_LANGUAGE = 3000
 SHARE = 0.01
 GRAMS = (3, 4, 5)
 TABLE_BITS, PROBES = 18, 2
-#: Training text beyond this is not needed of one document: the sample is bounded in bytes, too.
 UNKNOWN = "und"
 _FACTORS = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F]
-_BLOCK = 1 << 20
+_BLOCK = 1 << 18
 
 
 def _letters(text):
@@ -202,12 +201,16 @@ def predictions(docs, per_language=PER_LANGUAGE):
     return found.select("doc_id", F.coalesce(_remainder() == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
-def drop_unidentified(docs, per_language=PER_LANGUAGE):
-    """`docs` without the rows whose language is `und`, which only the text itself decides."""
-    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, per_language))
+def _identified(shared):
+    def run(batches):
+        for batch in byte_slices(batches, "text"):
+            texts = [t.as_py() or "" for t in batch.column("text")]
+            yield batch.filter(pa.array([language != UNKNOWN for language, _ in shared.value.predict(texts)]))
+
+    return run
 
-    @F.pandas_udf("boolean")
-    def identified(texts):
-        return texts.fillna("").map(lambda t: shared.value.predict([t])[0][0] != UNKNOWN)
 
-    return docs.filter(identified(F.col("text").cast("string")))
+def drop_unidentified(docs, per_language=PER_LANGUAGE):
+    """`docs` without the rows whose language is `und`, which only the text itself decides."""
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, per_language))  # fixed size: the table
+    return docs.mapInArrow(_identified(shared), docs.schema)

@@ -32,7 +32,7 @@ def _op4(spark, directory):
 
 
 def _op5(spark, directory):
-    return byte_bpe.digests(byte_bpe.decode(byte_bpe.encode(table(spark, directory, "documents"))))
+    return byte_bpe.digests(byte_bpe.encode_and_decode(table(spark, directory, "documents")))
 
 
 def _op6(spark, directory):
