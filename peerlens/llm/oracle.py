@@ -33,10 +33,10 @@ WITH t AS (
   SELECT DISTINCT item_id, n, array_to_string(w[i:i + n - 1], ' ') AS s
   FROM (SELECT item_id, w, least(13, len(w)) AS n, unnest(range(1, len(w) - least(13, len(w)) + 2)) AS i FROM b WHERE len(w) > 0)
 ), sizes AS (SELECT DISTINCT n FROM win),
-at AS (
+seen AS (
   SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS s
   FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM t, sizes WHERE len(w) >= n)
-), hit AS (SELECT doc_id, at.n, i, item_id FROM at JOIN win ON at.s = win.s AND at.n = win.n),
+), hit AS (SELECT doc_id, seen.n, i, item_id FROM seen JOIN win ON seen.s = win.s AND seen.n = win.n),
 words AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM hit) GROUP BY doc_id),
 items AS (
   SELECT doc_id, count(*) AS n_items, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS listed
