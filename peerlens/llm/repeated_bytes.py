@@ -197,10 +197,20 @@ def repeated_spans(docs, group_bytes=GROUP_BYTES):
         groups = groups.join(large, "hash", "left_semi").select(*(f.split()[0] for f in _PIECES.split(", ")))
         groups = cut(groups.mapInArrow(_halve(level), _PIECES), "pieces")
         alone = groups.groupBy("hash").count().filter("count > 1").select("hash")
-        groups = cut(groups.join(alone, "hash", "left_semi"), "pieces")
+        spans, groups = _collapsed(cut(groups.join(alone, "hash", "left_semi"), "pieces"), spans)
     return spans.unionByName(_merged(groups))
 
 
+def _collapsed(groups, spans):
+    """Store pieces that are now equal once; all their places are repeated as a whole."""
+    twice = cut(groups.groupBy("hash", "pid").count().filter("count > 1").select("hash", "pid"), "twice")
+    stop = F.col("start") + F.octet_length("body")
+    places = groups.filter("NOT full").join(twice, ["hash", "pid"], "left_semi").select("t1", "t2", "start", stop.alias("stop"))
+    once = groups.dropDuplicates(["hash", "pid"]).join(twice.withColumn("met", F.lit(True)), ["hash", "pid"], "left")
+    once = once.withColumn("full", F.col("full") | F.coalesce("met", F.lit(False)))
+    return spans.unionByName(cut(places, "places")), cut(once.select(*(f.split()[0] for f in _PIECES.split(", "))), "pieces")
+
+
 def _merged(groups):
     rows = groups.select(*(f.split()[0] for f in _PIECES.split(", ")))
     return rows.repartition("hash").sortWithinPartitions("hash", "pid").mapInArrow(_merge_groups, _SPANS)
