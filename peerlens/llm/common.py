@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from peerlens.session import cut, shared_dir
 
-__all__ = ["byte_slices", "cut", "let_through", "shared_dir", "table", "text_pairs"]
+__all__ = ["byte_slices", "cut", "let_through", "shared_dir", "table", "text_pairs", "without"]
 
 SLICE_BYTES = 2 << 20
 #: The six characters that count as white space in the contracts of these operators.
@@ -48,6 +48,16 @@ def text_pairs(docs):
     )
 
 
+def without(docs, ids):
+    """`docs` without the rows whose doc_id is among `ids` (doc_id), all columns as they were.
+
+    The ids are written first: the join then knows their size, and a short list is broadcast
+    instead of moving the documents.
+    """
+    gone = cut(ids.select(F.col("doc_id").alias("_id")).distinct(), "gone")
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_id"]), "left_anti")
+
+
 class _Bits:
     """A bitmap over hashed keys of a fixed size."""
 

@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from peerlens.llm.common import byte_slices, text_pairs
+from peerlens.llm.common import byte_slices, text_pairs, without
 
 WINDOW = 13
 BLOCK_BYTES = 2 << 20
@@ -303,5 +303,4 @@ def contamination(docs, benchmark, block_bytes=BLOCK_BYTES, window=WINDOW):
 
 def drop_contaminated(docs, benchmark, **options):
     """`docs` without the contaminated documents (by doc_id; equal ids with one contaminated text all go)."""
-    bad = contamination(docs, benchmark, **options).filter("contaminated").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_id"]), "left_anti")
+    return without(docs, contamination(docs, benchmark, **options).filter("contaminated"))

@@ -18,7 +18,7 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import functions as F
 
-from peerlens.llm.common import SPACE, cut, text_pairs
+from peerlens.llm.common import SPACE, cut, text_pairs, without
 
 TRIE_BYTES = 64 << 20
 
@@ -305,9 +305,10 @@ def drop_exact(docs, trie_bytes=TRIE_BYTES):
     verdict = cut(exact_dedup(docs, trie_bytes), "verdict")
     kept = verdict.filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"), F.col("n_chars").alias("_n"))
     shared = cut(verdict.groupBy("doc_id").count().filter("count > 1 OR doc_id IS NULL").select(F.col("doc_id").alias("_id")), "shared")
+    gone = verdict.filter("NOT kept").select("doc_id")
     if shared.isEmpty():
-        return docs.join(kept.select("_id"), F.col("doc_id") == F.col("_id"), "left_semi")
-    plain = docs.join(kept.join(shared, "_id", "left_anti").select("_id"), F.col("doc_id") == F.col("_id"), "left_semi")
+        return without(docs, gone)
+    plain = without(docs, gone.unionByName(shared.withColumnRenamed("_id", "doc_id")))
     mixed = docs.join(shared, docs["doc_id"].eqNullSafe(shared["_id"]), "left_semi")
     text = F.coalesce("text", F.lit(""))
     mixed = mixed.withColumns(

@@ -19,7 +19,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import functions as F
 
-from peerlens.llm.common import byte_slices, cut, text_pairs
+from peerlens.llm.common import byte_slices, cut, text_pairs, without
 from peerlens.llm.components import components
 
 BITS, MAX_DISTANCE, SHINGLE = 64, 2, 3
@@ -196,5 +196,5 @@ def simhash_components(docs, cell_limit=CELL_LIMIT):
 def drop_near(docs, cell_limit=CELL_LIMIT):
     """`docs` with one row of each component: that of its smallest doc_id (all its rows if the id repeats)."""
     verdict = simhash_components(docs, cell_limit)
-    first = verdict.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id"))
-    return docs.join(first, docs["doc_id"].eqNullSafe(first["_id"]), "left_semi")
+    first = F.bool_or(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("first")
+    return without(docs, verdict.groupBy("doc_id").agg(first).filter("NOT first"))
