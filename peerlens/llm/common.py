@@ -9,7 +9,7 @@ from peerlens.session import cut, shared_dir
 
 __all__ = ["byte_slices", "cut", "let_through", "shared_dir", "table", "text_pairs"]
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 #: The six characters that count as white space in the contracts of these operators.
 SPACE = b" \t\n\x0b\x0c\r"
 

@@ -16,7 +16,7 @@ from peerlens.llm.common import byte_slices, text_pairs
 WINDOW = 13
 BLOCK_BYTES = 2 << 20
 SHARD_WORDS = 400_000
-_TEXT_BLOCK = 2 << 20
+_TEXT_BLOCK = 1 << 20
 #: Bytes that belong to words once A-Z is lower-cased: 0-9, a-z and everything outside ASCII.
 _WORD = np.array([48 <= b <= 57 or 97 <= b <= 122 or b >= 128 for b in range(256)])
 _BYTE = np.random.default_rng(7).integers(1, 1 << 63, 256, dtype=np.uint64)

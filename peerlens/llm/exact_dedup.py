@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from peerlens.llm.common import SPACE, cut, text_pairs
 
-TRIE_BYTES = 64 << 20
+TRIE_BYTES = 24 << 20
 
 _RAW = "row long, doc_id long, n_chars long, n_bytes long, hash long, sha string"
 _LOCAL = _RAW + ", token long, body binary, size long"
