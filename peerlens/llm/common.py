@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from peerlens.session import cut, shared_dir
 
-__all__ = ["byte_slices", "cut", "let_through", "shared_dir", "table", "text_pairs"]
+__all__ = ["byte_slices", "cut", "let_through", "shared_dir", "table", "text_digest", "text_pairs"]
 
 SLICE_BYTES = 1 << 20
 #: The six characters that count as white space in the contracts of these operators.
@@ -40,14 +40,20 @@ def byte_slices(batches, column, limit=SLICE_BYTES):
             yield batch.slice(at, n - at)
 
 
-def text_pairs(docs):
-    """(doc_id, text as UTF-8 bytes, NULL as empty), whatever else the table holds."""
+def text_pairs(docs, *more):
+    """(doc_id, text as UTF-8 bytes, NULL as empty, `more`), whatever else the table holds."""
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"),
+        *more,
     )
 
 
+def text_digest():
+    """Column that tells texts under one doc_id apart: 128 bits of the text, NULL for NULL."""
+    return F.md5(F.col("text").cast("string").cast("binary"))
+
+
 class _Bits:
     """A bitmap over hashed keys of a fixed size."""
 

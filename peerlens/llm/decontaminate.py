@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from peerlens.llm.common import byte_slices, text_pairs
+from peerlens.llm.common import byte_slices, text_digest, text_pairs
 
 WINDOW = 13
 BLOCK_BYTES = 2 << 20
@@ -32,7 +32,7 @@ def _powers(base, n):
 
 _POWER, _INVERSE = _powers(_BASE, _TEXT_BLOCK), _powers(_UNBASE, _TEXT_BLOCK)
 _RESULT = (
-    "doc_id long, text_hash long, n_words long, spans array<struct<start:long,stop:long>>, items array<long>, "
+    "doc_id long, digest string, n_words long, spans array<struct<start:long,stop:long>>, items array<long>, "
     "matches array<struct<item_id:long,start:long,item_start:long,words:long>>"
 )
 
@@ -215,8 +215,6 @@ def _spans(starts, sizes):
 
 
 def _task(shared):
-    import xxhash
-
     def run(batches):
         tests = shared.value
         for batch in byte_slices(batches, "text"):
@@ -242,16 +240,15 @@ def _task(shared):
                         out["matches"][d].append({"item_id": name, "start": start, "item_start": offset, "words": n})
                         if name is not None:
                             out["items"][d].append(name)
-            text_hash = np.array([xxhash.xxh64_intdigest(r) for r in raws], np.uint64).view(np.int64)
             span = pa.struct([("start", pa.int64()), ("stop", pa.int64())])
             match = pa.struct([(n, pa.int64()) for n in ("item_id", "start", "item_start", "words")])
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("doc_id"), pa.array(text_hash), pa.array([len(h) for h in hashes], pa.int64()),
+                    batch.column("doc_id"), batch.column("digest"), pa.array([len(h) for h in hashes], pa.int64()),
                     pa.array(out["spans"], pa.list_(span)), pa.array(out["items"], pa.list_(pa.int64())),
                     pa.array(out["matches"], pa.list_(match)),
                 ],
-                ["doc_id", "text_hash", "n_words", "spans", "items", "matches"],
+                ["doc_id", "digest", "n_words", "spans", "items", "matches"],
             )
 
     return run
@@ -268,40 +265,48 @@ def _covered(spans):
     return F.aggregate(F.array_sort(spans), start, add)["total"]
 
 
-def contamination(docs, benchmark, block_bytes=BLOCK_BYTES, window=WINDOW):
-    """Per row of `docs`: doc_id, n_words, n_hit, n_items, items (ids), matches (longest per item), contaminated.
-
-    Words are runs of 0-9, a-z and non-ASCII after lower-casing A-Z.  A NULL or word-less text has no words and is clean.
-    Items without words have no window; items of one id count once; an item without id hits but is not listed.
-    An empty benchmark leaves all documents clean.  Repeated rows are answered each; other columns are not read.
-    """
+def _verdicts(docs, benchmark, block_bytes=BLOCK_BYTES, window=WINDOW):
+    """`contamination` with the digest of each row's text."""
     spark = docs.sparkSession
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_blocks = max(1, -(-total // block_bytes))
+    pairs = text_pairs(docs, text_digest().alias("digest"))
     found = []
     for block in range(n_blocks):
         part = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == block)
         tests = TestSet([tuple(r) for r in part.collect()], window)  # about block_bytes of text
-        found.append(text_pairs(docs).mapInArrow(_task(spark.sparkContext.broadcast(tests)), _RESULT))
+        found.append(pairs.mapInArrow(_task(spark.sparkContext.broadcast(tests)), _RESULT))
     rows = found[0]
     if n_blocks > 1:
         rows = rows.withColumn("block", F.lit(0))
         for n, more in enumerate(found[1:], 1):
             rows = rows.unionByName(more.withColumn("block", F.lit(n)))
         # Rows that share id and text have equal answers: one set per block, and the number of rows.
-        rows = rows.groupBy("doc_id", "text_hash", "n_words").agg(
+        rows = rows.groupBy("doc_id", "digest", "n_words").agg(
             F.flatten(F.collect_set("spans")).alias("spans"), F.flatten(F.collect_set("items")).alias("items"),
             F.flatten(F.collect_set("matches")).alias("matches"), F.count_if(F.col("block") == 0).alias("times"),
         ).withColumn("times", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))))
     n_hit, items = _covered(F.col("spans")), F.array_distinct("items")
     return rows.select(
-        "doc_id", "n_words", n_hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"), items.alias("items"), "matches",
+        "doc_id", "digest", "n_words", n_hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"), items.alias("items"), "matches",
         ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"),
     )
 
 
+def contamination(docs, benchmark, block_bytes=BLOCK_BYTES, window=WINDOW):
+    """Per row of `docs`: doc_id, n_words, n_hit, n_items, items (ids), matches (longest per item), contaminated.
+
+    Words are runs of 0-9, a-z and non-ASCII after lower-casing A-Z.  A NULL or word-less text has no words and is clean.
+    Items without words have no window; items of one id count once; an item without id hits but is not listed.
+    An empty benchmark leaves all documents clean.  Repeated rows are answered each; other columns are not read.
+    """
+    return _verdicts(docs, benchmark, block_bytes, window).drop("digest")
+
+
 def drop_contaminated(docs, benchmark, **options):
-    """`docs` without the contaminated documents (by doc_id; equal ids with one contaminated text all go)."""
-    bad = contamination(docs, benchmark, **options).filter("contaminated").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_id"]), "left_anti")
+    """`docs` without the contaminated rows; rows that share a doc_id, or have none, are told apart by their text."""
+    bad = _verdicts(docs, benchmark, **options).filter("contaminated")
+    bad = bad.select(F.col("doc_id").alias("_id"), F.col("digest").alias("_bad")).distinct()
+    same = [F.col("doc_id").eqNullSafe(F.col("_id")), F.col("_digest") == F.col("_bad")]
+    return docs.withColumn("_digest", text_digest()).join(bad, same, "left_anti").drop("_digest")

@@ -19,7 +19,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import functions as F
 
-from peerlens.llm.common import byte_slices, cut, text_pairs
+from peerlens.llm.common import byte_slices, cut, text_digest, text_pairs
 from peerlens.llm.components import components
 
 BITS, MAX_DISTANCE, SHINGLE = 64, 2, 3
@@ -50,12 +50,15 @@ def fingerprint(raw):
 def _fingerprints(batches):
     for batch in byte_slices(batches, "text"):
         values = np.array([fingerprint(t.as_py()) for t in batch.column("text")], np.uint64)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(values.view(np.int64))], ["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("doc_id"), batch.column("digest"), pa.array(values.view(np.int64))], ["doc_id", "digest", "fp"]
+        )
 
 
-def fingerprints(docs):
-    """(doc_id, fp as a signed 64-bit number)."""
-    return text_pairs(docs).mapInArrow(_fingerprints, "doc_id long, fp long")
+def fingerprints(docs, digest=None):
+    """(doc_id, digest, fp as a signed 64-bit number)."""
+    digest = F.lit(None).cast("string") if digest is None else digest
+    return text_pairs(docs, digest.alias("digest")).mapInArrow(_fingerprints, "doc_id long, digest string, fp long")
 
 
 def _group_keys():
@@ -174,6 +177,12 @@ def near_links(nodes, cell_limit=CELL_LIMIT):
     return links
 
 
+def _labels(nodes, cell_limit):
+    """`nodes` (fp and others) with the label of each fingerprint's component."""
+    labels = components(cut(near_links(nodes.select("fp"), cell_limit), "links"))
+    return nodes.join(labels, nodes["fp"] == labels["node"], "left").withColumn("label", F.coalesce("label", "fp")).drop("node")
+
+
 def simhash_components(docs, cell_limit=CELL_LIMIT):
     """Per row of `docs`: doc_id, fingerprint (16 hex digits), component_id.
 
@@ -182,19 +191,24 @@ def simhash_components(docs, cell_limit=CELL_LIMIT):
     component (NULL ids count as largest; NULL only if the component has no other).  Repeated rows are
     returned as often as they came; an empty table gives an empty result; other columns are not read.
     """
-    marks = cut(fingerprints(docs), "marks")
+    marks = cut(fingerprints(docs).drop("digest"), "marks")
     nodes = cut(marks.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
-    labels = components(cut(near_links(nodes.select("fp"), cell_limit), "links"))
-    named = nodes.join(labels, nodes["fp"] == labels["node"], "left").select(
-        "fp", "first", F.coalesce("label", "fp").alias("label")
-    )
+    named = _labels(nodes, cell_limit)
     roots = named.groupBy("label").agg(F.min("first").alias("component_id"))
     classes = cut(named.join(roots, "label").select("fp", "component_id"), "classes")
     return marks.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def drop_near(docs, cell_limit=CELL_LIMIT):
-    """`docs` with one row of each component: that of its smallest doc_id (all its rows if the id repeats)."""
-    verdict = simhash_components(docs, cell_limit)
-    first = verdict.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id"))
-    return docs.join(first, docs["doc_id"].eqNullSafe(first["_id"]), "left_semi")
+    """`docs` with one row of each component: of its smallest doc_id (NULL last) the text with the smallest digest.
+
+    Rows that share a doc_id, or have none, are told apart by their text; rows alike in both stay together, so what
+    stays is one row of each component if exact duplicates went before.
+    """
+    marks = fingerprints(docs, text_digest())
+    row = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "digest")
+    nodes = cut(marks.groupBy("fp").agg(F.min(row).alias("best")), "nodes")
+    best = _labels(nodes, cell_limit).groupBy("label").agg(F.min("best").alias("best"))
+    first = best.select(F.col("best.doc_id").alias("_id"), F.col("best.digest").alias("_first"))
+    same = [F.col("doc_id").eqNullSafe(F.col("_id")), F.col("_digest").eqNullSafe(F.col("_first"))]
+    return docs.withColumn("_digest", text_digest()).join(first, same, "left_semi").drop("_digest")

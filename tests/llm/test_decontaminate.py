@@ -96,3 +96,15 @@ def test_blocks_of_bytes(monkeypatch):
     assert len(decontaminate.word_hashes(text)) == 102
     monkeypatch.setattr(decontaminate, "_TEXT_BLOCK", 1 << 20)
     assert len(decontaminate.word_hashes(text)) == 102
+
+
+def test_drop_judges_rows_not_ids(spark):
+    passage = " ".join(f"w{i}" for i in range(20))
+    rows = [(None, passage), (None, "clean without id"), (None, None), (4, passage + " x"), (4, "clean under a repeated id"), (4, None), (5, passage)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(1, passage), (2, "nothing of these words")], "item_id long, text string")
+    for options in ({}, {"block_bytes": 50}):
+        left = decontaminate.drop_contaminated(docs, bench, **options)
+        assert left.columns == docs.columns
+        kept = {(r.doc_id, r.text) for r in left.collect()}
+        assert kept == {(None, "clean without id"), (None, None), (4, "clean under a repeated id"), (4, None)} and left.count() == 4

@@ -93,3 +93,16 @@ def test_masks_and_blocks_agree(monkeypatch):
     whole = [x.tolist() for x in simhash.star_links(values)]
     monkeypatch.setattr(simhash, "CELL_LIMIT", 2)
     assert [x.tolist() for x in simhash.star_links(values)] == whole and whole[0]
+
+
+def test_rows_without_or_with_shared_ids_are_told_apart(spark):
+    near = "a b c d e f g h"
+    rows = [(1, near), (None, near.upper()), (None, "stands quite alone"), (7, "one text here"), (7, "another thing there"),
+            (3, "under this id"), (8, "UNDER this id"), (8, "not like it"), (5, "TWO words"), (5, "two words"),
+            (None, "no id at all"), (None, "NO id at all"), (9, None), (9, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    left = [(r.doc_id, r.text) for r in simhash.drop_near(docs).collect()]
+    sole = {(1, near), (None, "stands quite alone"), (7, "one text here"), (7, "another thing there"), (3, "under this id"), (8, "not like it")}
+    assert sole <= set(left) and len(left) == len(sole) + 3
+    for group in ({(5, "TWO words"), (5, "two words")}, {(None, "no id at all"), (None, "NO id at all")}, {(9, None), (9, "")}):
+        assert len(group & set(left)) == 1
