@@ -47,6 +47,10 @@ def _grams(data):
             yield code
 
 
+def _lettered(text):
+    return any(map(str.isalpha, text))
+
+
 def _pieces(text):
     for at in range(0, max(len(text), 1), _BLOCK):
         yield text[at:at + _BLOCK]
@@ -134,7 +138,7 @@ class Filters:
 
     def predict(self, texts):
         """(language, score) per text."""
-        known = [any(map(str.isalpha, t)) for t in texts]
+        known = [_lettered(t) for t in texts]
         if not self.languages:
             return [(UNKNOWN, 0.0)] * len(texts)
         n, hits = self.counts(texts)
@@ -205,12 +209,16 @@ def _identified(shared):
     def run(batches):
         for batch in byte_slices(batches, "text"):
             texts = [t.as_py() or "" for t in batch.column("text")]
-            yield batch.filter(pa.array([language != UNKNOWN for language, _ in shared.value.predict(texts)]))
+            if shared.value.languages:
+                keep = [language != UNKNOWN for language, _ in shared.value.predict(texts)]
+            else:  # nothing to learn from: the rule by which a text is `und` needs no filters
+                keep = [_lettered(t) for t in texts]
+            yield batch.filter(pa.array(keep, pa.bool_()))
 
     return run
 
 
 def drop_unidentified(docs, per_language=PER_LANGUAGE):
-    """`docs` without the rows whose language is `und`, which only the text itself decides."""
+    """`docs` without the rows whose text has no letter (NULL counts as none), whether or not any row has a language."""
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs, per_language))  # fixed size: the table
     return docs.mapInArrow(_identified(shared), docs.schema)

@@ -52,3 +52,11 @@ def test_many_languages_share_the_table():
     assert filters.table.shape == (2, 1 << language.TABLE_BITS)
     n, hits = filters.counts(["abc"])
     assert hits.shape == (1, 10) and n[0] > 0
+
+
+def test_documents_without_any_known_language_stay(spark):
+    rows = [(1, "abc", None), (2, None, None), (3, "12 !", None), (None, "漢字", None), (4, "", None), (5, "x 1", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    left = language.drop_unidentified(docs)
+    assert left.columns == docs.columns
+    assert {r.doc_id for r in left.collect()} == {1, None, 5}
