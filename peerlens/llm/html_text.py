@@ -30,6 +30,8 @@ _CLOSES_P = frozenset(
     "address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu "
     "nav ol p pre section table ul".split()
 )
+#: Tags that may stand in a head; any other, or text, ends a head that is still open.
+_IN_HEAD = frozenset("title meta link base basefont bgsound style script noscript noframes template html head".split())
 _SELF_CLOSING = {"li": ("li", "ul ol menu"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "tr": ("tr td th", "table"),
                  "td": ("td th", "tr table"), "th": ("td th", "tr table")}
 _TAG = re.compile(r"</?([a-zA-Z][^\s/>]*)")
@@ -90,6 +92,8 @@ def blocks(page):
     while at < n:
         begin = page.find("<", at)
         text = page[at:begin if begin >= 0 else n]
+        if stack and stack[-1][0] == "head" and text.strip():
+            close(len(stack) - 1)
         if text and not hidden:
             text = html.unescape(text)
             parts.append(text)
@@ -107,6 +111,8 @@ def blocks(page):
                 end = page.find(">", begin)
                 at = n if end < 0 else end + 1
             else:  # a bare `<` is text
+                if stack and stack[-1][0] == "head":
+                    close(len(stack) - 1)
                 if not hidden:
                     parts.append("<")
                 at = begin + 1
@@ -122,6 +128,8 @@ def blocks(page):
             if place >= 0:
                 close(place)
             continue
+        if stack and stack[-1][0] == "head" and tag not in _IN_HEAD:
+            close(len(stack) - 1)
         if tag == "br":
             parts.append(" ")
             continue

@@ -52,3 +52,15 @@ def test_edges(spark):
     out = html_text.main_text(pages).collect()
     assert sorted((r.text, r.n_chars) for r in out) == [("", 0)] * 3 + [("A long sentence of text is here.", 32)]
     assert html_text.main_text(pages.limit(0)).count() == 0
+
+
+def test_head_without_end_tag():
+    assert texts("<html><head><title>t</title><meta charset=x><style>s</style><body><article><p>one</article>") == ["one"]
+    assert texts("<head><script>x</script><template><p>no</p></template><link href=y><p>two<div>three") == ["two", "three"]
+    assert texts("<head><title>t</title>\n plain <title>u</title>text") == ["plain", "text"]
+    assert texts("<html><head>\n<title>t</title>\n</head>\n<body><p>four") == ["four"]
+    assert texts("<head>< five") == ["< five"]
+    page = "<article><h1>A title of it</h1><p>A long sentence of text is here.</p></article>"
+    with_end, without = (f"<html><head><title>t</title>{x}<body>{page}" for x in ("</head>", ""))
+    whole, other = html_text.main_texts(html_text.trained(), [with_end, without])
+    assert whole == other and "A long sentence" in whole
