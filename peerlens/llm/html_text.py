@@ -147,7 +147,7 @@ def blocks(page):
         words = ()
         if attributes and "=" in attributes:
             values = [f"{x[1]}{x[2]}{x[3]}".lower() for x in _ATTRIBUTE.findall(attributes)]
-            words = tuple(_WORDS.findall(" ".join(values)))[:12]
+            words = tuple(dict.fromkeys(_WORDS.findall(" ".join(values))))
         stack.append((tag, words))
         hidden += tag in _UNSEEN
         if tag in _RAW:

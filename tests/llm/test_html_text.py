@@ -64,3 +64,9 @@ def test_head_without_end_tag():
     with_end, without = (f"<html><head><title>t</title>{x}<body>{page}" for x in ("</head>", ""))
     whole, other = html_text.main_texts(html_text.trained(), [with_end, without])
     assert whole == other and "A long sentence" in whole
+
+
+def test_all_words_of_attributes_count():
+    classes = " ".join(f"{x}:px-4" for x in ("sm", "md", "lg", "xl", "hover", "focus", "dark"))
+    (block,) = html_text.blocks(f'<div class="{classes} sidebar" id="comments">x</div>')
+    assert {"sm", "dark", "px", "sidebar", "comments"} <= set(block.marks)
