@@ -30,17 +30,21 @@ class Chain:
         return np.add.reduceat(self.emit[flat], np.concatenate([[0], np.cumsum(sizes)[:-1]]))
 
     def decode(self, chains, batch=256):
-        """Best labels of each chain (a list of tokens), by Viterbi over batches of similar length."""
-        out = [None] * len(chains)
-        order = sorted(range(len(chains)), key=lambda i: len(chains[i]))
-        scores = self.scores([t for c in chains for t in c])
-        starts = np.cumsum([0] + [len(c) for c in chains])
+        """Best labels of each chain (a list of tokens)."""
+        return self.paths(self.scores([t for c in chains for t in c]), [len(c) for c in chains], batch)
+
+    def paths(self, scores, sizes, batch=256):
+        """Best labels of chains of `sizes` tokens, whose emission scores follow each other, by Viterbi over batches
+        of similar length."""
+        out = [None] * len(sizes)
+        order = sorted(range(len(sizes)), key=sizes.__getitem__)
+        starts = np.cumsum([0, *sizes])
         at = 0
         while at < len(order):
-            longest = max(len(chains[order[min(at + batch, len(order)) - 1]]), 1)
+            longest = max(sizes[order[min(at + batch, len(order)) - 1]], 1)
             some = order[at:at + max(1, min(batch, 400_000 // longest))]
             at += len(some)
-            lengths = np.array([len(chains[i]) for i in some])
+            lengths = np.array([sizes[i] for i in some])
             top = int(lengths.max(initial=0))
             if not top:
                 for i in some:

@@ -1,16 +1,18 @@
 """Personal data: base patterns, and a linear-chain CRF over word shapes that finds what the patterns miss.
 
 The patterns are searched with a single pass each (a long run of word characters or digits is read once, not
-from each of its places).  The CRF reads the words around every word that holds a digit or `@`: a word's label other
-than "none" is ruled out elsewhere.  It is trained on a small labelled table, made here from sentence
-frames; its spans are added where they touch no base span.
+from each of its places).  The CRF labels all words of a text, in overlapping pieces.  It is trained on a small
+labelled table, made here from sentence frames; its spans are added where they touch no base span.
 """
 
+import bisect
 import functools
 import hashlib
+import itertools
 import random
 import re
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
@@ -25,8 +27,10 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _TRIGGER = re.compile(r"[0-9@]")
 _WORD = re.compile(r"\S+")
-#: Words before and after a trigger word that its chain takes in, and how far they are looked for.
-CONTEXT, REACH = 3, 96
+#: Words of a piece that is decoded at once, and words on either side that it shares with its neighbours.
+PIECE, OVERLAP = 256, 32
+#: Distinct words, or pairs of shapes, whose scores a task keeps before it begins anew.
+VOCABULARY = 200_000
 LABELS = ("none", *(f"{p}-{k}" for k in KINDS for p in "BI"))
 
 
@@ -71,6 +75,8 @@ def base_spans(text):
 
 def _shape(word):
     """Word shape: classes of characters, runs of up to four counted."""
+    if word.isalpha() and word.islower():
+        return "x"
     out, last, run = [], None, 0
     for c in word[:64]:
         k = "d" if c.isdigit() else "X" if c.isupper() else "x" if c.isalpha() else c
@@ -81,50 +87,136 @@ def _shape(word):
     return "".join(out)
 
 
+def _low(word):
+    return word[:32].lower().strip(".,:;()")
+
+
+def _numbers(w):
+    """What features beside the shape and the word itself are made of: digits, `@`, how it begins, dots, length."""
+    n = sum(map(str.isdigit, w[:64]))
+    return n, "@" in w, w[:1] in "+(", min(w.count("."), 5), min(len(w), 40) // 4, n * 4 // max(len(w), 1)
+
+
+def _plain(w, s):
+    """Features but those of the word itself and of its neighbours."""
+    n, at, begins, dots, length, part = _numbers(w)
+    return ["bias", f"s={s}", f"d={min(n, 20)}", f"k={n > 0}{at}{begins}", f"dots={dots}|{n > 0}", f"len={length}|{part}"]
+
+
+def _ahead(low):
+    """What a word tells the next one."""
+    return f"p={low}"
+
+
+def _behind(low, shape):
+    """What a word tells the one before it."""
+    return f"n={low if low.isalpha() else shape}"
+
+
 def _features(words):
-    shapes = [_shape(w) for w in words]
-    lows = [w[:32].lower().strip(".,:;()") for w in words]
-    around = ["<", *shapes, ">"]
-    near = ["<", *lows, ">"]
-    out = []
-    for i, (w, s) in enumerate(zip(words, shapes)):
-        n = sum(c.isdigit() for c in w[:64])
-        out.append(feature_ids([
-            "bias", f"s={s}", f"l={around[i]}|{s}", f"r={s}|{around[i + 2]}", f"p={near[i]}", f"w={lows[i] if lows[i].isalpha() else s}",
-            f"n={near[i + 2] if near[i + 2].isalpha() else around[i + 2]}", f"d={min(n, 20)}", f"k={n > 0}{'@' in w}{w[:1] in '+('}",
-            f"dots={min(w.count('.'), 5)}|{n > 0}", f"len={min(len(w), 40) // 4}|{n * 4 // max(len(w), 1)}",
-        ]))
-    return out
+    shapes = ["<", *map(_shape, words), ">"]
+    lows = ["<", *map(_low, words), ">"]
+    return [
+        feature_ids([
+            *_plain(w, s), f"w={low if low.isalpha() else s}", f"l={shapes[i]}|{s}", f"r={s}|{shapes[i + 2]}", _ahead(lows[i]), _behind(lows[i + 2], shapes[i + 2]),
+        ])
+        for i, (w, s, low) in enumerate(zip(words, shapes[1:], lows[1:]))
+    ]
 
 
-def _chains(text):
-    """Chains of (start, word) around the trigger words of a text."""
-    chain, done, at = [], 0, 0
-    while m := _TRIGGER.search(text, at):
-        left = max(done, m.start() - REACH)
-        start = m.start()
-        space = [x.end() for x in re.finditer(r"\s", text[left:start])]
-        # The word of the trigger begins after the last white space; without any, it began before.
-        begin = left + space[-1] if space else left
-        end = (x.start() if (x := re.compile(r"\s").search(text, start)) else len(text))
-        before = [(left + x.start(), x.group()) for x in _WORD.finditer(text[left:begin])]
-        if before and before[0][0] == left and left > done:
-            before = before[1:]
-        if chain and (len(before) > 2 * CONTEXT or begin - done > REACH):
-            yield chain + _after(text, done)
-            chain = []
-        chain += before if chain else before[-CONTEXT:]
-        chain.append((begin, text[begin:end]))
-        done = at = end
-    if chain:
-        yield chain + _after(text, done)
-
-
-def _after(text, at):
-    words = list(_WORD.finditer(text[at:at + REACH]))
-    if words and words[-1].end() == REACH:
-        words = words[:-1]
-    return [(at + x.start(), x.group()) for x in words[:CONTEXT]]
+class Words:
+    """Emission scores of running text: `_features` summed by distinct word and by distinct pair of shapes."""
+
+    def __init__(self, model):
+        self.model, self.emit = model, model.emit.astype(np.float32)
+        self.clear()
+
+    def clear(self):
+        self.ids, self.shapes, self.pairs, self.kinds = {}, {}, {}, {}
+        self.kind_scores = np.zeros((0, len(LABELS)), np.float32)
+        #: Per word: own features, those it gives the next word and the one before, and its shape.
+        self.own, self.gives = np.zeros((0, len(LABELS)), np.float32), np.zeros((2, 0, len(LABELS)), np.float32)
+        self.shape = np.zeros(0, np.int64)
+        self.pair_scores = np.zeros((2, 0, len(LABELS)), np.float32)
+
+    def _scores(self, names):
+        return self.model.scores([feature_ids(n) for n in names]).astype(np.float32)
+
+    def _learn(self, words):
+        """Number the words, which are new and distinct."""
+        shapes = [_shape(w) for w in words]
+        lows = [_low(w) for w in words]
+        self.ids.update(zip(words, range(len(self.ids), len(self.ids) + len(words))))
+        # Few kinds of words differ in more than the word itself.
+        kinds = [(s, w[:1].isalpha() and w.isalpha() and (0, min(len(w), 40) // 4) or _numbers(w)) for w, s in zip(words, shapes)]
+        before = len(self.kinds)
+        places = [self.kinds.setdefault(k, len(self.kinds)) for k in kinds]
+        if len(self.kinds) > before:
+            first = {k: w for k, w in zip(kinds, words) if self.kinds[k] >= before}
+            more = self._scores([_plain(w, k[0]) for k, w in sorted(first.items(), key=lambda x: self.kinds[x[0]])])
+            self.kind_scores = np.concatenate([self.kind_scores, more])
+        named = [low if low.isalpha() else s for low, s in zip(lows, shapes)]
+        buckets = np.array([feature_ids([f"w={x}" for x in named]), feature_ids(map(_ahead, lows)), feature_ids([f"n={x}" for x in named])])
+        single = self.emit[buckets]
+        numbers = [self.shapes.setdefault(s, len(self.shapes)) for s in shapes]
+        self.shape = np.concatenate([self.shape, np.array(numbers, np.int64)])
+        self.own = np.concatenate([self.own, self.kind_scores[places] + single[0]])
+        self.gives = np.concatenate([self.gives, single[1:]], axis=1)
+
+    def score(self, words):
+        """Scores of every word of `words` but the first and the last, which only stand beside the others."""
+        if len(self.ids) > VOCABULARY or len(self.pairs) > VOCABULARY:
+            self.clear()
+        if fresh := [w for w in dict.fromkeys(words) if w not in self.ids]:
+            self._learn(fresh)
+        ids = np.fromiter(map(self.ids.__getitem__, words), np.int64, len(words))
+        shape = self.shape[ids]
+        codes, place = np.unique(shape[:-1] << 32 | shape[1:], return_inverse=True)
+        known = codes.tolist()
+        if fresh := [c for c in known if c not in self.pairs]:
+            for c in fresh:
+                self.pairs[c] = len(self.pairs)
+            names = list(self.shapes)
+            both = [(names[c >> 32], names[c & 0xFFFFFFFF]) for c in fresh]
+            more = np.stack([self._scores([[f"l={x}|{y}"] for x, y in both]), self._scores([[f"r={x}|{y}"] for x, y in both])])
+            self.pair_scores = np.concatenate([self.pair_scores, more], axis=1)
+        pair = np.fromiter(map(self.pairs.__getitem__, known), np.int64, len(known))[place]
+        return (
+            self.own[ids[1:-1]] + self.gives[0][ids[:-2]] + self.gives[1][ids[2:]]
+            + self.pair_scores[0][pair[:-1]] + self.pair_scores[1][pair[1:]]
+        )
+
+
+@functools.lru_cache(maxsize=1)
+def _words_of(model):
+    return Words(model)
+
+
+def _pieces(n):
+    """(start, stop, first, last) of the pieces of a chain of n words: words [first, last) take their labels from it."""
+    for at in range(0, n, PIECE):
+        yield max(at - OVERLAP, 0), min(at + PIECE + OVERLAP, n), at, min(at + PIECE, n)
+
+
+def _decoded(model, texts):
+    """Per text: [(word number, label)] of all labels other than "none", over all its words."""
+    words = [_WORD.findall(t) for t in texts]
+    flat = []
+    for w in words:
+        flat += ["<", *w, ">"]
+    scores = _words_of(model).score(flat) if flat else np.zeros((0, len(LABELS)), np.float32)
+    rows, sizes, wanted, at = [], [], [], 0
+    for i, w in enumerate(words):
+        for start, stop, first, last in _pieces(len(w)):
+            rows.append(scores[at + start:at + stop])
+            sizes.append(stop - start)
+            wanted.append((i, start, first, last))
+        at += len(w) + 2
+    out = [[] for _ in texts]
+    paths = model.paths(np.concatenate(rows), sizes, 1024) if rows else []
+    for (i, start, first, last), path in zip(wanted, paths):
+        out[i] += [(first + n, label) for n, label in enumerate(path[first - start:last - start]) if label]
+    return out
 
 
 #: Sentence frames and values of the labelled table; `{}` takes a value of the kind beside it.
@@ -196,28 +288,28 @@ _EDGE = ".,;:!?\"'<>"
 
 def added_spans(model, texts, bases):
     """Spans of the field per text, as (kind, start, end), that touch no base span."""
-    chains, owners = [], []
-    for i, text in enumerate(texts):
-        for chain in _chains(text):
-            chains.append(chain)
-            owners.append(i)
     out = [[] for _ in texts]
-    labels = model.decode([_features([w for _, w in c]) for c in chains])
-    for i, chain, best in zip(owners, chains, labels):
-        busy = [s for spans in bases[i].values() for s in spans]
-        open_span = None
-        for (start, word), label in [*zip(chain, best), ((0, ""), 0)]:
-            mark, _, kind = LABELS[label].partition("-")
-            if mark == "I" and open_span and open_span[0] == kind:
-                open_span[2] = start + len(word)
+    for i, found in enumerate(_decoded(model, texts)):
+        if not found:
+            continue
+        text, busy = texts[i], sorted(s for spans in bases[i].values() for s in spans)
+        begins = [a for a, _ in busy]
+        reach = list(itertools.accumulate((b for _, b in busy), max))
+        wanted, spans = dict(found), []
+        for n, m in enumerate(_WORD.finditer(text)):
+            if (label := wanted.get(n)) is None:
                 continue
-            if open_span:
-                kind_, a, b = open_span
-                body = texts[i][a:b]
-                a, b = a + len(body) - len(body.lstrip(_EDGE)), b - len(body) + len(body.rstrip(_EDGE))
-                if a < b and _TRIGGER.search(texts[i], a, b) and not any(x < b and a < y for x, y in busy):
-                    out[i].append((kind_, a, b))
-            open_span = [kind, start, start + len(word)] if mark in ("B", "I") else None
+            mark, _, kind = LABELS[label].partition("-")
+            if mark == "I" and spans and spans[-1][0] == kind and spans[-1][3] == n - 1:
+                spans[-1][2:] = m.end(), n
+            else:
+                spans.append([kind, m.start(), m.end(), n])
+        for kind, a, b, _ in spans:
+            body = text[a:b]
+            a, b = a + len(body) - len(body.lstrip(_EDGE)), b - len(body) + len(body.rstrip(_EDGE))
+            before = bisect.bisect_left(begins, b)
+            if a < b and not (before and reach[before - 1] > a):
+                out[i].append((kind, a, b))
     return out
 
 
@@ -251,7 +343,7 @@ def _find(shared):
 def personal_data(docs):
     """Per row of `docs`: doc_id, n_email, n_ip, n_card, n_phone (base spans), base_sha256, spans (all, kind:start:end).
 
-    NULL counts as empty; a text without digits and `@` has no span.  Repeated rows are answered each; other
+    NULL counts as empty; a text without digits and `@` has no base span.  Repeated rows are answered each; other
     columns are not read.
     """
     shared = docs.sparkSession.sparkContext.broadcast(trained())  # fixed size: the hashed weights

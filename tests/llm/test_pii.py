@@ -95,3 +95,25 @@ def test_edges(spark):
     assert pii.personal_data(docs.limit(0)).count() == 0
     assert sorted(str(r.text) for r in pii.mask(docs).collect()) == ["", "", "<email>", "None", "\U0001f600 <ip>"]
     assert pii.mask(docs).columns == docs.columns
+
+
+def test_field_reads_all_words():
+    plain = " ".join("the quick brown fox jumps over it".split() * 300)
+    texts = ["write to john(at)example.com today", f"{plain} mail: john(at)example.com or visit us {plain}", f"{'x' * 200}/9876 {plain}"]
+    added = pii.added_spans(pii.trained(), texts, [pii.base_spans(t) for t in texts])
+    assert [[(k, t[a:b]) for k, a, b in spans] for t, spans in zip(texts, added)] == [[("email", "john(at)example.com")]] * 2 + [[]]
+
+
+def test_scores_by_word_equal_features():
+    import numpy as np
+
+    model = pii.trained()
+    words = "Ab ab.c x@y.z +1 (555) a(at)b.com 漢字 12.3.4.5:80 don't WORLD é, < > the the".split()
+    assert np.allclose(pii.Words(model).score(["<", *words, ">"]), model.scores(pii._features(words)), atol=1e-3)
+
+
+def test_pieces_label_every_word_once():
+    for n in (0, 1, pii.PIECE, pii.PIECE + 1, 5 * pii.PIECE + 7):
+        pieces = list(pii._pieces(n))
+        assert [i for _, _, first, last in pieces for i in range(first, last)] == list(range(n))
+        assert all(0 <= start <= first and last <= stop <= n for start, stop, first, last in pieces)
