@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from peerlens.llm.common import byte_slices, text_digest, text_pairs
+from peerlens.llm.common import byte_slices, cut, text_digest, text_pairs
 
 WINDOW = 13
 BLOCK_BYTES = 2 << 20
@@ -269,6 +269,7 @@ def _verdicts(docs, benchmark, block_bytes=BLOCK_BYTES, window=WINDOW):
     """`contamination` with the digest of each row's text."""
     spark = docs.sparkSession
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
+    items = cut(items.distinct(), "items")  # copies of an item change no result, and would all meet in one block
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_blocks = max(1, -(-total // block_bytes))
     pairs = text_pairs(docs, text_digest().alias("digest"))

@@ -108,3 +108,14 @@ def test_drop_judges_rows_not_ids(spark):
         assert left.columns == docs.columns
         kept = {(r.doc_id, r.text) for r in left.collect()}
         assert kept == {(None, "clean without id"), (None, None), (4, "clean under a repeated id"), (4, None)} and left.count() == 4
+
+
+def test_copies_of_an_item_make_no_block_larger(spark, monkeypatch):
+    passage = " ".join(f"w{i}" for i in range(20))
+    bench = spark.createDataFrame([(1, passage)] * 50 + [(2, "two words"), (None, "no id")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, passage), (2, "clean"), (3, "two words")], "doc_id long, text string")
+    made, init = [], decontaminate.TestSet.__init__
+    monkeypatch.setattr(decontaminate.TestSet, "__init__", lambda self, items, *more: made.append(len(items)) or init(self, items, *more))
+    rows = {r.doc_id: (r.items, r.contaminated) for r in decontaminate.contamination(docs, bench, 10 * len(passage)).collect()}
+    assert rows == {1: ([1], True), 2: ([], False), 3: ([2], True)}
+    assert made == [3]
