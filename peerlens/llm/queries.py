@@ -2,7 +2,10 @@
 
 from pyspark.sql import functions as F
 
-from peerlens.llm import byte_bpe, chat, decontaminate, exact_dedup, html_text, language, pii, repeated_bytes, simhash, warc
+from peerlens.llm import (
+    byte_bpe, chat, decontaminate, exact_dedup, fill_in_middle, html_text, language, lexical, pii, repeated_bytes, simhash,
+    toxicity, warc,
+)
 from peerlens.llm.common import table
 
 
@@ -56,6 +59,20 @@ def _op10(spark, directory):
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def _op11(spark, directory):
+    found = toxicity.toxicity(table(spark, directory, "documents"), table(spark, directory, "labels"))
+    shown = F.transform("evidence", lambda e: F.format_string("%d:%.4f:%.2f", e["doc_id"], e["similarity"], e["label"]))
+    return found.select("doc_id", "held_out", "score", "predicted", F.array_join(shown, ",").alias("evidence"))
+
+
+def _op12(spark, directory):
+    return fill_in_middle.digests(fill_in_middle.transform(table(spark, directory, "documents")))
+
+
+def _op13(spark, directory):
+    return lexical.rank(table(spark, directory, "documents"), table(spark, directory, "benchmark"))
+
+
 QUERIES = {
     "op1_warc": _op1,
     "op2_decontaminate": _op2,
@@ -67,4 +84,7 @@ QUERIES = {
     "op8_html": _op8,
     "op9_language": _op9,
     "op10_exact_dedup": _op10,
+    "op11_toxicity": _op11,
+    "op12_fill_in_middle": _op12,
+    "op13_lexical": _op13,
 }

@@ -39,5 +39,5 @@ def test_run_and_registration(spark, data):
     assert corpus_pipeline.run(spark, data).count() > 0
     registered = __spark_entry__.queries()
     assert set(QUERIES) | {"pipeline"} <= set(registered)
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
     assert language.UNKNOWN == "und"
