@@ -21,7 +21,7 @@ def _op2(spark, directory):
 
 def _op3(spark, directory):
     found = repeated_bytes.remove_repeated(table(spark, directory, "documents"))
-    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", (F.col("n_removed") > 0).alias("repeated"))
 
 
 #: A conversation whose texts hold the template's own control strings.

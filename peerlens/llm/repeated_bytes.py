@@ -179,7 +179,8 @@ def repeated_spans(docs, group_bytes=GROUP_BYTES):
     several = again.filter("several")
     place = F.struct("t1", "t2", "start", "n", "off")
     stored = cut(several.groupBy("hash", "pid").agg(F.count("*").alias("met"), F.min(place).alias("at")), "stored")
-    twice = stored.filter("met > 1").select("hash", "pid")
+    # Written first: by its size the join broadcasts it, or splits the places of a hot piece over several tasks.
+    twice = cut(stored.filter("met > 1").select("hash", "pid"), "twice")
     spans = spans.unionByName(whole.filter("several").join(twice, ["hash", "pid"], "left_semi").select("t1", "t2", "start", "stop"))
 
     item = F.struct("hash", "pid", (F.col("met") > 1).alias("full"), F.col("at.start").alias("start"), F.col("at.n").alias("n"), F.col("at.off").alias("off"))
