@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from peerlens.session import cut, shared_dir
 
-__all__ = ["byte_slices", "cut", "let_through", "shared_dir", "table", "text_digest", "text_pairs"]
+__all__ = ["byte_slices", "cut", "let_through", "shared_dir", "table", "text_digest", "text_pairs", "without"]
 
 SLICE_BYTES = 1 << 20
 #: The six characters that count as white space in the contracts of these operators.
@@ -54,6 +54,18 @@ def text_digest():
     return F.md5(F.col("text").cast("string").cast("binary"))
 
 
+def without(docs, rows, how="left_anti"):
+    """`docs` without (or, by "left_semi", with only) the rows whose id and text digest are in `rows` (doc_id, digest).
+
+    NULLs equal each other.  The keys are expressions on either side, so columns of `docs` keep their names and order,
+    whatever they are.  `rows` is written first: its size decides whether the documents have to move.
+    """
+    rows = cut(rows.select(F.col("doc_id").alias("doc_id"), F.col("digest").alias("digest")), "rows")
+    text = docs["text"].cast("string").cast("binary")
+    same = docs["doc_id"].cast("long").eqNullSafe(rows["doc_id"]) & F.md5(text).eqNullSafe(rows["digest"])
+    return docs.join(rows, same, how)
+
+
 class _Bits:
     """A bitmap over hashed keys of a fixed size."""
 

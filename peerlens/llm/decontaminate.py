@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from peerlens.llm.common import byte_slices, cut, text_digest, text_pairs
+from peerlens.llm.common import byte_slices, cut, text_digest, text_pairs, without
 
 WINDOW = 13
 BLOCK_BYTES = 2 << 20
@@ -307,7 +307,4 @@ def contamination(docs, benchmark, block_bytes=BLOCK_BYTES, window=WINDOW):
 
 def drop_contaminated(docs, benchmark, **options):
     """`docs` without the contaminated rows; rows that share a doc_id, or have none, are told apart by their text."""
-    bad = _verdicts(docs, benchmark, **options).filter("contaminated")
-    bad = bad.select(F.col("doc_id").alias("_id"), F.col("digest").alias("_bad")).distinct()
-    same = [F.col("doc_id").eqNullSafe(F.col("_id")), F.col("_digest") == F.col("_bad")]
-    return docs.withColumn("_digest", text_digest()).join(bad, same, "left_anti").drop("_digest")
+    return without(docs, _verdicts(docs, benchmark, **options).filter("contaminated").select("doc_id", "digest").distinct())

@@ -1,28 +1,27 @@
 """Exact duplicates by Patricia tries that own the strings of a length-and-hash partition.
 
-1. Every row gets the key (bytes, XXH64) of its normalised text; keys of a single row need no trie.
+1. Every row gets the key (bytes, XXH64) of its normalised text, in the JVM; keys of a single row need no trie.
 2. Rows of repeated keys go to tasks by key (adaptive execution splits a hot key over several tasks).
    Each task inserts the whole byte strings into a compressed radix trie; a terminal node holds the
    best row so far and a count.  A task hands on one row per different string, however many copies.
-3. The owner of a key merges those few rows in a trie again.  A trie beyond its memory bound spills
-   its largest subtree: in step 2 the terminals are handed on early, in step 3 they go to another
-   round, dealt by one more hash.
+3. The owner of a key merges those few rows in a trie again.  A trie beyond its memory bound (labels, nodes and
+   values as Python holds them) spills its largest subtree: in step 2 the terminals are handed on early, in step 3
+   they go to another round, dealt by one more hash.
 
 Equality is decided by the tries, on the bytes; the digest is only reported.
 """
 
-import hashlib
-
 import pyarrow as pa
-import xxhash
 from pyspark import TaskContext
 from pyspark.sql import functions as F
 
-from peerlens.llm.common import SPACE, cut, text_pairs
+from peerlens.llm.common import byte_slices, cut, text_digest, without
 
-TRIE_BYTES = 24 << 20
+TRIE_BYTES = 48 << 20
+#: Memory of a node with its edge, small dict, value and the objects in it, and of one more member of a value.
+NODE_BYTES, MEMBER_BYTES = 700, 250
 
-_RAW = "row long, doc_id long, n_chars long, n_bytes long, hash long, sha string"
+_RAW = "row long, doc_id long, n_chars long, n_bytes long, hash long, sha string, digest string"
 _LOCAL = _RAW + ", token long, body binary, size long"
 _OWNED = "token long, keep_row long, keep_id long, size long"
 _OWNER = _OWNED + ", n_bytes long, hash long, doc_id long, row long, n_chars long, body binary"
@@ -39,7 +38,12 @@ class PatriciaTrie:
     """Compressed radix trie over byte strings; labels sit on the edges."""
 
     def __init__(self):
-        self.root, self.bytes, self.terminals = Node(), 0, 0
+        self.root, self.bytes, self.nodes, self.terminals, self.members = Node(), 0, 0, 0, 0
+
+    @property
+    def memory(self):
+        """About what the trie holds: `bytes` of labels, its nodes, and what its values list."""
+        return self.bytes + NODE_BYTES * self.nodes + MEMBER_BYTES * self.members
 
     def node(self, key):
         """The node of `key`, made if absent."""
@@ -50,6 +54,7 @@ class PatriciaTrie:
                 child = Node()
                 at.edges[key[pos]] = (key[pos:], child)
                 self.bytes += len(key) - pos
+                self.nodes += 1
                 return child
             label, child = edge
             end = pos + len(label)
@@ -58,6 +63,7 @@ class PatriciaTrie:
                 continue
             same = _common(label, key[pos:end])
             middle = Node()
+            self.nodes += 1
             middle.edges[label[same]] = (label[same:], child)
             at.edges[key[pos]] = (label[:same], middle)
             at, pos = middle, pos + same
@@ -82,16 +88,18 @@ class PatriciaTrie:
             return None, []
         sizes = {}
         for first, (label, child) in at.edges.items():
-            total, stack = len(label), [child]
+            total, nodes, stack = len(label), 1, [child]
             while stack:
                 node = stack.pop()
                 total += sum(len(x) for x, _ in node.edges.values())
+                nodes += len(node.edges)
                 stack += [x for _, x in node.edges.values()]
-            sizes[first] = total
+            sizes[first] = total + NODE_BYTES * nodes, total, nodes
         first = max(sizes, key=sizes.get)
         label, child = at.edges.pop(first)
         out = list(self.walk(child, prefix + label))
-        self.bytes -= sizes[first]
+        self.bytes -= sizes[first][1]
+        self.nodes -= sizes[first][2]
         self.terminals -= len(out)
         return prefix + bytes([first]), out
 
@@ -112,50 +120,28 @@ def _better(a, b):
     return min(a, b, key=lambda r: (-r[0], r[1] is None, r[1] or 0, r[2]))
 
 
-def _normal(text):
-    return text.translate(None, SPACE)
-
+def _pairs(docs):
+    """(doc_id, text, n_bytes, hash): the key of every row, by its normalised text."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return rows.withColumns({"n_bytes": F.octet_length(_body()).cast("long"), "hash": F.xxhash64(_body())})
 
-def _key(body):
-    h = xxhash.xxh64_intdigest(body)
-    return len(body), h - (1 << 64) if h >> 63 else h
 
-
-def _fingerprints(batches):
-    for batch in batches:
-        out = [[], [], [], [], []]
-        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-            raw = text.as_py()
-            body = _normal(raw)
-            n, h = _key(body)
-            for values, x in zip(out, (doc, len(raw.decode("utf-8", "replace")), n, h, hashlib.sha256(body).hexdigest())):
-                values.append(x)
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string())
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(v, k) for v, k in zip(out, kinds)], ["doc_id", "n_chars", "n_bytes", "hash", "sha"]
-        )
+def _body():
+    return F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]", "").cast("binary")
 
 
-def _bodies(batches):
-    for batch in batches:
-        out = [[], [], [], [], []]
-        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-            raw = text.as_py()
-            body = _normal(raw)
-            for values, x in zip(out, (doc, len(raw.decode("utf-8", "replace")), *_key(body), body)):
-                values.append(x)
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(v, k) for v, k in zip(out, kinds)], ["doc_id", "n_chars", "n_bytes", "hash", "body"]
-        )
+def _marks():
+    """Columns of a row's verdict, from `_pairs`."""
+    chars = F.char_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_chars")
+    return ["doc_id", chars, "n_bytes", "hash", F.sha2(_body(), 256).alias("sha"), text_digest().alias("digest")]
 
 
 def _rows(names, kinds, rows):
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
 
-_LOCAL_NAMES = ["row", "doc_id", "n_chars", "n_bytes", "hash", "sha", "token", "body", "size"]
-_LOCAL_KINDS = [pa.int64()] * 5 + [pa.string(), pa.int64(), pa.binary(), pa.int64()]
+_LOCAL_NAMES = ["row", "doc_id", "n_chars", "n_bytes", "hash", "sha", "digest", "token", "body", "size"]
+_LOCAL_KINDS = [pa.int64()] * 5 + [pa.string()] * 2 + [pa.int64(), pa.binary(), pa.int64()]
 
 
 def _local_tries(limit):
@@ -167,31 +153,30 @@ def _local_tries(limit):
 
         def strings(found):
             for body, node in found:
-                token, best, size = node.value
-                yield (best[2], best[1], best[0], *_key(body), None, token, body, size)
+                token, best, size, key = node.value
+                yield (best[2], best[1], best[0], *key, None, None, token, body, size)
 
-        for batch in batches:
+        for batch in byte_slices(batches, "body"):
             out = []
-            docs, chars = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for doc, n, value in zip(docs, chars, batch.column(2)):
-                body = value.as_py()
+            columns = [batch.column(c).to_pylist() for c in ("doc_id", "n_chars", "n_bytes", "hash", "sha", "digest")]
+            for doc, n, n_bytes, h, sha, digest, value in zip(*columns, batch.column("body")):
                 next_id += 1
-                node = trie.node(body)
+                node = trie.node(value.as_py())
                 if node.value is None:
-                    node.value = (next_id, (n, doc, next_id), 1)
+                    node.value = (next_id, (n, doc, next_id), 1, (n_bytes, h))
                     trie.terminals += 1
                 else:
-                    token, best, size = node.value
-                    node.value = (token, _better(best, (n, doc, next_id)), size + 1)
-                out.append((next_id, doc, n, *_key(body), hashlib.sha256(body).hexdigest(), node.value[0], None, None))
-                while trie.bytes > limit and trie.terminals > 1:
+                    token, best, size, key = node.value
+                    node.value = (token, _better(best, (n, doc, next_id)), size + 1, key)
+                out.append((next_id, doc, n, n_bytes, h, sha, digest, node.value[0], None, None))
+                while trie.memory > limit and trie.terminals > 1:
                     out += strings(trie.spill()[1])
             if out:
                 yield _rows(_LOCAL_NAMES, _LOCAL_KINDS, out)
         out, held = [], 0
         for row in strings(trie.walk()):
             out.append(row)
-            held += len(row[7])
+            held += len(row[8])
             if held > 4 << 20:
                 yield _rows(_LOCAL_NAMES, _LOCAL_KINDS, out)
                 out, held = [], 0
@@ -238,11 +223,13 @@ def _owner_tries(limit):
                 else:
                     best, total, members = node.value
                     members.append(member)
+                    trie.members += 1
                     node.value = (_better(best, (n_chars, doc, row)), total + size, members)
-                while trie.bytes > limit and trie.terminals > 1:
+                while trie.memory > limit and trie.terminals > 1:
                     prefix, found = trie.spill()
                     spilled.append(prefix)
                     for text, gone in found:
+                        trie.members -= len(gone.value[2]) - 1
                         out += [again(text, n, h, m) for m in gone.value[2]]
             if out:
                 yield _rows(_OWNER_NAMES, _OWNER_KINDS, out)
@@ -253,25 +240,16 @@ def _owner_tries(limit):
     return run
 
 
-def exact_dedup(docs, trie_bytes=TRIE_BYTES):
-    """One row per input row: doc_id, keep_id, group_size, kept, text_sha256 (and n_chars).
-
-    Texts are equal when identical without the six white-space characters; of equal texts the row with
-    the most code points stays, then the smallest doc_id (NULL last), then one of the repeated rows.
-    NULL text counts as empty; empty texts form one group.  An empty table gives an empty result.
-    Other columns of `docs` are not read.
-    """
-    pairs = text_pairs(docs)
-    marks = cut(
-        pairs.mapInArrow(_fingerprints, "doc_id long, n_chars long, n_bytes long, hash long, sha string"), "marks"
-    )
+def _verdicts(docs, trie_bytes):
+    """`exact_dedup` with the digest of each row's text."""
+    pairs = _pairs(docs)
+    marks = cut(pairs.select(*_marks()), "marks")
     repeated = cut(marks.groupBy("n_bytes", "hash").count().filter("count > 1").select("n_bytes", "hash"), "keys")
     single = marks.join(repeated, ["n_bytes", "hash"], "left_anti").select(
         "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"),
-        F.lit(True).alias("kept"), F.col("sha").alias("text_sha256"), "n_chars",
+        F.lit(True).alias("kept"), F.col("sha").alias("text_sha256"), "n_chars", "digest",
     )
-    rows = pairs.mapInArrow(_bodies, "doc_id long, n_chars long, n_bytes long, hash long, body binary")
-    rows = rows.join(repeated, ["n_bytes", "hash"], "left_semi").select("doc_id", "n_chars", "body")
+    rows = pairs.join(repeated, ["n_bytes", "hash"], "left_semi").select(*_marks(), _body().alias("body"))
     local = cut(rows.mapInArrow(_local_tries(trie_bytes), _LOCAL), "tries")
 
     open_rows = local.filter("body IS NOT NULL")
@@ -289,31 +267,39 @@ def exact_dedup(docs, trie_bytes=TRIE_BYTES):
         if open_rows.isEmpty():
             break
         salt += 1
-    members = local.filter("body IS NULL").select("doc_id", "row", "n_chars", "sha", "token")
+    members = local.filter("body IS NULL").select("doc_id", "row", "n_chars", "sha", "token", "digest")
     copies = members.join(owned, "token").select(
         "doc_id", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"),
-        F.col("sha").alias("text_sha256"), "n_chars",
+        F.col("sha").alias("text_sha256"), "n_chars", "digest",
     )
     return single.unionByName(copies)
 
 
+def exact_dedup(docs, trie_bytes=TRIE_BYTES):
+    """One row per input row: doc_id, keep_id, group_size, kept, text_sha256 (and n_chars).
+
+    Texts are equal when identical without the six white-space characters; of equal texts the row with
+    the most code points stays, then the smallest doc_id (NULL last), then one of the repeated rows.
+    NULL text counts as empty; empty texts form one group.  An empty table gives an empty result.  A very long text is
+    one value of its task.  Other columns of `docs` are not read.
+    """
+    return _verdicts(docs, trie_bytes).drop("digest")
+
+
 def drop_exact(docs, trie_bytes=TRIE_BYTES):
-    """`docs` without the rows that `exact_dedup` does not keep, all columns as they were.
+    """`docs` without the rows that `exact_dedup` does not keep, all columns as they were, whatever their names.
 
-    Rows that share a doc_id are told apart by their text; of fully repeated rows one stays.
+    Rows that share a doc_id are told apart by their text; of fully repeated rows (id and text) one stays.  NULL and
+    empty texts and ties as in `exact_dedup`; an empty table stays empty.
     """
-    verdict = cut(exact_dedup(docs, trie_bytes), "verdict")
-    kept = verdict.filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"), F.col("n_chars").alias("_n"))
-    shared = cut(verdict.groupBy("doc_id").count().filter("count > 1 OR doc_id IS NULL").select(F.col("doc_id").alias("_id")), "shared")
-    if shared.isEmpty():
-        return docs.join(kept.select("_id"), F.col("doc_id") == F.col("_id"), "left_semi")
-    plain = docs.join(kept.join(shared, "_id", "left_anti").select("_id"), F.col("doc_id") == F.col("_id"), "left_semi")
-    mixed = docs.join(shared, docs["doc_id"].eqNullSafe(shared["_id"]), "left_semi")
-    text = F.coalesce("text", F.lit(""))
-    mixed = mixed.withColumns(
-        {"_sha": F.sha2(F.regexp_replace(text, r"[\x20\x09-\x0D]", ""), 256), "_n": F.char_length(text).cast("long")}
+    rows = cut(
+        _verdicts(docs, trie_bytes).groupBy("doc_id", "digest").agg(F.bool_or("kept").alias("stays"), F.count("*").alias("n")), "verdict"
     )
-    same = [F.col("m.doc_id").eqNullSafe(F.col("k._id")), F.col("m._sha") == F.col("k._sha"), F.col("m._n") == F.col("k._n")]
-    mixed = mixed.alias("m").join(kept.distinct().alias("k"), same, "left_semi")
-    mixed = mixed.dropDuplicates(["doc_id", "_sha", "_n"]).drop("_sha", "_n")
-    return plain.unionByName(mixed)
+    gone = rows.filter("NOT stays OR n > 1").select("doc_id", "digest")
+    left = without(docs, gone)
+    repeated = rows.filter("stays AND n > 1")
+    if repeated.isEmpty():
+        return left
+    again = without(docs, repeated.select("doc_id", "digest"), "left_semi")
+    again = again.groupBy(F.col("doc_id"), text_digest()).agg(F.first(F.struct("*")).alias("one")).select("one.*")
+    return left.unionByName(again)

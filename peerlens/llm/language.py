@@ -4,35 +4,52 @@ One filter per language, stored bit-sliced: row i of the table is a bitmask of t
 set.  Probing an n-gram ANDs its rows and returns the mask of all languages that contain it.  A text's counts per
 language are popcounts over its n-grams, corrected by each filter's false-positive rate; the largest decides.
 
-The model is fitted on a sample of about `per_language` documents of each language (a documented bound, drawn by
-hash); the filters then judge the whole text of every document.  An n-gram enters a filter if it occurs in a
-`share` of that language's sample, so that foreign passages in a document do not teach it their n-grams.
+The model is fitted on a sample of about `per_language` different documents of each language (a documented bound, drawn
+by a hash of id and text); the filters then judge the whole text of every document.  An n-gram enters a filter if it occurs
+in a `share` of that language's sample, so that foreign passages in a document do not teach it their n-grams.
+The table has 32 KB per language and is fitted on the driver's side from at most 2^18 rows per eight languages: the number of
+different values of `lang` is taken to be small (hundreds).
 """
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from peerlens.llm.common import byte_slices, cut, text_pairs
+from peerlens.llm.common import byte_slices, cut, text_digest, text_pairs
 
 PER_LANGUAGE = 3000
 SHARE = 0.01
 GRAMS = (3, 4, 5)
 TABLE_BITS, PROBES = 18, 2
 UNKNOWN = "und"
+#: Score from which a prediction fills a NULL `lang`: more than all other languages together.
+FILL = 0.5
 _FACTORS = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F]
 _BLOCK = 1 << 18
 
 
 def _letters(text):
     """Lower-cased bytes in which every run of ASCII bytes other than letters is one space; spaces at both ends."""
-    data = np.frombuffer(f" {text.lower()} ".encode(), np.uint8)
-    letter = ((data >= 97) & (data <= 122)) | (data >= 128)
-    data = np.where(letter, data, np.uint8(32))
-    keep = letter.copy()
-    keep[1:] |= letter[:-1]
-    keep[0] = True
-    return data[keep]
+    return np.concatenate([data[skip:] for data, skip in _blocks(text)])
+
+
+def _blocks(text):
+    """`_letters(text)` in blocks: (bytes, how many of them repeat the end of the block before).
+
+    Every n-gram of the text lies in one block with its last byte among the new ones.
+    """
+    text, last = text.lower(), np.zeros(0, np.uint8)
+    stops = range(_BLOCK, max(len(text), 1) + _BLOCK, _BLOCK)
+    for stop in stops:
+        piece = f"{' ' * (stop == _BLOCK)}{text[stop - _BLOCK:stop]}{' ' * (stop >= len(text))}"
+        data = np.frombuffer(piece.encode("utf-8", "replace"), np.uint8)
+        letter = ((data >= 97) & (data <= 122)) | (data >= 128)
+        keep = letter.copy()
+        keep[1:] |= letter[:-1]
+        keep[0] |= not len(last) or last[-1] != 32
+        fresh = np.where(letter, data, np.uint8(32))[keep]
+        yield np.concatenate([last, fresh]), len(last)
+        last = np.concatenate([last, fresh])[-(max(GRAMS) - 1):]
 
 
 def _grams(data):
@@ -51,17 +68,12 @@ def _lettered(text):
     return any(map(str.isalpha, text))
 
 
-def _pieces(text):
-    for at in range(0, max(len(text), 1), _BLOCK):
-        yield text[at:at + _BLOCK]
-
-
 def _sample_grams(batches):
     """(lang, gram, documents that hold it), summed within a piece of the input."""
     for batch in byte_slices(batches, "text"):
         held = {}
         for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text")):
-            parts = [g for p in _pieces(text.as_py().decode("utf-8", "replace")) for g in _grams(_letters(p))]
+            parts = [g for data, _ in _blocks(text.as_py().decode("utf-8", "replace")) for g in _grams(data)]
             if parts:
                 held.setdefault(lang, []).append(np.unique(np.concatenate(parts)))
         for lang, parts in held.items():
@@ -106,13 +118,16 @@ class Filters:
         n = np.zeros(len(texts), np.int64)
         hits = np.zeros((len(texts), 8 * len(self.table)), np.int64)
         ones = (np.arange(256)[:, None] >> np.arange(8)[None, :] & 1).astype(np.int64)
-        block, owners, size = [], [], 0
+        block, owners, skips, size = [], [], [], 0
 
         def settle():
-            data, owner = np.concatenate(block), np.repeat(owners, [len(b) for b in block])
+            sizes = np.array([len(b) for b in block])
+            data, owner = np.concatenate(block), np.repeat(owners, sizes)
+            fresh = np.arange(len(data)) >= np.repeat(np.cumsum(sizes) - sizes + skips, sizes)
+            part = np.repeat(np.arange(len(sizes)), sizes)
             for code, width in zip(_grams(data), GRAMS):
                 own = owner[: len(code)]
-                inside = own == owner[width - 1:]
+                inside = (part[: len(code)] == part[width - 1:]) & fresh[width - 1:]
                 places = [p[inside] for p in _places(code)]
                 own = own[inside]
                 n[:] += np.bincount(own, minlength=len(texts))
@@ -124,14 +139,14 @@ class Filters:
                     hits[:, 8 * byte:8 * byte + 8] += by_mask @ ones
 
         for i, text in enumerate(texts):
-            for piece in _pieces(text):
-                data = _letters(piece)
+            for data, skip in _blocks(text):
                 block.append(data)
                 owners.append(i)
+                skips.append(skip)
                 size += len(data)
                 if size > _BLOCK:
                     settle()
-                    block, owners, size = [], [], 0
+                    block, owners, skips, size = [], [], [], 0
         if block:
             settle()
         return n, hits[:, : len(self.languages)]
@@ -157,7 +172,7 @@ def fit(docs, per_language=PER_LANGUAGE, share=SHARE):
     spark = docs.sparkSession
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"),
-        F.col("text").cast("string").cast("binary").alias("text"),
+        F.col("text").cast("string").cast("binary").alias("text"), text_digest().alias("digest"),
     ).filter("lang IS NOT NULL AND text IS NOT NULL").filter(_remainder() != 1)
     sizes = [tuple(r) for r in rows.groupBy("lang").count().collect()]  # one row per language
     languages = [lang for lang, _ in sorted(sizes, key=lambda r: (-r[1], r[0]))]
@@ -165,8 +180,9 @@ def fit(docs, per_language=PER_LANGUAGE, share=SHARE):
         return Filters([], [])
     limits = spark.createDataFrame([(lang, min(1.0, per_language / n)) for lang, n in sizes], "lang string, part double")
     numbers = spark.createDataFrame([(lang, i) for i, lang in enumerate(languages)], "lang string, number long")
-    drawn = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.col("part") * (1 << 20)
+    drawn = F.pmod(F.xxhash64("doc_id", "digest"), F.lit(1 << 20)) < F.col("part") * (1 << 20)
     sample = rows.join(F.broadcast(limits), "lang").filter(drawn)  # broadcast: one row per language
+    sample = cut(sample.dropDuplicates(["lang", "doc_id", "digest"]).select("lang", "text"), "sample")
     counted = sample.groupBy("lang").count().withColumnRenamed("count", "docs")
     grams = sample.select("lang", "text").mapInArrow(_sample_grams, "lang string, gram long, n long")
     grams = grams.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
@@ -193,7 +209,9 @@ def identify(docs, filters):
     """Per row of `docs`: doc_id, lang_pred, score.  `und` (score 0) if the text is NULL or has no letter.
 
     A text with letters but without any known n-gram gets the most frequent training language with score 0.
-    Without training rows everything is `und`.  Only doc_id and text are read.
+    Without training rows everything is `und`.  Languages that score alike: the one with more training rows, then by name.
+    Repeated rows are answered each; an empty table gives an empty result; a very long text is counted in blocks, with the
+    same n-grams as in one piece.  Only doc_id and text are read.
     """
     shared = docs.sparkSession.sparkContext.broadcast(filters)  # fixed size: the table
     return text_pairs(docs).mapInArrow(_predict(shared), "doc_id long, lang_pred string, score double")
@@ -205,12 +223,19 @@ def predictions(docs, per_language=PER_LANGUAGE):
     return found.select("doc_id", F.coalesce(_remainder() == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
-def _identified(shared):
+def _identified(shared, fill):
     def run(batches):
+        filters = shared.value
         for batch in byte_slices(batches, "text"):
             texts = [t.as_py() or "" for t in batch.column("text")]
-            if shared.value.languages:
-                keep = [language != UNKNOWN for language, _ in shared.value.predict(texts)]
+            if filters.languages:
+                found = filters.predict(texts)
+                keep = [language != UNKNOWN for language, _ in found]
+                if "lang" in batch.schema.names:
+                    at = batch.schema.names.index("lang")
+                    given = batch.column(at).to_pylist()
+                    named = [g if g is not None or score < fill else language for g, (language, score) in zip(given, found)]
+                    batch = batch.set_column(at, batch.schema.field(at), pa.array(named, batch.schema.field(at).type))
             else:  # nothing to learn from: the rule by which a text is `und` needs no filters
                 keep = [_lettered(t) for t in texts]
             yield batch.filter(pa.array(keep, pa.bool_()))
@@ -218,7 +243,12 @@ def _identified(shared):
     return run
 
 
-def drop_unidentified(docs, per_language=PER_LANGUAGE):
-    """`docs` without the rows whose text has no letter (NULL counts as none), whether or not any row has a language."""
+def drop_unidentified(docs, per_language=PER_LANGUAGE, fill=FILL):
+    """`docs` without the rows whose text has no letter (NULL counts as none), whether or not any row has a language.
+
+    Of the rows that stay, a NULL `lang` becomes the predicted language if its score is at least `fill`; all other values
+    and columns are as they were.  Repeated rows are judged each; an empty table stays empty; ties and very long texts as in
+    `identify`.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs, per_language))  # fixed size: the table
-    return docs.mapInArrow(_identified(shared), docs.schema)
+    return docs.mapInArrow(_identified(shared, fill), docs.schema)

@@ -19,7 +19,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import functions as F
 
-from peerlens.llm.common import byte_slices, cut, text_digest, text_pairs
+from peerlens.llm.common import byte_slices, cut, text_digest, text_pairs, without
 from peerlens.llm.components import components
 
 BITS, MAX_DISTANCE, SHINGLE = 64, 2, 3
@@ -205,10 +205,11 @@ def drop_near(docs, cell_limit=CELL_LIMIT):
     Rows that share a doc_id, or have none, are told apart by their text; rows alike in both stay together, so what
     stays is one row of each component if exact duplicates went before.
     """
-    marks = fingerprints(docs, text_digest())
+    marks = cut(fingerprints(docs, text_digest()), "marks")
     row = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "digest")
     nodes = cut(marks.groupBy("fp").agg(F.min(row).alias("best")), "nodes")
     best = _labels(nodes, cell_limit).groupBy("label").agg(F.min("best").alias("best"))
-    first = best.select(F.col("best.doc_id").alias("_id"), F.col("best.digest").alias("_first"))
-    same = [F.col("doc_id").eqNullSafe(F.col("_id")), F.col("_digest").eqNullSafe(F.col("_first"))]
-    return docs.withColumn("_digest", text_digest()).join(first, same, "left_semi").drop("_digest")
+    stays = cut(best.select("best.doc_id", "best.digest"), "stays")
+    rows = marks.select("doc_id", "digest").distinct()
+    same = rows["doc_id"].eqNullSafe(stays["doc_id"]) & rows["digest"].eqNullSafe(stays["digest"])
+    return without(docs, rows.join(stays, same, "left_anti"))
