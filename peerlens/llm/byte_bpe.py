@@ -218,6 +218,14 @@ def _loaded(path):
     return _LOADED[path]
 
 
+def forget(path=VOCABULARY):
+    """Empty the memos that go with a vocabulary; the vocabulary stays."""
+    if path in _LOADED:
+        vocabulary, words, _ = _LOADED[path]
+        words.clear()
+        vocabulary._pairs.clear()
+
+
 @functools.cache
 def _other_classes():
     """Code points that the splitting library of tiktoken classes otherwise than `regex` does (other Unicode versions).
@@ -271,6 +279,7 @@ def _encode(path):
             offsets = np.cumsum([0] + [len(x) for x in ids])
             lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(ids)))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists], ["doc_id", "ids"])
+        forget(path)  # a worker that waits for other tasks holds no memos
 
     return run
 
