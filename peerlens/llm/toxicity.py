@@ -5,8 +5,8 @@
    in ten words and one in a thousand are different directions.  Term frequencies count by their logarithm.
 2. One pass turns every document into counts of these terms; document frequencies are counted over all documents.
 3. The index lists per term the examples that have it, in blocks of similar examples, with each block's largest weight.
-   A query bounds every block by these maxima, visits blocks by falling bound, and stops at the first
-   block whose bound is below its k-th best cosine: the neighbours are exact.
+   A query bounds every block by these maxima, visits its few most promising blocks, and then only those whose
+   bound is not below its k-th best cosine so far: the neighbours are exact.  Queries go through a block together.
 4. The neighbours vote with weights that fall with their distance and undo the unequal sampling of the classes.  Votes of
    the examples themselves, each without itself, calibrate the score (isotonic).  The nearest examples are the evidence.
 """
@@ -23,6 +23,8 @@ PER_CLASS = 2048
 #: Log-likelihood ratio (one degree of freedom, p = 0.001) and examples from which a term counts, and most terms kept.
 ASSOCIATION, LEAST, TERMS = 10.83, 3, 1024
 NEIGHBOURS, BLOCK, EVIDENCE = 8, 32, 3
+#: Blocks that a query visits before it skips any, and queries that go through the index together.
+FIRST, TOGETHER = 4, 256
 #: Distance at which a vote has half the weight of a vote at distance zero.
 HALF = 0.05
 _MARGIN = 1e-9
@@ -181,7 +183,7 @@ class Index:
         toxic = self.share >= 0.5
         drawn = {c: max(int((toxic == c).sum()), 1) for c in (True, False)}
         self.weight = np.where(toxic, sizes.get(True, 0) / drawn[True], sizes.get(False, 0) / drawn[False])
-        self.prior = float((self.weight * self.share).sum() / self.weight.sum()) if len(rows) else 0.0
+        self.prior = round(float((self.weight * self.share).sum() / self.weight.sum()), 9) if len(rows) else 0.0
         term = np.concatenate([vectors[i][0] for i in order]) if rows else np.zeros(0, np.int64)
         value = np.concatenate([vectors[i][1] for i in order]) if rows else np.zeros(0)
         place = np.repeat(np.arange(len(rows)), [len(vectors[i][0]) for i in order]) if rows else np.zeros(0, np.int64)
@@ -190,85 +192,126 @@ class Index:
         self.blocks = -(-len(rows) // BLOCK)
         # Where the postings of (term, block) begin, and their largest weight.
         self.at = np.searchsorted(term * self.blocks + self.place // BLOCK, np.arange(len(idf) * self.blocks + 1))
-        self.at = self.at.astype(np.int64)
         self.largest = np.zeros((len(idf), self.blocks))
         np.maximum.at(self.largest, (term, self.place // BLOCK), self.value)
         self.visited = 0
-        self.points = None
+        self.points = self._lists = None
         if rows:
-            votes = [self.vote(*vectors[i], leave=n)[0] for n, i in enumerate(order)]
-            self.points = _isotonic(np.array(votes), self.share, self.weight)
+            votes = []
+            for at in range(0, len(rows), TOGETHER):
+                some = order[at:at + TOGETHER]
+                queries = np.zeros((len(some), len(idf)))
+                for n, i in enumerate(some):
+                    queries[n, vectors[i][0]] = vectors[i][1]
+                votes.append(self.votes(self.cosines(queries, np.arange(at, at + len(some)))))
+            self.points = _isotonic(np.concatenate(votes), self.share, self.weight)
+
+    def __getstate__(self):
+        return self.__dict__ | {"_lists": None}
+
+    @property
+    def lists(self):
+        """The posting lists, block after block, written out: a row per term."""
+        if self._lists is None:
+            self._lists = np.zeros((len(self.idf), self.blocks * BLOCK))
+            self._lists[np.repeat(np.arange(len(self.idf)), np.diff(self.at[:: max(self.blocks, 1)])), self.place] = self.value
+        return self._lists
 
     def unit(self, terms, counts):
         value = (1 + np.log(counts)) * self.idf[terms]
         return terms, value / max(float(np.sqrt((value * value).sum())), 1e-300)
 
+    def units(self, owner, terms, counts, n):
+        """`n` unit vectors as rows, from (owner, term, count) entries."""
+        out = np.zeros((n, len(self.idf)))
+        out[owner, terms] = (1 + np.log(counts)) * self.idf[terms]
+        norm = np.sqrt((out * out).sum(axis=1, keepdims=True))
+        return out / np.where(norm > 0, norm, 1)
+
+    def cosines(self, queries, leave=None):
+        """Cosines (row per query, column per place), -1 where a block was skipped; `leave[i]` is not for query i to see."""
+        n, width = len(queries), self.blocks * BLOCK
+        found = np.full((n, max(width, self.k)), -1.0)
+        bound = queries @ self.largest
+        rows = np.arange(n)[:, None]
+        wanted = np.zeros((n, self.blocks), bool)
+        wanted[rows, np.argsort(-bound, axis=1, kind="stable")[:, :FIRST]] = True
+        done = np.zeros_like(wanted)
+        for _ in range(2):
+            wanted &= (bound > 0) & ~done
+            for block in np.nonzero(wanted.any(axis=0))[0].tolist():
+                some = np.nonzero(wanted[:, block])[0]
+                span = slice(block * BLOCK, (block + 1) * BLOCK)
+                found[some, span] = queries[some] @ self.lists[:, span]
+                self.visited += len(some)
+            done |= wanted
+            if leave is not None:
+                found[rows[:, 0], leave] = -1
+            wanted = bound >= self.least(found)[:, None] - _MARGIN
+        return found
+
+    def least(self, cosines):
+        """The k-th largest cosine of each row, zero if there are fewer."""
+        return np.maximum(np.partition(cosines, -self.k, axis=1)[:, -self.k], 0)
+
+    def near(self, cosines):
+        """Which places are neighbours: the k nearest and all that tie with the last of them; cosine zero is none."""
+        return (cosines >= self.least(cosines)[:, None] - _MARGIN) & (cosines > _MARGIN)
+
+    def votes(self, cosines):
+        """Weighted share of label 1 among the neighbours; without neighbours the share of all texts."""
+        n = len(self.share)
+        weight = np.where(self.near(cosines)[:, :n], self.weight / (1 + (1 - np.minimum(cosines[:, :n], 1)) / HALF), 0)
+        total = weight.sum(axis=1)
+        return np.where(total > 0, weight @ self.share / np.where(total > 0, total, 1), self.prior)
+
     def neighbours(self, terms, value, leave=None):
-        """(places, cosines) of the k nearest examples and all that tie with the last of them; cosine zero is no neighbour."""
-        bound = value @ self.largest[terms] if len(terms) else np.zeros(self.blocks)
-        places, cosines, best = [], [], np.zeros(self.k)
-        for block in np.argsort(-bound, kind="stable").tolist():
-            if bound[block] <= 0 or bound[block] < best[0] - _MARGIN:
-                break
-            self.visited += 1
-            score = np.zeros(BLOCK)
-            for t, v in zip(terms.tolist(), value.tolist()):
-                low, high = self.at[t * self.blocks + block], self.at[t * self.blocks + block + 1]
-                score[self.place[low:high] - block * BLOCK] += v * self.value[low:high]
-            if leave is not None and leave // BLOCK == block:
-                score[leave % BLOCK] = 0
-            good = np.nonzero(score >= max(best[0] - _MARGIN, _MARGIN))[0]
-            places.append(good + block * BLOCK)
-            cosines.append(score[good])
-            best = np.sort(np.concatenate([best, score[good]]))[-self.k:]
-        if not places:
-            return np.zeros(0, np.int64), np.zeros(0)
-        places, cosines = np.concatenate(places), np.concatenate(cosines)
-        keep = cosines >= best[0] - _MARGIN
-        places, cosines = places[keep], np.minimum(cosines[keep], 1.0)
-        order = np.lexsort((places, -np.round(cosines, 9)))
-        return places[order], cosines[order]
-
-    def vote(self, terms, value, leave=None):
-        """(weighted share of label 1 among the neighbours, places, cosines); without neighbours the share of all texts."""
-        places, cosines = self.neighbours(terms, value, leave)
-        if not len(places):
-            return self.prior, places, cosines
-        weight = self.weight[places] / (1 + (1 - cosines) / HALF)
-        return float((weight * self.share[places]).sum() / weight.sum()), places, cosines
+        """(places, cosines) of one query's neighbours, nearest first."""
+        query = np.zeros((1, len(self.idf)))
+        query[0, terms] = value
+        cosines = self.cosines(query, None if leave is None else np.array([leave]))
+        places = np.nonzero(self.near(cosines)[0])[0]
+        order = np.lexsort((places, -np.round(cosines[0, places], 9)))
+        return places[order], np.minimum(cosines[0, places[order]], 1.0)
+
+    def scores(self, queries):
+        """(calibrated score, evidence) of each query."""
+        if self.points is None:
+            return [(0.0, [])] * len(queries)
+        cosines = self.cosines(queries)
+        some = self.near(cosines)
+        score = np.where(some.any(axis=1), np.clip(np.interp(self.votes(cosines), *self.points), 0, 1), self.prior)
+        shown = np.where(some, np.round(np.minimum(cosines, 1), 9), 0)
+        rows, evidence = np.arange(len(queries)), [[] for _ in queries]
+        for _ in range(min(EVIDENCE, shown.shape[1])):
+            best = shown.argmax(axis=1)
+            for i, p, c in zip(range(len(queries)), best.tolist(), shown[rows, best].tolist()):
+                if c > 0:
+                    evidence[i].append({"doc_id": self.ids[p], "similarity": c, "label": float(self.share[p])})
+            shown[rows, best] = 0
+        return list(zip(np.round(score, 9).tolist(), evidence))
 
     def score(self, terms, counts):
-        """(calibrated score, evidence) of a vector of counts."""
-        if self.points is None:
-            return 0.0, []
-        vote, places, cosines = self.vote(*self.unit(terms, counts))
-        score = float(np.clip(np.interp(vote, *self.points), 0, 1)) if len(places) else self.prior
-        shown = zip(places[:EVIDENCE].tolist(), cosines[:EVIDENCE].tolist())
-        return score, [{"doc_id": self.ids[p], "similarity": c, "label": float(self.share[p])} for p, c in shown]
+        """(calibrated score, evidence) of one vector of counts."""
+        return self.scores(self.units(np.zeros(len(terms), np.int64), terms, counts, 1))[0]
 
 
 def _score(shared):
     kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("similarity", pa.float64()), ("label", pa.float64())]))
 
     def run(batches):
-        index, known = shared.value, {}
-        for batch in batches:
-            listed, counted = batch.column("terms"), batch.column("counts")
-            ends = np.cumsum(pc.fill_null(pc.list_value_length(listed), 0).to_numpy())
-            terms, counts = listed.flatten().to_numpy().astype(np.int64), counted.flatten().to_numpy()
-            found = []
-            for low, high in zip(np.concatenate([[0], ends[:-1]]).tolist(), ends.tolist()):
-                t, c = terms[low:high], counts[low:high]
-                key = t.tobytes() + c.tobytes() if len(t) != 1 else t.tobytes()  # one term: one direction
-                if key not in known:
-                    if len(known) > 50_000:
-                        known.clear()
-                    known[key] = index.score(t, c)
-                found.append(known[key])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([f[0] for f in found], pa.float64()), pa.array([f[1] for f in found], kind)],
-                ["doc_id", "score", "evidence"],
-            )
+        index = shared.value
+        for whole in batches:
+            for at in range(0, whole.num_rows, TOGETHER):
+                batch = whole.slice(at, TOGETHER)
+                listed, n = batch.column("terms"), batch.num_rows
+                owner = np.repeat(np.arange(n), pc.fill_null(pc.list_value_length(listed), 0).to_numpy())
+                terms, counts = listed.flatten().to_numpy(), batch.column("counts").flatten().to_numpy()
+                found = index.scores(index.units(owner, terms, counts, n))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id"), pa.array([f[0] for f in found], pa.float64()), pa.array([f[1] for f in found], kind)],
+                    ["doc_id", "score", "evidence"],
+                )
 
     return run
 
