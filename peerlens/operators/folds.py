@@ -204,7 +204,8 @@ NODE_FIELDS = [
 ]
 
 
-def _nodes(events, by, prior=None):
+def node_rows(events, by="arrival", prior=None):
+    """One row per node, with its first (peer_id, pubkey) and arrival; a grouping, so it also runs on a stream."""
     if prior is not None:
         columns = ["node_id", "peer_id", "pubkey", *NODE_FIELDS]
         old = prior.select(*columns, F.lit(-1).alias("ord"))
@@ -234,7 +235,11 @@ def fold_eth_nodes(events, by="arrival", prior=None):
     belongs to the node that announced it first (a NULL in it keeps every node).  `prior` rows precede all
     events (arrival numbers `ord` start at 0).
     """
-    rows = _nodes(events, by, prior)
+    return nodes_by_pair(node_rows(events, by, prior))
+
+
+def nodes_by_pair(rows):
+    """`node_rows` without the nodes whose (peer_id, pubkey) belongs to an earlier one."""
     columns = [c for c in rows.columns if c not in ("peer_id", "pubkey")]
     return (
         rows.groupBy("peer_id", "pubkey", _own_key())
@@ -251,7 +256,7 @@ def dq_eth_node_conflicts(events, by="arrival"):
     salt of the node first, then among the salts' owners, and met again by (pair, salt).
     """
     salt = F.pmod(F.xxhash64("node_id"), F.lit(CONFLICT_SALTS)).alias("salt")
-    rows = cut(_nodes(events, by).filter("peer_id IS NOT NULL AND pubkey IS NOT NULL").select("node_id", "peer_id", "pubkey", "first_ord", salt), "nodes")
+    rows = cut(node_rows(events, by).filter("peer_id IS NOT NULL AND pubkey IS NOT NULL").select("node_id", "peer_id", "pubkey", "first_ord", salt), "nodes")
     first = F.min(F.struct("first_ord", "node_id")).alias("first")
     parts = rows.groupBy("peer_id", "pubkey", "salt").agg(first)
     owners = parts.groupBy("peer_id", "pubkey").agg(F.min("first").alias("first"), F.collect_list("salt").alias("salts"))

@@ -377,9 +377,16 @@ def retry_views(prefix, classes, positive, base, growing, cap, after):
             FROM (SELECT *, CASE WHEN lag(cls) OVER (PARTITION BY peer_id, life ORDER BY ts, seq) = cls THEN 0 ELSE 1 END AS changed
                   FROM {prefix}_live)""",
         f"{prefix}_final": f"""
-            SELECT peer_id, life, cls, error, ts, row_number() OVER (PARTITION BY peer_id, life, run ORDER BY ts, seq) AS degree,
+            SELECT peer_id, life, cls, error, ts, seq, row_number() OVER (PARTITION BY peer_id, life, run ORDER BY ts, seq) AS degree,
                    row_number() OVER (PARTITION BY peer_id, life ORDER BY ts DESC, seq DESC) AS back
             FROM {prefix}_islands""",
+        f"{prefix}_turns": f"""
+            SELECT peer_id, life::INT AS life, cls, degree, ts + to_seconds(CASE WHEN cls IN ({grows})
+                     THEN least((CASE cls {bases} ELSE 0 END) * pow(2, least(degree - 1, 30)), {cap})::BIGINT
+                     ELSE least(CASE cls {bases} ELSE 0 END, {cap}) END) AS due,
+                   lead(ts) OVER (PARTITION BY peer_id, life ORDER BY ts, seq) AS after, ts = end_ts AS ends
+            FROM {prefix}_final JOIN (SELECT peer_id, life, end_ts FROM {prefix}_lives) USING (peer_id, life)
+            UNION ALL SELECT peer_id, life, 'Minus1', 0, start_ts, NULL, false FROM {prefix}_lives""",
         f"{prefix}_history": f"""
             SELECT l.peer_id, l.life::INT AS life, l.start_ts AS life_start, coalesce(f.cls, 'Minus1') AS delay_class,
                    coalesce(f.degree, 0)::BIGINT AS degree, f.ts AS last_attempt,

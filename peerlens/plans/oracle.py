@@ -483,11 +483,23 @@ SQL = {
         (SELECT epoch_ms(max(arrival_time)) - 60000 FROM b_messages)""",
     "pair_conn_stream": "SELECT seq, peer_id, direction, conn_time, latency, disconn_time, identified, error FROM b_pairs",
     "fold_stream": peer_state("s"),
+    "retry_state_stream": state_out("s"),
+    # A turn comes out unless another attempt overtakes it, up to the last event.
+    "due_stream": f"""SELECT peer_id, life, {stamp('due')} AS due, cls AS delay_class, degree FROM s_turns
+        WHERE NOT coalesce(ends, false) AND (after >= due OR (after IS NULL AND epoch_ms(due) <= (SELECT epoch_ms(max(ts)) FROM
+            (SELECT ts FROM b_attempts UNION ALL SELECT ts FROM b_discoveries))))""",
     "metrics_tick": " UNION ALL ".join(crawler_metrics(NET)),
     "snapshot_tick": """SELECT '2001-08-02 00:00:00.000000' AS timestamp, (id // 65536)::INT AS chunk,
         string_agg(id::VARCHAR, '|' ORDER BY id) AS peers FROM b_active_all GROUP BY 2""",
 }
 VIEWS["b_active_all"] = "SELECT * FROM b_active"
+# A table folded from a stream is the table folded in batch.
+SQL |= {
+    f"fold_stream_{name}": SQL[batch] for name, batch in {
+        "status": "fold_eth_status", "attestations": "insert_attestations", "blocks": "insert_blocks", "ips": "fold_ips",
+        "nodes": "fold_eth_nodes",
+    }.items()
+}
 
 # Views that are computed first: DuckDB 2.0.0 now and then stops with an internal
 # error when the inner side of a join is itself a join over a DISTINCT.

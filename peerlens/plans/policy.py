@@ -44,5 +44,10 @@ class RetryPolicy:
         flat = F.least(base, F.lit(self.max_seconds)).cast("long")
         return F.when(name.isin(list(self.growing)), grown).otherwise(flat)
 
+    def seconds(self, name, degree):
+        """`delay` of one class and degree, as a plain number for processors that move state row by row."""
+        base = self.base_seconds.get(name, 0)
+        return int(min(base * 2 ** min(degree - 1, 30) if name in self.growing else base, self.max_seconds))
+
 
 DEFAULT_POLICY = RetryPolicy()

@@ -651,64 +651,66 @@ _stream(
 _stream("message_rates", lambda ev, b: jobs.message_rates(bridge.messages(ev)))
 
 
-@query("pair_conn_stream")
-def _pair_stream(b):
-    path = jobs.stream_path(b.spark, "pairs")
-    halves = bridge.conn_halves(jobs.event_stream(b.spark, b.dir))
-    state, _ = jobs.pair_conn_stream(halves, path, late_seconds=3600)
-    return jobs.paired_so_far(state).select("seq", *connections.CONN_EVENT_COLUMNS)
-
-
-PEER_STATE_COLUMNS = [f for f in PEER_INFO.fields if f.name != "id"]
-_POSITION = T.StructType([T.StructField("ts", T.TimestampType()), T.StructField("seq", T.LongType())])
-_HALF = T.StructType([f for f in jobs.HALF_SCHEMA.fields if f.name != "peer_id"])
-#: The peer row, and what later events need: the life it is in, the last success, a connection still open.
-FOLDED_PEER = T.StructType(
-    [*PEER_STATE_COLUMNS, T.StructField("life_start", _POSITION), T.StructField("success", _POSITION), T.StructField("open_half", _HALF)]
-)
-
-
-def fold_peer_batch(batch, prior, policy=DEFAULT_POLICY):
-    """One micro-batch of raw events into the peer table; batches come in the order of time.
-
-    The life of a peer goes on from its stored start and last success, which stand for all earlier events.
-    """
-    hosts = normalise.normalise_peers(bridge.discoveries(batch))
-    _, answers, _, _ = normalise.identify_events(bridge.raw_connections(batch))
-    attempts = normalise.normalise_attempts(bridge.raw_dials(batch))
-    stored_starts = prior.filter("life_start IS NOT NULL").select("peer_id", "life_start.*")
-    stored_success = prior.filter("success IS NOT NULL").select("peer_id", "success.*", F.lit("none").alias("error"))
-    seen = hosts.select("peer_id", "ts", "seq").unionByName(stored_starts)
-    tried = attempts.select("peer_id", "ts", "seq", "error").unionByName(stored_success)
-    lives = retry.peer_lives(tried, seen, policy)
-    live = retry.live_attempts(attempts, lives)
-    halves = bridge.conn_halves(batch).unionByName(
-        prior.filter("open_half IS NOT NULL").select("peer_id", "open_half.*")
-    )
-    events = connections.pair_conn_events(halves)
-    rows = folds.fold_peer_state(hosts, answers, live, events, prior.filter("network IS NOT NULL"))
-    positive = policy.class_of(F.col("error")) == policy.positive_class
-    position = F.struct("ts", "seq")
-    last_life = lives.groupBy("peer_id").agg(F.max_by(F.struct("start", "end"), "life").alias("l"))
-    open_life = last_life.filter(F.col("l.end").isNull()).select("peer_id", F.col("l.start").alias("life_start"))
-    success = tried.groupBy("peer_id").agg(F.max(F.when(positive, position)).alias("success"))
-    half = F.max_by(F.struct(*_HALF.fieldNames()), position)
-    waiting = halves.groupBy("peer_id").agg(half.alias("open_half")).filter("open_half.kind = 'open'")
-    whole = rows
-    for part in (open_life, success, waiting):
-        whole = whole.join(part, "peer_id", "full")
-    return whole.select([F.col(f.name).cast(f.dataType) for f in FOLDED_PEER.fields])
+_stream("pair_conn_stream", lambda ev, b: jobs.pair_conn_stream(bridge.conn_halves(ev), "0 seconds").select("seq", *connections.CONN_EVENT_COLUMNS))
+
+
+def _dial_logs(ev):
+    return normalise.normalise_peers(bridge.discoveries(ev)), normalise.normalise_attempts(bridge.raw_dials(ev))
+
+
+@query("retry_state_stream")
+def _retry_stream(b):
+    """The last state of every peer that the stream has emitted."""
+    path = jobs.stream_path(b.spark, "retry")
+    out = jobs.retry_state_stream(*_dial_logs(jobs.event_stream(b.spark, b.dir)), "0 seconds", STRICT)
+    jobs.run_to_end(out, path)
+    rows = b.spark.read.schema(out.schema).parquet(path)
+    order = F.struct("life", "last_attempt")
+    return rows.groupBy("peer_id").agg(F.max_by(F.struct(*[c for c in rows.columns if c != "peer_id"]), order).alias("s")).select("peer_id", "s.*")
+
+
+_stream("due_stream", lambda ev, b: jobs.due_stream(*_dial_logs(ev), "0 seconds", STRICT))
 
 
 @query("fold_stream")
 def _fold_stream(b):
+    ev = jobs.event_stream(b.spark, b.dir)
+    hosts, attempts = _dial_logs(ev)
+    answers = normalise.identify_events(bridge.raw_connections(ev))[1]
     path = jobs.stream_path(b.spark, "fold")
+    return jobs.fold_peer_stream(hosts, answers, attempts, bridge.conn_halves(ev), path, "0 seconds", STRICT)
+
+
+def _fold_stream_of(name, rows, *keys):
+    """A query that keeps a table folded from a stream and reads the table."""
+    query(name)(lambda b: jobs.fold_to_end(rows(b), jobs.stream_path(b.spark, name), *keys))
+
+
+def _as_stream(b, name, rows):
+    """A log that no event file holds, written once and read as a stream of files."""
+    path = jobs.stream_path(b.spark, name)
+    rows.write.parquet(path)
+    return b.spark.readStream.schema(rows.schema).parquet(path)
+
+
+def _event_log(b):
+    return jobs.event_stream(b.spark, b.dir)
+
+
+_fold_stream_of(
+    "fold_stream_status", lambda b: folds.fold_eth_status(*normalise.identify_events(bridge.raw_connections(_event_log(b)))[2:]), "peer_id"
+)
+_fold_stream_of(
+    "fold_stream_attestations", lambda b: folds.insert_attestations(jobs.gossip_stream(_event_log(b), "attestation", bridge.SELF_ID)), "msg_id"
+)
+_fold_stream_of("fold_stream_blocks", lambda b: folds.insert_blocks(jobs.gossip_stream(_event_log(b), "block", bridge.SELF_ID)), "msg_id")
+_fold_stream_of("fold_stream_ips", lambda b: folds.fold_ips(_as_stream(b, "geo", _geo_events(b))), "ip")
 
-    def fold(batch, prior):
-        return fold_peer_batch(batch, prior, STRICT)
 
-    state, _ = jobs.fold_stream(jobs.event_stream(b.spark, b.dir), path, fold, FOLDED_PEER)
-    return state.read().filter("network IS NOT NULL").select([f.name for f in PEER_STATE_COLUMNS])
+@query("fold_stream_nodes")
+def _fold_stream_nodes(b):
+    rows = folds.node_rows(normalise.normalise_records(_as_stream(b, "records", b.raw_records)))
+    return folds.nodes_by_pair(jobs.fold_to_end(rows, jobs.stream_path(b.spark, "nodes"), "node_id"))
 
 
 @query("metrics_tick")

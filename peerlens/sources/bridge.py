@@ -24,33 +24,32 @@ PROTOCOLS = [
     "/meshsub/1.1.0",
     "/eth2/beacon_chain/req/status/1/ssz_snappy",
 ]
-AGENTS = {
-    D.ETHEREUM: [
-        "teku/teku/v22.1.0/linux-x86_64/oracle-java-17",
-        "teku/teku/v20.3.1+4-gab12cd3/macos-aarch64/-debian-openjdk-java-18",
-        "Prysm/v2.0.6/0123456789abcdef0123456789abcdef01234567",
-        "Prysm/v2.1.3-rc.1+1a2b3c/fedcba9876543210fedcba9876543210fedcba98",
-        "Lighthouse/v2.3.1-1234abc/x86_64-linux",
-        "Lighthouse/v4.0.2/aarch64-macos",
-        "nimbus",
-        "rust-libp2p/0.41.0",
-        "js-libp2p/0.40.1",
-        "lodestar/v1.5.3",
-        "nim-libp2p/1.2.3",
-        "erigon/small",
-    ],
-    D.IPFS: [
-        "go-ipfs/0.11.0/abcdef1",
-        "hydra-booster/0.5.2",
-        "storm",
-        "kubo/0.18.1-rc/",
-        "ioi",
-        "punchr/guest/dev+",
-    ],
-    D.FILECOIN: ["lotus-1.20.3+calibnet+git.1a2b3c4d", "lotus", "elsewhere/2.1/darwin"],
-    D.POLYGON: ["bor/v1.2.1-beta/linux-x86_64/go1.21", "bor/v0.6.2/windows", "erigon/v2.4"],
-    D.CELO: ["celo/v1.8.1-stable/linux-x86_64/go1.20", "Geth/v1.12.2/freebsd"],
-}
+AGENT_FORMS = 12
+
+
+def composed_agent(network, i):
+    """The i-th user agent of a network, put together by rule: a client word, a version, a build mark and a system.
+
+    The word comes from the network's keywords (now and then from the next network's, or from none); every fifth is
+    in capitals, every sixth stands alone.
+    """
+    words = [w.split("/")[0] for _, keywords in D.CLIENT_WORDS[network] for w in keywords]
+    other = D.CLIENT_WORDS[D.NETWORKS[(D.NETWORKS.index(network) + 1) % len(D.NETWORKS)]]
+    word = "other" if i % 9 == 8 else other[i % len(other)][0] if i % 7 == 6 else words[i % len(words)]
+    version = f"{'v' * (i % 2)}{i % 3}.{i * 3 % 10}.{i * 7 % 11}" + ["", f"-pre.{i}", f"+{i}b", f"+{i}-b{i * 37:x}"][i % 4]
+    systems = [o for _, names in D.OS_WORDS for o in names]
+    machines = [m for _, names in D.ARCH_WORDS for m in names]
+    system, machine = systems[i * 7 // 3 % len(systems)], machines[i % len(machines)]
+    system = [f"/{system}-{machine}", "", f"/{machine}/{system}"][i % 3]
+    shown = word.upper() if i % 5 == 4 else word
+    if i % 6 == 5:
+        return shown
+    if network == D.FILECOIN:
+        return f"{shown}-{version}{system}"
+    return "/".join([shown] * (D.VERSION_SEGMENT.get(word, 2) - 1) + [version]) + system
+
+
+AGENTS = {n: [composed_agent(n, i) for i in range(AGENT_FORMS)] for n in D.NETWORKS}
 
 
 def table(spark, directory, name):

@@ -1,9 +1,7 @@
 """Structured Streaming jobs.
 
-Stateless steps and built-in stateful operators are used where Spark has them.
-Folds keep their state as a table with one version per micro-batch: a batch
-reads version n-1 and writes version n, so a repeated batch writes the same
-version again and a lost executor costs a task retry, nothing else.
+All state is Spark's own: groupings in update mode for the folds, de-duplication and windows, and
+`transformWithState` (`ordered`) where events of a peer have to be taken in order.
 """
 
 import os
@@ -13,8 +11,10 @@ from pyspark.sql import types as T
 
 from peerlens import domains as D
 from peerlens.operators import connections, distributions, folds, normalise
+from peerlens.plans.policy import DEFAULT_POLICY
 from peerlens.session import run_dir
 from peerlens.sources import bridge, sinks
+from peerlens.streaming import ordered
 
 # Declared schema of the event files.
 EVENT_FILE = T.StructType(
@@ -50,10 +50,11 @@ def run_to_end(stream, path, mode="append", fmt="parquet"):
     return path
 
 
-def run_batches(stream, path, handle, trigger=None):
+def run_batches(stream, path, handle, trigger=None, mode="append"):
     """Run `handle(df, batch_id)` for every micro-batch until the input ends."""
     writer = (
         stream.writeStream.foreachBatch(handle)
+        .outputMode(mode)
         .option("checkpointLocation", path + "-progress")
         .trigger(**(trigger or {"availableNow": True}))
     )
@@ -110,178 +111,116 @@ def topic_senders(messages, every="1 minute", late="1 minute", error=0.02):
     )
 
 
-# ------------------------------------------------------------ versioned state
+# ------------------------------------------------------------ event-time processors
 
 
-class VersionedState:
-    """Tables with one version per micro-batch below a shared folder.
+def _timed(rows, late, **more):
+    """Rows with their time as a number, behind a watermark."""
+    return rows.withColumn("us", F.unix_micros("ts")).withColumns(more).withWatermark("ts", late)
 
-    A version counts once Spark has committed its folder.  A batch reads the version before its own and writes
-    its own, so a repeated batch writes the same again; older versions are removed.
-    """
 
-    def __init__(self, spark, path):
-        self.spark, self.path = spark, path
-        jvm = spark._jvm.org.apache.hadoop.fs
-        self._path = jvm.Path
-        self._store = jvm.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+def _process(rows, processor, out):
+    rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ordered.ROCKSDB)
+    return rows.groupBy("peer_id").transformWithState(
+        statefulProcessor=processor, outputStructType=out, outputMode="Append", timeMode="EventTime"
+    )
 
-    def _folder(self, batch_id, part="state"):
-        return os.path.join(self.path, f"{part}-{batch_id:012d}")
 
-    def versions(self, part="state"):
-        """Numbers of the committed versions, oldest first."""
-        found = self._store.globStatus(self._path(os.path.join(self.path, f"{part}-*", "_SUCCESS"))) or []
-        return sorted(int(f.getPath().getParent().getName().rpartition("-")[2]) for f in found)
+def pair_conn_stream(halves, late="1 hour", orphan_after=None):
+    """Connection events from a stream of halves, in any order within `late`.
 
-    def newest(self, part="state"):
-        """Number of the newest committed version, -1 if there is none."""
-        return max(self.versions(part), default=-1)
+    A pair comes out once the watermark has passed its close.  `orphan_after` seconds of event time drop an open
+    that has no close; without it, it waits.
+    """
+    pairs = _process(_timed(halves, late), ordered.Pairs(orphan_after), ordered.Pairs.out)
+    pairs = pairs.withColumns({"opened": F.timestamp_micros("us"), "closed": F.timestamp_micros("close_us")})
+    return connections.conn_event_rows(pairs, "opened", "closed")
 
-    def read(self, batch_id, schema, part="state"):
-        """State after `batch_id`; empty before the first batch."""
-        if batch_id < 0:
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(self._folder(batch_id, part))
 
-    def write(self, df, batch_id, part="state"):
-        df.write.mode("overwrite").parquet(self._folder(batch_id, part))
+def _dials(hosts, attempts, late, policy, emit, forget_after=None):
+    found = hosts.select("peer_id", "ts", "seq", F.lit(True).alias("found"))
+    tried = attempts.select(
+        "peer_id", "ts", "seq", F.lit(False).alias("found"), (F.col("status") == "positive").alias("positive"),
+        policy.class_of(F.col("error")).alias("kind"), "error",
+    )
+    rows = _timed(found.unionByName(tried, allowMissingColumns=True), late)
+    return _process(rows, ordered.Dials(policy, emit, forget_after), ordered.Dials.outs[emit])
 
-    def forget(self, keep, part="state"):
-        """Remove the versions that are not in `keep`."""
-        for number in set(self.versions(part)) - set(keep):
-            self._store.delete(self._path(self._folder(number, part)), True)
 
-    def output(self, part="out", schema=None):
-        """All batches' output rows."""
-        reader = self.spark.read.option("recursiveFileLookup", True)
-        reader = reader if schema is None else reader.schema(schema)
-        return reader.parquet(os.path.join(self.path, f"{part}-*"))
+def live_attempt_stream(hosts, attempts, late="1 hour", policy=DEFAULT_POLICY):
+    """Attempts inside a life, with its number and whether they end it."""
+    rows = _dials(hosts, attempts, late, policy, "attempts")
+    return rows.select(
+        "peer_id", F.timestamp_micros("us").alias("ts"), "seq", F.when(F.col("positive"), "positive").otherwise("negative").alias("status"),
+        "error", "life", "deprecable",
+    )
 
 
-BUCKETS = 64
-_MAP = "bucket int, version long"
+def retry_state_stream(hosts, attempts, late="1 hour", policy=DEFAULT_POLICY, forget_after=None):
+    """The retry state of every peer whose state changed; the last row of a peer is its state."""
+    rows = _dials(hosts, attempts, late, policy, "state", forget_after)
+    return rows.select(
+        "peer_id", F.col("life").cast("int").alias("life"), F.timestamp_micros("start_us").alias("life_start"),
+        F.col("kind").alias("delay_class"), "degree", F.timestamp_micros("last_us").alias("last_attempt"),
+        F.timestamp_micros("next_us").alias("next_attempt"), "deprecable", F.col("error").alias("last_error"),
+    )
 
 
-class BucketedState:
-    """A keyed table in buckets by the key's hash; a batch rewrites the buckets that it touches.
+def due_stream(hosts, attempts, late="1 hour", policy=DEFAULT_POLICY):
+    """Peers as their next attempt comes due on the event clock, each turn once; new peers at their discovery."""
+    rows = _dials(hosts, attempts, late, policy, "due")
+    return rows.select(
+        "peer_id", F.col("life").cast("int").alias("life"), F.timestamp_micros("due_us").alias("due"),
+        F.col("kind").alias("delay_class"), "degree",
+    )
 
-    A version holds the rewritten buckets; its map names, for every bucket, the version that holds it.  The map
-    is written last and is the commit.
-    """
 
-    def __init__(self, spark, path, schema, key="peer_id", buckets=BUCKETS):
-        self.state, self.schema, self.key, self.buckets = VersionedState(spark, path), schema, key, buckets
-        self.spark = spark
-
-    def bucket(self):
-        return F.pmod(F.xxhash64(self.key), F.lit(self.buckets)).cast("int").alias("bucket")
-
-    def _map(self, batch_id):
-        return {r.bucket: r.version for r in self.state.read(batch_id, _MAP, "map").collect()}  # at most `buckets` rows
-
-    def _rows(self, places):
-        folders = [os.path.join(self.state._folder(v, "rows"), f"bucket={b}") for b, v in sorted(places.items())]
-        return self.spark.read.schema(self.schema).parquet(*folders) if folders else self.spark.createDataFrame([], self.schema)
-
-    def read(self):
-        """The newest committed table."""
-        return self._rows(self._map(self.state.newest("map")))
-
-    def update(self, batch_id, batch, fold):
-        """Write version `batch_id`: `fold(rows of the touched buckets)` replaces those buckets."""
-        before = max((v for v in self.state.versions("map") if v < batch_id), default=-1)
-        places = self._map(before)
-        touched = {r.bucket for r in batch.select(self.bucket()).distinct().collect()}  # at most `buckets` rows
-        prior = self._rows({b: v for b, v in places.items() if b in touched})
-        out = fold(prior).withColumn("bucket", self.bucket())
-        folder = self.state._folder(batch_id, "rows")
-        out.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(folder)
-        found = self.spark.read.parquet(folder).select("bucket").distinct().collect() if touched else []
-        places |= {r.bucket: batch_id for r in found}
-        self.state.write(self.spark.createDataFrame(sorted(places.items()), _MAP), batch_id, "map")
-        self.state.forget({before, batch_id}, "map")
-        older = set(self._map(before).values()) if before >= 0 else set()
-        self.state.forget(older | set(places.values()), "rows")
-
-
-HALF_SCHEMA = T.StructType(
-    [
-        T.StructField("peer_id", T.StringType()),
-        T.StructField("kind", T.StringType()),
-        T.StructField("ts", T.TimestampType()),
-        T.StructField("seq", T.LongType()),
-        T.StructField("direction", T.IntegerType()),
-        T.StructField("latency_ns", T.LongType()),
-        T.StructField("identified", T.BooleanType()),
-        T.StructField("error", T.StringType()),
-    ]
-)
+def late_rows(query):
+    """Rows that came behind the watermark and were left out, over the batches of a query's progress."""
+    return sum(int(o["numRowsDroppedByWatermark"]) for p in query.recentProgress for o in p["stateOperators"])
 
 
-CONN_SCHEMA = (
-    "peer_id string, direction string, conn_time long, latency long, disconn_time long, identified boolean, "
-    "error string, ts timestamp, seq long"
-)
+# ------------------------------------------------------------ folds
 
 
-def pair_conn_stream(halves, path, late_seconds, trigger=None):
-    """Connection events from a stream of halves, in any order within `late_seconds`.
+def keep_folded(rows, path, trigger=None):
+    """Run a streaming fold (a grouping in update mode) into `path`: a folder of changed rows per micro-batch.
 
-    A half is settled once it is older than the newest one by `late_seconds`.  Pairs are emitted ("out") when the
-    following half has settled; the state keeps the unsettled halves and the settled opens that still wait for one.
-    A half that comes after its place has settled goes to "late": it can no longer change what was emitted.
+    The state is Spark's; a batch that is repeated after a failure replaces its own folder, so the table is the same.
     """
-    state = VersionedState(halves.sparkSession, path)
-    border_schema = "border timestamp"
 
     def handle(batch, batch_id):
-        pending = state.read(batch_id - 1, HALF_SCHEMA)
-        settled_before = state.read(batch_id - 1, border_schema, "border").select(F.max("border")).scalar()
-        columns = HALF_SCHEMA.fieldNames()
-        arrived = batch.select(columns).persist()
-        late = F.coalesce(F.col("ts") <= settled_before, F.lit(False))
-        known = pending.unionByName(arrived.filter(~late)).persist()
-        newest = known.select(F.timestamp_micros(F.max(F.unix_micros("ts")) - late_seconds * 1_000_000)).scalar()
-        border = F.greatest(newest, settled_before)
-        settled = F.coalesce(F.col("ts") <= border, F.lit(False))
-        state.write(arrived.filter(late), batch_id, "late")
-        state.write(connections.pair_conn_events(known.filter(settled)), batch_id, "out")
-        state.write(halves.sparkSession.range(1).select(border.cast("timestamp").alias("border")), batch_id, "border")
-        waiting = (
-            known.filter(settled)
-            .groupBy("peer_id")
-            .agg(F.max_by(F.struct(*columns[1:]), folds.position()).alias("h"))
-            .filter(F.col("h.kind") == "open")
-            .select("peer_id", "h.*")
-        )
-        state.write(known.filter(~settled).unionByName(waiting), batch_id)
-        for part in ("state", "border"):
-            state.forget({batch_id - 1, batch_id}, part)
-        known.unpersist()
-        arrived.unpersist()
-
-    query = run_batches(halves, path, handle, trigger)
-    return state, query
-
-
-def paired_so_far(state):
-    """All emitted pairs, and those that the pending halves give if nothing more comes."""
-    rest = connections.pair_conn_events(state.read(state.newest(), HALF_SCHEMA))
-    return state.output("out", CONN_SCHEMA).unionByName(rest)
-
-
-def fold_stream(events, path, fold, schema, key="peer_id", trigger=None):
-    """Keep a table folded: rows of the touched buckets become `fold(batch, those rows)`."""
-    state = BucketedState(events.sparkSession, path, schema, key)
+        batch.write.mode("overwrite").parquet(os.path.join(path, f"batch={batch_id}"))
 
-    def handle(batch, batch_id):
-        batch = batch.persist()
-        state.update(batch_id, batch, lambda prior: fold(batch, prior))
-        batch.unpersist()
+    return run_batches(rows, path, handle, trigger, "update")
+
+
+def folded(spark, path, schema, *keys):
+    """The table that `keep_folded` has written so far: of every key the row of its latest batch."""
+    columns = [f.name for f in schema.fields if f.name not in keys]
+    rows = spark.read.schema(T.StructType([*schema.fields, T.StructField("batch", T.LongType())])).parquet(path)
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*columns), "batch").alias("r")).select(*keys, "r.*")
 
-    query = run_batches(events, path, handle, trigger)
-    return state, query
+
+def fold_to_end(rows, path, *keys):
+    """`keep_folded` over everything that is available; the table."""
+    keep_folded(rows, path)
+    return folded(rows.sparkSession, path, rows.schema, *keys)
+
+
+def fold_peer_stream(hosts, answers, attempts, halves, path, late="1 hour", policy=DEFAULT_POLICY):
+    """The peer table over everything that is available, from streams of its four logs.
+
+    Lives and pairs need a peer's events in order and are settled first, into files; the table itself is the batch
+    fold as one grouping in update mode over those files and the other two logs, so a peer with very many events
+    is combined on the map side.
+    """
+    spark = hosts.sparkSession
+    parts = {"attempts": live_attempt_stream(hosts, attempts, late, policy), "pairs": pair_conn_stream(halves, late)}
+    for name, part in parts.items():
+        run_to_end(part, os.path.join(path, name))
+    live, paired = (spark.readStream.schema(part.schema).parquet(os.path.join(path, name)) for name, part in parts.items())
+    return fold_to_end(folds.fold_peer_state(hosts, answers, live, paired), os.path.join(path, "peers"), "peer_id")
 
 
 # ------------------------------------------------------------ ticks

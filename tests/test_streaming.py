@@ -1,10 +1,14 @@
 """Streams over several files against the same job in batch."""
 
+import random
+from datetime import datetime, timedelta
+
 import pytest
 from pyspark.sql import functions as F
 
-from peerlens.operators import connections, distributions, folds, normalise
-from peerlens.plans.queries import AS_OF, FOLDED_PEER, PEER_STATE_COLUMNS, STRICT, Inputs, fold_peer_batch
+from peerlens.operators import connections, distributions, folds, normalise, retry
+from peerlens.plans.policy import RetryPolicy
+from peerlens.plans.queries import AS_OF, STRICT, Inputs
 from peerlens.plans.registry import Tables, metrics_snapshot
 from peerlens.sources import bridge, sinks
 from peerlens.streaming import jobs
@@ -34,11 +38,23 @@ def rows(df):
     return sorted(df.collect(), key=str)
 
 
-def test_connection_pairs(stream, batch, tmp_path):
-    state, _ = jobs.pair_conn_stream(bridge.conn_halves(stream), str(tmp_path / "s"), late_seconds=0)
-    columns = ["seq", *connections.CONN_EVENT_COLUMNS]
-    assert rows(jobs.paired_so_far(state).select(columns)) == rows(batch.conn_events().select(columns))
-    assert state.output("late", jobs.HALF_SCHEMA).count() == 0
+def paired(stream, path, late):
+    """Pairs that a stream gives, and its query."""
+    out = jobs.pair_conn_stream(bridge.conn_halves(stream), late)
+    query = jobs.run_batches(out, path, lambda df, n: df.write.mode("overwrite").parquet(f"{path}/batch={n}"))
+    return stream.sparkSession.read.schema(out.schema).parquet(path), query
+
+
+PAIR_COLUMNS = ["seq", *connections.CONN_EVENT_COLUMNS]
+
+
+def test_connection_pairs(spark, stream, batch, files, tmp_path):
+    got, query = paired(stream, str(tmp_path / "s"), "0 seconds")
+    assert rows(got.select(PAIR_COLUMNS)) == rows(batch.conn_events().select(PAIR_COLUMNS))
+    assert jobs.late_rows(query) == 0
+    # A restart without new files emits nothing again.
+    again, _ = paired(jobs.event_stream(spark, files, files_per_batch=1, pattern="*.parquet"), str(tmp_path / "s"), "0 seconds")
+    assert again.count() == got.count()
 
 
 @pytest.fixture
@@ -52,56 +68,211 @@ def overlapping(spark, data, tmp_path):
     return jobs.event_stream(spark, folder, files_per_batch=1, pattern="*.parquet")
 
 
-def test_connection_pairs_late_halves(overlapping, batch, tmp_path):
-    state, _ = jobs.pair_conn_stream(bridge.conn_halves(overlapping), str(tmp_path / "s"), late_seconds=4 * 86400)
-    columns = ["seq", *connections.CONN_EVENT_COLUMNS]
-    assert rows(jobs.paired_so_far(state).select(columns)) == rows(batch.conn_events().select(columns))
-    assert state.output("late", jobs.HALF_SCHEMA).count() == 0
+def test_connection_pairs_within_the_lateness(overlapping, batch, tmp_path):
+    """Mixed-up files give the batch pairs whose close the watermark has passed, and nothing is late."""
+    got, query = paired(overlapping, str(tmp_path / "s"), "4 days")
+    border = batch.halves.agg(F.max("ts") - F.expr("INTERVAL 4 DAYS")).first()[0]
+    wanted = batch.conn_events().filter(F.col("ts") <= F.lit(border))
+    assert rows(got.select(PAIR_COLUMNS)) == rows(wanted.select(PAIR_COLUMNS)) and wanted.count() > 50
+    assert jobs.late_rows(query) == 0
 
 
-def test_halves_too_late_are_put_aside(overlapping, batch, tmp_path):
-    """Without enough delay nothing is lost: late halves are listed, the rest is paired as if they had not come."""
-    state, _ = jobs.pair_conn_stream(bridge.conn_halves(overlapping), str(tmp_path / "s"), late_seconds=0)
-    late = state.output("late", jobs.HALF_SCHEMA)
-    assert late.count() > 0
-    rest = batch.halves.join(late.select("seq"), "seq", "left_anti").select(*jobs.HALF_SCHEMA.fieldNames())
-    wanted = connections.pair_conn_events(rest)
-    columns = ["seq", *connections.CONN_EVENT_COLUMNS]
-    assert rows(jobs.paired_so_far(state).select(columns)) == rows(wanted.select(columns))
+def test_late_halves_are_counted(spark, data, batch, tmp_path):
+    """Halves that come long after their place are left out and counted; the rest is paired as if they had not come."""
+    folder = str(tmp_path / "late")
+    log = bridge.table(spark, data, "events")
+    straggler = F.col("event_id") % 10 == 0
+    for i in range(4):
+        here = straggler if i == 3 else ~straggler & (F.floor(F.col("event_id") / 334) == i)
+        log.filter(here).coalesce(1).write.mode("append").parquet(folder)
+    stream = jobs.event_stream(spark, folder, files_per_batch=1, pattern="*.parquet")
+    got, query = paired(stream, str(tmp_path / "s"), "0 seconds")
+    border = batch.halves.filter("seq % 10 <> 0 AND seq < 668").agg(F.max("ts")).first()[0]
+    late = batch.halves.filter((F.col("seq") % 10 == 0) & (F.col("ts") <= F.lit(border)))
+    assert jobs.late_rows(query) == late.count() > 0
+    wanted = connections.pair_conn_events(batch.halves.join(late.select("seq"), "seq", "left_anti"))
+    assert rows(got.select(PAIR_COLUMNS)) == rows(wanted.select(PAIR_COLUMNS))
+
+
+def step_by_step(found, tried, policy):
+    """A plain replay of the dial queue: (states after all events, attempts inside lives, turns that came due)."""
+    events = sorted([(r.ts, r.seq, True, None, None) for r in found] + [(r.ts, r.seq, False, r.error, r.status == "positive") for r in tried])
+    codes = {c: name for name, listed in policy.classes for c in listed}
+    life, alive, start, success, cls, degree, last, due = 0, False, None, None, None, 0, None, None
+    live, turns = [], []
+    for ts, seq, is_found, error, positive in events:
+        if alive and due is not None and due <= ts:
+            turns.append((life, due, cls or "Minus1", degree))
+            due = None
+        if is_found:
+            if not alive:
+                life, alive, start, cls, degree, last, due = life + 1, True, ts, None, 0, None, ts
+            continue
+        if alive:
+            kind = codes.get(error, policy.default_class)
+            degree = degree + 1 if kind == cls else 1
+            overdue = success is None or (ts - success).total_seconds() >= policy.deprecate_after
+            ends = not positive and overdue and (ts - start).total_seconds() >= policy.deprecate_after
+            cls, last, alive = kind, ts, not ends
+            live.append((ts, seq, life, ends))
+            due = None if ends else ts + timedelta(seconds=policy.seconds(kind, degree))
+        if positive:
+            success = ts
+    end = events[-1][0]
+    if alive and due is not None and due <= end:
+        turns.append((life, due, cls or "Minus1", degree))
+    return (life, start, cls or "Minus1", degree, last, not alive), live, turns
 
 
-def fold_strict(batch, prior):
-    return fold_peer_batch(batch, prior, STRICT)
+@pytest.fixture
+def dial_files(spark, tmp_path):
+    """A random dial and discovery log of few peers, one with most of the rows, in three files in time order."""
+    rng = random.Random(5)
+    begin = datetime(2024, 1, 1)
+    found, tried = [], []
+    times = sorted(rng.sample(range(1, 40 * 86400), 900))
+    for seq, at in enumerate(times):
+        peer = "hot" if rng.random() < 0.5 else f"p{rng.randint(1, 6)}"
+        ts = begin + timedelta(seconds=at)
+        if rng.random() < 0.2:
+            found.append((peer, ts, seq))
+        else:
+            error = rng.choice(["none"] + ["io_timeout"] * 6 + ["connection_refused", "no_route_to_host"] * 3)
+            tried.append((peer, ts, seq, "positive" if error == "none" else "negative", error))
+    hosts = spark.createDataFrame(found, "peer_id string, ts timestamp, seq long")
+    attempts = spark.createDataFrame(tried, "peer_id string, ts timestamp, seq long, status string, error string")
+    both = hosts.unionByName(attempts, allowMissingColumns=True)
+    for low in (0, 300, 600):
+        both.filter(F.col("seq").between(low, low + 299)).coalesce(1).write.mode("append").parquet(str(tmp_path / "dials"))
+    stream = spark.readStream.schema(both.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "dials"))
+    return hosts, attempts, stream.filter("status IS NULL").select(*hosts.columns), stream.filter("status IS NOT NULL")
+
+
+def test_retry_state_and_turns_of_a_stream(spark, dial_files, tmp_path):
+    """State, live attempts and due turns are those of a plain replay, and the state is that of the batch."""
+    hosts, attempts, found, tried = dial_files
+    policy = RetryPolicy(deprecate_after=2 * 86400)
+    path = str(tmp_path / "state")
+    out = jobs.retry_state_stream(found, tried, "0 seconds", policy)
+    jobs.run_batches(out, path, lambda df, n: df.write.mode("overwrite").parquet(f"{path}/batch={n}"))
+    changes = spark.read.schema(f"{', '.join(f'{n} {t}' for n, t in out.dtypes)}, batch long").parquet(path)
+    assert changes.select("batch").distinct().count() >= 3
+    state = jobs.folded(spark, path, out.schema, "peer_id")
+    assert rows(state) == rows(retry.peer_retry_state(attempts, hosts, policy).select(state.columns))
+
+    live, turns = str(tmp_path / "live"), str(tmp_path / "due")
+    jobs.run_to_end(jobs.live_attempt_stream(found, tried, "0 seconds", policy), live)
+    jobs.run_to_end(jobs.due_stream(found, tried, "0 seconds", policy), turns)
+    live, turns = spark.read.parquet(live).collect(), spark.read.parquet(turns).collect()
+    seen, dials = hosts.collect(), attempts.collect()
+    ends = 0
+    for peer in {r.peer_id for r in seen}:
+        final, inside, due = step_by_step([r for r in seen if r.peer_id == peer], [r for r in dials if r.peer_id == peer], policy)
+        got = state.filter(F.col("peer_id") == peer).first()
+        assert (got.life, got.life_start, got.delay_class, got.degree, got.last_attempt, got.deprecable) == final
+        assert sorted((r.ts, r.seq, r.life, r.deprecable) for r in live if r.peer_id == peer) == inside
+        mine = sorted((r.life, r.due, r.delay_class, r.degree) for r in turns if r.peer_id == peer)
+        last = max(r.ts for r in [*seen, *dials])
+        open_turn = {t for t in mine if t not in due}
+        assert sorted(due) == [t for t in mine if t in due] and all(t[1] <= last for t in open_turn) and len(open_turn) <= 1
+        ends += sum(e for *_, e in inside)
+    assert ends > 3
+
+
+def test_ready_queue_at_every_tick(spark, dial_files, tmp_path):
+    """Who has come due and was not dialled since is the batch's ready queue at that moment."""
+    hosts, attempts, found, tried = dial_files
+    policy = RetryPolicy(deprecate_after=2 * 86400)
+    path = str(tmp_path / "due")
+    jobs.run_to_end(jobs.due_stream(found, tried, "0 seconds", policy), path)
+    turns = spark.read.parquet(path).collect()
+    dials = attempts.collect()
+    for day in (3, 11, 20, 33):
+        now = datetime(2024, 1, 1) + timedelta(days=day)
+        waiting = set()
+        for t in turns:
+            later = [r.ts for r in dials if r.peer_id == t.peer_id and t.due < r.ts <= now]
+            if t.due <= now and not later:
+                waiting.add(t.peer_id)
+        ready = retry.ready_queue(retry.peer_retry_state(attempts, hosts, policy, now), now)
+        assert waiting == {r.peer_id for r in ready.collect()}
+
+
+def test_given_up_peers_and_orphans_are_forgotten(spark, tmp_path):
+    begin = datetime(2024, 1, 1)
+    at = lambda day: begin + timedelta(days=day)
+    log = [("a", at(0), 0, None, None), ("a", at(3), 1, "negative", "io_timeout"), ("b", at(9), 2, None, None),
+           ("a", at(10), 3, None, None), ("b", at(11), 4, "positive", "none")]
+    folder = str(tmp_path / "log")
+    frame = spark.createDataFrame(log, "peer_id string, ts timestamp, seq long, status string, error string")
+    for n in range(5):
+        frame.filter(F.col("seq") == n).coalesce(1).write.mode("append").parquet(folder)
+    policy = RetryPolicy(deprecate_after=2 * 86400)
+    lives = {}
+    for forget in (None, 86400):
+        stream = spark.readStream.schema(frame.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+        out = jobs.retry_state_stream(
+            stream.filter("status IS NULL").select("peer_id", "ts", "seq"), stream.filter("status IS NOT NULL"), "0 seconds", policy, forget
+        )
+        jobs.run_to_end(out, str(tmp_path / f"out{forget}"))
+        lives[forget] = spark.read.parquet(str(tmp_path / f"out{forget}")).filter("peer_id = 'a'").agg(F.max("life")).first()[0]
+    assert lives == {None: 2, 86400: 1}
+    halves = [("a", "open", at(0), 0), ("b", "open", at(5), 1), ("a", "close", at(8), 2), ("b", "close", at(9), 3), ("c", "open", at(20), 4)]
+    frame = spark.createDataFrame(
+        [(p, k, t, s, 1, 5, True, "None") for p, k, t, s in halves],
+        "peer_id string, kind string, ts timestamp, seq long, direction int, latency_ns long, identified boolean, error string",
+    )
+    folder = str(tmp_path / "halves")
+    for n in range(5):
+        frame.filter(F.col("seq") == n).coalesce(1).write.mode("append").parquet(folder)
+    stream = spark.readStream.schema(frame.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    jobs.run_to_end(jobs.pair_conn_stream(stream, "0 seconds", orphan_after=5 * 86400), str(tmp_path / "pairs"))
+    assert [r.peer_id for r in spark.read.parquet(str(tmp_path / "pairs")).collect()] == ["b"]
 
 
 def test_peer_table(spark, stream, batch, files, tmp_path):
-    """Over four files the table is that of the whole log: lives, connections and all."""
-    path = str(tmp_path / "s")
-    state, _ = jobs.fold_stream(stream, path, fold_strict, FOLDED_PEER)
-    names = [f.name for f in PEER_STATE_COLUMNS]
-    wanted = batch.peer_state(STRICT).select(names)
-    assert rows(state.read().filter("network IS NOT NULL").select(names)) == rows(wanted)
+    """Over four files the table is that of the whole log: lives, connections and all; a restart changes nothing."""
+    wanted = batch.peer_state(STRICT)
     assert wanted.filter("deprecated").count() > 0
-    assert len(state.state.versions("map")) == 2
-    # A restart without new files reads what was committed.
-    again, _ = jobs.fold_stream(jobs.event_stream(spark, files, files_per_batch=1, pattern="*.parquet"), path, fold_strict, FOLDED_PEER)
-    assert rows(again.read().filter("network IS NOT NULL").select(names)) == rows(wanted)
-
-
-def test_only_touched_buckets_are_written(spark, tmp_path):
-    schema = "peer_id string, n long"
-    state = jobs.BucketedState(spark, str(tmp_path / "b"), schema, buckets=8)
-
-    def add(batch):
-        return lambda prior: prior.unionByName(batch).groupBy("peer_id").agg(F.sum("n").alias("n"))
-
-    whole = spark.range(100).select(F.concat(F.lit("p"), "id").alias("peer_id"), F.lit(1).cast("long").alias("n"))
-    state.update(0, whole, add(whole))
-    one = whole.filter("peer_id = 'p7'")
-    for number in (1, 2, 2):  # a repeated batch counts once
-        state.update(number, one, add(one))
-    assert {r.peer_id: r.n for r in state.read().collect()} == {f"p{i}": 3 if i == 7 else 1 for i in range(100)}
-    assert sorted(set(state._map(2).values())) == [0, 2]
+    for source in (stream, jobs.event_stream(spark, files, files_per_batch=1, pattern="*.parquet")):
+        hosts = normalise.normalise_peers(bridge.discoveries(source))
+        answers = normalise.identify_events(bridge.raw_connections(source))[1]
+        attempts = normalise.normalise_attempts(bridge.raw_dials(source))
+        got = jobs.fold_peer_stream(hosts, answers, attempts, bridge.conn_halves(source), str(tmp_path / "p"), "0 seconds", STRICT)
+        assert rows(got.select(wanted.columns)) == rows(wanted)
+
+
+def test_other_tables(spark, stream, batch, tmp_path):
+    """Status, attestations and blocks, folded file by file, are the batch folds."""
+    status, metadata = normalise.identify_events(bridge.raw_connections(stream))[2:]
+    cases = {
+        "status": (folds.fold_eth_status(status, metadata), folds.fold_eth_status(*batch.identified()[2:]), "peer_id"),
+        "attestations": (
+            folds.insert_attestations(jobs.gossip_stream(stream, "attestation", bridge.SELF_ID)), folds.insert_attestations(batch.attestations), "msg_id"
+        ),
+        "blocks": (folds.insert_blocks(jobs.gossip_stream(stream, "block", bridge.SELF_ID)), folds.insert_blocks(batch.blocks), "msg_id"),
+    }
+    for name, (streamed, wanted, key) in cases.items():
+        got = jobs.fold_to_end(streamed, str(tmp_path / name), key)
+        assert rows(got.select(wanted.columns)) == rows(wanted)
+        assert len(list((tmp_path / name).glob("batch=*"))) == 4
+
+
+def test_nodes_and_addresses(spark, batch, tmp_path):
+    records = batch.raw_records
+    for n in range(3):
+        records.filter(F.floor(F.col("ord") % 300 / 100) == n).coalesce(1).write.mode("append").parquet(str(tmp_path / "r"))
+    stream = spark.readStream.schema(records.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "r"))
+    table = jobs.fold_to_end(folds.node_rows(normalise.normalise_records(stream)), str(tmp_path / "n"), "node_id")
+    wanted = folds.fold_eth_nodes(batch.records)
+    assert rows(folds.nodes_by_pair(table).select(wanted.columns)) == rows(wanted)
+    # A repeated batch replaces itself.
+    before = rows(jobs.folded(spark, str(tmp_path / "n"), table.schema, "node_id"))
+    last = spark.read.parquet(str(tmp_path / "n" / "batch=2"))
+    copy = str(tmp_path / "copy")
+    last.write.parquet(copy)
+    spark.read.schema(last.schema).parquet(copy).write.mode("overwrite").parquet(str(tmp_path / "n" / "batch=2"))
+    assert rows(jobs.folded(spark, str(tmp_path / "n"), table.schema, "node_id")) == before
 
 
 def test_gossip_dedup_and_rows(spark, stream, batch, tmp_path):
