@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from peerlens.session import cut, shared_dir
 
-__all__ = ["byte_slices", "cut", "let_through", "shared_dir", "table", "text_digest", "text_pairs", "without"]
+__all__ = ["byte_slices", "cut", "let_through", "shared_dir", "small", "table", "text_digest", "text_pairs", "without"]
 
 SLICE_BYTES = 1 << 20
 #: The six characters that count as white space in the contracts of these operators.
@@ -16,6 +16,8 @@ SPACE = b" \t\n\x0b\x0c\r"
 
 #: Bytes of an Arrow batch that a task holds at once; one longer row is a batch of its own.
 BATCH_BYTES = 8 << 20
+#: Rows of a key table (about 100 bytes each in a task) up to which a join broadcasts it.
+BROADCAST_ROWS = 200_000
 
 
 def table(spark, directory, name):
@@ -54,6 +56,14 @@ def text_digest():
     return F.md5(F.col("text").cast("string").cast("binary"))
 
 
+def small(rows):
+    """`rows` (a written table of short keys), to be broadcast in a join if it has at most BROADCAST_ROWS rows.
+
+    A longer one is left to the planner, which moves both sides.
+    """
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+
+
 def without(docs, rows, how="left_anti"):
     """`docs` without (or, by "left_semi", with only) the rows whose id and text digest are in `rows` (doc_id, digest).
 
@@ -63,7 +73,7 @@ def without(docs, rows, how="left_anti"):
     rows = cut(rows.select(F.col("doc_id").alias("doc_id"), F.col("digest").alias("digest")), "rows")
     text = docs["text"].cast("string").cast("binary")
     same = docs["doc_id"].cast("long").eqNullSafe(rows["doc_id"]) & F.md5(text).eqNullSafe(rows["digest"])
-    return docs.join(rows, same, how)
+    return docs.join(small(rows), same, how)
 
 
 class _Bits:

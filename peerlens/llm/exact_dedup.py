@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import functions as F
 
-from peerlens.llm.common import byte_slices, cut, text_digest, without
+from peerlens.llm.common import byte_slices, cut, small, text_digest, without
 
 TRIE_BYTES = 48 << 20
 #: Memory of a node with its edge, small dict, value and the objects in it, and of one more member of a value.
@@ -245,6 +245,7 @@ def _verdicts(docs, trie_bytes):
     pairs = _pairs(docs)
     marks = cut(pairs.select(*_marks()), "marks")
     repeated = cut(marks.groupBy("n_bytes", "hash").count().filter("count > 1").select("n_bytes", "hash"), "keys")
+    repeated = small(repeated)
     single = marks.join(repeated, ["n_bytes", "hash"], "left_anti").select(
         "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"),
         F.lit(True).alias("kept"), F.col("sha").alias("text_sha256"), "n_chars", "digest",
