@@ -41,9 +41,11 @@ class Chain:
         starts = np.cumsum([0, *sizes])
         at = 0
         while at < len(order):
-            longest = max(sizes[order[min(at + batch, len(order)) - 1]], 1)
-            some = order[at:at + max(1, min(batch, 400_000 // longest))]
-            at += len(some)
+            stop = at + 1  # as many as fit when padded to the longest of them
+            while stop < len(order) and stop - at < batch and (stop + 1 - at) * sizes[order[stop]] <= 400_000:
+                stop += 1
+            some = order[at:stop]
+            at = stop
             lengths = np.array([sizes[i] for i in some])
             top = int(lengths.max(initial=0))
             if not top:
@@ -73,6 +75,13 @@ class Chain:
                 out[i] = path[row, : lengths[row]].tolist()
         return out
 
+    def slack(self):
+        """Per label, what label 0 must lead it by at a token so that no best path can hold that label there: the most
+        that its steps from and to any neighbours, or from the beginning, can be better."""
+        come = np.concatenate([self.step, self.begin[None]])  # from each label, or from the beginning
+        go = np.concatenate([self.step, np.zeros((self.labels, 1))], axis=1)  # to each label, or to the end
+        return (come - come[:, :1]).max(axis=0) + (go - go[:1]).max(axis=1)
+
     def fit(self, chains, labels, rounds=120, rate=0.3, penalty=0.02):
         """Maximum likelihood with an L2 penalty, by Adam on the whole table."""
         keep = [i for i, c in enumerate(chains) if c]

@@ -20,10 +20,11 @@ from peerlens.llm.crf import Chain, feature_ids
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike "
-    "strong sub sup time tt u var wbr br img".split()
+    "strong sub sup time tt u var wbr br img "
+    "math mi mn mo ms mtext mspace mrow mfrac msup msub msubsup msqrt mroot mstyle mover munder munderover semantics annotation".split()
 )
-#: Elements whose content is not text of the page.
-_UNSEEN = frozenset("script style noscript template iframe object svg math head title select textarea option datalist audio video canvas".split())
+#: Elements whose content is not text of the page (formulas, and what stands in for an object, are).
+_UNSEEN = frozenset("script style noscript template iframe svg annotation head title select textarea option datalist audio video canvas".split())
 #: Of these the content is raw: it ends at the closing tag, whatever stands in it.
 _RAW = frozenset("script style textarea title noscript iframe".split())
 _CLOSES_P = frozenset(
@@ -62,7 +63,7 @@ def _tag_end(page, at):
 
 def blocks(page):
     """Leaf blocks of a page in page order; never fails, whatever the page."""
-    out, parts, stack, linked, hidden = [], [], [], 0, 0
+    out, parts, stack, linked, hidden, anchors = [], [], [], 0, 0, 0
     at, n = 0, len(page)
     lower = None
 
@@ -76,9 +77,10 @@ def blocks(page):
         linked = 0
 
     def close(place):
-        nonlocal hidden
+        nonlocal hidden, anchors
         for tag, _ in stack[place:]:
             hidden -= tag in _UNSEEN
+            anchors -= tag == "a"
         del stack[place:]
 
     def find(names, stop=()):
@@ -97,7 +99,7 @@ def blocks(page):
         if text and not hidden:
             text = html.unescape(text)
             parts.append(text)
-            if any(t == "a" for t, _ in stack[-4:]):
+            if anchors:
                 linked += len(" ".join(text.split()))
         if begin < 0:
             break
@@ -130,6 +132,9 @@ def blocks(page):
             continue
         if stack and stack[-1][0] == "head" and tag not in _IN_HEAD:
             close(len(stack) - 1)
+        # A block of the page cannot stand in a drawing or a list of choices: one that is still open was not closed.
+        if hidden and tag in _CLOSES_P and (place := find(("svg", "select", "canvas", "audio", "video"))) >= 0:
+            close(place)
         if tag == "br":
             parts.append(" ")
             continue
@@ -150,6 +155,7 @@ def blocks(page):
             words = tuple(dict.fromkeys(_WORDS.findall(" ".join(values))))
         stack.append((tag, words))
         hidden += tag in _UNSEEN
+        anchors += tag == "a"
         if tag in _RAW:
             lower = page.lower() if lower is None else lower
             if len(lower) != n:  # lower-casing changed the length: search without it
@@ -166,13 +172,14 @@ def _features(page):
     """Active features of each block of a page."""
     out, n = [], len(page)
     for i, b in enumerate(page):
-        words = b.text.split(" ", 64)
+        words = b.text.count(" ") + 1
         tags = set(b.tags)
         names = ["bias", f"leaf={next((t for t in reversed(b.tags) if t not in _INLINE), '-')}", f"len={min(len(b.text), 400) // 40}"]
         names += [f"in={t}" for t in tags if t not in _INLINE] + [f"mark={w}" for w in set(b.marks)]
-        names += [f"words={min(len(words), 60) // 6}", f"link={int(b.linked * 4)}", f"stop={b.text[-1] in '.!?…:;'}|{len(words) > 8}"]
-        names += [f"copy={'©' in b.text[:40]}", f"pipes={any(c in b.text for c in '|·»')}|{'a' in tags or b.linked > 0}"]
-        names += [f"place={i * 4 // n}", f"first={i == 0}", f"last={i == n - 1}", f"article={'article' in tags or 'main' in tags}|{len(words) > 8}"]
+        names += [f"words={min(words, 60) // 6}", f"link={int(b.linked * 4)}", f"stop={b.text[-1] in '.!?…:;'}|{words > 8}"]
+        names += [f"copy={'©' in b.text}", f"pipes={any(c in b.text for c in '|·»')}|{'a' in tags or b.linked > 0}"]
+        names += [f"place={i * 4 // n}", f"first={i == 0}", f"last={i == n - 1}", f"article={'article' in tags or 'main' in tags}|{words > 8}"]
+        names += [f"bare={not (tags - {'html', 'body'})}|{n == 1}|{words > 8}"]
         out.append(feature_ids(names))
     return out
 
@@ -196,7 +203,7 @@ _MAIN_SIGN = "\ue001"
 
 
 def _page(rng):
-    """One labelled page: text of its main blocks carries a sign."""
+    """One labelled page: text of its main blocks carries a sign.  Some are nothing but an article, with or without tags."""
     syllables = "the ing and re er on an st ti he ou le de la en ei ch un ge ar os ción é ä ü que".split()
     word = lambda: "".join(rng.choice(syllables) for _ in range(rng.randint(1, 4)))
     phrase = lambda a, b: " ".join(word() for _ in range(rng.randint(a, b))).capitalize()
@@ -249,6 +256,10 @@ def _page(rng):
             return f'<p>{text} <a href="/x">{phrase(1, 3)}</a> {sentence()}</p>'
         return f"<p>{text}</p>" if rng.random() < 0.9 else f"<p>{text}"
 
+    if rng.random() < 0.18:
+        whole = "".join(main_block() for _ in range(rng.randint(1, 8)))
+        plain = "\n".join(_MAIN_SIGN + " ".join(sentence() for _ in range(rng.randint(1, 9))) for _ in range(rng.randint(1, 3)))
+        return rng.choice((f"<html><body>{whole}</body></html>", whole, plain, plain, f"<pre>{plain}</pre>", f"<html><body>{plain}"))
     title = f"<h1>{_MAIN_SIGN}{phrase(2, 12)}</h1>" if rng.random() < 0.85 else ""
     body = [main_block() for _ in range(rng.randint(1, 14))]
     if rng.random() < 0.35:
@@ -268,7 +279,7 @@ def _page(rng):
     return "<html><body>" + "".join(before) + core + "".join(after) + rng.choice(("</body></html>", ""))
 
 
-def labelled_pages(n=450, seed=3):
+def labelled_pages(n=520, seed=3):
     """(blocks, labels) of composed pages."""
     rng, out = random.Random(seed), []
     for _ in range(n):
@@ -308,8 +319,9 @@ def _extract(shared):
 def main_text(pages):
     """Per row of `pages`: page_id, url, text, n_chars (code points).
 
-    NULL counts as empty; a page without main blocks has an empty text.  Repeated rows are answered each; an
-    empty table gives an empty result; other columns are not read.
+    NULL counts as empty; a page without main blocks has an empty text; of two labellings that score alike the one with
+    more "other" blocks counts.  Repeated rows are answered each; an empty table gives an empty result; a very long page is one
+    value of its task and is read whole; other columns are not read.
     """
     shared = pages.sparkSession.sparkContext.broadcast(trained())  # fixed size: the hashed weights
     rows = pages.select(

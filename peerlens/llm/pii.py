@@ -1,7 +1,7 @@
 """Personal data: base patterns, and a linear-chain CRF over word shapes that finds what the patterns miss.
 
 The patterns are searched with a single pass each (a long run of word characters or digits is read once, not
-from each of its places).  The CRF labels all words of a text, in overlapping pieces.  It is trained on a small
+from each of its places).  The CRF labels all words of a text on its best path.  It is trained on a small
 labelled table, made here from sentence frames; its spans are added where they touch no base span.
 """
 
@@ -27,8 +27,6 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _TRIGGER = re.compile(r"[0-9@]")
 _WORD = re.compile(r"\S+")
-#: Words of a piece that is decoded at once, and words on either side that it shares with its neighbours.
-PIECE, OVERLAP = 256, 32
 #: Distinct words, or pairs of shapes, whose scores a task keeps before it begins anew.
 VOCABULARY = 200_000
 LABELS = ("none", *(f"{p}-{k}" for k in KINDS for p in "BI"))
@@ -73,27 +71,33 @@ def base_spans(text):
     return found
 
 
+class _Classes(dict):
+    """Class of a character by its code point, for `str.translate`."""
+
+    def __missing__(self, code):
+        c = chr(code)
+        self[code] = "d" if c.isdigit() else "X" if c.isupper() else "x" if c.isalpha() else c
+        return self[code]
+
+
+_CLASSES = _Classes()
+_RUNS = re.compile(r"(d{4})d+|([^d])\2+", re.S)
+
+
 def _shape(word):
-    """Word shape: classes of characters, runs of up to four counted."""
+    """Word shape: classes of characters, runs of digits counted up to four, other runs once."""
     if word.isalpha() and word.islower():
         return "x"
-    out, last, run = [], None, 0
-    for c in word[:64]:
-        k = "d" if c.isdigit() else "X" if c.isupper() else "x" if c.isalpha() else c
-        run = run + 1 if k == last else 1
-        if run <= (4 if k == "d" else 1):
-            out.append(k)
-        last = k
-    return "".join(out)
+    return _RUNS.sub(r"\1\2", word.translate(_CLASSES))
 
 
 def _low(word):
-    return word[:32].lower().strip(".,:;()")
+    return word.lower().strip(".,:;()")
 
 
 def _numbers(w):
     """What features beside the shape and the word itself are made of: digits, `@`, how it begins, dots, length."""
-    n = sum(map(str.isdigit, w[:64]))
+    n = sum(map(str.isdigit, w))
     return n, "@" in w, w[:1] in "+(", min(w.count("."), 5), min(len(w), 40) // 4, n * 4 // max(len(w), 1)
 
 
@@ -192,30 +196,39 @@ def _words_of(model):
     return Words(model)
 
 
-def _pieces(n):
-    """(start, stop, first, last) of the pieces of a chain of n words: words [first, last) take their labels from it."""
-    for at in range(0, n, PIECE):
-        yield max(at - OVERLAP, 0), min(at + PIECE + OVERLAP, n), at, min(at + PIECE, n)
-
-
 def _decoded(model, texts):
-    """Per text: [(word number, label)] of all labels other than "none", over all its words."""
+    """Per text: [(word number, label)] of all labels other than "none" on its best path, over all its words.
+
+    A word at which "none" leads by more than any steps could make up for is on every best path: the text falls apart
+    there, and what lies between such words is decoded on its own, with the steps to and from them.
+    """
     words = [_WORD.findall(t) for t in texts]
     flat = []
     for w in words:
         flat += ["<", *w, ">"]
-    scores = _words_of(model).score(flat) if flat else np.zeros((0, len(LABELS)), np.float32)
-    rows, sizes, wanted, at = [], [], [], 0
-    for i, w in enumerate(words):
-        for start, stop, first, last in _pieces(len(w)):
-            rows.append(scores[at + start:at + stop])
-            sizes.append(stop - start)
-            wanted.append((i, start, first, last))
-        at += len(w) + 2
+    if not flat:
+        return [[] for _ in texts]
+    sizes = np.array([len(w) for w in words])
+    # `score` leaves out the first and the last word of the list; the marks in between get scores that nobody reads.
+    scores = np.concatenate([np.zeros((1, len(LABELS)), np.float32), _words_of(model).score(flat), np.zeros((1, len(LABELS)), np.float32)])
+    begins = np.cumsum(sizes + 2) - sizes - 2
+    mark = np.zeros(len(flat), bool)
+    mark[begins] = mark[begins + sizes + 1] = True
+    sure = mark | (scores[:, :1] - scores[:, 1:] > model.slack()[1:]).all(axis=1)
+    edges = np.diff(np.concatenate([[True], sure, [True]]).astype(np.int8))
+    first, stop = np.nonzero(edges == -1)[0], np.nonzero(edges == 1)[0]
     out = [[] for _ in texts]
-    paths = model.paths(np.concatenate(rows), sizes, 1024) if rows else []
-    for (i, start, first, last), path in zip(wanted, paths):
-        out[i] += [(first + n, label) for n, label in enumerate(path[first - start:last - start]) if label]
+    if not len(first):
+        return out
+    own = scores.copy()
+    after = ~mark[first - 1]
+    own[first[after]] += (model.step[0] - model.begin).astype(np.float32)
+    before = ~mark[stop]
+    own[stop[before] - 1] += model.step[:, 0].astype(np.float32)
+    paths = model.paths(own[~sure], (stop - first).tolist(), 1024)
+    owner = np.searchsorted(begins, first, side="right") - 1
+    for i, at, path in zip(owner.tolist(), (first - begins[owner] - 1).tolist(), paths):
+        out[i] += [(at + n, label) for n, label in enumerate(path) if label]
     return out
 
 
@@ -343,8 +356,8 @@ def _find(shared):
 def personal_data(docs):
     """Per row of `docs`: doc_id, n_email, n_ip, n_card, n_phone (base spans), base_sha256, spans (all, kind:start:end).
 
-    NULL counts as empty; a text without digits and `@` has no base span.  Repeated rows are answered each; other
-    columns are not read.
+    NULL counts as empty; a text without digits and `@` has no base span.  Repeated rows are answered each; an empty table
+    gives an empty result; a very long text is one value of its task, read and decoded whole; other columns are not read.
     """
     shared = docs.sparkSession.sparkContext.broadcast(trained())  # fixed size: the hashed weights
     schema = "doc_id long, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, spans string"

@@ -70,3 +70,33 @@ def test_all_words_of_attributes_count():
     classes = " ".join(f"{x}:px-4" for x in ("sm", "md", "lg", "xl", "hover", "focus", "dark"))
     (block,) = html_text.blocks(f'<div class="{classes} sidebar" id="comments">x</div>')
     assert {"sm", "dark", "px", "sidebar", "comments"} <= set(block.marks)
+
+
+def main_of(*pages):
+    return html_text.main_texts(html_text.trained(), pages)
+
+
+LONG = "This is a rather long sentence of the page that stands for the text of an article, with commas and an end."
+
+
+def test_pages_without_an_article_keep_their_text():
+    two = f"{LONG}\n\n{LONG[:60]} again."
+    paragraphs = "".join(f"<p>{x}</p>" for x in two.split("\n\n"))
+    assert main_of(f"<html><body>{paragraphs}</body></html>", paragraphs) == [two, two]
+    assert main_of(LONG, f"<html><body>{LONG}") == [LONG, LONG]
+
+
+def test_formulas_objects_and_what_was_not_closed():
+    assert texts("<article><p>so <math><mi>x</mi><mo>=</mo>2</math> holds<object>instead</object></article>") == ["so x=2 holds", "instead"]
+    assert texts("<article><p>a <svg><path d='x'><p>b</p><p>c</p></article><p>d") == ["a", "b", "c", "d"]
+    assert texts("<p>a <svg><text>no</text></svg> b") == ["a", "b"]
+    assert texts("<div><select><option>no<p>yes</div>") == ["yes"]
+
+
+def test_features_read_whole_blocks():
+    """Links under many ancestors, a sign far into a block, and very many words count."""
+    deep = "<a>" + "<b>" * 9 + "x y" + "</b>" * 9 + "</a>"
+    (block,) = html_text.blocks(f"<p>{deep}</p>")
+    assert block.linked == 1.0
+    plain, signed = (html_text.blocks(f"<p>{'word ' * 90}{end}</p>") for end in ("a.", "©."))
+    assert html_text._features(plain) != html_text._features(signed)

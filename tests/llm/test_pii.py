@@ -112,8 +112,23 @@ def test_scores_by_word_equal_features():
     assert np.allclose(pii.Words(model).score(["<", *words, ">"]), model.scores(pii._features(words)), atol=1e-3)
 
 
-def test_pieces_label_every_word_once():
-    for n in (0, 1, pii.PIECE, pii.PIECE + 1, 5 * pii.PIECE + 7):
-        pieces = list(pii._pieces(n))
-        assert [i for _, _, first, last in pieces for i in range(first, last)] == list(range(n))
-        assert all(0 <= start <= first and last <= stop <= n for start, stop, first, last in pieces)
+def test_decoding_is_viterbi_over_the_whole_text():
+    """Splitting at words that can only be "none" gives the labels of one chain over all words."""
+    rng = random.Random(4)
+    model = pii.trained()
+    table = [" ".join(w) for w, _ in pii.labelled_table(120, seed=9)]
+    texts = ["", "one", "12", " ".join(table), "a@b.c " * 700, "4 " * 900, "call (555) 123-4567" + " 8" * 400 + " now"]
+    texts += [" ".join(rng.choices(table + ["the and of it"] * 40, k=rng.randint(1, 120))) for _ in range(25)]
+    for text, found in zip(texts, pii._decoded(model, texts)):
+        words = text.split()
+        path = model.paths(pii.Words(model).score(["<", *words, ">"]), [len(words)])[0] if words else []
+        assert found == [(n, label) for n, label in enumerate(path) if label]
+
+
+def test_features_read_whole_words():
+    """What lies behind the first characters of a long word counts."""
+    long = "x" * 70
+    assert pii._shape("A" + long + "1") != pii._shape("A" + long + "-")
+    assert pii._low(long + "a") != pii._low(long + "b")
+    assert pii._numbers(long + "12") != pii._numbers(long + "ab")
+    assert pii._shape("Ab-12345678:é") == "Xx-dddd:x" and pii._shape("..--") == ".-" and pii._shape("abc") == "x"
