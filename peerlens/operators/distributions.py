@@ -185,6 +185,12 @@ def messages_per_topic(messages, tick=D.METRIC_TICK):
     )
 
 
+def newest_rates(rates):
+    """Rates per second, of `messages_per_topic` or `messages_total`, in the newest tick that has messages."""
+    newest = rates.agg(F.max("window_start")).scalar()
+    return rates.filter(F.col("window_start") == newest).withColumn("per_second", F.col("per_minute") / F.lit(60.0))
+
+
 def messages_total(messages, tick=D.METRIC_TICK):
     return (
         messages_per_topic(messages, tick)

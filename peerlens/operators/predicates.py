@@ -47,8 +47,10 @@ def listed_peers(peers, network=None, since=None, until=None):
     return peers.filter(keep)
 
 
+def recent_condition(as_of, days=D.FORK_WINDOW_DAYS):
+    """A node record with a fork digest, announced in the window."""
+    return F.col("fork_digest").isNotNull() & (F.col("timestamp") > epoch(as_of) - days * 86400)
+
+
 def recent_nodes(eth_nodes, as_of, days=D.FORK_WINDOW_DAYS):
-    """Node records with a fork digest, announced in the window."""
-    return eth_nodes.filter(
-        F.col("fork_digest").isNotNull() & (F.col("timestamp") > epoch(as_of) - days * 86400)
-    )
+    return eth_nodes.filter(recent_condition(as_of, days))

@@ -138,26 +138,38 @@ def crawler_metrics(where):
 VIEWS["b_dead"] = "SELECT * FROM b_peers WHERE deprecated"
 CONNECTED = """(SELECT peer_id, arg_max(kind, ts) AS kind FROM b_halves
     WHERE ts <= TIMESTAMP '{}' GROUP BY peer_id) WHERE kind = 'open'"""
-# The activity window of the registry query looks back from 2024: nobody is active.
-VIEWS["b_seen24"] = "SELECT * FROM b_seen WHERE last_activity > epoch(TIMESTAMP '2024-01-31')::BIGINT - 180 * 86400"
+VIEWS["b_pass_marks"] = """SELECT ts, seq, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (ORDER BY ts, seq) <= 2700000000 THEN 0 ELSE 1 END AS fresh
+    FROM b_attempts"""
+VIEWS["b_passes"] = """SELECT pass, min(ts) AS pass_start, max(ts) AS pass_end, count(*) AS attempts,
+    (max(epoch_us(ts)) - min(epoch_us(ts))) / 1000000.0::DOUBLE AS seconds
+    FROM (SELECT ts, (sum(fresh) OVER (ORDER BY ts, seq ROWS UNBOUNDED PRECEDING))::INT AS pass FROM b_pass_marks) GROUP BY pass"""
+VIEWS["b_last_pass"] = "SELECT * FROM b_passes WHERE pass = (SELECT max(pass) FROM b_passes)"
+PASS_OUT = f"pass, {stamp('pass_start')} AS pass_start, {stamp('pass_end')} AS pass_end, attempts, seconds"
+IN_LAST_PASS = "last_attempt >= (SELECT pass_start FROM b_last_pass)"
 
 
-def late_metrics():
-    none = "b_seen24"
-    geo = f"(SELECT i.* FROM {none} p JOIN b_ips i ON p.ip = i.ip)"
+def node_metrics():
     return [
-        metric("crawler", "observed_client_distribution", "client_name", "count(*)", f"{none} GROUP BY client_name"),
-        metric("crawler", "node_distribution", "''", "count(*)", "b_listed"),
-        metric("crawler", "deprecated_nodes", "''", "count(*)", "b_dead"),
-        *[metric("crawler", "hosted_peers_distribution", q(kind), f"count(*) FILTER ({flag})", geo)
-          for kind, flag in (("mobile_ips", "mobile"), ("under_proxy", "proxy"), ("hosted_ips", "hosting"))],
-        metric("hosts", "supported_protocols", "protocol", "count(*)",
-               "(SELECT unnest(sup_protocols) AS protocol FROM b_peers) GROUP BY protocol"),
-        metric("peering", "pruned_error_distribution", "delay_class", "count(*)",
-               "r_state WHERE NOT deprecable GROUP BY delay_class"),
-        metric("peering", "total_conn_error_distribution", "last_error", "count(*)",
-               "r_state WHERE NOT deprecable GROUP BY last_error"),
+        metric("discovery", "node_per_fork_distribution", "fork_digest", "count(*)", "b_recent_nodes GROUP BY fork_digest"),
+        metric("discovery", "attnets_distribution", "coalesce(attnets_number::VARCHAR, '')", "count(attnets_number)", "b_recent_nodes GROUP BY attnets_number"),
+    ]
+
+
+def event_metrics():
+    queue = "r_state WHERE NOT deprecable"
+    newest = "WHERE window_start = (SELECT max(window_start) FROM b_rates)"
+    return [
+        metric("peering", "pruned_error_distribution", "delay_class", "count(*)", f"{queue} GROUP BY delay_class"),
+        metric("peering", "total_conn_error_distribution", "last_error", "count(*)", f"{queue} GROUP BY last_error"),
+        metric("peering", "iteration_attempts_by_category_distribution", "delay_class", "count(*)",
+               f"{queue} AND {IN_LAST_PASS} GROUP BY delay_class"),
+        metric("peering", "conn_error_distribution", "last_error", "count(*)", f"{queue} AND {IN_LAST_PASS} GROUP BY last_error"),
+        metric("peering", "peers_attempted_last_iteration", "''", "count(*)", f"{queue} AND {IN_LAST_PASS}"),
+        metric("peering", "peerstore_iteration_time_secs", "''", "seconds", "b_last_pass"),
         metric("hosts", "connected_peers", "''", "count(*)", CONNECTED.format("2024-01-31 00:00:00")),
+        metric("gossip", "peers_per_topic", "topic", "count(DISTINCT sender)", "b_messages GROUP BY topic"),
+        metric("gossip", "received_messages_psec", "topic", "per_minute / 60", f"b_rates {newest}"),
+        metric("gossip", "total_received_messages_psec", "''", "sum(per_minute) / 60", f"b_rates {newest}"),
         "SELECT 'chain' AS module, 'local_head_slot' AS metric, '' AS label, max(head_slot)::DOUBLE AS value "
         "FROM b_status HAVING count(*) > 0",
     ]
@@ -258,16 +270,9 @@ SQL = {
         SELECT j || CASE WHEN peer_id = (SELECT max(peer_id) FROM f) THEN '' ELSE ',' END AS value FROM f
         UNION ALL SELECT '[' UNION ALL SELECT ']')""",
     "attestation_event_json": PUBLISHED,
-    "metrics_snapshot": " UNION ALL ".join(
-        crawler_metrics(NET)
-        + [
-            metric("discovery", "node_per_fork_distribution", "fork_digest", "count(*)", "b_recent_nodes GROUP BY fork_digest"),
-            metric("discovery", "attnets_distribution", "coalesce(attnets_number::VARCHAR, '')", "count(attnets_number)", "b_recent_nodes GROUP BY attnets_number"),
-            metric("hosts", "connected_peers", "''", "count(*)", CONNECTED.format("2001-08-02 00:00:00")),
-            metric("gossip", "peers_per_topic", "topic", "count(DISTINCT sender)", "b_messages GROUP BY topic"),
-        ]
-    ),
-    "metric_registry": " UNION ALL ".join(late_metrics()),
+    "metrics_snapshot": " UNION ALL ".join(crawler_metrics(NET) + node_metrics() + event_metrics()),
+    "metric_registry": " UNION ALL ".join(crawler_metrics("true") + node_metrics() + event_metrics()),
+    "metrics_tick": " UNION ALL ".join(crawler_metrics(NET) + node_metrics() + event_metrics()),
     # scalar functions
     "ua_client_name": AGENT_BASE.format(NAMED, "client_name"),
     "ua_client_version": f"""SELECT seq, network, user_agent, {client_version('user_agent', 'network', 'n')} AS client_version
@@ -406,6 +411,10 @@ SQL = {
     "iteration_attempts": f"SELECT count(*) AS cnt FROM r_state WHERE {LAST_DAY}",
     "iteration_time": """SELECT epoch(date_trunc('day', ts))::BIGINT AS iteration_start,
         (max(epoch_us(ts)) - min(epoch_us(ts))) / 1000000.0::DOUBLE AS seconds FROM b_attempts GROUP BY 1""",
+    "dial_passes": f"SELECT {PASS_OUT} FROM b_passes",
+    "last_pass": f"SELECT {PASS_OUT} FROM b_last_pass",
+    "last_pass_delay_distribution": f"SELECT delay_class, count(*) AS cnt FROM r_state WHERE {IN_LAST_PASS} GROUP BY 1",
+    "last_pass_error_distribution": f"SELECT last_error AS error, count(*) AS cnt FROM r_state WHERE {IN_LAST_PASS} GROUP BY 1",
     "connected_peers": "SELECT count(*) AS cnt FROM " + CONNECTED.format("2024-01-31 00:00:00"),
     "peers_per_topic": "SELECT topic, count(DISTINCT sender) AS peers FROM b_messages GROUP BY 1",
     "messages_per_topic": "SELECT * FROM b_rates",
@@ -488,7 +497,6 @@ SQL = {
     "due_stream": f"""SELECT peer_id, life, {stamp('due')} AS due, cls AS delay_class, degree FROM s_turns
         WHERE NOT coalesce(ends, false) AND (after >= due OR (after IS NULL AND epoch_ms(due) <= (SELECT epoch_ms(max(ts)) FROM
             (SELECT ts FROM b_attempts UNION ALL SELECT ts FROM b_discoveries))))""",
-    "metrics_tick": " UNION ALL ".join(crawler_metrics(NET)),
     "snapshot_tick": """SELECT '2001-08-02 00:00:00.000000' AS timestamp, (id // 65536)::INT AS chunk,
         string_agg(id::VARCHAR, '|' ORDER BY id) AS peers FROM b_active_all GROUP BY 2""",
 }

@@ -11,11 +11,11 @@ from pyspark.sql import types as T
 from peerlens import domains as D
 from peerlens.functions import address, errors, forks, gossip, user_agent
 from peerlens.operators import (
-    audit, connections, distributions, folds, graph, lookups, normalise, reports, retry,
+    audit, connections, distributions, folds, graph, lookups, normalise, passes, reports, retry,
 )
 from peerlens.plans import handlers
 from peerlens.plans.policy import DEFAULT_POLICY, RetryPolicy
-from peerlens.plans.registry import Tables, metrics_snapshot
+from peerlens.plans.registry import Tables, default_registry
 from peerlens.schemas import PEER_INFO, TABLES
 from peerlens.session import run_dir
 from peerlens.sources import bridge, geo, sinks, tables
@@ -244,22 +244,27 @@ simple(
 )
 
 
-@query("metrics_snapshot")
-def _metrics(b):
-    t = Tables(
-        peers=b.peers, ips=b.ips, eth_nodes=b.eth_nodes, halves=b.halves, messages=b.messages
-    )
-    return metrics_snapshot(t, AS_OF, NET)
+#: Seconds without a dial that end a pass: the test log is thin.
+PASS_GAP = 2700
+
 
+def all_gauges(b, network=None, events=None):
+    """Every gauge at a moment at which none is empty: the stored tables at theirs, what the events give at theirs.
 
-@query("metric_registry")
-def _metrics_all(b):
-    _, _, status, _ = b.identified()
-    t = Tables(
-        peers=b.peers, ips=b.ips, retry_state=retry.queued(b.retry_state()), halves=b.halves,
-        status=status,
+    `events` is the part of the event log that connections, messages and status are taken from.
+    """
+    registry = default_registry(PASS_GAP)
+    events = b.events if events is None else events
+    stored = Tables(peers=b.peers, ips=b.ips, eth_nodes=b.eth_nodes)
+    moving = Tables(
+        retry_state=retry.queued(b.retry_state()), attempts=b.attempts, halves=bridge.conn_halves(events),
+        messages=bridge.messages(events), status=normalise.identify_events(bridge.raw_connections(events))[2],
     )
-    return metrics_snapshot(t, EVENTS_AS_OF)
+    return registry.snapshot(stored, AS_OF, network).unionByName(registry.snapshot(moving, EVENTS_AS_OF, network))
+
+
+simple("metrics_snapshot", lambda b: all_gauges(b, NET))
+simple("metric_registry", all_gauges)
 
 
 # ------------------------------------------------------------ scalar functions
@@ -531,6 +536,16 @@ simple(
     "iteration_attempts",
     lambda b: distributions.iteration_attempts(b.retry_state(), LAST_DAY, EVENTS_AS_OF),
 )
+simple("dial_passes", lambda b: passes.dial_passes(b.attempts, PASS_GAP))
+simple("last_pass", lambda b: passes.last_pass(b.attempts, PASS_GAP))
+
+
+def _last_pass(b):
+    return passes.attempted_in_last_pass(b.retry_state(), b.attempts, PASS_GAP)
+
+
+simple("last_pass_delay_distribution", lambda b: distributions.delay_distribution(_last_pass(b)))
+simple("last_pass_error_distribution", lambda b: distributions.total_error_distribution(_last_pass(b)))
 simple("iteration_time", lambda b: distributions.iteration_time(b.attempts))
 simple("connected_peers", lambda b: distributions.connected_peers(b.halves, EVENTS_AS_OF))
 simple("peers_per_topic", lambda b: distributions.peers_per_topic(b.messages))
@@ -717,8 +732,8 @@ def _fold_stream_nodes(b):
 def _metrics_tick(b):
     path = jobs.stream_path(b.spark, "metrics")
 
-    def build(_):
-        return metrics_snapshot(Tables(peers=b.peers, ips=b.ips), AS_OF, NET)
+    def build(batch):
+        return all_gauges(b, NET, batch)
 
     jobs.metrics_tick(jobs.event_stream(b.spark, b.dir), path, build)
     return b.spark.read.parquet(path).drop("tick")

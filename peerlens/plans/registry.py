@@ -1,7 +1,7 @@
 """Named metrics and the snapshot of all of them.
 
-Two kinds of metric exist.  A *count* is a row condition with a label, over the
-peer table; all counts of a registry are taken in one pass.  A *query* is a
+Two kinds of metric exist.  A *count* is a row condition with a label, over one
+table; all counts over a table are taken in one pass.  A *query* is a
 function of the tables and a moment that returns label columns and one value
 column.  The snapshot brings all into (module, metric, label, value).
 """
@@ -12,8 +12,10 @@ from typing import Callable
 
 from pyspark.sql import functions as F
 
+from peerlens import domains as D
 from peerlens.operators import distributions as d
-from peerlens.operators.predicates import active_condition
+from peerlens.operators import passes
+from peerlens.operators.predicates import active_condition, recent_condition
 
 
 @dataclass
@@ -27,16 +29,18 @@ class Tables:
     halves: object = None
     messages: object = None
     status: object = None
+    attempts: object = None
 
 
 @dataclass(frozen=True)
 class Count:
-    """Peers that satisfy `where(as_of)`, per `label` (a Column, or None for one total)."""
+    """Rows of `table` that satisfy `where(as_of)`, per `label` (a Column, or None for one total)."""
 
     module: str
     name: str
     where: Callable
     label: object = None
+    table: str = "peers"
 
 
 @dataclass(frozen=True)
@@ -52,6 +56,8 @@ class Query:
 @dataclass
 class MetricRegistry:
     metrics: list = field(default_factory=list)
+    #: Seconds without a dial that end a pass over the peers.
+    pass_gap: int = passes.GAP_SECONDS
 
     def _add(self, metric):
         if any((m.module, m.name) == (metric.module, metric.name) for m in self.metrics):
@@ -59,18 +65,21 @@ class MetricRegistry:
         self.metrics.append(metric)
         return self
 
-    def count(self, module, name, where, label=None):
-        return self._add(Count(module, name, where, label))
+    def count(self, module, name, where, label=None, table="peers"):
+        return self._add(Count(module, name, where, label, table))
 
     def query(self, module, name, build, value, labels=(), needs=("peers",)):
         return self._add(Query(module, name, build, value, tuple(labels), tuple(needs)))
 
     def _counts(self, tables, as_of, network):
-        """All count metrics in one scan: each row lists the gauges it adds to."""
-        counts = [m for m in self.metrics if isinstance(m, Count)]
-        if not counts or tables.peers is None:
-            return []
+        """All count metrics of a table in one scan: each row lists the gauges it adds to."""
+        by_table = {}
+        for m in self.metrics:
+            if isinstance(m, Count) and getattr(tables, m.table) is not None:
+                by_table.setdefault(m.table, []).append(m)
+        return [self._count_rows(counts, tables, name, as_of, network) for name, counts in by_table.items()]
 
+    def _count_rows(self, counts, tables, name, as_of, network):
         def tag(m, label, weight):
             return F.struct(
                 F.lit(m.module).alias("module"),
@@ -83,22 +92,21 @@ class MetricRegistry:
         for m in counts:
             label = F.lit("") if m.label is None else m.label.cast("string")
             tags.append(F.when(m.where(as_of), tag(m, label, label.isNotNull())))
-        peers = tables.peers
-        if network is not None:
-            peers = peers.filter(F.col("network") == network)
-        rows = peers.select(F.explode(F.array_compact(F.array(*tags))).alias("t"))
+        source = getattr(tables, name)
+        if name == "peers" and network is not None:
+            source = source.filter(F.col("network") == network)
+        if name == "retry_state":
+            source = (
+                source.withColumn("in_last_pass", F.lit(False)) if tables.attempts is None
+                else passes.with_last_pass(source, tables.attempts, self.pass_gap)
+            )
+        rows = source.select(F.explode(F.array_compact(F.array(*tags))).alias("t"))
         totals = [m for m in counts if m.label is None]
         if totals:
-            # A total exists, as 0, even if no peer satisfies its condition.
+            # A total exists, as 0, even if no row satisfies its condition.
             zero = F.array(*[tag(m, F.lit(""), F.lit(0)) for m in totals])
-            rows = rows.unionByName(
-                tables.peers.sparkSession.range(1).select(F.explode(zero).alias("t"))
-            )
-        return [
-            rows.groupBy("t.module", "t.metric", "t.label").agg(
-                F.sum("t.weight").cast("double").alias("value")
-            )
-        ]
+            rows = rows.unionByName(source.sparkSession.range(1).select(F.explode(zero).alias("t")))
+        return rows.groupBy("t.module", "t.metric", "t.label").agg(F.sum("t.weight").cast("double").alias("value"))
 
     def _queries(self, tables, as_of, network):
         for m in self.metrics:
@@ -118,7 +126,7 @@ class MetricRegistry:
         return reduce(lambda a, b: a.unionByName(b), parts)
 
 
-def default_registry():
+def default_registry(pass_gap=passes.GAP_SECONDS):
     """The gauges of the crawler, discovery, peering, hosts, gossip and chain modules.
 
     Fixed values: the metric names.
@@ -131,7 +139,7 @@ def default_registry():
         return active_condition(as_of, attempted=False)
 
     version = F.concat_ws("_", "client_name", "client_version")
-    r = MetricRegistry()
+    r = MetricRegistry(pass_gap=pass_gap)
     r.count("crawler", "observed_client_distribution", active, F.col("client_name"))
     r.count("crawler", "observed_client_version_distribution", active, version)
     r.count("crawler", "os_distribution", active, F.col("client_os"))
@@ -149,22 +157,31 @@ def default_registry():
             lambda t, at, n: d.ip_distribution(t.peers, at, n), "number_of_ips", ["nodes_per_ip"])
     r.query("hosts", "supported_protocols",
             lambda t, at, n: d.supported_protocols(t.peers, n), "cnt", ["protocol"])
-    r.query("discovery", "node_per_fork_distribution",
-            lambda t, at, n: d.fork_distribution(t.eth_nodes, at), "cnt", ["fork_digest"],
-            ["eth_nodes"])
-    r.query("discovery", "attnets_distribution",
-            lambda t, at, n: d.attnets_distribution(t.eth_nodes, at), "cnt", ["attnets_number"],
-            ["eth_nodes"])
-    r.query("peering", "pruned_error_distribution",
-            lambda t, at, n: d.delay_distribution(t.retry_state), "cnt", ["delay_class"],
-            ["retry_state"])
-    r.query("peering", "total_conn_error_distribution",
-            lambda t, at, n: d.total_error_distribution(t.retry_state), "cnt", ["error"],
-            ["retry_state"])
+    r.count("discovery", "node_per_fork_distribution", recent_condition, F.col("fork_digest"), "eth_nodes")
+    r.count("discovery", "attnets_distribution", recent_condition, F.col("attnets_number"), "eth_nodes")
+
+    def everyone(_):
+        return F.lit(True)
+
+    def tried(_):
+        return F.col("in_last_pass")
+
+    error = F.coalesce("last_error", F.lit(D.NEVER_TRIED))
+    r.count("peering", "pruned_error_distribution", everyone, F.col("delay_class"), "retry_state")
+    r.count("peering", "total_conn_error_distribution", everyone, error, "retry_state")
+    r.count("peering", "iteration_attempts_by_category_distribution", tried, F.col("delay_class"), "retry_state")
+    r.count("peering", "conn_error_distribution", tried, error, "retry_state")
+    r.count("peering", "peers_attempted_last_iteration", tried, None, "retry_state")
+    r.query("peering", "peerstore_iteration_time_secs",
+            lambda t, at, n: passes.last_pass(t.attempts, r.pass_gap), "seconds", (), ["attempts"])
     r.query("hosts", "connected_peers",
             lambda t, at, n: d.connected_peers(t.halves, at), "cnt", (), ["halves"])
     r.query("gossip", "peers_per_topic",
             lambda t, at, n: d.peers_per_topic(t.messages), "peers", ["topic"], ["messages"])
+    r.query("gossip", "received_messages_psec",
+            lambda t, at, n: d.newest_rates(d.messages_per_topic(t.messages)), "per_second", ["topic"], ["messages"])
+    r.query("gossip", "total_received_messages_psec",
+            lambda t, at, n: d.newest_rates(d.messages_total(t.messages)), "per_second", (), ["messages"])
     r.query("chain", "local_head_slot",
             lambda t, at, n: d.head_slot(t.status), "head_slot", (), ["status"])
     return r

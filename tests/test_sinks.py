@@ -90,7 +90,7 @@ def test_custom_metric_and_handler(spark, data):
     got = {(r.metric, r.label): r.value for r in registry.snapshot(Tables(peers=b.peers_listed), AS_OF).collect()}
     assert got["nobody", ""] == 0.0 and got["rows", ""] == 150.0
     assert sum(v for (m, _), v in got.items() if m == "quic") == b.peers_listed.filter("port = 9001").count()
-    assert len(default_registry().metrics) == 18
+    assert len(default_registry().metrics) == 24
     exits = handlers.Handler(
         matches=lambda pretty: pretty == "voluntary_exit", problem=lambda: F.lit(None).cast("string"),
         columns=lambda: [F.col("proposer").alias("validator")])
