@@ -29,6 +29,8 @@ TOP = 20
 BLOCK_BYTES = 2 << 20
 SHARD_POSTINGS = 200_000
 BLOCK_DOCS, SKETCH = 64, 32
+#: Cells (terms times blocks) up to which a list's summaries are gathered in a dense table, beyond by sorting.
+DENSE = 1 << 21
 _PARTS = 32
 _FORWARD = "doc_id long, n long, terms array<binary>, counts array<long>"
 _FOUND = "key long, doc_id long, score long"
@@ -123,9 +125,15 @@ class Blocks:
         block = np.searchsorted(used, block)
         index, sizes = shard.entries(self.rows)
         key = shard.term[index] * self.n + np.repeat(block, sizes)
-        order = np.argsort(key, kind="stable")
-        key, first = np.unique(key[order], return_index=True)
-        self.largest = np.maximum.reduceat(shard.value[index][order], first)
+        if shard.width * self.n <= DENSE:
+            most = np.zeros(shard.width * self.n, np.int64)
+            np.maximum.at(most, key, shard.value[index])
+            key = np.nonzero(most)[0]
+            self.largest = most[key]
+        else:
+            order = np.argsort(key, kind="stable")
+            key, first = np.unique(key[order], return_index=True)
+            self.largest = np.maximum.reduceat(shard.value[index][order], first)
         self.terms, self.blocks = key // self.n, key % self.n
 
     def bounds(self, wanted, repeats):

@@ -61,9 +61,10 @@ def test_edges(spark):
     assert lexical.rank(frame, bench.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_blocks_are_skipped_only_by_exact_bounds(seed, monkeypatch):
+@pytest.mark.parametrize("seed, dense", [(1, lexical.DENSE), (2, 0)])
+def test_blocks_are_skipped_only_by_exact_bounds(seed, dense, monkeypatch):
     monkeypatch.setattr(lexical, "BLOCK_DOCS", 8)
+    monkeypatch.setattr(lexical, "DENSE", dense)
     rng = np.random.default_rng(seed)
     names = [b"t%d" % i for i in range(120)]
     n = 3000
