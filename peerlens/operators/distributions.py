@@ -167,6 +167,24 @@ def peers_per_topic(messages):
     )
 
 
+def sender_sketches(messages, every="1 hour", precision=12):
+    """Mergeable sketches of the senders per window and topic (2^precision registers at most).
+
+    Also the streaming form: give `messages` a watermark first.  A sketch is a bounded value however many senders it
+    has seen; sketches of any windows and topics can be united afterwards.
+    """
+    return (
+        messages.groupBy(F.window("arrival_time", every).alias("w"), "topic")
+        .agg(F.hll_sketch_agg("sender", precision).alias("senders"))
+        .select(F.col("w.start").alias("window_start"), "topic", "senders")
+    )
+
+
+def united_senders(sketches, *keys):
+    """Estimated distinct senders per `keys` of stored sketches; columns or expressions, none for one total."""
+    return sketches.groupBy(*keys).agg(F.hll_sketch_estimate(F.hll_union_agg("senders")).alias("peers"))
+
+
 def messages_per_topic(messages, tick=D.METRIC_TICK):
     """Messages per topic and tick, with the per-minute rate.
 

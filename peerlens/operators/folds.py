@@ -7,6 +7,7 @@ the reducer as one partial row per task.
 
 from functools import reduce
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from peerlens.schemas import PEER_INFO
@@ -268,11 +269,13 @@ def dq_eth_node_conflicts(events, by="arrival"):
     )
 
 
+STATUS_FIELDS = ["fork_digest", "finalized_root", "finalized_epoch", "head_root", "head_slot"]
+METADATA_FIELDS = ["seq_number", "attnets", "syncnets"]
+
+
 def fold_eth_status(status, metadata, prior=None):
     """Status and metadata columns change independently; the timestamp is the last of either."""
-    s_fields = ["fork_digest", "finalized_root", "finalized_epoch", "head_root", "head_slot"]
-    m_fields = ["seq_number", "attnets", "syncnets"]
-    parts = [_typed(status, s=F.struct(*s_fields)), _typed(metadata, m=F.struct(*m_fields))]
+    parts = [_typed(status, s=F.struct(*STATUS_FIELDS)), _typed(metadata, m=F.struct(*METADATA_FIELDS))]
     if prior is not None:
         old = prior.withColumn("ts", F.timestamp_seconds("timestamp")).withColumn(
             "seq", F.lit(-1).cast("long")
@@ -280,11 +283,15 @@ def fold_eth_status(status, metadata, prior=None):
         parts.append(
             _typed(
                 old,
-                s=F.when(F.col("fork_digest").isNotNull(), F.struct(*s_fields)),
-                m=F.when(F.col("seq_number").isNotNull(), F.struct(*m_fields)),
+                s=F.when(F.col("fork_digest").isNotNull(), F.struct(*STATUS_FIELDS)),
+                m=F.when(F.col("seq_number").isNotNull(), F.struct(*METADATA_FIELDS)),
             )
         )
-    log = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    return fold_chain_answers(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts))
+
+
+def fold_chain_answers(log):
+    """`fold_eth_status` of one log whose rows carry a status `s`, metadata `m`, or both (`normalise.chain_answers`)."""
     return (
         log.groupBy("peer_id")
         .agg(
@@ -320,11 +327,33 @@ def active_peers_snapshot(peers, as_of, chunk=SNAPSHOT_CHUNK):
 
 def snapshot_explode(snapshots, peers, as_of):
     """Peer rows present in the snapshot taken at `as_of`."""
-    ids = (
-        snapshots.filter(F.col("timestamp") == F.lit(as_of).cast("timestamp"))
-        .select("timestamp", F.explode("peers").alias("id"))
-    )
-    return ids.join(peers, "id")
+    return _present(snapshots.filter(F.col("timestamp") == F.lit(as_of).cast("timestamp")), peers)
+
+
+def network_at(snapshots, peers, moment):
+    """Peer rows of the network as it was at `moment`: those of the newest snapshot not after it."""
+    moment = F.lit(moment).cast("timestamp")
+    newest = snapshots.filter(F.col("timestamp") <= moment).agg(F.max("timestamp"))
+    return _present(snapshots.filter(F.col("timestamp") == newest.scalar()), peers)
+
+
+def _present(snapshots, peers):
+    return snapshots.select("timestamp", F.explode("peers").alias("id")).join(peers, "id")
+
+
+def presence_intervals(snapshots):
+    """(id, present_from, present_to, snapshots): the longest runs of consecutive snapshots that hold a peer.
+
+    The window over all stamps has one row per snapshot, that over a peer at most as many; a snapshot that was skipped
+    because nobody was active is not a gap.
+    """
+    stamps = snapshots.select("timestamp").distinct()
+    ticks = stamps.withColumn("tick", F.row_number().over(Window.orderBy("timestamp")))
+    rows = snapshots.select("timestamp", F.explode("peers").alias("id")).join(ticks, "timestamp")
+    run = F.col("tick") - F.row_number().over(Window.partitionBy("id").orderBy("tick"))
+    return rows.withColumn("run", run).groupBy("id", "run").agg(
+        F.min("timestamp").alias("present_from"), F.max("timestamp").alias("present_to"), F.count(F.lit(1)).alias("snapshots")
+    ).drop("run")
 
 
 # ------------------------------------------------------------ gossip tables

@@ -133,3 +133,14 @@ def identify_events(connections):
         "peer_id", "ts", "seq", "seq_number", "attnets", "syncnets"
     )
     return hosts, peers, status, metadata
+
+
+def chain_answers(connections):
+    """The status and metadata events of `identify_events` in one pass over the log: structs `s` and `m`, NULL where
+    the request failed; answers with neither are left out."""
+    rows = connections.filter(F.col("identify_error").isNull() & (F.col("network") == D.ETHEREUM)).select(
+        "peer_id", "ts", "seq",
+        F.when(F.col("status_error").isNull(), F.struct("fork_digest", "finalized_root", "finalized_epoch", "head_root", "head_slot")).alias("s"),
+        F.when(F.col("metadata_error").isNull(), F.struct("seq_number", "attnets", "syncnets")).alias("m"),
+    )
+    return rows.filter("s IS NOT NULL OR m IS NOT NULL")

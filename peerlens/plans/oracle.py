@@ -411,6 +411,12 @@ SQL = {
     "iteration_attempts": f"SELECT count(*) AS cnt FROM r_state WHERE {LAST_DAY}",
     "iteration_time": """SELECT epoch(date_trunc('day', ts))::BIGINT AS iteration_start,
         (max(epoch_us(ts)) - min(epoch_us(ts))) / 1000000.0::DOUBLE AS seconds FROM b_attempts GROUP BY 1""",
+    "presence_intervals": f"""SELECT id, {stamp('min(day)')} AS present_from, {stamp('max(day)')} AS present_to, count(*) AS snapshots
+        FROM (SELECT *, tick - row_number() OVER (PARTITION BY id ORDER BY tick) AS run FROM b_present) GROUP BY id, run""",
+    "network_at": f"""SELECT {stamp('day')} AS timestamp, id, peer_id, network FROM b_present
+        WHERE day = (SELECT max(day) FROM b_present WHERE day <= TIMESTAMP '2001-09-20 12:00:00')""",
+    "sender_sketches": """SELECT strftime(arrival_time, '%Y-%m-%d') AS day, topic, count(DISTINCT sender) AS exact, true AS close
+        FROM b_messages GROUP BY 1, 2""",
     "dial_passes": f"SELECT {PASS_OUT} FROM b_passes",
     "last_pass": f"SELECT {PASS_OUT} FROM b_last_pass",
     "last_pass_delay_distribution": f"SELECT delay_class, count(*) AS cnt FROM r_state WHERE {IN_LAST_PASS} GROUP BY 1",
@@ -500,6 +506,10 @@ SQL = {
     "snapshot_tick": """SELECT '2001-08-02 00:00:00.000000' AS timestamp, (id // 65536)::INT AS chunk,
         string_agg(id::VARCHAR, '|' ORDER BY id) AS peers FROM b_active_all GROUP BY 2""",
 }
+_DAYS = ", ".join(f"(TIMESTAMP '{d}')" for d in ("2001-06-03", "2001-07-03", "2001-08-02", "2001-09-01", "2001-10-01", "2001-12-30"))
+VIEWS["b_present"] = f"""SELECT day, id::BIGINT AS id, peer_id, network, dense_rank() OVER (ORDER BY day) AS tick
+    FROM b_peers JOIN (VALUES {_DAYS}) AS t(day) ON last_activity > epoch(day)::BIGINT - 180 * 86400
+    WHERE NOT deprecated AND attempted AND client_name IS NOT NULL"""
 VIEWS["b_active_all"] = "SELECT * FROM b_active"
 # A table folded from a stream is the table folded in batch.
 SQL |= {

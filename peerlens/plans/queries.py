@@ -151,8 +151,7 @@ class Inputs:
         if name == "eth_nodes":
             return self.eth_nodes
         if name == "eth_status":
-            _, _, status, metadata = self.identified()
-            return folds.fold_eth_status(status, metadata)
+            return folds.fold_chain_answers(normalise.chain_answers(self.connections))
         if name == "eth_attestations":
             return folds.insert_attestations(self.attestations)
         return folds.insert_blocks(self.blocks)
@@ -465,7 +464,7 @@ simple("fold_ips", lambda b: folds.fold_ips(_geo_events(b)))
 simple("fold_eth_nodes", lambda b: folds.fold_eth_nodes(b.records))
 simple("fold_eth_nodes_by_seq", lambda b: folds.fold_eth_nodes(b.records, by="seq"))
 simple("dq_eth_node_conflicts", lambda b: folds.dq_eth_node_conflicts(b.records))
-simple("fold_eth_status", lambda b: folds.fold_eth_status(*b.identified()[2:]))
+simple("fold_eth_status", lambda b: folds.fold_chain_answers(normalise.chain_answers(b.connections)))
 simple("active_peers_snapshot", lambda b: folds.active_peers_snapshot(b.peers, AS_OF))
 simple("insert_attestations", lambda b: folds.insert_attestations(b.attestations))
 simple("insert_blocks", lambda b: folds.insert_blocks(b.blocks))
@@ -479,6 +478,37 @@ def _snapshot_explode(b):
     return rows.select("timestamp", "id", "peer_id", "network", "client_name")
 
 
+#: Days at which snapshots of the test network are taken.
+SNAPSHOT_DAYS = ["2001-06-03", "2001-07-03", "2001-08-02", "2001-09-01", "2001-10-01", "2001-12-30"]
+
+
+def _snapshots(b):
+    """Six snapshots, written once as the running job would append them."""
+    path = run_dir(b.spark, "snapshots")
+    for day in SNAPSHOT_DAYS:
+        folds.active_peers_snapshot(b.peers, f"{day} 00:00:00").write.mode("append").parquet(path)
+    return b.spark.read.parquet(path)
+
+
+simple("presence_intervals", lambda b: folds.presence_intervals(_snapshots(b)))
+simple(
+    "network_at",
+    lambda b: folds.network_at(_snapshots(b), b.peers_listed, "2001-09-20 12:00:00").select("timestamp", "id", "peer_id", "network"),
+)
+
+
+@query("sender_sketches")
+def _sender_sketches(b):
+    """Senders per topic and day from hourly sketches, beside the exact count: within 5 % or one."""
+    days = F.to_date("window_start").cast("string").alias("day")
+    estimated = distributions.united_senders(distributions.sender_sketches(b.messages), days, "topic")
+    exact = b.messages.groupBy(F.to_date("arrival_time").cast("string").alias("day"), "topic").agg(F.count_distinct("sender").alias("exact"))
+    off = F.abs(F.col("peers") - F.col("exact"))
+    return exact.join(estimated, ["day", "topic"], "left").select(
+        "day", "topic", "exact", F.coalesce(off <= F.greatest(F.lit(1.0), 0.05 * F.col("exact")), F.lit(False)).alias("close")
+    )
+
+
 # ------------------------------------------------------------ lookups
 
 simple("full_host_info", lambda b: lookups.full_host_info(b.peers, SHOWN_PEER))
@@ -713,7 +743,7 @@ def _event_log(b):
 
 
 _fold_stream_of(
-    "fold_stream_status", lambda b: folds.fold_eth_status(*normalise.identify_events(bridge.raw_connections(_event_log(b)))[2:]), "peer_id"
+    "fold_stream_status", lambda b: folds.fold_chain_answers(normalise.chain_answers(bridge.raw_connections(_event_log(b)))), "peer_id"
 )
 _fold_stream_of(
     "fold_stream_attestations", lambda b: folds.insert_attestations(jobs.gossip_stream(_event_log(b), "attestation", bridge.SELF_ID)), "msg_id"

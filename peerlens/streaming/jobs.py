@@ -101,14 +101,9 @@ def message_rates(messages, tick=D.METRIC_TICK, late="1 minute"):
     return distributions.messages_per_topic(messages.withWatermark("arrival_time", late), tick)
 
 
-def topic_senders(messages, every="1 minute", late="1 minute", error=0.02):
-    """Senders per topic and closed window, estimated: a stream cannot count them exactly."""
-    return (
-        messages.withWatermark("arrival_time", late)
-        .groupBy(F.window("arrival_time", every).alias("w"), "topic")
-        .agg(F.approx_count_distinct("sender", error).alias("peers"))
-        .select(F.unix_timestamp("w.start").alias("window_start"), "topic", "peers")
-    )
+def topic_senders(messages, every="1 hour", late="1 minute", precision=12):
+    """Sketches of the senders per topic and closed window; `distributions.united_senders` rolls them up to any range."""
+    return distributions.sender_sketches(messages.withWatermark("arrival_time", late), every, precision)
 
 
 # ------------------------------------------------------------ event-time processors

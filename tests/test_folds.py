@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from peerlens.operators import folds, lookups
-from peerlens.plans.queries import FOLDED_PEER, Inputs, fold_peer_batch
+from peerlens.plans.queries import Inputs
 from peerlens.session import cut
 
 T0 = dt.datetime(2024, 1, 1)
@@ -100,16 +100,6 @@ def test_any_partitioning_gives_the_same_state(spark, data, seed):
     assert run(0) == run(7)
 
 
-def test_batches_equal_one_pass(spark, data):
-    events = Inputs(spark, data).events
-    empty = spark.createDataFrame([], FOLDED_PEER)
-    whole = sorted(fold_peer_batch(events, empty).collect())
-    kept = empty
-    for low, high in ((0, 300), (300, 310), (310, 10**9)):
-        kept = cut(fold_peer_batch(events.filter((F.col("seq") >= low) & (F.col("seq") < high)), kept))
-    assert sorted(kept.collect()) == whole
-
-
 def test_status_and_metadata_are_independent(spark):
     status = spark.createDataFrame(
         [("p", at(1), 1, "d1", "r", 5, "h", 10), ("p", at(5), 5, "d2", "r", 6, "h", 11)],
@@ -224,3 +214,17 @@ def test_nodes_with_null_keys_are_all_kept(spark):
     turned = folds.dq_eth_node_conflicts(events)
     assert sorted(r.node_id for r in turned.collect()) == sorted(r[1] for r in whole[1:])
     assert {r.owner for r in turned.collect()} == {whole[0][1]}
+
+
+def test_past_networks(spark):
+    """Runs of snapshots per peer, and the newest snapshot not after a moment."""
+    stamps = [f"2024-01-0{d} 00:00:00" for d in range(1, 6)]
+    present = {0: [1, 2], 1: [1], 2: [1, 2, 3], 3: [2], 4: [1, 2]}
+    rows = [(stamps[n], c, [i for i in ids if i % 2 == c]) for n, ids in present.items() for c in (0, 1)]
+    snapshots = spark.createDataFrame(rows, "t string, chunk int, peers array<long>").selectExpr("cast(t AS timestamp) AS timestamp", "chunk", "peers")
+    got = sorted((r.id, r.present_from.day, r.present_to.day, r.snapshots) for r in folds.presence_intervals(snapshots).collect())
+    assert got == [(1, 1, 3, 3), (1, 5, 5, 1), (2, 1, 1, 1), (2, 3, 5, 3), (3, 3, 3, 1)]
+    peers = spark.createDataFrame([(i, f"p{i}") for i in range(5)], "id int, peer_id string")
+    at = lambda t: sorted(r.peer_id for r in folds.network_at(snapshots, peers, t).collect())
+    assert at("2024-01-02 13:00:00") == ["p1"] and at("2024-01-03 00:00:00") == ["p1", "p2", "p3"]
+    assert at("2023-12-31 00:00:00") == [] and at("2030-01-01 00:00:00") == ["p1", "p2"]
