@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from peerlens.llm.common import cut
 from peerlens.session import run_dir
 
+#: Tasks at most that read archives back.
+READERS = 10_000
 CHUNK_BYTES = 64 << 10
 ARCHIVE_BYTES = 32 << 20
 REVISIT_BYTES = 1000
@@ -71,10 +73,10 @@ def chunk_table(records, chunk_bytes=CHUNK_BYTES):
     """A row per chunk of each record, in order and together; a revisit has one empty chunk."""
     size, body = F.lit(chunk_bytes), F.when(F.col("revisit"), F.lit(b"")).otherwise(F.col("payload"))
     places = F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.octet_length("body") / size).cast("int") - 1))
-    parts = F.transform(places, lambda i: F.substring("body", i * size + 1, size))
-    return records.withColumn("body", body).select(
-        "page_id", "url", "payload_bytes", "sha", "revisit", "refers_to", F.size(places).alias("chunks"), F.posexplode(parts)
-    ).withColumnsRenamed({"pos": "chunk_no", "col": "data"})
+    kept = ["page_id", "url", "payload_bytes", "sha", "revisit", "refers_to"]
+    # Numbers are exploded, and each row takes its own piece: the chunks of a record are never together.
+    numbered = records.select(*kept, body.alias("body")).select(*kept, "body", F.size(places).alias("chunks"), F.explode(places).alias("chunk_no"))
+    return numbered.select(*kept, "chunks", "chunk_no", F.substring("body", F.col("chunk_no") * size + 1, size).alias("data"))
 
 
 def _header_value(text):
@@ -257,12 +259,18 @@ def _reader(folder, chunk_bytes, with_data):
 def read_archives(folder, manifest, chunk_bytes=CHUNK_BYTES, with_data=True):
     """Chunk rows of the archives in `manifest`: page_id, url, record_type, refers_to, chunk_no, payload_bytes and digest
     (up to and including the chunk; of the full payload for a revisit), last, data (None without `with_data`)."""
-    archives = manifest.select("archive").distinct()
+    archives = cut(manifest.select("archive").distinct(), "archives")
+    # As many tasks as archives (a given number of parts is not merged): names are small, what they stand for is not.
+    archives = archives.repartition(max(1, min(archives.count(), READERS)))
     return archives.mapInArrow(_reader(folder, chunk_bytes, with_data), _ddl(_CHUNKS))
 
 
 def round_trip(pages):
-    """Write `pages` and read the archives back: page_id, payload_bytes, payload_digest, record_type, refers_to."""
+    """Write `pages` and read the archives back: page_id, payload_bytes, payload_digest, record_type, refers_to.
+
+    NULL html counts as empty; NULL ids never become the response of others; repeated rows are records each; an empty table
+    gives an empty result; a very long payload travels in chunks; other columns are not read.
+    """
     chunks = read_archives(*write_archives(pages), with_data=False)
     return chunks.filter("last").select(
         "page_id", "payload_bytes", F.col("digest").alias("payload_digest"), "record_type", "refers_to"

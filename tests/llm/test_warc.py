@@ -70,3 +70,12 @@ def test_archives_are_plain_warc(spark):
     text = subprocess.run(["gzip", "-dc", f"{folder}/{name}"], capture_output=True, check=True).stdout.decode()
     assert text.count("WARC/1.1\r\n") == 2 and text.count("WARC-Type: revisit") == 1
     assert text.count("y" * 1200) == 1 and "WARC-Refers-To: <urn:page:2>" in text
+
+
+def test_archives_are_read_by_as_many_tasks(spark):
+    pages = spark.range(40).selectExpr("id AS page_id", "'u' AS url", "repeat(cast(id AS string), 600) AS html").repartition(4)
+    folder, manifest = warc.write_archives(pages, archive_bytes=1)
+    chunks = warc.read_archives(folder, manifest)
+    n = manifest.select("archive").distinct().count()
+    assert n >= 8 and chunks.rdd.getNumPartitions() == n
+    assert chunks.filter("last").count() == 40
