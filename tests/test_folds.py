@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from peerlens.operators import folds, lookups
 from peerlens.plans.queries import Inputs
-from peerlens.session import cut
 
 T0 = dt.datetime(2024, 1, 1)
 HOST = "peer_id string, ts timestamp, seq bigint, network string, multi_addrs array<string>, ip string, port int"
