@@ -4,7 +4,7 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
-from peerlens.session import cut
+from peerlens.sources.tables import bucketed
 
 
 def neighbour_edges(probes):
@@ -21,23 +21,22 @@ def neighbour_errors(probes):
 def crawl_frontier(edges, seeds):
     """Round in which each peer becomes known, seeds in round 0.
 
-    A round is one join of the frontier with the edges and one anti-join with
-    the known peers; each round's result is written to the shared folder, so
-    lineage does not grow.  The loop ends when no new peer appears.
+    The edges are stored once in buckets by their source, and every round's fresh peers in buckets by peer.  A round joins
+    the frontier with the edges and leaves out what earlier rounds know, delta by delta; only the neighbours that the
+    frontier reaches are shuffled, once.  The loop ends when no new peer appears.
     """
-    edges = cut(edges.select("peer", "neighbour"))
-    frontier = cut(seeds.select("peer").distinct().withColumn("round", F.lit(0)))
-    rounds, number = [frontier], 0
+    edges = bucketed(edges.select("peer", "neighbour"), "peer", "edges")
+    deltas = [bucketed(seeds.select("peer").distinct().withColumn("round", F.lit(0)), "peer", "known")]
     while True:
-        number += 1
-        known = reduce(lambda a, b: a.unionByName(b), rounds)
-        reached = (
-            edges.join(frontier.select("peer"), "peer")
-            .select(F.col("neighbour").alias("peer"))
-            .distinct()
-        )
-        fresh = reached.join(known.select("peer"), "peer", "left_anti")
-        frontier = cut(fresh.withColumn("round", F.lit(number)))
+        fresh = reached(edges, deltas[-1])
+        for known in deltas:
+            fresh = fresh.join(known.select("peer"), "peer", "left_anti")
+        frontier = bucketed(fresh.withColumn("round", F.lit(len(deltas))), "peer", "known")
         if frontier.isEmpty():
-            return known
-        rounds.append(frontier)
+            return reduce(lambda a, b: a.unionByName(b), deltas)
+        deltas.append(frontier)
+
+
+def reached(edges, frontier):
+    """Distinct neighbours of the frontier's peers."""
+    return edges.join(frontier.select("peer"), "peer").select(F.col("neighbour").alias("peer")).distinct()

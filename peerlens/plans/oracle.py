@@ -493,6 +493,8 @@ SQL = {
     # streams: the batch form of the same data
     "gossip_stream": f"SELECT {MSG_OUT}, seq, val_idx FROM b_blocks",
     "timed_attestations": PUBLISHED,
+    "published_batches": PUBLISHED,
+    "dedup_table": "SELECT DISTINCT msg_id FROM b_attestations WHERE slot <> 0",
     "dedup_gossip": "SELECT DISTINCT msg_id FROM b_attestations WHERE slot <> 0",
     "message_rates": """SELECT * FROM b_rates WHERE (window_start + 15) * 1000 <=
         (SELECT epoch_ms(max(arrival_time)) - 60000 FROM b_messages)""",

@@ -687,6 +687,20 @@ _stream(
         jobs.gossip_stream(ev, "attestation", bridge.SELF_ID), b.peers_listed
     ),
 )
+@query("published_batches")
+def _published_batches(b):
+    path = jobs.stream_path(b.spark, "published")
+    stream = jobs.gossip_stream(jobs.event_stream(b.spark, b.dir), "attestation", bridge.SELF_ID)
+    jobs.publish_timed(stream, tables.bucketed(b.peers_listed, "peer_id"), path)
+    return b.spark.read.parquet(path).select("key", "topic", "value")
+
+
+@query("dedup_table")
+def _dedup_table(b):
+    stream = jobs.gossip_stream(jobs.event_stream(b.spark, b.dir), "attestation", bridge.SELF_ID)
+    return jobs.dedup_table(stream, jobs.stream_path(b.spark, "messages"))[1]().select("msg_id")
+
+
 _stream(
     "dedup_gossip",
     lambda ev, b: jobs.dedup_gossip(

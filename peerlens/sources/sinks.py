@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from peerlens import domains as D
 from peerlens.operators import reports
-from peerlens.operators.skew import salted_join
 from peerlens.session import cut
 
 # File names of the exports.
@@ -188,14 +187,18 @@ def _empty(column, kind="string"):
 def timed_attestations(attestations, peers):
     """Attestations with what is known of their sender; unknown senders get empty fields.
 
-    Also the streaming form (stream-static join); a busy sender is salted.
+    The distinct senders meet the peer table first: stored in buckets by peer (`tables.bucketed`), it is not moved, and
+    a sender with very many messages is one row there.  What was found is joined back; adaptive execution broadcasts
+    it if it is short, and splits a busy sender otherwise.  A streaming side is joined with the table directly.
     """
     known = peers.select(
         F.col("peer_id").alias("sender"), "ip", "port", "user_agent",
         (F.col("latency").cast("long") * 1_000_000).alias("latency"),
         "sup_protocols", "protocol_version",
     )
-    joined = salted_join(attestations, known, "sender", ["seq"], "left")
+    if not attestations.isStreaming:
+        known = senders_found(attestations, known)
+    joined = attestations.join(known, "sender", "left")
     return joined.select(
         "msg_id",
         "seq",
@@ -218,6 +221,10 @@ def timed_attestations(attestations, peers):
     )
 
 
+def senders_found(attestations, known):
+    return attestations.select("sender").distinct().join(known, "sender")
+
+
 def attestation_event_json(timed):
     """The two published events of every attestation: raw and timed."""
     raw = F.to_json(F.struct("attestation"))

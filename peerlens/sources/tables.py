@@ -5,6 +5,7 @@ import os
 from pyspark.sql import functions as F
 
 from peerlens.schemas import TABLES
+from peerlens.session import run_dir
 
 # Physical layout: the column each table is partitioned by on write.
 LAYOUT = {
@@ -49,3 +50,18 @@ def save(df, directory, table, mode="overwrite"):
     # `rebalance` splits large partition values and merges small ones.
     out.hint("rebalance", column).write.mode(mode).partitionBy(column).parquet(path)
     return path
+
+
+def bucketed(df, key, name="bucketed"):
+    """`df` written once in buckets by `key`, one per shuffle partition, and read from there.
+
+    A join or grouping on `key` moves the other side only.  Where the other side is broadcast, Spark reads the buckets
+    as plain files, so a bucket with a very frequent key is split.  The table is named after its folder in the shared
+    folder; its entry in the session's catalog ends with the session.
+    """
+    spark = df.sparkSession
+    path = run_dir(spark, name)
+    table = os.path.basename(path).replace("-", "_")
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(table)
+    return spark.table(table)

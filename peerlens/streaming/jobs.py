@@ -77,6 +77,19 @@ def timed_attestation_stream(attestations, peers):
     return sinks.timed_attestations(attestations, peers)
 
 
+def publish_timed(attestations, peers, path, trigger=None):
+    """Published events of every micro-batch, each enriched by way of its distinct senders.
+
+    Give `peers` as `tables.bucketed(peers, "peer_id")`: then no batch moves it.  A repeated batch replaces itself.
+    """
+
+    def handle(batch, batch_id):
+        events = sinks.attestation_event_json(sinks.timed_attestations(batch, peers))
+        events.write.mode("overwrite").parquet(os.path.join(path, f"batch={batch_id}"))
+
+    return run_batches(attestations, path, handle, trigger)
+
+
 def attestation_event_stream(attestations, peers):
     return sinks.attestation_event_json(timed_attestation_stream(attestations, peers))
 
@@ -96,6 +109,55 @@ def dedup_gossip(rows, within=None):
     return rows.withWatermark("arrival_time", within).dropDuplicatesWithinWatermark(["msg_id"])
 
 
+#: Slots of a date's bitmap over message ids (512 KB), in the pieces that Spark's bitmap functions build.
+ID_SLOTS = 1 << 22
+
+
+def _slots(rows):
+    """(date, bucket, position) of message ids in the bitmaps of their dates."""
+    slot = F.pmod(F.xxhash64("msg_id"), F.lit(ID_SLOTS))
+    return rows.withColumns({"bucket": F.bitmap_bucket_number(slot), "position": F.bitmap_bit_position(slot)})
+
+
+def dedup_table(rows, path, trigger=None):
+    """Keep a message table in which every id occurs once, for ever, without state: the first by arrival of the batch that
+    brings an id.
+
+    Every arrival date of the table has a bitmap over its ids; a batch meets the bitmaps by slot, and only the dates that
+    may hold one of its ids are read for the exact anti-join.  Rows go to `path`/rows, bitmaps to `path`/bitmaps; a
+    repeated batch replaces its own.
+    """
+    spark = rows.sparkSession
+    fresh = rows.filter(F.col("slot") != 0).withColumn("date", F.to_date("arrival_time").cast("string"))
+    schema = T.StructType([*rows.schema.fields, T.StructField("batch", T.LongType()), T.StructField("date", T.StringType())])
+    places = {part: os.path.join(path, part) for part in ("rows", "bitmaps")}
+    bitmap_schema = "bucket long, bits binary, batch long, date string"
+
+    def handle(batch, batch_id):
+        first = F.min_by(F.struct(*[c for c in batch.columns if c != "msg_id"]), F.struct("arrival_time", "seq")).alias("r")
+        batch = batch.groupBy("msg_id").agg(first).select("msg_id", "r.*").persist()
+        if batch_id:
+            stored = spark.read.schema(schema).parquet(places["rows"]).filter(F.col("batch") < batch_id)
+            bitmaps = spark.read.schema(bitmap_schema).parquet(places["bitmaps"]).filter(F.col("batch") < batch_id)
+            byte = F.conv(F.hex(F.substring("bits", (F.col("position") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+            bit = F.pow(F.lit(2), F.col("position") % 8).cast("int")
+            met = _slots(batch.drop("date")).join(bitmaps, "bucket").filter(byte.bitwiseAND(bit) != 0)
+            dates = [r.date for r in met.select("date").distinct().collect()]  # at most one row per date
+            old = stored.filter(F.col("date").isin(dates)).select("msg_id")
+            out = batch.join(old, "msg_id", "left_anti")
+        else:
+            out = batch
+        out = out.persist()
+        bits = _slots(out).groupBy("date", "bucket").agg(F.bitmap_construct_agg("position").alias("bits"))
+        for part, df in (("rows", out), ("bitmaps", bits)):
+            df.write.mode("overwrite").partitionBy("date").parquet(os.path.join(places[part], f"batch={batch_id}"))
+        out.unpersist()
+        batch.unpersist()
+
+    query = run_batches(fresh, path, handle, trigger)
+    return query, lambda: spark.read.schema(schema).parquet(places["rows"]).drop("batch", "date")
+
+
 def message_rates(messages, tick=D.METRIC_TICK, late="1 minute"):
     """Messages per topic and closed window."""
     return distributions.messages_per_topic(messages.withWatermark("arrival_time", late), tick)

@@ -10,7 +10,7 @@ from peerlens.operators import connections, distributions, folds, normalise, ret
 from peerlens.plans.policy import RetryPolicy
 from peerlens.plans.queries import AS_OF, STRICT, Inputs
 from peerlens.plans.registry import Tables, metrics_snapshot
-from peerlens.sources import bridge, sinks
+from peerlens.sources import bridge, sinks, tables
 from peerlens.streaming import jobs
 
 
@@ -301,6 +301,27 @@ def test_gossip_dedup_within_watermark(spark, stream, batch, tmp_path):
     assert rows(got.distinct()) == rows(ids) and got.count() >= ids.count()
 
 
+def test_ids_once_for_ever_without_state(spark, tmp_path):
+    """Copies weeks apart, in the same batch and in the same date are found, without any state."""
+    begin = datetime(2024, 1, 1)
+    log = []
+    for n in range(6):
+        day = begin + timedelta(days=7 * n)
+        log += [(f"m{n}-{i}", "s", 5, day + timedelta(minutes=i), i + 100 * n, n) for i in range(40)]
+        log += [(f"m{k}-{i}", "again", 5, day + timedelta(minutes=50, seconds=i), 50 + i + 100 * n, n) for k in range(n) for i in range(0, 40, 7)]
+        log += [(f"m{n}-3", "again", 5, day + timedelta(minutes=59), 99 + 100 * n, n), (f"zero{n}", "s", 0, day, 98 + 100 * n, n)]
+    frame = spark.createDataFrame(log, "msg_id string, sender string, slot long, arrival_time timestamp, seq long, file int")
+    for n in range(6):
+        frame.filter(F.col("file") == n).drop("file").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(frame.drop("file").schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    query, table = jobs.dedup_table(stream, str(tmp_path / "out"))
+    wanted = folds.first_by_message(frame.drop("file"))
+    assert rows(table().select("msg_id", "sender")) == rows(wanted.select("msg_id", "sender")) and wanted.count() == 240
+    assert all(not p["stateOperators"] for p in query.recentProgress)
+    dates = spark.read.parquet(str(tmp_path / "out" / "bitmaps")).select("date").distinct().count()
+    assert dates == 6
+
+
 def test_message_rates_on_closed_windows(spark, stream, batch, tmp_path):
     out = jobs.message_rates(bridge.messages(stream), "15 seconds")
     jobs.run_to_end(out, str(tmp_path / "r"))
@@ -331,6 +352,21 @@ def test_published_events(spark, stream, batch, tmp_path):
     assert rows(spark.read.parquet(str(tmp_path / "p"))) == rows(wanted)
 
 
+def test_published_batches_do_not_move_the_peer_table(spark, stream, batch, tmp_path):
+    peers = tables.bucketed(batch.peers_listed, "peer_id")
+    jobs.publish_timed(jobs.gossip_stream(stream, "attestation", bridge.SELF_ID), peers, str(tmp_path / "p"))
+    wanted = sinks.attestation_event_json(sinks.timed_attestations(batch.attestations, batch.peers_listed))
+    assert rows(spark.read.parquet(str(tmp_path / "p")).select(wanted.columns)) == rows(wanted)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        known = peers.withColumnRenamed("peer_id", "sender")
+        text = sinks.senders_found(batch.attestations, known)._jdf.queryExecution().executedPlan().toString()
+        assert text.count("SortMergeJoin") == 1 and text.count("Exchange hashpartitioning") == 1  # of the senders
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_unknown_sender_is_published_empty(batch):
     nobody = batch.peers_listed.limit(0)
     timed = sinks.timed_attestations(batch.attestations, nobody)
