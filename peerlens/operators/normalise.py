@@ -103,6 +103,18 @@ def normalise_gossip(messages, self_id, genesis=D.MAINNET_GENESIS):
     )
 
 
+def gossip_log(messages, self_id, genesis=D.MAINNET_GENESIS, handlers=None):
+    """Accepted rows of all kinds from one pass over the log: `kind`, the common columns, and every kind's own columns,
+    NULL for the others."""
+    handlers = handlers or DEFAULT_HANDLERS
+    routed = split_gossip(messages, self_id, genesis, handlers).filter(F.col("kind").isNotNull() & F.col("reason").isNull())
+    own = []
+    for name, handler in handlers.items():
+        packed = F.when(F.col("kind") == name, F.struct(*handler.columns()))
+        own += [packed[c].alias(c) for c in routed.select(*handler.columns()).columns]
+    return routed.select("kind", "msg_id", "sender", *own, "slot", "arrival_time", "time_in_slot", "seq")
+
+
 def normalise_records(raw):
     """Announced node records to `eth_nodes` events."""
     return (
@@ -135,12 +147,32 @@ def identify_events(connections):
     return hosts, peers, status, metadata
 
 
-def chain_answers(connections):
-    """The status and metadata events of `identify_events` in one pass over the log: structs `s` and `m`, NULL where
-    the request failed; answers with neither are left out."""
-    rows = connections.filter(F.col("identify_error").isNull() & (F.col("network") == D.ETHEREUM)).select(
-        "peer_id", "ts", "seq",
-        F.when(F.col("status_error").isNull(), F.struct("fork_digest", "finalized_root", "finalized_epoch", "head_root", "head_slot")).alias("s"),
-        F.when(F.col("metadata_error").isNull(), F.struct("seq_number", "attnets", "syncnets")).alias("m"),
+def _chain_structs():
+    """Status and metadata of an answered connection on the chain network, NULL where the request failed."""
+    chain = F.col("network") == D.ETHEREUM
+    status = F.struct("fork_digest", "finalized_root", "finalized_epoch", "head_root", "head_slot")
+    metadata = F.struct("seq_number", "attnets", "syncnets")
+    return (
+        F.when(chain & F.col("status_error").isNull(), status).alias("s"),
+        F.when(chain & F.col("metadata_error").isNull(), metadata).alias("m"),
     )
+
+
+def chain_answers(connections):
+    """The status and metadata events of `identify_events` in one pass over the log; answers with neither are left out."""
+    rows = connections.filter(F.col("identify_error").isNull()).select("peer_id", "ts", "seq", *_chain_structs())
     return rows.filter("s IS NOT NULL OR m IS NOT NULL")
+
+
+def identify_log(connections):
+    """All outputs of `identify_events` in one pass: a row per answered connection with the structs `host`, `p` (identity, NULL
+    without any), `s` (status) and `m` (metadata)."""
+    rows = user_agent.with_client(normalise_peers(connections.filter(F.col("identify_error").isNull())))
+    identity = F.struct(
+        "user_agent", "client_name", "client_version", "client_os", "client_arch", "protocol_version",
+        F.col("protocols").alias("sup_protocols"), user_agent.latency_ms("latency_ns").alias("latency"),
+    )
+    return rows.select(
+        "peer_id", "ts", "seq", F.struct("network", "multi_addrs", "ip", "port").alias("host"),
+        F.when(user_agent.is_identified(), identity).alias("p"), *_chain_structs(),
+    )

@@ -407,12 +407,7 @@ simple("normalise_attempts", lambda b: b.attempts)
 simple("conn_attempt_from_dial", lambda b: normalise.conn_attempt_from_dial(b.dials).drop("delay_class"))
 
 
-@query("normalise_gossip")
-def _normalise_gossip(b):
-    attestations, blocks = normalise.normalise_gossip(b.messages, bridge.SELF_ID)
-    return attestations.unionByName(blocks, allowMissingColumns=True)
-
-
+simple("normalise_gossip", lambda b: normalise.gossip_log(b.messages, bridge.SELF_ID).drop("kind"))
 simple("gossip_to_rows", lambda b: b.attestations)
 simple("normalise_records", lambda b: b.records)
 
@@ -425,17 +420,18 @@ def _topic_handlers(b):
 
 @query("identify_events")
 def _identify_events(b):
-    hosts, answers, status, metadata = b.identified()
-    parts = [
-        hosts.select(F.lit("host").alias("table"), "peer_id", "seq", F.col("ip").alias("detail")),
-        answers.select(F.lit("peer").alias("table"), "peer_id", "seq", F.col("client_version").alias("detail")),
-        status.select(F.lit("status").alias("table"), "peer_id", "seq", F.col("head_slot").cast("string").alias("detail")),
-        metadata.select(F.lit("metadata").alias("table"), "peer_id", "seq", F.col("attnets").alias("detail")),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """A row per event of any kind, from one pass over the connections."""
+
+    def event(table, column, detail):
+        tagged = F.struct(F.lit(table).alias("table"), F.col(detail).cast("string").alias("detail"))
+        return F.when(F.col(column).isNotNull(), tagged)
+
+    events = F.array_compact(F.array(
+        event("host", "host", "host.ip"), event("peer", "p", "p.client_version"), event("status", "s", "s.head_slot"),
+        event("metadata", "m", "m.attnets"),
+    ))
+    rows = normalise.identify_log(b.connections).select("peer_id", "seq", F.explode(events).alias("e"))
+    return rows.select("e.table", "peer_id", "seq", "e.detail")
 
 
 # ------------------------------------------------------------ folds
