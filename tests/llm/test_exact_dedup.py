@@ -96,3 +96,29 @@ def test_texts_of_one_key_are_told_apart(spark, monkeypatch):
         salt += 1
         assert salt < 9
     assert settled == {100: (0, 2), 102: (0, 2), 101: (1, 2), 104: (1, 2), 103: (3, 1)}
+
+
+def test_memory_of_a_trie_is_what_it_counts():
+    """Short keys are mostly nodes: the count that bounds a trie follows what Python really holds."""
+    import tracemalloc
+
+    rng = random.Random(2)
+    keys = [bytes(rng.randrange(256) for _ in range(16)) for _ in range(20_000)]
+    tracemalloc.start()
+    trie = exact_dedup.PatriciaTrie()
+    for n, k in enumerate(keys):
+        trie.node(k).value = (n, (16, n, n), 1, (16, n))
+        trie.terminals += 1
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert 0.8 * held < trie.memory < 2.5 * held
+    before = trie.memory
+    _, out = trie.spill()
+    assert out and trie.memory < before and trie.terminals == len(keys) - len(out)
+
+
+def test_short_texts_stay_within_the_bound(spark):
+    """Many short texts twice over, under a bound that a few hundred of them fill."""
+    docs = spark.range(6000).selectExpr("id AS doc_id", "substring(md5(cast(id % 3000 AS string)), 1, 9) AS text")
+    out = exact_dedup.exact_dedup(docs, trie_bytes=200 * exact_dedup.NODE_BYTES)
+    assert out.filter("kept").count() == 3000 == out.filter("kept AND group_size = 2 AND doc_id < 3000").count()
