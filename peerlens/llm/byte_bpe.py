@@ -305,7 +305,11 @@ def _decode(path):
 
 
 def encode(docs, path=VOCABULARY):
-    """Per row of `docs`: doc_id, ids (array).  NULL counts as empty and has no ids; other columns are not read."""
+    """Per row of `docs`: doc_id, ids (array).
+
+    NULL counts as empty and has no ids.  Repeated rows are encoded each; an empty table gives an empty result; a very long
+    text is split and encoded piece after piece, as one value of its task; other columns are not read.
+    """
     return text_pairs(docs).mapInArrow(_encode(path), "doc_id long, ids array<int>")
 
 

@@ -300,7 +300,8 @@ def contamination(docs, benchmark, block_bytes=BLOCK_BYTES, window=WINDOW):
 
     Words are runs of 0-9, a-z and non-ASCII after lower-casing A-Z.  A NULL or word-less text has no words and is clean.
     Items without words have no window; items of one id count once; an item without id hits but is not listed.
-    An empty benchmark leaves all documents clean.  Repeated rows are answered each; other columns are not read.
+    An empty benchmark leaves all documents clean; an empty table gives an empty result.  Repeated rows are answered each; a very
+    long text is searched shard by shard, matches across shards included; other columns are not read.
     """
     return _verdicts(docs, benchmark, block_bytes, window).drop("digest")
 

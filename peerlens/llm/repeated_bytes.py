@@ -257,7 +257,8 @@ def remove_repeated(docs, group_bytes=GROUP_BYTES):
 
     Bytes covered by a SPAN-byte string that also starts elsewhere, in the same or another row, are removed.
     NULL counts as empty; texts below SPAN bytes keep all; repeated rows are occurrences of their own; an
-    empty table gives an empty result; other columns are not read.
+    empty table gives an empty result; a very long text is cut into pieces by content, and no window is lost at their
+    borders; other columns are not read.
     """
     texts = text_pairs(docs)
     rows = cut(texts.mapInArrow(_texts, _DOC), "texts")

@@ -189,7 +189,8 @@ def simhash_components(docs, cell_limit=CELL_LIMIT):
     Words are what lies between the six white-space characters, A-Z lower-cased.  NULL and word-less texts
     have fingerprint zero and are linked like any other.  The component id is the smallest doc_id of the
     component (NULL ids count as largest; NULL only if the component has no other).  Repeated rows are
-    returned as often as they came; an empty table gives an empty result; other columns are not read.
+    returned as often as they came; an empty table gives an empty result; a very long text is hashed block by block;
+    other columns are not read.
     """
     marks = cut(fingerprints(docs).drop("digest"), "marks")
     nodes = cut(marks.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
