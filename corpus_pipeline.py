@@ -2,6 +2,9 @@
 
 STAGES lists (name, function); each function takes (spark, docs, sf_dir), and its result is written and
 read again as the next one's `docs`.  All but the last return the columns of `documents`.
+
+Every stage judges rows by id and text, so NULL ids and ids with several texts lose nothing; columns keep their names and
+order, whatever they are; an empty table stays empty; texts are read whole, however long.
 """
 
 from peerlens.llm import byte_bpe, decontaminate, exact_dedup, language, simhash
@@ -9,27 +12,31 @@ from peerlens.llm.common import cut, table
 
 
 def identified(spark, docs, sf_dir):
-    """Documents whose language is known: those without any letter go."""
+    """Documents whose language is known: those without any letter (NULL and empty too) go, repeated rows each; a NULL
+    `lang` is filled where the prediction is clear."""
     return language.drop_unidentified(docs)
 
 
 def unique(spark, docs, sf_dir):
-    """One document of each group of equal texts."""
+    """One document of each group of equal texts: the longest original, of equals the smallest id; of repeated rows one.
+    NULL and empty texts are one group."""
     return exact_dedup.drop_exact(docs)
 
 
 def distinct(spark, docs, sf_dir):
-    """One document of each component of near-duplicates."""
+    """One document of each component of near-duplicates: that of the smallest id, of several texts under it the one with the
+    smallest digest.  Texts without words are one component."""
     return simhash.drop_near(docs)
 
 
 def clean(spark, docs, sf_dir):
-    """Documents without a passage of the benchmark."""
+    """Documents that the benchmark's passages do not cover to a twentieth; NULL and empty texts are clean, repeated rows are
+    judged each, an empty benchmark leaves all."""
     return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def encoded(spark, docs, sf_dir):
-    """Token counts and digests of every document that is left."""
+    """Token counts and digests of every document that is left; a NULL text has no tokens."""
     return byte_bpe.digests(byte_bpe.encode_and_decode(docs))
 
 
