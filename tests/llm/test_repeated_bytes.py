@@ -133,3 +133,27 @@ def test_blocks_of_one_hash_are_told_apart(monkeypatch):
     real = bwt.gram_hashes
     monkeypatch.setattr(bwt, "gram_hashes", lambda data, size: real(data, size) & 7)
     assert [x.tolist() for x in bwt.repeated_starts(some)] == expected
+
+
+def test_only_what_may_repeat_is_sorted(monkeypatch):
+    rng = random.Random(10)
+    word = lambda n: bytes(rng.choice(b"abcdefgh ") for _ in range(n))
+    common, edges = word(380), [word(180) for _ in range(80)]
+    apart = [a + common + b for a, b in zip(edges[::2], edges[1::2])]
+    repeat = word(400)
+    some = apart + [word(150) + repeat + word(100) for _ in range(3)] + [word(30) + repeat[:399] + b"#" + word(9)]
+    sorted_entries = []
+    real = bwt.merge
+    monkeypatch.setattr(bwt, "merge", lambda shards, *depth: sorted_entries.extend(len(s.symbols) for s in shards) or real(shards, *depth))
+    assert [x.tolist() for x in bwt.repeated_starts(apart, 5000)] == [[] for _ in apart]
+    assert not sorted_entries
+    assert [x.tolist() for x in bwt.repeated_starts(some, 5000)] == [[] for _ in apart] + [[150]] * 3 + [[]]
+    assert 0 < sum(sorted_entries) < sum(len(p) for p in some) // 10
+
+
+@pytest.mark.parametrize("top", [1 << 10, 1 << 60])
+def test_order_is_stable(top):
+    rng = random.Random(11)
+    some = [rng.randrange(top) for _ in range(500)]
+    key = bwt.np.array([rng.choice(some) for _ in range(5000)], bwt.np.int64)
+    assert bwt._order(key).tolist() == sorted(range(len(key)), key=lambda i: (key[i], i))
